@@ -17,6 +17,7 @@ def local_session(cores: int = 8, app: str = "orrery") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("ORRERY_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.sql.files.maxPartitionBytes", "8m")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
