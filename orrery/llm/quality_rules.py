@@ -83,12 +83,16 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
     df = df.withColumn("w", words(F.col("t")))
     df = _with_histograms(df, F.col("t"), "w", {k: k for k in ("rare", "chars", "common", "hits", "hist")})
     n, m, size = BINS, len(VOCABULARY) + 1, F.length("t")
-    df = df.filter((F.size("w") >= limits.min_words) & (F.col("chars")[SYMBOL] <= limits.clean_symbols * size) & (F.col("chars")[UPPER] <= limits.clean_upper * size))
-    # counts are whole numbers, so these sums do not depend on the order of the rows
-    sums = df.groupBy("l").agg(*[F.sum(F.col("chars")[i].cast("long")).alias(f"c{i}") for i in range(n)], *[F.sum(F.col("hist")[i].cast("long")).alias(f"h{i}") for i in range(m)])
+    # a flag and no filter, which the optimizer would move below the histograms and so count words twice
+    df = df.withColumn("ok", (F.size("w") >= limits.min_words) & (F.col("chars")[SYMBOL] <= limits.clean_symbols * size) & (F.col("chars")[UPPER] <= limits.clean_upper * size))
+
+    def total(counts: str, i: int) -> Column:  # of whole numbers, so the order of the rows is of no account
+        return F.sum(F.when(F.col("ok"), F.col(counts)[i].cast("long"))).alias(f"{counts}{i}")
+
+    sums = df.groupBy("l").agg(*[total("chars", i) for i in range(n)], *[total("hist", i) for i in range(m)])
     out = {}
     for r in sums.collect():
-        chars, hist = [r[f"c{i}"] for i in range(n)], [r[f"h{i}"] for i in range(m)]
+        chars, hist = [r[f"chars{i}"] or 0 for i in range(n)], [r[f"hist{i}"] or 0 for i in range(m)]
         if sum(chars) and sum(hist):
             out[r["l"]] = ([x / sum(chars) for x in chars], [x / sum(hist) for x in hist])
     return out
@@ -98,13 +102,18 @@ def _shares(counts: str, total: Column) -> Column:
     return F.transform(F.col(counts), lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
 
-def _distance(share: Column, reference: Column) -> Column:
-    """Jensen-Shannon distance (base 2) of two arrays of shares."""
+def _constant(xs: list[float]) -> Column:
+    """An array as one literal: hundreds of literals would slow the optimizer."""
+    return F.split(F.lit(",".join(map(repr, xs))), ",").cast("array<double>")
+
+
+def _divergence(share: Column, reference: Column) -> Column:
+    """Jensen-Shannon divergence (base 2), the square of the distance, of two arrays of shares."""
 
     def term(p: Column, q: Column) -> Column:
-        return F.when(p > 0, p * F.log2(2 * p / (p + q))).otherwise(0.0) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)
+        return F.when(p > 0, p * F.log2(2 * p / (p + q)) + F.when(q > 0, q * F.log2(2 * q / (p + q))).otherwise(0.0)).otherwise(q)
 
-    return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(F.zip_with(share, reference, term), F.lit(0.0), lambda a, x: a + x) / 2))
+    return F.greatest(F.lit(0.0), F.aggregate(F.zip_with(share, reference, term), F.lit(0.0), lambda a, x: a + x) / 2)
 
 
 def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang", refs: dict | None = None) -> DataFrame:
@@ -120,7 +129,7 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     df = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (text, lang)])
     columns = df.columns
-    n = {k: fresh(df, f"qr_{k}") for k in ("text", "w", "rare", "chars", "common", "hits", "hist", "h", "lines", "sorted", "at", "own", "near", "size")}
+    n = {k: fresh(df, f"qr_{k}") for k in ("text", "w", "rare", "chars", "common", "hits", "hist", "h", "lines", "sorted", "at", "own", "near", "size", "c")}
     df = df.withColumn(n["text"], F.coalesce(F.col(text), F.lit("")))
     t = F.col(n["text"])
     df = df.withColumn(n["w"], words(t))
@@ -148,24 +157,28 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
         df = df.withColumn(n["size"], F.length(t)).drop(n["text"])
         size = F.col(n["size"])
         df = df.withColumn(n["chars"], _shares(n["chars"], size)).withColumn(n["hist"], _shares(n["hist"], F.col("n_words")))
-        each = {k: F.struct(F.array(*map(F.lit, c)).alias("c"), F.array(*map(F.lit, h)).alias("h")) for k, (c, h) in sorted(refs.items())}
+        each = {k: F.struct(_constant(c).alias("c"), _constant(h).alias("h")) for k, (c, h) in sorted(refs.items())}
+
+        def against(r: Column) -> Column:  # each divergence stands in here once, as it is evaluated wherever it stands
+            c = F.when(size >= limits.char_guard, _divergence(F.col(n["chars"]), r["c"])).otherwise(0.0)
+            d = F.when(F.col("n_words") >= limits.word_guard, F.greatest(F.lit(0.0), _divergence(F.col(n["hist"]), r["h"]) - limits.noise / F.col("n_words"))).otherwise(0.0)
+            return F.struct(c.alias("c"), d.alias("d"))
 
-        def against(r: Column) -> Column:
-            c, d = _distance(F.col(n["chars"]), r["c"]), _distance(F.col(n["hist"]), r["h"])
-            c = F.when(size >= limits.char_guard, c).otherwise(0.0)
-            d = F.when(F.col("n_words") >= limits.word_guard, F.sqrt(F.greatest(F.lit(0.0), d * d - limits.noise / F.col("n_words")))).otherwise(0.0)
-            return F.struct(F.sqrt(c * c + d * d).alias("both"), c.alias("c"), d.alias("d"))
+        def both(x: Column) -> Column:
+            return F.struct((x["c"] + x["d"]).alias("both"), x["c"].alias("c"), x["d"].alias("d"))
 
         own = F.lit(None)
         for k, v in each.items():
             own = F.when(F.col(lang) == k, v).otherwise(own)
-        df = df.withColumn(n["own"], F.when(F.col(lang).isin(list(each)), against(own)))
+        df = df.withColumn(n["c"], own)
+        df = df.withColumn(n["own"], F.when(F.col(n["c"]).isNotNull(), against(F.col(n["c"])))).drop(n["c"])
+        own, most = F.col(n["own"]), limits.max_distance**2
         # a text far from its own language is compared with the others: it may quote them or be labelled wrongly
-        nearest = F.array_min(F.transform(F.array(*each.values()), against))
-        df = df.withColumn(n["near"], F.when(F.col(n["own"])["both"] <= limits.max_distance, F.col(n["own"])).otherwise(nearest)).drop(n["own"])
+        nearest = F.array_min(F.transform(F.transform(F.array(*each.values()), against), both))
+        df = df.withColumn(n["near"], F.when(own["c"] + own["d"] <= most, both(own)).otherwise(nearest)).drop(n["own"])
         near = F.col(n["near"])
-        df = df.withColumn("char_distance", F.round(near["c"], 6)).withColumn("word_distance", F.round(near["d"], 6))
-        df = df.withColumn("kept", ~F.col("base_failed") & (near["both"] <= limits.max_distance))
+        df = df.withColumn("char_distance", F.round(F.sqrt(near["c"]), 6)).withColumn("word_distance", F.round(F.sqrt(near["d"]), 6))
+        df = df.withColumn("kept", ~F.col("base_failed") & (near["both"] <= most))
     else:
         df = df.withColumn("char_distance", F.lit(0.0)).withColumn("word_distance", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
     return df.select(*[F.col(f"`{c}`") for c in columns], *added)
