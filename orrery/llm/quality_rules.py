@@ -182,3 +182,13 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     else:
         df = df.withColumn("char_distance", F.lit(0.0)).withColumn("word_distance", F.lit(0.0)).withColumn("kept", ~F.col("base_failed"))
     return df.select(*[F.col(f"`{c}`") for c in columns], *added)
+
+
+def accepted(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
+    """Rows of docs that are kept, with their columns as they are."""
+    hidden = {c: f"qa_{i}" for i, c in enumerate(docs.columns)}
+    df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in hidden.items()])
+    df = judged(df, limits, hidden[text], hidden[lang])
+    # the row number keeps the optimizer from moving the filter below the histograms, which would repeat their work
+    df = df.withColumn("kept", F.col("kept") & (F.monotonically_increasing_id() >= 0)).filter("kept")
+    return df.select(*[F.col(n).alias(c) for c, n in hidden.items()])

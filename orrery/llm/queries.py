@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import mixing, quality_classifier, quality_rules, topk_search, toxicity
+from orrery.llm import chat_repair, language_id, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, topk_search, toxicity, url_filter
 from orrery.llm.common import table
 
 
@@ -18,11 +18,47 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance")
 
 
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated host list made from the pages' own hosts by rules: the tables hold none.
+
+    Hosts whose hash is 0 mod 3 are blocked from 2024-03-01, and those of them that are 0 mod 2 are allowed again from
+    2024-09-01; registered domains whose hash is 0 mod 5 are blocked from 2024-06-01.
+    """
+    hosts = pages.select(url_filter.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
+    h = F.crc32("host")
+    day = lambda d: F.lit(d).cast("timestamp")
+    first = hosts.filter(h % 3 == 0).select("host", F.lit("block").alias("action"), day("2024-03-01").alias("listed_at"))
+    again = hosts.filter((h % 3 == 0) & (h % 2 == 0)).select("host", F.lit("allow").alias("action"), day("2024-09-01").alias("listed_at"))
+    domains = hosts.select(F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".").alias("host")).filter(F.size(F.split("host", r"\.")) == 3).distinct()
+    return first.unionByName(again).unionByName(domains.filter(h % 5 == 0).select("host", F.lit("block").alias("action"), day("2024-06-01").alias("listed_at")))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.timestamp_seconds(F.lit(1704067200) + F.pmod(F.col("page_id") * 7919, F.lit(366)) * 86400)
+    out = url_filter.evaluated(pages.withColumn("fetched_at", fetched), list_entries(pages))
+    return out.select("page_id", "url_host", "listed_host", F.date_format("listed_at", "yyyy-MM-dd").alias("listed_on"), "url_kept")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = toxicity.classified(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repaired(table(spark, sf_dir, "conversations")).drop("seq")
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language_id.learned(docs)
+    return language_id.identified(docs.select("doc_id", "text"), model=model).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), near_dedup.Near(shingle=2))
+
+
 def op8_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk_search.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -32,12 +68,22 @@ def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_codec.encoded(docs, sentencepiece_codec.Vocabulary.read(), ("n_tokens", "ids_crc", "round_trip"))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_quality_rules": op2_quality_rules,
+    "op3_url_filter": op3_url_filter,
     "op4_toxicity": op4_toxicity,
+    "op5_chat_repair": op5_chat_repair,
+    "op6_language_id": op6_language_id,
+    "op7_near_dedup": op7_near_dedup,
     "op8_topk_search": op8_topk_search,
     "op9_quality_classifier": op9_quality_classifier,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 ORACLES: dict[str, str] = {
     "op8_topk_search": """
