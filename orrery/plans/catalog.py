@@ -272,7 +272,8 @@ def find_references(spark, d):
     return search.find_references(corpus.lines(spark, d), "license under", hits.agg(F.min("path")).first()[0])
 
 
-@query("SELECT p_partkey AS id, CAST((CASE WHEN contains(lower(concat_ws(' ', p_name, p_type)), 'small') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(concat_ws(' ', p_name, p_type)), 'ring') THEN 1 ELSE 0 END) AS DOUBLE) AS score FROM part WHERE contains(lower(concat_ws(' ', p_name, p_type)), 'small') OR contains(lower(concat_ws(' ', p_name, p_type)), 'ring') ORDER BY score DESC, p_brand, id LIMIT 20")
+@query("""WITH x AS (SELECT p_partkey AS id, p_brand, (CASE WHEN contains(lower(concat_ws(' ', p_name, p_type)), 'small') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(concat_ws(' ', p_name, p_type)), 'ring') THEN 1 ELSE 0 END)
+  + CASE WHEN lower(p_name) = 'small ring' THEN 3 ELSE 0 END AS s FROM part) SELECT id, CAST(s AS DOUBLE) AS score FROM x WHERE s > 0 ORDER BY score DESC, p_brand, id LIMIT 20""")
 def find_definition(spark, d):
     p = corpus.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_type").alias("qualified_name"), F.col("p_brand").alias("path"))
     return search.find_definition(p, "small ring")
