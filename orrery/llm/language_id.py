@@ -72,14 +72,15 @@ def automaton(codes: list[int], letters: int) -> np.ndarray:
 
 
 def steps_of(table: np.ndarray) -> np.ndarray:
-    """The table as one move for each state and letter: twice the place of the next state's row, plus 1 where a phrase ends.
+    """The table as one move for each state and letter: twice the place of the next state's row, plus 1 where a phrase begins.
 
-    A letter that does not go on starts the next phrase; a letter that occurs nowhere is a phrase of its own.
+    A letter that does not go on begins the next phrase; a letter that occurs nowhere is a phrase of its own.
     """
     letters = table.shape[1]
     start = np.maximum(table[0], 0)
     out = np.where(table >= 0, table, start) * letters * 2
-    return np.where(table >= 0, out, out + 1).astype(np.int32).ravel()
+    begins = (table < 0) | (np.arange(len(table)) == 0)[:, None]
+    return (out + begins).astype(np.int32).ravel()
 
 
 @dataclass
@@ -127,7 +128,7 @@ class Model:
         owner = np.repeat(np.arange(len(texts)), lanes)[order]
         for k, steps in enumerate(self.steps):
             state = np.zeros(len(order), np.int32)
-            count = np.ones(len(order), np.int32)
+            count = np.zeros(len(order), np.int32)
             for t in range(int(long[order[0]])):
                 m = active[t]
                 v = steps.take(state[:m] + columns[t, :m])
