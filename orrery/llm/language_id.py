@@ -99,7 +99,7 @@ class Model:
     def lookup(self) -> np.ndarray:
         if not hasattr(self, "_lookup"):
             t = np.ones(0x10000, np.int32)
-            t[:128] = 0
+            t[[c for c in range(128) if not chr(c).isalpha()]] = 0
             for ch, code in self.alphabet.items():
                 t[ord(ch)] = code
             self._lookup = t

@@ -135,7 +135,7 @@ def test_nonnegative_risk():
 
 def test_toxicity_learns_from_positives_only():
     rng = random.Random(5)
-    words = [f"word{c}{d}" for c in "abcdefgh" for d in "ijklmnop"]
+    words = ["".join(rng.choices("abcdefghij", k=6)) for _ in range(2000)]
     plain = [" ".join(rng.choices(words, k=40)) for _ in range(400)]
     toxic = [" ".join(rng.choices(words, k=30) + ["scumbag", rng.choice(["vile", "filth"])]) for _ in range(120)]
     m = T.fit(toxic[:60], plain[:300] + toxic[60:90], 0.1)
