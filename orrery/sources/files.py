@@ -84,7 +84,7 @@ def inspected(files: DataFrame) -> DataFrame:
     zero = F.regexp_replace(sample, "(..)", "$1 ").contains("00 ")
     size = F.length("content").cast("long")
     df = files.withColumn("size_bytes", size).withColumn("binary", zero | (control > 0.3 * F.least(size, F.lit(SNIFFED))))
-    df = df.withColumn("text", F.when((F.col("size_bytes") <= MAX_BYTES) & ~F.col("binary"), F.decode("content", F.lit("UTF-8"))))
+    df = df.withColumn("text", F.when((F.col("size_bytes") <= MAX_BYTES) & ~F.col("binary"), F.make_valid_utf8(F.col("content").cast("string"))))
     n = F.coalesce(line_count(F.col("text")), F.lit(0))
     status = F.when(F.col("size_bytes") > MAX_BYTES, "too_large").when(F.col("binary"), "binary").when(n > MAX_LINES, "too_many_lines").otherwise("readable")
     df = df.withColumn("line_count", n.cast("int")).withColumn("status", status).withColumn("readable", F.col("status") == "readable")
