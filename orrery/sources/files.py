@@ -93,7 +93,7 @@ def inspected(files: DataFrame) -> DataFrame:
 
 
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root that are not ignored, inspected; paths are relative to root."""
+    """Files below root that are not ignored, inspected; paths are relative to root. Spark's reader leaves out empty files."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     base = root.rstrip("/")
     path = F.regexp_replace(F.col("path"), f"^.*?\\Q{base}\\E/", "")

@@ -91,7 +91,7 @@ def test_scripts(spark):
 
 
 def test_scan(spark, tmp_path):
-    for path, data in {"src/app.py": b"x = 1\n", "README.md": b"# Hi\n\ntext", "node_modules/x.js": b"1", ".env": b"S=1", "pkg/package.json": b'{"name": "p"}', "img.bin": b"\x00\x01", "go.mod": b"module m/n\n", "latest_news.py": b""}.items():
+    for path, data in {"src/app.py": b"x = 1\n", "README.md": b"# Hi\n\ntext", "node_modules/x.js": b"1", ".env": b"S=1", "pkg/package.json": b'{"name": "p"}', "img.bin": b"\x00\x01", "go.mod": b"module m/n\n", "latest_news.py": b"y = 2\n"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
     df = S.scan(spark, str(tmp_path)).cache()
