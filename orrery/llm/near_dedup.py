@@ -29,7 +29,8 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 class Near:
     """shingle: words each. percent: least Jaccard index, in hundredths. bands * rows registers of 6 + mantissa bits.
 
-    deviations: of the estimate, below which a pair is not compared. block: nodes of a side compared in one task.
+    deviations: of the estimate, below which a pair is not compared. Groups of up to `few` nodes are written out as pairs
+    where two bands agree (one band alone at 0.8 has a chance of 6e-8); larger ones go in blocks of `block` nodes a side.
     Up to broadcast_ids ids are sent to every executor instead of shuffling texts.
     """
 
@@ -40,6 +41,7 @@ class Near:
     mantissa: int = 10
     deviations: float = 5.0
     block: int = 1024
+    few: int = 32
     first_try: int = 8
     broadcast_ids: int = 1_000_000
 
@@ -186,7 +188,7 @@ def _merged(state: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, s: Near) -> DataFrame:
-    """pairs (a, b) whose sizes and registers allow a link."""
+    """pairs (a, b) whose sizes and registers allow a link, with the estimate."""
     a = nodes.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("reg").alias("ra"))
     b = nodes.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("reg").alias("rb"))
     df = pairs.join(a, "a").join(b, "b").filter(100 * F.least("na", "nb") >= s.percent * F.greatest("na", "nb"))
@@ -194,20 +196,31 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, s: Near) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                _, keep = _likely(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), s)
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                got, keep = _likely(batch.column("ra").to_pylist(), batch.column("rb").to_pylist(), s)
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(got)], names=["a", "b", "est"]).filter(pa.array(keep))
 
-    return df.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long")
+    return df.select("a", "b", "ra", "rb").mapInArrow(run, "a long, b long, est double")
 
 
-def _left_over(bands: DataFrame, nodes: DataFrame, state: DataFrame, s: Near) -> DataFrame:
-    """Pairs (a, b, est) of one band's group that are not connected and may be near; each group goes in blocks.
+def _left_over(bands: DataFrame, nodes: DataFrame, state: DataFrame, tested: DataFrame, s: Near) -> DataFrame:
+    """Pairs (a, b, est) of one band's group that are not connected, not tested and may be near.
 
-    The largest component of a group is dealt into blocks that meet only blocks of the other components.
+    Small groups are written out, so a row has a bounded number of partners; larger ones go in blocks. The largest component of a group is dealt into blocks that meet only blocks of the other components.
     """
     member = bands.join(state, "id")
-    open_ = member.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y and c > 2").select("band")
-    member = durable(member.join(open_, "band"))
+    open_ = member.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y and c > 2").select("band", "c")
+    member = durable(member.join(open_, "band").select("band", "id", "component", "c"))
+    narrow = member.filter(F.col("c") <= s.few).join(nodes.select("id", "n"), "id").groupBy("band").agg(F.array_sort(F.collect_list(F.struct("id", "component", "n"))).alias("m"))
+    m = F.col("m")
+
+    def partners(x, i):
+        rest = F.slice(m, i + 2, F.greatest(F.size(m) - i - 1, F.lit(0)))
+        near = F.filter(rest, lambda y: (x["component"] != y["component"]) & (100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"])))
+        return F.transform(near, lambda y: F.struct(x["id"].alias("a"), y["id"].alias("b")))
+
+    two = narrow.select(F.explode(F.flatten(F.transform(m, partners))).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("bands")).filter("bands >= 2").select("a", "b")
+    written = _estimated(two.join(tested, ["a", "b"], "left_anti"), nodes, s)
+    member = member.filter(F.col("c") > s.few).drop("c")
     per = member.groupBy("band", "component").agg(F.count(F.lit(1)).alias("c"))
     main = per.groupBy("band").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("c").alias("big"), F.sum("c").alias("all"))
     df = member.join(main, "band").join(nodes.select("id", "n", "reg"), "id")
@@ -242,7 +255,8 @@ def _left_over(bands: DataFrame, nodes: DataFrame, state: DataFrame, s: Near) ->
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "est": []})
 
     found = df.groupBy("band", "i", "j").applyInPandas(pairs, "a long, b long, est double")
-    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("est").alias("est"))
+    found = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "est").join(tested, ["a", "b"], "left_anti")
+    return found.unionByName(written).groupBy("a", "b").agg(F.max("est").alias("est"))
 
 
 def classes(docs: DataFrame, s: Near = Near()) -> DataFrame:
@@ -257,11 +271,11 @@ def classes(docs: DataFrame, s: Near = Near()) -> DataFrame:
     bands = nodes.select("id", F.explode("bands").alias("band"))
     heads = bands.groupBy("band").agg(F.min("id").alias("a"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("band", "a")
     star = bands.join(heads, "band").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
-    tested = durable(_estimated(star, nodes, s))
+    tested = durable(_estimated(star, nodes, s).select("a", "b"))
     links = _links(docs, tested, s)
     linked = components(links)
     state = durable(nodes.select("id").distinct().join(linked, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
-    pending = durable(_left_over(bands, nodes, state, s).join(tested, ["a", "b"], "left_anti"))
+    pending = durable(_left_over(bands, nodes, state, tested, s))
     most = s.first_try
     while True:
         a = state.select(F.col("id").alias("a"), F.col("component").alias("ca"))

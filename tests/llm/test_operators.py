@@ -177,8 +177,8 @@ def test_near_duplicates_by_brute_force(spark, odd):
         rows.append((i, " ".join(w)))
     rows += [(900, None), (901, ""), (902, "solo"), (903, "SOLO"), (904, rows[0][1].upper()), (5, rows[1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(0))
-    for block in (1024, 4):
-        s = near_dedup.Near(shingle=2, block=block, first_try=1)
+    for block, few in ((1024, 32), (4, 2)):
+        s = near_dedup.Near(shingle=2, block=block, few=few, first_try=1)
         out = near_dedup.classes(df, s).collect()
         want = near_by_hand(rows, 2)
         assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == want
