@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.lineage import durable
+
 
 def violations(relations: DataFrame) -> DataFrame:
     """Rows that break the contract of relations: none are to be found."""
@@ -60,11 +62,12 @@ def hops(edges: DataFrame, start: DataFrame, k: int, directed: bool = False) ->
     both = edges.select("a", "b").distinct()
     if not directed:
         both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
+    both = durable(both)
+    seen = durable(start.select("node").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, k + 1):
         step = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
-        front = step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
+        front = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
 
@@ -175,13 +178,13 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, component) by smallest label; a label's own label is followed, so rounds grow with the logarithm of a chain."""
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct().checkpoint()
-    state = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")).checkpoint()
+    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    state = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
     for _ in range(rounds):
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = state.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = state.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = new.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")).checkpoint()
+        new = durable(new.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
         state = new.select("node", "component")
         if not new.filter("component < old").take(1):
             break

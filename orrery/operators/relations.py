@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orrery.functions import jsfacts, pyfacts
 from orrery.functions.text import stable_id
+from orrery.lineage import durable
 
 PARTIAL = 0.8
 
@@ -174,13 +175,13 @@ def _inherited(calls: DataFrame, bases: DataFrame, methods: DataFrame, most: int
     key = ["path", "owner", "k", "detail", "line"]
     unsure = bases.filter("cqual is null").select(F.col("path").alias("cp"), F.col("owner").alias("cq"), F.lit(True).alias("unsure")).distinct()
     sure = bases.filter("cqual is not null").select(F.col("path").alias("cp"), F.col("owner").alias("cq"), F.col("cpath").alias("np"), F.col("cqual").alias("nq")).distinct()
-    front = calls.select(*key, F.col("path").alias("cp"), F.col("k").alias("cq")).distinct().checkpoint()
+    front = durable(calls.select(*key, F.col("path").alias("cp"), F.col("k").alias("cq")).distinct())
     seen, found, refused = front, [], []
     for _ in range(most):
         past = front.join(unsure, ["cp", "cq"])
         refused.append(past.select(*key).distinct())
         up = front.join(sure, ["cp", "cq"]).select(*key, F.col("np").alias("cp"), F.col("nq").alias("cq")).distinct().join(seen, [*key, "cp", "cq"], "left_anti")
-        up = up.join(methods.select(F.col("path").alias("cp"), F.col("klass").alias("cq"), F.col("name").alias("detail"), F.col("local_name").alias("tqual")), ["cp", "cq", "detail"], "left").checkpoint()
+        up = durable(up.join(methods.select(F.col("path").alias("cp"), F.col("klass").alias("cq"), F.col("name").alias("detail"), F.col("local_name").alias("tqual")), ["cp", "cq", "detail"], "left"))
         found.append(up.filter("tqual is not null").select(*key, F.col("cp").alias("tpath"), "tqual"))
         front = up.filter("tqual is null").select(*key, "cp", "cq")
         seen = seen.unionByName(front)
@@ -199,11 +200,11 @@ def _above(calls: DataFrame, bases: DataFrame, methods: DataFrame, most: int = 3
     """path, owner, k, detail, line with tpath, tqual: the nearest definer above, where each class on the way has one certain base."""
     key = ["path", "owner", "k", "detail", "line"]
     single = bases.groupBy(F.col("path").alias("cp"), F.col("owner").alias("cq")).agg(F.count(F.lit(1)).alias("n"), F.first("cpath").alias("np"), F.first("cqual").alias("nq")).filter("n = 1 and nq is not null").drop("n")
-    front = calls.select(*key, F.col("path").alias("cp"), F.col("k").alias("cq")).distinct().checkpoint()
+    front = durable(calls.select(*key, F.col("path").alias("cp"), F.col("k").alias("cq")).distinct())
     found = []
     for _ in range(most):
         up = front.join(single, ["cp", "cq"]).select(*key, F.col("np").alias("cp"), F.col("nq").alias("cq"))
-        up = up.join(methods.select(F.col("path").alias("cp"), F.col("klass").alias("cq"), F.col("name").alias("detail"), F.col("local_name").alias("tqual")), ["cp", "cq", "detail"], "left").checkpoint()
+        up = durable(up.join(methods.select(F.col("path").alias("cp"), F.col("klass").alias("cq"), F.col("name").alias("detail"), F.col("local_name").alias("tqual")), ["cp", "cq", "detail"], "left"))
         found.append(up.filter("tqual is not null").select(*key, F.col("cp").alias("tpath"), "tqual"))
         front = up.filter("tqual is null").select(*key, "cp", "cq")
         if not front.take(1):
@@ -264,11 +265,11 @@ def program_relations(files: DataFrame, run_id: str = "run") -> tuple[DataFrame,
 
     Rows whose source is no symbol are dropped; one row for each id.
     """
-    rows = facts(files).checkpoint()
-    syms = symbols(rows, run_id).checkpoint()
+    rows = durable(facts(files))
+    syms = durable(symbols(rows, run_id))
     defs = _last(syms).select("path", "name", "local_name", "kind", "id")
-    meant = names(rows, defs).checkpoint()
-    bases = inheritance(rows, defs, meant).checkpoint()
+    meant = durable(names(rows, defs))
+    bases = durable(inheritance(rows, defs, meant))
     bound = bindings(rows, defs, meant)
     c = calls(rows, defs, meant, bases, bound)
     c = c.select("path", "owner", "text", "line", "tpath", "tqual", "status", "confidence", "basis", F.lit("calls").alias("kind"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as t
-from orrery.operators import evidence, graph, runs, search
+from orrery.operators import anchors, evidence, graph, relations, runs, search
 from orrery.plans import corpus
+from orrery.sources import files as src
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -444,3 +445,129 @@ def progress_changes(spark, d):
 def latest_stages(spark, d):
     s = corpus.stages(spark, d).drop("stage").withColumnRenamed("event_type", "stage")
     return runs.latest(s.select("run_id", "stage", "status", "sort_order", "at")).select("run_id", "stage", "status", "sort_order")
+
+
+# anchors and orientation
+
+def _rules_sql() -> str:
+    parts = []
+    for i, r in enumerate(anchors.RULES):
+        roles, pattern = ", ".join(f"'{x}'" for x in r.without), r.pattern.replace("'", "''")
+        line = "min(line) AS line" if r.first else "line"
+        group = "GROUP BY path" if r.first else ""
+        parts.append(f"SELECT {i} AS rule, '{r.kind}' AS kind, '{r.method}' AS method, {r.confidence}::DOUBLE AS confidence, path, {line} FROM lines WHERE role NOT IN ({roles}) AND regexp_matches(text, '{pattern}') {group}")
+    return " UNION ALL ".join(parts)
+
+
+ANCHORS = f"""{FILES}, hits AS ({_rules_sql()}), ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, path, line ORDER BY confidence DESC, rule) AS r FROM hits),
+anchors AS (SELECT kind, path, line, method, confidence, CASE WHEN confidence >= 0.7 THEN 'source_detected' ELSE 'candidate' END AS status FROM ranked WHERE r = 1)"""
+
+
+@query(f"{ANCHORS} SELECT * FROM anchors")
+def semantic_anchors(spark, d):
+    return anchors.line_anchors(corpus.lines(spark, d))
+
+
+@query(f"{ANCHORS} SELECT kind, status, count(*) AS n FROM anchors GROUP BY ALL")
+def anchor_counts(spark, d):
+    return anchors.line_anchors(corpus.lines(spark, d)).groupBy("kind", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
+PAGES = """WITH p AS (SELECT page_id, html, regexp_extract(lower(url), '^[a-z]+://[^/]+/([^?#]*)', 1) AS path FROM pages)"""
+
+
+@query(PAGES + " SELECT page_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(left(html, 20000)), '{anchors._B}{s}s?{anchors._E}') THEN '{s}' END" for s in anchors.SIGNALS) + "], lambda x: x IS NOT NULL), ',') AS signals FROM p")
+def page_signals(spark, d):
+    return corpus.table(spark, d, "pages").select("page_id", F.array_join(anchors.signals(F.col("html")), ",").alias("signals"))
+
+
+@query(f"{FILES} SELECT path, CASE WHEN role = 'docs' AND language IN ('markdown', 'rst', 'text') THEN 'docs_page' WHEN language IN ('text', 'rst') THEN 'text_note' END AS kind, CAST(CASE WHEN role = 'docs' THEN 1 ELSE 6 END AS INTEGER) AS priority FROM files WHERE role = 'docs' OR language = 'text'")
+def orientation_inventory(spark, d):
+    return anchors.orientation(corpus.files(spark, d)).select("path", "kind", "priority")
+
+
+# node and edge queries of the API
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE p_type = 'ECONOMY' AND p_name LIKE 'small%' ORDER BY p_name, p_partkey LIMIT 10 OFFSET 5")
+def node_query(spark, d):
+    p = corpus.table(spark, d, "part").filter("p_type = 'ECONOMY' and p_name like 'small%'")
+    return p.orderBy("p_name", "p_partkey").offset(5).limit(10).select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+
+
+@query(f"{GRAPH} SELECT sg AS source_group, kind, count(*) AS n FROM edges WHERE status = 'partial' AND sg <> tg GROUP BY ALL")
+def partial_edges(spark, d):
+    r = corpus.relations(spark, d).filter("status = 'partial'")
+    e = graph.lifted(r, corpus.symbols(spark, d), corpus.modules(spark, d), "leaf")
+    return e.filter("source_group <> target_group").groupBy("source_group", "kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), s AS (SELECT min(a) AS node FROM pairs), h AS (SELECT node, 0 AS depth FROM s UNION SELECT w.b, depth + 1 FROM h JOIN w ON w.a = h.node WHERE depth < 4)
+SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY node""")
+def traverse(spark, d):
+    e = _sparse(spark, d).select("a", "b")
+    return graph.hops(e, e.agg(F.min("a").alias("node")), 4)
+
+
+@query(f"""{GRAPH}, e AS (SELECT sg, tg FROM edges WHERE status = 'resolved'), i AS (SELECT sg AS g, count(*) AS internal FROM e WHERE sg = tg GROUP BY sg), o AS (SELECT g, count(*) AS outer_ FROM (SELECT sg AS g FROM e WHERE sg <> tg UNION ALL SELECT tg FROM e WHERE sg <> tg) GROUP BY g)
+SELECT o.g AS group_id, coalesce(internal, 0) AS internal, outer_ AS boundary, round(coalesce(internal, 0) / (coalesce(internal, 0) + outer_), 6) AS cohesion FROM o LEFT JOIN i ON o.g = i.g""")
+def component_cohesion(spark, d):
+    e = _edges(spark, d)
+    cross = e.filter("source_group <> target_group")
+    ends = cross.select(F.explode(F.array("source_group", "target_group")).alias("group_id")).groupBy("group_id").agg(F.count(F.lit(1)).alias("boundary"))
+    inner = graph.internal_counts(e).groupBy("group_id").agg(F.sum("relation_count").alias("internal"))
+    df = ends.join(inner, "group_id", "left").withColumn("internal", F.coalesce("internal", F.lit(0)).cast("long"))
+    return df.select("group_id", "internal", "boundary", F.round(F.col("internal") / (F.col("internal") + F.col("boundary")), 6).alias("cohesion"))
+
+
+@query(f"""{GRAPH}, e AS (SELECT sg, tg, kind, count(*) AS c FROM edges WHERE status = 'resolved' AND sg <> tg GROUP BY ALL), m AS (SELECT least(6, max(c)) AS least_ FROM e) SELECT sg AS source_group, tg AS target_group, kind, c AS relation_count FROM e, m WHERE c >= least_ AND c > 0""")
+def strongest_edges(spark, d):
+    e = graph.aggregate_edges(_edges(spark, d)).select("source_group", "target_group", "kind", "relation_count")
+    most = e.agg(F.max("relation_count")).first()[0] or 0
+    return e.filter(F.col("relation_count") >= min(6, most))
+
+
+@query("""WITH x AS (SELECT n_name AS grp, s_name AS member, row_number() OVER (PARTITION BY n_name ORDER BY s_name) AS r, count(*) OVER (PARTITION BY n_name) AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+SELECT grp AS group_id, members, array_to_string(list(member ORDER BY member) FILTER (r <= 4), ',') AS previews FROM x GROUP BY grp, members""")
+def member_previews(spark, d):
+    from pyspark.sql import Window
+
+    m = corpus.modules(spark, d).select(F.col("leaf").alias("group_id"), F.element_at(F.split("path", "/"), -1).alias("member"))
+    r = F.row_number().over(Window.partitionBy("group_id").orderBy("member"))
+    g = m.withColumn("r", r).groupBy("group_id").agg(F.count(F.lit(1)).alias("members"), F.sort_array(F.collect_list(F.when(F.col("r") <= 4, F.col("member")))).alias("p"))
+    return g.select("group_id", "members", F.array_join("p", ",").alias("previews"))
+
+
+@query("SELECT c_custkey AS id, c_nationkey AS parent, n_name AS title, (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS children FROM customer JOIN nation ON c_nationkey = n_nationkey")
+def docs_hierarchy(spark, d):
+    c, n, o = (corpus.table(spark, d, x) for x in ("customer", "nation", "orders"))
+    kids = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k"))
+    df = c.join(n, c.c_nationkey == n.n_nationkey).join(kids, "c_custkey", "left")
+    return df.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent"), F.col("n_name").alias("title"), F.coalesce("k", F.lit(0)).cast("long").alias("children"))
+
+
+# parsing and resolution, over this package's own source: the test tables hold no code
+
+def _own_source(spark: SparkSession) -> DataFrame:
+    import pathlib
+
+    import orrery
+
+    top = pathlib.Path(orrery.__file__).parent
+    rows = [(f"orrery/{p.relative_to(top).as_posix()}", p.read_text()) for part in ("functions", "operators", "sources", "plans", "streaming") for p in sorted((top / part).glob("*.py"))]
+    df = spark.createDataFrame(rows, "path string, text string")
+    return df.select("path", src.language(F.col("path")).alias("language"), "text")
+
+
+@query()
+def python_symbols(spark, d):
+    return relations.symbols(relations.facts(_own_source(spark)))
+
+
+@query()
+def python_relations(spark, d):
+    return relations.program_relations(_own_source(spark))[1]
+
+
+@query()
+def python_import_edges(spark, d):
+    return relations.import_edges(relations.facts(_own_source(spark)))

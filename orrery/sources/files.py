@@ -46,24 +46,17 @@ def language(path: Column) -> Column:
 def role(path: Column) -> Column:
     """The first rule that fits. `test_` counts anywhere in a name, so `latest_news.py` is a test."""
     low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    parts = F.array_remove(F.split(low, "/"), "")
-    name = F.element_at(parts, -1)
-    under = lambda *names: F.arrays_overlap(parts, F.array(*map(F.lit, names)))
-
-    def holds(*marks: str) -> Column:
-        out = F.lit(False)
-        for m in marks:
-            out = out | name.contains(m)
-        return out
-
+    under = lambda names: low.rlike(rf"(^|/)({names})(/|$)")
+    named = lambda marks: low.rlike(rf"({marks})[^/]*/*$")
+    known = "|".join(m.replace(".", r"\.") for m in MANIFESTS if m == m.lower())
     return (
-        F.when(under("tests", "test", "__tests__", "__mocks__", "spec") | holds(".spec.", ".test.", "_test.", "test_", "_spec."), "test")
-        .when(under("examples", "example", "samples", "sample", "demo", "demos"), "example")
-        .when(under("docs", "doc") | name.rlike(r"\.(md|mdx|rst)$"), "docs")
-        .when(under("scripts", "tools", ".github", ".gitlab", "ci", "bench", "benchmark", "benchmarks"), "tooling")
-        .when(under("deploy", "deployment", "k8s", "kubernetes", "helm", "terraform"), "infrastructure")
-        .when(name.isin([m for m in MANIFESTS if m == m.lower()]) | under("config", "configs"), "config")
-        .when(holds(".generated.", ".gen.", ".min."), "generated")
+        F.when(under("tests|test|__tests__|__mocks__|spec") | named(r"\.spec\.|\.test\.|_test\.|test_|_spec\."), "test")
+        .when(under("examples|example|samples|sample|demo|demos"), "example")
+        .when(under("docs|doc") | low.rlike(r"\.(md|mdx|rst)$"), "docs")
+        .when(under(r"scripts|tools|\.github|\.gitlab|ci|bench|benchmark|benchmarks"), "tooling")
+        .when(under("deploy|deployment|k8s|kubernetes|helm|terraform"), "infrastructure")
+        .when(low.rlike(rf"(^|/)({known})$") | under("config|configs"), "config")
+        .when(named(r"\.generated\.|\.gen\.|\.min\."), "generated")
         .otherwise("production")
     )
 
