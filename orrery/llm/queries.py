@@ -19,18 +19,17 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def list_entries(pages: DataFrame) -> DataFrame:
-    """A dated host list made from the pages' own hosts by rules: the tables hold none.
+    """A dated host list made from the pages' own hosts by rules on their MD5 in hex: the tables hold none.
 
-    Hosts whose hash is 0 mod 3 are blocked from 2024-03-01, and those of them that are 0 mod 2 are allowed again from
-    2024-09-01; registered domains whose hash is 0 mod 5 are blocked from 2024-06-01.
+    A first digit of 0 to 4 blocks a host from 2024-03-01, and then a second digit below 8 allows it again from
+    2024-09-01; a third digit of 0 to 2 blocks a domain of three labels from 2024-06-01.
     """
     hosts = pages.select(url_filter.host(F.col("url")).alias("host")).filter("host <> ''").distinct()
-    h = F.crc32("host")
-    day = lambda d: F.lit(d).cast("timestamp")
-    first = hosts.filter(h % 3 == 0).select("host", F.lit("block").alias("action"), day("2024-03-01").alias("listed_at"))
-    again = hosts.filter((h % 3 == 0) & (h % 2 == 0)).select("host", F.lit("allow").alias("action"), day("2024-09-01").alias("listed_at"))
-    domains = hosts.select(F.array_join(F.slice(F.split("host", r"\."), -3, 3), ".").alias("host")).filter(F.size(F.split("host", r"\.")) == 3).distinct()
-    return first.unionByName(again).unionByName(domains.filter(h % 5 == 0).select("host", F.lit("block").alias("action"), day("2024-06-01").alias("listed_at")))
+    digit = lambda i: F.substring(F.md5("host"), i, 1)
+    entry = lambda df, action, day: df.select("host", F.lit(action).alias("action"), F.lit(day).cast("timestamp").alias("listed_at"))
+    first = hosts.filter(digit(1) <= "4")
+    domains = hosts.filter(F.size(F.split("host", r"\.")) == 3).filter(digit(3) <= "2")
+    return entry(first, "block", "2024-03-01").unionByName(entry(first.filter(digit(2) <= "7"), "allow", "2024-09-01")).unionByName(entry(domains, "block", "2024-06-01"))
 
 
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,7 +84,31 @@ QUERIES = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_sentencepiece": op10_sentencepiece,
 }
+#: Words and lines of documents, for the SQL twins.
+_WORDS = r"list_filter(string_split_regex(TXT, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 ORACLES: dict[str, str] = {
+    "op3_url_filter": r"""
+WITH p AS (SELECT page_id, regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '') AS host,
+  TIMESTAMP '2024-01-01' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched FROM pages),
+h AS (SELECT DISTINCT host FROM p WHERE host <> ''),
+e AS (SELECT host, true AS blocked, TIMESTAMP '2024-03-01' AS since FROM h WHERE substring(md5(host), 1, 1) <= '4'
+  UNION ALL SELECT host, false, TIMESTAMP '2024-09-01' FROM h WHERE substring(md5(host), 1, 1) <= '4' AND substring(md5(host), 2, 1) <= '7'
+  UNION ALL SELECT host, true, TIMESTAMP '2024-06-01' FROM h WHERE len(string_split(host, '.')) = 3 AND substring(md5(host), 3, 1) <= '2'),
+iv AS (SELECT host, blocked, since, lead(since) OVER (PARTITION BY host ORDER BY since) AS til FROM e),
+up AS (SELECT host, unnest(list_distinct(list_append(list_transform(range(1, 1 + least(6, len(string_split(host, '.')))), lambda k: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - k + 1:], '.')), host))) AS u FROM h),
+m AS (SELECT p.page_id, u, since, blocked, row_number() OVER (PARTITION BY p.page_id ORDER BY length(u) DESC) AS r FROM p JOIN up ON p.host = up.host JOIN iv ON iv.host = up.u AND since <= fetched AND (til IS NULL OR fetched < til))
+SELECT p.page_id, p.host AS url_host, m.u AS listed_host, strftime(m.since, '%Y-%m-%d') AS listed_on, NOT coalesce(m.blocked, false) AS url_kept FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1""",
+    "op7_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, WORDS AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w ELSE list_transform(range(1, len(w)), lambda i: concat(w[i], ' ', w[i + 1])) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs),
+r AS (SELECT a AS v, a AS t FROM e UNION SELECT r.v, e.b FROM r JOIN e ON e.a = r.t),
+c AS (SELECT v, min(t) AS c FROM r GROUP BY v)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS component_id, coalesce(c, doc_id) = doc_id AS kept FROM s LEFT JOIN c ON v = doc_id""".replace(
+        "WORDS", _WORDS.replace("TXT", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
+    ),
     "op8_topk_search": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
