@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrery.llm import chat_repair, language_id, mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec, topk_search, toxicity, url_filter
+from orrery.llm import chat_repair, language_id, mixing, near_dedup, quality_classifier, quality_rules, quality_sql, sentencepiece_codec, topk_search, toxicity, url_filter
 from orrery.llm.common import table
 
 
@@ -87,6 +87,7 @@ QUERIES = {
 #: Words and lines of documents, for the SQL twins.
 _WORDS = r"list_filter(string_split_regex(TXT, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 ORACLES: dict[str, str] = {
+    "op2_quality_rules": quality_sql.judged_sql(),
     "op3_url_filter": r"""
 WITH p AS (SELECT page_id, regexp_replace(regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1), '\.+$', '') AS host,
   TIMESTAMP '2024-01-01' + to_days(CAST((page_id * 7919) % 366 AS INTEGER)) AS fetched FROM pages),
