@@ -10,12 +10,15 @@ from state to state, and the tables are put together before each stretch is solv
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from orrery.llm.common import durable
 
@@ -112,6 +115,19 @@ def tail(state: int) -> str:
     return {START: "", ASSISTANT: "<|end|>\n", USER: f"<|end|>\n{_open(ASSISTANT)}<|end|>\n", SYSTEM: f"<|end|>\n{_open(USER)}<|end|>\n{_open(ASSISTANT)}<|end|>\n"}[state]
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[dict]]:
+    """Rows that follow one another with equal keys; a run may go over the border of two batches."""
+    run: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if run and any(row[k] != run[0][k] for k in keys):
+                yield run
+                run = []
+            run.append(row)
+    if run:
+        yield run
+
+
 def repaired(turns: DataFrame, c: Costs = Costs()) -> DataFrame:
     """conv_id, turn, seq, role, new_role, relabelled, merged, inserted (empty turns before and, at the end, after), cost, rendered.
 
@@ -128,17 +144,22 @@ def repaired(turns: DataFrame, c: Costs = Costs()) -> DataFrame:
     place = F.monotonically_increasing_id()
     df = durable(df.withColumn("seq", place).withColumn("part", F.shiftrightunsigned("seq", 33)).withColumn("piece", F.floor(F.pmod("seq", F.lit(1 << 33)) / c.stretch)))
 
-    def sums(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        cost = table([None if x is None or x != x else x for x in pdf.role], c)
-        return pd.DataFrame({"conv_id": [key[0]], "part": [key[1]], "piece": [key[2]], "cost": [cost.ravel().tolist()], "first": [pdf.seq.min()]})
+    kind, turn = dict(turns.dtypes)["conv_id"], dict(turns.dtypes)["turn"]
 
-    kind = dict(turns.dtypes)["conv_id"]
-    tables = durable(df.select("conv_id", "part", "piece", "seq", "role").groupBy("conv_id", "part", "piece").applyInPandas(sums, f"conv_id {kind}, part long, piece long, cost array<long>, first long"))
-    # one row for each stretch: a conversation has next to none of them
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["conv_id", "part", "piece"]):
+            r = run[0]
+            cost = table([x["role"] for x in run], c)
+            end = int((cost[START] + [ending(s, c) for s in range(4)]).argmin())
+            yield pa.RecordBatch.from_pylist([{"conv_id": r["conv_id"], "part": r["part"], "piece": r["piece"], "cost": cost.ravel().tolist(), "end": end}], schema=table_schema)
+
+    table_schema = pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("part", pa.int64()), ("piece", pa.int64()), ("cost", pa.list_(pa.int64())), ("end", pa.int32())])
+    # stretches follow one another inside each written partition, so this pass moves nothing
+    tables = durable(df.select("conv_id", "part", "piece", "role").mapInArrow(sums, f"conv_id {kind}, part long, piece long, cost array<long>, end int"))
+    many = tables.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("conv_id").alias("c"))
 
     def states(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("first").reset_index(drop=True)
+        pdf = pdf.sort_values(["part", "piece"]).reset_index(drop=True)
         costs = [np.asarray(x, np.int64).reshape(4, 4) for x in pdf.cost]
         rest = [np.array([ending(s, c) for s in range(4)])]
         for m in reversed(costs):
@@ -150,29 +171,28 @@ def repaired(turns: DataFrame, c: Costs = Costs()) -> DataFrame:
             state = int((m[state] + after).argmin())
             end.append(state)
         last = [False] * (len(end) - 1) + [True]
-        return pd.DataFrame({"conv_id": [key[0]] * len(end), "part": pdf.part, "piece": pdf.piece, "begin": begin, "end": end, "last": last})
-
-    ways = tables.groupBy("conv_id").applyInPandas(states, f"conv_id {kind}, part long, piece long, begin int, end int, last boolean")
-    ways = ways.select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("piece").alias("k"), "begin", "end", "last")
-    df = df.join(ways, F.col("conv_id").eqNullSafe(F.col("c")) & (F.col("part") == F.col("p")) & (F.col("piece") == F.col("k")))
-
-    def finish(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq").reset_index(drop=True)
-        begin, end, last = int(pdf.begin[0]), int(pdf.end[0]), bool(pdf["last"][0])
-        way = solve([None if x is None or x != x else x for x in pdf.role], begin, end, c)
-        text = [rendered(to, how, t, begin == START and i == 0) for i, ((to, how), t) in enumerate(zip(way, pdf.text))]
-        after = [0] * len(way)
-        if last:
-            text[-1] += tail(end)
-            after[-1] = {USER: 1, SYSTEM: 2}.get(end, 0)
-        return pd.DataFrame(
-            {
-                "conv_id": pdf.conv_id, "turn": pdf.turn, "seq": pdf.seq, "role": pdf.role, "new_role": [ROLES[to - 1] for to, _ in way],
-                "relabelled": [how[0] for _, how in way], "merged": [how[1] for _, how in way], "inserted": [len(how[2]) + a for (_, how), a in zip(way, after)],
-                "cost": [c.relabel * how[0] + c.merge * how[1] + c.insert * (len(how[2]) + a) for (_, how), a in zip(way, after)], "rendered": text,
-            }
-        )
-
-    out = f"conv_id {kind}, turn {dict(turns.dtypes)['turn']}, seq long, role string, new_role string, relabelled boolean, merged boolean, inserted int, cost long, rendered string"
-    return df.groupBy("conv_id", "part", "piece").applyInPandas(finish, out)
-
+        return pd.DataFrame({"c": [key[0]] * len(end), "p": pdf.part, "k": pdf.piece, "begin": begin, "end": end, "last": last})
+
+    # most conversations are one stretch, solved already; longer ones are put together, one row for each stretch
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    long = tables.join(many, same, "left_semi").groupBy("conv_id").applyInPandas(states, f"c {kind}, p long, k long, begin int, end int, last boolean")
+    short = tables.join(many, same, "left_anti").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("piece").alias("k"), F.lit(START).alias("begin"), "end", F.lit(True).alias("last"))
+    ways = short.unionByName(long)
+    df = df.join(ways, same & (F.col("part") == F.col("p")) & (F.col("piece") == F.col("k"))).drop("c", "p", "k")
+    # a stretch stays whole: this is a repartitioning by its key, which is never split
+    df = df.repartition(parts, "part", "piece", "conv_id").sortWithinPartitions("part", "piece", "seq")
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["conv_id", "part", "piece"]):
+            begin, end, last = run[0]["begin"], run[0]["end"], run[0]["last"]
+            rows = []
+            for i, (x, (to, how)) in enumerate(zip(run, solve([x["role"] for x in run], begin, end, c))):
+                closing = last and i == len(run) - 1
+                inserted = len(how[2]) + ({USER: 1, SYSTEM: 2}.get(end, 0) if closing else 0)
+                text = rendered(to, how, x["text"], begin == START and i == 0) + (tail(end) if closing else "")
+                price = c.relabel * how[0] + c.merge * how[1] + c.insert * inserted
+                rows.append({"conv_id": x["conv_id"], "turn": x["turn"], "seq": x["seq"], "role": x["role"], "new_role": ROLES[to - 1], "relabelled": bool(how[0]), "merged": bool(how[1]), "inserted": inserted, "cost": price, "rendered": text})
+            yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
+
+    out_schema = pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("turn", to_arrow_type(turns.schema["turn"].dataType)), ("seq", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("relabelled", pa.bool_()), ("merged", pa.bool_()), ("inserted", pa.int32()), ("cost", pa.int64()), ("rendered", pa.string())])
+    return df.mapInArrow(finish, f"conv_id {kind}, turn {turn}, seq long, role string, new_role string, relabelled boolean, merged boolean, inserted int, cost long, rendered string")
