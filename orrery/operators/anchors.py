@@ -41,6 +41,9 @@ RULES = [
 #: What a document may be about.
 SIGNALS = ["api", "auth", "authentication", "authorization", "cli", "client", "database", "deployment", "docker", "event", "frontend", "http", "integration", "job", "queue", "route", "server", "service", "test", "transport", "webhook", "worker", "workflow"]
 DETECTED = 0.7
+#: Manifests that orient a reader, and the order of notes.
+NOTED_MANIFESTS = ["package.json", "pyproject.toml", "requirements.txt", "go.mod", "Cargo.toml", "docker-compose.yml", "docker-compose.yaml"]
+NOTE_ORDER = ["readme", "manifest", "docs_page", "deployment_note", "example", "config", "text_note"]
 
 
 def line_anchors(lines: DataFrame) -> DataFrame:
@@ -89,9 +92,8 @@ def headings(lines: DataFrame, most: int = 40) -> DataFrame:
 
 
 def orientation(files: DataFrame) -> DataFrame:
-    """path, kind, proof_allowed, signals, summary of files (path, language, role, text) that orient a reader."""
+    """path, kind, priority, trust_level, proof_allowed, signals, summary of files (path, language, role, text) that orient a reader."""
     from orrery.functions.text import preview
-    from orrery.sources.files import manifest
 
     name = F.lower(F.element_at(F.split("path", "/"), -1))
     prose = F.col("language").isin("markdown", "rst", "text")
@@ -100,11 +102,11 @@ def orientation(files: DataFrame) -> DataFrame:
         .when((F.col("role") == "docs") & prose, "docs_page")
         .when((F.col("role") == "example") & F.col("language").isin("markdown", "rst", "text", "python", "javascript", "typescript"), "example")
         .when((F.col("role") == "infrastructure") & F.col("language").isin("markdown", "text", "yaml", "json", "dockerfile"), "deployment_note")
-        .when(manifest(F.col("path")).isNotNull(), "manifest")
+        .when(F.element_at(F.split("path", "/"), -1).isin(NOTED_MANIFESTS), "manifest")
         .when(F.col("role") == "config", "config")
         .when(F.col("language").isin("text", "rst"), "text_note")
     )
-    order = {"readme": 0, "docs_page": 1, "manifest": 2, "config": 3, "example": 4, "deployment_note": 5, "text_note": 6}
+    order = {kind: i for i, kind in enumerate(NOTE_ORDER)}
     df = files.withColumn("kind", kind).filter("kind is not null")
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
-    return df.select("path", "kind", F.element_at(rank, F.col("kind")).alias("priority"), F.lit(False).alias("proof_allowed"), signals(F.concat_ws(" ", "path", "text")).alias("signals"), preview(F.col("text"), 360).alias("summary"))
+    return df.select("path", "kind", F.element_at(rank, F.col("kind")).alias("priority"), F.when(F.col("kind") == "manifest", "metadata_guidance").otherwise("guidance_only").alias("trust_level"), F.lit(False).alias("proof_allowed"), signals(F.concat_ws(" ", "path", "text")).alias("signals"), preview(F.col("text"), 360).alias("summary"))

@@ -96,3 +96,14 @@ def regions(lines: DataFrame, around: int) -> DataFrame:
     """Every line's region of `around` lines to both sides, inside its file."""
     last = lines.groupBy("path").agg(F.max("line").alias("last"))
     return lines.join(last, "path").select("path", "line", F.greatest(F.lit(1), F.col("line") - around).alias("start_line"), F.least("last", F.col("line") + around).alias("end_line"))
+
+
+def matching_components(components: DataFrame, question: str, k: int = 10) -> DataFrame:
+    """id, score of components (id, label, summary, responsibilities): shared words count 3 in labels, 2 in summaries, 1 in each responsibility."""
+    import re
+
+    terms = F.array(*[F.lit(w) for w in sorted({w for w in re.split("[^a-z0-9]+", question.lower()) if len(w) >= 3})])
+    shared = lambda c: F.size(F.array_intersect(F.array_distinct(F.split(F.lower(c), "[^a-z0-9]+")), terms))
+    duties = F.aggregate(F.transform("responsibilities", shared), F.lit(0), lambda a, x: a + x)
+    df = components.withColumn("score", (3 * shared(F.col("label")) + 2 * shared(F.col("summary")) + duties).cast("long"))
+    return df.filter("score > 0").orderBy(F.desc("score"), "id").limit(k).select("id", "score")

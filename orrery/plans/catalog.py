@@ -321,6 +321,16 @@ def local_search(spark, d):
     return search.local_search(c.withColumn("start_line", F.lit(1)), "where is the small ring stored?")
 
 
+_Q = "['compare', 'small', 'economy', 'rings', 'ring', 'brand']"
+
+
+@query(f"WITH x AS (SELECT p_partkey AS id, 3 * len(list_intersect(list_distinct(string_split_regex(lower(p_name), '[^a-z0-9]+')), {_Q})) + 2 * len(list_intersect(list_distinct(string_split_regex(lower(p_type), '[^a-z0-9]+')), {_Q})) + len(list_intersect(list_distinct(string_split_regex(lower(p_brand), '[^a-z0-9]+')), {_Q})) AS score FROM part) SELECT id, CAST(score AS BIGINT) AS score FROM x WHERE score > 0 ORDER BY score DESC, id LIMIT 10")
+def matching_components(spark, d):
+    p = corpus.table(spark, d, "part")
+    c = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("label"), F.col("p_type").alias("summary"), F.array("p_brand").alias("responsibilities"))
+    return search.matching_components(c, "Compare small economy rings: ring of a brand?")
+
+
 # evidence and claims
 
 CITES = f"""{FILES}, src AS (SELECT 'file_range' AS kind, path AS ref, max(line) AS last_line FROM lines GROUP BY path UNION ALL SELECT 'orientation_item', path, max(line) FROM lines WHERE role = 'docs' GROUP BY path),
@@ -481,7 +491,7 @@ def page_signals(spark, d):
     return corpus.table(spark, d, "pages").select("page_id", F.array_join(anchors.signals(F.col("html")), ",").alias("signals"))
 
 
-@query(f"{FILES} SELECT path, CASE WHEN role = 'docs' AND language IN ('markdown', 'rst', 'text') THEN 'docs_page' WHEN language IN ('text', 'rst') THEN 'text_note' END AS kind, CAST(CASE WHEN role = 'docs' THEN 1 ELSE 6 END AS INTEGER) AS priority FROM files WHERE role = 'docs' OR language = 'text'")
+@query(f"{FILES} SELECT path, CASE WHEN role = 'docs' AND language IN ('markdown', 'rst', 'text') THEN 'docs_page' WHEN language IN ('text', 'rst') THEN 'text_note' END AS kind, CAST(CASE WHEN role = 'docs' THEN 2 ELSE 6 END AS INTEGER) AS priority FROM files WHERE role = 'docs' OR language = 'text'")
 def orientation_inventory(spark, d):
     return anchors.orientation(corpus.files(spark, d)).select("path", "kind", "priority")
 
