@@ -87,13 +87,38 @@ def registers(hashes: np.ndarray, s: Near) -> np.ndarray:
     return np.where(low == np.iinfo(np.uint64).max, 0, reg).astype(np.uint16)
 
 
-def band_keys(reg: np.ndarray, s: Near) -> np.ndarray:
-    """A hash of each band's registers; a band without a hash has none, as it would join everything small."""
-    rows = reg.reshape(s.bands, s.rows).astype(np.uint64)
+def _hops(n: int, tries: int = 64) -> np.ndarray:
+    """For each register, where it looks for a value in turn; the same for every document."""
+    j, t = np.arange(1, n + 1, dtype=np.uint64)[:, None], np.arange(1, tries + 1, dtype=np.uint64)[None]
+    return (_mix(j * _A + _mix(t * _B)) % np.uint64(n)).astype(np.int64)
+
+
+def filled(reg: np.ndarray, hops: np.ndarray) -> np.ndarray:
+    """reg with each empty register taking that of the first filled one on its own path.
+
+    Small sets leave most registers empty, and bands of empty ones would bring together whatever shares one common shingle.
+    Filled this way two registers still agree with the chance of the Jaccard index.
+    """
+    full = np.flatnonzero(reg)
+    out, open_ = reg.copy(), np.flatnonzero(reg == 0)
+    for t in range(hops.shape[1]):
+        if not len(open_):
+            return out
+        out[open_] = reg[hops[open_, t]]
+        open_ = open_[out[open_] == 0]
+    out[open_] = reg[full[np.searchsorted(full, open_) % len(full)]]
+    return out
+
+
+def band_keys(reg: np.ndarray, s: Near, hops: np.ndarray) -> np.ndarray:
+    """A hash of each band's registers, empty ones filled first; none for a set without a shingle."""
+    if not reg.any():
+        return np.zeros(0, np.int64)
+    rows = filled(reg, hops).reshape(s.bands, s.rows).astype(np.uint64)
     key = np.arange(1, s.bands + 1, dtype=np.uint64)
     for k in range(s.rows):
         key = _mix(key * _A + rows[:, k] + np.uint64(1))
-    return key[rows.any(1)].view(np.int64)
+    return key.view(np.int64)
 
 
 def estimate(a: np.ndarray, b: np.ndarray, s: Near) -> tuple[np.ndarray, np.ndarray]:
@@ -116,7 +141,7 @@ def signatures(docs: DataFrame, s: Near) -> DataFrame:
     """doc_id, n, key (of the whole set), reg, bands of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Words()
+        known, hops = _Words(), _hops(s.bands * s.rows)
         for batch in batches:
             texts, ids = texts_of(batch, "text"), batch.column("doc_id")
             for part in pieces(texts):
@@ -127,7 +152,7 @@ def signatures(docs: DataFrame, s: Near) -> DataFrame:
                     key.append(xxhash.xxh3_128_digest(h.tobytes()) if len(h) else b"")
                     r = registers(h, s)
                     reg.append(r.tobytes() if len(h) else b"")
-                    bands.append(band_keys(r, s))
+                    bands.append(band_keys(r, s, hops))
                 ends = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(bands)))
                 yield pa.RecordBatch.from_arrays([ids.slice(part.start, part.stop - part.start), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(reg, pa.binary()), lists], names=["doc_id", "n", "key", "reg", "bands"])

@@ -172,7 +172,18 @@ def test_registers_and_estimate():
         a, b = np.concatenate((union[:shared], union[shared : shared + rest])), np.concatenate((union[:shared], union[shared + rest :]))
         got, deviation = N.estimate(N.registers(a, s)[None], N.registers(b, s)[None], s)
         assert abs(got[0] - shared / 3000) < 6 * max(deviation[0], 0.03)
-    assert not len(N.band_keys(np.zeros(250, np.uint16), s))
+    hops = N._hops(250)
+    assert not len(N.band_keys(np.zeros(250, np.uint16), s, hops))
+    for shared, n in ((4, 5), (8, 10), (40, 50), (400, 500)):
+        agree = []
+        for _ in range(60):
+            x = rng.integers(0, 2**63, n).astype(np.uint64)
+            a, b = N.registers(x, s), N.registers(x[:shared], s)
+            agree.append((N.filled(a, hops) == N.filled(b, hops)).mean())
+            assert len(set(N.band_keys(a, s, hops)) & set(N.band_keys(b, s, hops))) >= 2
+        assert abs(np.mean(agree) - shared / n) < 0.06
+    one = N.filled(N.registers(x[:1], s), hops)
+    assert len(set(one)) == 1 and one[0] > 0
     known = N._Words()
     assert len(N.shingles("", 2, known)) == 0 and len(N.shingles("one", 2, known)) == 1
     assert N.shingles("A B a b", 2, known).tolist() == N.shingles("a b A b", 2, known).tolist()
