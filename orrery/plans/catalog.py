@@ -148,14 +148,13 @@ SPARSE = f"""{GRAPH}, pairs AS (SELECT DISTINCT sc AS group_id, least(sm, tm) AS
   WHERE status = 'resolved' AND sc = tc AND sm <> tm AND CAST(split_part(source, ':', 2) AS BIGINT) % 29 = 0)"""
 
 
-def _sparse(spark: SparkSession, d: str) -> DataFrame:
-    r = corpus.relations(spark, d).filter(F.split("source", ":")[1].cast("long") % 29 == 0)
-    return graph.affinity(graph.lifted(graph.resolved(r), corpus.symbols(spark, d), corpus.modules(spark, d), "container"))
+def _affinity(spark: SparkSession, d: str) -> DataFrame:
+    return graph.affinity(_edges(spark, d, "container"))
 
 
 @query(f"{SPARSE} SELECT * FROM pairs")
 def affinity_pairs(spark, d):
-    return _sparse(spark, d)
+    return _affinity(spark, d)
 
 
 BRIDGES = SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """,
@@ -170,7 +169,7 @@ part AS (SELECT group_id, s AS v, min(v) AS cluster FROM reach GROUP BY group_id
 
 @query(f"{BRIDGES} SELECT f.group_id, f.a, f.b, f.bridge, CASE WHEN NOT f.bridge THEN pa.cluster END AS cluster FROM flagged f LEFT JOIN part pa ON pa.group_id = f.group_id AND pa.v = f.a")
 def bridge_separated_clusters(spark, d):
-    return graph.clusters(_sparse(spark, d))
+    return graph.clusters(_affinity(spark, d))
 
 
 @query(f"""{BRIDGES}, m AS (SELECT container AS group_id, module FROM mods), t AS (SELECT DISTINCT group_id, a AS v FROM pairs UNION SELECT DISTINCT group_id, b FROM pairs)
@@ -178,7 +177,7 @@ SELECT m.group_id, m.module, CASE WHEN t.v IS NULL THEN 'no_internal_resolved_re
 FROM m LEFT JOIN part ON part.group_id = m.group_id AND part.v = m.module LEFT JOIN t ON t.group_id = m.group_id AND t.v = m.module WHERE part.v IS NULL""")
 def cluster_residuals(spark, d):
     """Modules that are in no cluster, and why."""
-    pairs = _sparse(spark, d)
+    pairs = _affinity(spark, d)
     ends = lambda df: df.select("group_id", F.explode(F.array("a", "b")).alias("module")).distinct()
     inside = ends(graph.clusters(pairs).filter("cluster is not null"))
     m = corpus.modules(spark, d).select(F.col("container").alias("group_id"), "module")
@@ -189,13 +188,13 @@ def cluster_residuals(spark, d):
 
 @query(f"{SPARSE}, e AS (SELECT unnest([a, b]) AS node FROM pairs) SELECT node, count(*) AS degree FROM e GROUP BY node")
 def graph_degrees(spark, d):
-    return graph.degrees(_sparse(spark, d))
+    return graph.degrees(_affinity(spark, d))
 
 
 @query(SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT x AS s, x AS v FROM w UNION SELECT s, w.y FROM reach JOIN w ON w.x = reach.v)
 SELECT s AS node, min(v) AS component FROM reach GROUP BY s""")
 def connected_components(spark, d):
-    return graph.connected(_sparse(spark, d))
+    return graph.connected(_affinity(spark, d))
 
 
 SPANS = """WITH s AS (SELECT DISTINCT concat('p', l_orderkey) AS path, concat('s', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS id, l_linenumber AS start_line, l_linenumber + CAST(l_quantity AS INTEGER) % 3 AS end_line, l_linenumber % 2 AS odd FROM lineitem)"""
@@ -514,7 +513,7 @@ def partial_edges(spark, d):
 @query(SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), s AS (SELECT min(a) AS node FROM pairs), h AS (SELECT node, 0 AS depth FROM s UNION SELECT w.b, depth + 1 FROM h JOIN w ON w.a = h.node WHERE depth < 4)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY node""")
 def traverse(spark, d):
-    e = _sparse(spark, d).select("a", "b")
+    e = _affinity(spark, d).select("a", "b")
     return graph.hops(e, e.agg(F.min("a").alias("node")), 4)
 
 
