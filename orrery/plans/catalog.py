@@ -414,7 +414,7 @@ def novel_claims(spark, d):
 @query(f"{VERDICTS}, r AS (SELECT actual, concat('Claim ', lpad(CAST(claim AS VARCHAR), 12, '0'), '.') AS s FROM cand), k AS (SELECT *, row_number() OVER (PARTITION BY actual ORDER BY s) AS i FROM r) SELECT actual AS section, max(i) AS claims, string_agg(s, ' ' ORDER BY s) FILTER (i <= 20) AS text FROM k GROUP BY actual")
 def claim_narrative(spark, d):
     _, cand = corpus.verdicts(spark, d)
-    return evidence.narrative(cand.select(F.col("actual").alias("verdict"), F.concat(F.lit("Claim "), F.lpad(F.col("claim").cast("string"), 12, "0"), F.lit(".")).alias("statement")))
+    return evidence.narrative(cand.select(F.col("actual").alias("verdict"), F.concat_ws("", F.lit("Claim "), F.lpad(F.col("claim").cast("string"), 12, "0"), F.lit(".")).alias("statement")))
 
 
 # runs and stages
