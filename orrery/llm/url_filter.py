@@ -16,9 +16,8 @@ from orrery.llm.common import fresh, small
 
 @dataclass(frozen=True)
 class Setting:
-    """levels: of a host that are looked up, from the last label on. Up to broadcast_rows intervals are broadcast."""
+    """Up to broadcast_rows intervals are broadcast."""
 
-    levels: int = 6
     broadcast_rows: int = 200_000
 
 
@@ -28,13 +27,12 @@ def host(url: Column) -> Column:
     return F.regexp_replace(part, r"\.+$", "")
 
 
-def parents(name: Column, levels: int) -> Column:
-    """A host and the hosts above it, of at most `levels` labels; a host with more labels also stands for itself."""
+def parents(name: Column) -> Column:
+    """A host and all hosts above it."""
     labels = F.split(name, r"\.")
     n = F.size(labels)
-    at = F.sequence(F.lit(1), F.least(n, F.lit(levels)))
-    up = F.transform(at, lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
-    return F.when(F.length(name) > 0, F.array_distinct(F.concat(up, F.array(name)))).otherwise(F.array().cast("array<string>"))
+    up = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(labels, n - k + 1, k), "."))
+    return F.when(F.length(name) > 0, F.array_distinct(up)).otherwise(F.array().cast("array<string>"))
 
 
 def intervals(entries: DataFrame) -> DataFrame:
@@ -67,7 +65,7 @@ def evaluated(captures: DataFrame, entries: DataFrame, s: Setting = Setting(), u
     name = fresh(df, "uf_host")
     df = df.withColumn(name, host(F.col(url)))
     # hosts are looked up once each, however many captures a host has
-    hosts = df.select(F.col(name).alias("_host")).distinct().withColumn("_up", F.explode(parents(F.col("_host"), s.levels)))
+    hosts = df.select(F.col(name).alias("_host")).distinct().withColumn("_up", F.explode(parents(F.col("_host"))))
     found = hosts.join(F.broadcast(life) if few else life, F.col("_up") == F.col("_list_host"))
     found = found.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct((-F.length("_up")).alias("rank"), F.col("_up").alias("up"), F.col("_life").alias("life")))).alias("_found"))
     df = df.join(F.broadcast(found) if small(found, s.broadcast_rows) else found, F.col(name) == F.col("_host"), "left")
