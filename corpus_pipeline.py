@@ -14,8 +14,8 @@ def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds good; it learns from labels outside its held-out fold."""
-    return quality_classifier.good_only(docs, table(spark, sf_dir, "labels"))
+    """Documents that the classifier finds good; it learns from labels outside its held-out fold, over all documents, as the rules leave few bad ones."""
+    return quality_classifier.good_only(docs, table(spark, sf_dir, "labels"), texts=table(spark, sf_dir, "documents"))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

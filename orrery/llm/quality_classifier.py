@@ -180,8 +180,10 @@ def fit(texts: list[str], quality: np.ndarray, s: Setting = Setting()) -> Model:
 
 
 def learned(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> Model:
-    """A model from a bounded sample of labelled rows outside the held-out fold; null labels teach nothing."""
+    """A model from a bounded sample of labelled rows of docs outside the held-out fold; null labels teach nothing."""
     known = labels.filter(F.col("quality").isNotNull() & (fold(F.col("doc_id"), s.folds) != s.held_out)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    # labels without a text to learn from would use up the sample
+    known = known.join(docs.filter(F.length("text").between(1, s.chars)).select("doc_id"), "doc_id", "left_semi")
     got = sample_texts(docs, known, s.sample, s.chars, ["quality"])
     return fit(got.text.tolist(), got.quality.to_numpy(), s)
 
@@ -201,9 +203,9 @@ def classified(docs: DataFrame, labels: DataFrame, s: Setting = Setting(), model
     return out.withColumn("held_out", fold(F.col("doc_id"), s.folds) == s.held_out).withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
 
 
-def good_only(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> DataFrame:
-    """Rows of docs predicted good, with their columns as they are."""
-    model = learned(docs, labels, s)
+def good_only(docs: DataFrame, labels: DataFrame, s: Setting = Setting(), texts: DataFrame | None = None) -> DataFrame:
+    """Rows of docs predicted good, with their columns as they are. texts: the documents to learn from, else docs."""
+    model = learned(docs if texts is None else texts, labels, s)
 
     def start():
         return lambda texts: model.score(texts) >= s.threshold
