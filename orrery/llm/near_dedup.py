@@ -29,8 +29,9 @@ _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.ui
 class Near:
     """shingle: words each. percent: least Jaccard index, in hundredths. bands * rows registers of 6 + mantissa bits.
 
-    deviations: of the estimate, below which a pair is not compared. Groups of up to `few` nodes are written out as pairs
-    where two bands agree (one band alone at 0.8 has a chance of 6e-8); larger ones go in blocks of `block` nodes a side.
+    deviations: of the estimate, below which a pair is not compared (at exactly 0.8 and 250 used registers, a chance of 1.4e-6).
+    Groups of up to `few` nodes are written out as pairs
+    where two bands agree (at most one band at 0.8 has a chance of 6e-8, besides the former); larger ones go in blocks of `block` nodes a side.
     Up to broadcast_ids ids are sent to every executor instead of shuffling texts.
     """
 
