@@ -176,15 +176,26 @@ def test_near_duplicates_by_brute_force(spark, odd):
             w[rng.randrange(40)] = str(rng.randrange(100))
         rows.append((i, " ".join(w)))
     rows += [(900, None), (901, ""), (902, "solo"), (903, "SOLO"), (904, rows[0][1].upper()), (5, rows[1][1])]
-    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(0))
-    for block, few in ((1024, 32), (4, 2)):
-        s = near_dedup.Near(shingle=2, block=block, few=few, first_try=1)
+    # one document with two texts, each of which others have: it joins them
+    rows += [(905, "p q r s"), (906, "t u v w"), (907, "p q r s"), (907, "t u v w")]
+    # a chain of near texts, none near its second neighbour, and one text of some length
+    chain = [f"c{i}" for i in range(60)]
+    for i in range(8):
+        chain[7 * i] = f"x{i}"
+        rows.append((920 + i, " ".join(chain)))
+    rows += [(940, " ".join(f"l{i}" for i in range(30_000))), (941, " ".join(f"l{i}" for i in range(29_000)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(0)).withColumn("nd_row", F.lit(1))
+    for block, long in ((1024, 2048), (4, 2048), (3, 20)):
+        s = near_dedup.Near(shingle=2, block=block, long=long)
         out = near_dedup.classes(df, s).collect()
         want = near_by_hand(rows, 2)
         assert len(out) == len(rows) and {r.doc_id: r.component_id for r in out} == want
         assert all(r.kept == (r.doc_id == r.component_id) for r in out)
     kept = near_dedup.deduplicated(odd)
     assert kept.columns == odd.columns
+    again = near_dedup.deduplicated(df, near_dedup.Near(shingle=2))
+    assert again.columns == df.columns and [r.doc_id for r in again.collect()].count(905) == 1
+    assert near_dedup.deduplicated(odd.limit(0)).count() == 0
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(2) <= 1 and 10 not in ids and {3, 4, 6, 7, 8, 9} <= set(ids)
     assert near_dedup.classes(odd.limit(0)).count() == 0
