@@ -1,25 +1,29 @@
 """SentencePiece encoding and decoding by suffix-array matching.
 
 The chunks of a batch that are new are put into one text and indexed by a suffix array; every piece of the vocabulary finds
-its occurrences there by binary search. Occurrences are edges from position to position, laid out by where they start. They
+its occurrences there by binary search. Occurrences are edges from position to position, sorted by where they start. They
 are then relaxed in the order the model asks for: a BPE model joins, again and again, the two neighbours whose edge scores
 highest; a unigram model takes the path of the highest sum.
 
 No piece goes over the border between a letter and the space after it, so a text is encoded chunk by chunk, and equal chunks
-are encoded once.
+are encoded once. Short chunks are relaxed side by side, long ones each on its own: by a heap of pairs, or along the path, so
+that a chunk of n characters takes about n log n steps. Memory follows the batch, and the longest run without a space.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
 import zlib
+from array import array
+from bisect import bisect_left
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from orrery.llm.learning import scored
+from orrery.llm.learning import pieces, scored
 
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 _SPACE = "▁"
@@ -104,11 +108,38 @@ def ranges(codes: np.ndarray, order: np.ndarray, pieces: np.ndarray, length: np.
     return low, high
 
 
+class Edges:
+    """Occurrences of pieces as arrays sorted by (start, length)."""
+
+    def __init__(self, at: np.ndarray, length: np.ndarray, piece: np.ndarray, size: int, depth: int):
+        self.width = depth + 1
+        keys = at * self.width + length
+        by = np.argsort(keys, kind="stable")
+        self.keys, self.piece = np.append(keys[by], np.iinfo(np.int64).max), np.append(piece[by], -1)
+        self.starts = np.searchsorted(self.keys, np.arange(size + 1) * self.width)
+
+    def find(self, at: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """The piece that starts at each place with that length, or -1."""
+        want = at * self.width + length
+        place = np.searchsorted(self.keys, want)
+        return np.where(self.keys[place] == want, self.piece[place], -1)
+
+    def between(self, first: int, end: int) -> tuple[array, array, array]:
+        """Of starts from first to end: where each one's edges begin, their lengths and pieces."""
+        low, high = self.starts[first], self.starts[end]
+        offsets = array("q", (self.starts[first : end + 1] - low).tobytes())
+        lengths = array("q", (self.keys[low:high] % self.width).tobytes())
+        return offsets, lengths, array("q", self.piece[low:high].astype(np.int64).tobytes())
+
+
 class Codec:
-    """Encodes batches of texts; remembers up to `remember` chunks between batches."""
+    """Encodes batches of texts; remembers up to `remember` chunks between batches.
+
+    Chunks of up to `short` characters are relaxed side by side; the way does not change the ids.
+    """
 
-    def __init__(self, v: Vocabulary, remember: int = 400_000):
-        self.v, self.remember = v, remember
+    def __init__(self, v: Vocabulary, remember: int = 400_000, short: int = 48):
+        self.v, self.remember, self.short = v, remember, short
         self.normal = [i for i, k in enumerate(v.kinds) if k == _NORMAL]
         self.depth = max((len(v.pieces[i]) for i in self.normal), default=1)
         self.length = np.array([len(v.pieces[i]) for i in self.normal])
@@ -116,6 +147,7 @@ class Codec:
         for row, i in enumerate(self.normal):
             self.codes[row, : self.length[row]] = [ord(c) for c in v.pieces[i]]
         self.place = np.array(self.normal)
+        self.unknown = min((v.scores[i] for i in self.normal), default=0.0) - 10
         by_score = np.unique(np.array(v.scores))
         self.rank = np.searchsorted(by_score, np.array(v.scores)) + 1
         self.bytes = [i for i, k in enumerate(v.kinds) if k == _BYTE]
@@ -136,7 +168,11 @@ class Codec:
         return [self.bytes[b] for b in c.encode("utf-8", "replace")] if self.bytes else [self.v.unknown]
 
     def learn(self, chunks: list[str]) -> None:
-        """Encodes chunks that are not known yet."""
+        """Encodes chunks that are not known yet, a bounded number of characters at a time."""
+        for part in pieces(chunks, 1 << 20):
+            self._learn(chunks[part])
+
+    def _learn(self, chunks: list[str]) -> None:
         text = "\n".join(chunks)  # a chunk with a line end is that alone
         codes = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
         size = np.array([len(c) for c in chunks])
@@ -147,21 +183,22 @@ class Codec:
         low, high = ranges(codes, order, self.codes, self.length)
         n = high - low
         at = order[np.repeat(low - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())]
-        # edges by start and length: the piece, or 0
-        edges = np.full((len(codes), self.depth + 1), -1, np.int32)
-        edges[at, np.repeat(self.length, n)] = np.repeat(self.place, n)
-        if self.v.unigram:
-            begin, long, owner = self._best_path(edges, first, size)
-        else:
-            begin, long, owner = self._join(edges, first, size)
-        ids = edges[begin, long]
+        edges = Edges(at, np.repeat(self.length, n), np.repeat(self.place, n), len(codes), self.depth)
+        relax, alone = (self._best_path, self._path_of) if self.v.unigram else (self._join, self._joined)
+        short = size <= self.short
+        parts = [relax(edges, first[short], size[short], np.flatnonzero(short))] if short.any() else []
+        parts += [alone(edges, int(first[i]), int(size[i]), int(i)) for i in np.flatnonzero(~short)]
+        begin, long, owner = (np.concatenate([p[i] for p in parts]) for i in range(3))
+        by = np.argsort(begin, kind="stable")
+        begin, long, owner = begin[by], long[by], owner[by]
+        ids = edges.find(begin, long)
         missing = np.flatnonzero(ids < 0)
         if len(missing):
-            parts = [self._tokens_of_char(text[p]) for p in begin[missing]]
+            tokens = [self._tokens_of_char(text[p]) for p in begin[missing]]
             width = np.ones(len(ids), np.int64)
-            width[missing] = [len(p) for p in parts]
+            width[missing] = [len(t) for t in tokens]
             filled = np.repeat(ids, width)
-            filled[np.repeat(ids < 0, width)] = [t for p in parts for t in p]
+            filled[np.repeat(ids < 0, width)] = [x for t in tokens for x in t]
             ids, owner = filled, np.repeat(owner, width)
         counts = np.bincount(owner, minlength=len(chunks))
         self.start = np.concatenate((self.start, len(self.pool) + np.concatenate(([0], np.cumsum(counts)[:-1]))))
@@ -169,9 +206,9 @@ class Codec:
         self.pool = np.concatenate((self.pool, ids.astype(np.int32)))
         self.known.update(zip(chunks, range(len(self.known), len(self.known) + len(chunks))))
 
-    def _join(self, edges: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _join(self, edges: Edges, first: np.ndarray, size: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Joins the best pair of neighbours in every chunk (the leftmost of equals) until no pair has an edge."""
-        owner = np.repeat(np.arange(len(size)), size)
+        owner = np.repeat(name, size)
         begin = np.repeat(first - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
         long = np.ones(len(begin), np.int64)
         done = []
@@ -179,7 +216,7 @@ class Codec:
             joined = np.zeros(len(begin), np.int64)
             both = long[:-1] + long[1:]
             pair = np.flatnonzero((owner[:-1] == owner[1:]) & (both <= self.depth))
-            piece = edges[begin[pair], both[pair]]
+            piece = edges.find(begin[pair], both[pair])
             joined[pair] = np.where(piece >= 0, self.rank[piece] * (len(begin) + 1) + len(begin) - pair, 0)
             heads = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
             top = np.maximum.reduceat(joined, heads)
@@ -191,14 +228,41 @@ class Codec:
             long[win] += long[win + 1]
             moving[win + 1] = False
             begin, long, owner = begin[moving], long[moving], owner[moving]
-        begin, long, owner = (np.concatenate([d[i] for d in done]) for i in range(3))
-        by = np.argsort(begin, kind="stable")
-        return begin[by], long[by], owner[by]
-
-    def _best_path(self, edges: np.ndarray, first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tuple(np.concatenate([d[i] for d in done]) for i in range(3))
+
+    def _joined(self, edges: Edges, first: int, n: int, name: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What _join does for one chunk, by a heap of pairs: highest rank first, the leftmost of equals."""
+        offsets, lengths, found = edges.between(first, first + n)
+        rank, depth = self.rank.tolist(), self.depth
+        long, before = array("q", [1]) * n, array("q", range(-1, n - 1))
+
+        def pair(i: int) -> tuple[int, int, int, int] | None:
+            j = i + long[i]
+            if j >= n or (both := long[i] + long[j]) > depth:
+                return None
+            k = bisect_left(lengths, both, offsets[i], offsets[i + 1])
+            return (-rank[found[k]], i, long[i], long[j]) if k < offsets[i + 1] and lengths[k] == both else None
+
+        heap = [p for p in map(pair, range(n)) if p]
+        heapq.heapify(heap)
+        while heap:
+            _, i, left, right = heapq.heappop(heap)
+            if long[i] != left or long[i + left] != right:  # one of the two has been joined since
+                continue
+            long[i + left] = 0
+            long[i] = left + right
+            if (after := i + left + right) < n:
+                before[after] = i
+            for k in (before[i], i):
+                if k >= 0 and (p := pair(k)):
+                    heapq.heappush(heap, p)
+        kept = np.frombuffer(long, np.int64)
+        at = np.flatnonzero(kept)
+        return first + at, kept[at], np.full(len(at), name)
+
+    def _best_path(self, edges: Edges, first: np.ndarray, size: np.ndarray, name: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Viterbi over all chunks together: edges relaxed in order of their start; a lone character may go as unknown."""
         scores = np.array(self.v.scores, np.float64)
-        unknown = scores[self.normal].min() - 10
         n = int(size.max())
         best, back = np.full((len(size), n + 1), -np.inf), np.zeros((len(size), n + 1), np.int64)
         best[:, 0] = 0
@@ -206,8 +270,8 @@ class Codec:
             rows = np.flatnonzero(size > t)
             for k in range(1, min(self.depth, n - t) + 1):
                 at = rows[size[rows] >= t + k]
-                piece = edges[first[at] + t, k]
-                gain = np.where(piece >= 0, scores[piece], unknown if k == 1 else -np.inf) + best[at, t]
+                piece = edges.find(first[at] + t, np.full(len(at), k))
+                gain = np.where(piece >= 0, scores[piece], self.unknown if k == 1 else -np.inf) + best[at, t]
                 better = gain > best[at, t + k]
                 best[at[better], t + k], back[at[better], t + k] = gain[better], k
         out = []
@@ -215,11 +279,30 @@ class Codec:
         while len(at):
             k = back[at, end[at]]
             end[at] -= k
-            out.append((first[at] + end[at], k, at))
+            out.append((first[at] + end[at], k, name[at]))
             at = at[end[at] > 0]
-        begin, long, owner = (np.concatenate([o[i] for o in out]) for i in range(3))
-        by = np.argsort(begin, kind="stable")
-        return begin[by], long[by], owner[by]
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+    def _path_of(self, edges: Edges, first: int, n: int, name: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What _best_path does, for one chunk."""
+        offsets, lengths, found = edges.between(first, first + n)
+        best, back = array("d", [-np.inf]) * (n + 1), array("i", [0]) * (n + 1)
+        best[0] = 0.0
+        for t in range(n):
+            own, k = best[t], offsets[t]
+            if k == offsets[t + 1] or lengths[k] > 1:  # no piece is this character alone
+                if own + self.unknown > best[t + 1]:
+                    best[t + 1], back[t + 1] = own + self.unknown, 1
+            for k in range(k, offsets[t + 1]):
+                end, gain = t + lengths[k], own + self.v.scores[found[k]]
+                if gain > best[end]:
+                    best[end], back[end] = gain, lengths[k]
+        at, long = [], []
+        while n:
+            long.append(back[n])
+            n -= back[n]
+            at.append(first + n)
+        return np.array(at), np.array(long), np.full(len(at), name)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text's ids begin and end."""
@@ -266,7 +349,8 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, fields: tuple[str, ...] = (
 
     round_trip tells whether decoding gives the text back; it fails only where a text holds U+2581, which the format uses
     for spaces. A null or empty text has no ids. Rows are encoded each on its own, so repeated rows give equal ids; an
-    empty table gives an empty table. Columns named like a field are replaced.
+    empty table gives an empty table. Columns named like a field are replaced, in upper or lower case. The model was read on
+    the driver and goes along with the function.
     """
 
     def start():
@@ -277,7 +361,10 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, fields: tuple[str, ...] = (
 
 
 def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str = "text") -> DataFrame:
-    """df with the text that its ids stand for; null ids give an empty text."""
+    """df with the text that its ids stand for; null or empty ids give an empty text, an empty table an empty table.
+
+    A column of the text's name is replaced; other columns stay.
+    """
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")

@@ -28,6 +28,27 @@ def test_sentencepiece_equals_the_library():
     assert all(codec.decode(w) == t for t, w in zip(texts, want) if "▁" not in t)
 
 
+def test_long_chunks_equal_short_ones_and_the_library():
+    import time
+
+    import sentencepiece
+
+    rng = random.Random(4)
+    v = S.Vocabulary.read()
+    words = [p for p in v.pieces if p.isalpha() and len(p) > 2]
+    texts = ["".join(rng.choice(words) for _ in range(60)) for _ in range(30)] + ["ab" * 300, "a" * 777, "的一是不了人我在" * 90, "".join(map(chr, range(0x4E00, 0x4F00)))]
+    library = sentencepiece.SentencePieceProcessor(model_file=S.DEFAULT_MODEL)
+    for short in (0, 48, 10_000):
+        ids, ends = S.Codec(v, short=short).encode(texts)
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [library.encode(t) for t in texts]
+    long = "".join(rng.choice(words) for _ in range(200_000))[:1_000_000]
+    began = time.process_time()
+    codec = S.Codec(v)
+    ids, _ = codec.encode([long])
+    assert time.process_time() - began < 120 and codec.decode(ids.tolist()) == long
+    assert ids.tolist() == library.encode(long)
+
+
 def test_sentencepiece_forgets_and_stays_right():
     v = S.Vocabulary.read()
     small, big = S.Codec(v, remember=3), S.Codec(v)
@@ -39,9 +60,8 @@ def test_unigram_takes_the_best_path():
     pieces = ("<unk>", "a", "b", "ab", "ba", "aba", " ")
     scores = (0.0, -2.0, -2.5, -3.0, -3.2, -6.0, -1.0)
     v = S.Vocabulary(pieces, scores, (2, 1, 1, 1, 1, 1, 1), True, False, 0)
-    codec = S.Codec(v)
-    for text in ["a", "ab", "aba", "abab", "babab", "abcab"]:
-        ids, _ = codec.encode([text])
+    for text, short in itertools.product(["a", "ab", "aba", "abab", "babab", "abcab"], (0, 48)):
+        ids, _ = S.Codec(v, short=short).encode([text])
         best = max(
             (sum(scores[pieces.index(p)] if p in pieces else min(scores[1:]) - 10 for p in cut), cut)
             for cut in ([text[a:b] for a, b in zip((0, *at), (*at, len(text)))] for k in range(len(text)) for at in itertools.combinations(range(1, len(text)), k))
