@@ -64,20 +64,26 @@ class Vocabulary:
 
 
 def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
-    """Positions in order of the next `depth` codes, by prefix doubling."""
-    _, rank = np.unique(codes, return_inverse=True)
-    rank = rank.astype(np.int64)
-    order, k = np.argsort(rank, kind="stable"), 1
+    """Positions in order of the next `depth` codes: as many as a word holds at first, then by prefix doubling."""
+    found = np.unique(codes)
+    rank = np.searchsorted(found, codes).astype(np.int64) + 1
+    bits = int(len(found) + 1).bit_length()
+    key, k = rank, 1
+    while 2 * k * bits <= 62 and k < depth:
+        after = np.zeros_like(key)
+        after[:-k] = key[k:]
+        key, k = (key << (k * bits)) | after, 2 * k
+    order = np.argsort(key)
     while k < depth:
-        after = np.zeros_like(rank)
-        after[:-k] = rank[k:] + 1
-        key = rank * (len(codes) + 1) + after
-        order = np.argsort(key, kind="stable")
         step = np.ones(len(codes), np.int64)
         step[0] = 0
         step[1:] = key[order[1:]] != key[order[:-1]]
-        rank = np.empty_like(rank)
+        rank = np.empty_like(key)
         rank[order] = np.cumsum(step)
+        after = np.zeros_like(rank)
+        after[:-k] = rank[k:] + 1
+        key = rank * (len(codes) + 1) + after
+        order = np.argsort(key)
         k *= 2
     return order
 
@@ -114,7 +120,7 @@ class Edges:
     def __init__(self, at: np.ndarray, length: np.ndarray, piece: np.ndarray, size: int, depth: int):
         self.width = depth + 1
         keys = at * self.width + length
-        by = np.argsort(keys, kind="stable")
+        by = np.argsort(keys)
         self.keys, self.piece = np.append(keys[by], np.iinfo(np.int64).max), np.append(piece[by], -1)
         self.starts = np.searchsorted(self.keys, np.arange(size + 1) * self.width)
 
