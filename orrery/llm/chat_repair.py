@@ -5,7 +5,9 @@ Dynamic programming over that automaton chooses, for every turn, whether it stay
 another role, or needs an empty turn in front of it, at the least total cost.
 
 A conversation may be of any length: turns are taken in stretches of bounded size, a stretch is summed up as a table of costs
-from state to state, and the tables are put together before each stretch is solved for good.
+from state to state, and the tables are put together before each stretch is solved for good. Of ways of equal cost the one is
+taken that at every turn, from the first on, takes the earliest of the moves that lead to the least total cost. What follows
+a stretch is known as the cost left from each state, so the way does not depend on where stretches begin.
 """
 
 from __future__ import annotations
@@ -37,12 +39,13 @@ FAR = 1 << 40
 
 @dataclass(frozen=True)
 class Costs:
-    """Costs of the repairs, whole numbers; stretch: turns solved at a time."""
+    """Costs of the repairs, whole numbers. A stretch has at most `stretch` turns and about `stretch_chars` characters."""
 
     merge: int = 1
     relabel: int = 3
     insert: int = 2
     stretch: int = 2048
+    stretch_chars: int = 4 << 20
 
 
 def moves(role: str | None, c: Costs) -> list[tuple[int, int, int, tuple]]:
@@ -79,14 +82,10 @@ def table(roles: list[str | None], c: Costs) -> np.ndarray:
     return cost
 
 
-def solve(roles: list[str | None], begin: int, end: int, c: Costs) -> list[tuple[int, tuple]]:
-    """Role and repairs of each turn on the cheapest way from begin to end; ties by the order of moves()."""
-    best = np.full((len(roles) + 1, 4), FAR, np.int64)
-    best[len(roles), end] = 0
+def solve(roles: list[str | None], begin: int, rest: list[int], c: Costs) -> list[tuple[int, tuple]]:
+    """Role and repairs of each turn on the cheapest way from begin, with rest to pay after the last turn in each state."""
+    best = costs_left(roles, rest, c)
     known = {r: moves(r, c) for r in set(roles)}
-    for i in range(len(roles) - 1, -1, -1):
-        for a, b, price, _ in known[roles[i]]:
-            best[i, a] = min(best[i, a], best[i + 1, b] + price)
     out, state = [], begin
     for i, r in enumerate(roles):
         _, to, _, how = next(m for m in known[r] if m[0] == state and m[2] + best[i + 1, m[1]] == best[i, state])
@@ -95,6 +94,31 @@ def solve(roles: list[str | None], begin: int, end: int, c: Costs) -> list[tuple
     return out
 
 
+def costs_left(roles: list[str | None], rest: list[int], c: Costs) -> np.ndarray:
+    """Least cost from each state before each turn to the end of the conversation."""
+    best = np.full((len(roles) + 1, 4), FAR, np.int64)
+    best[len(roles)] = np.minimum(rest, FAR)
+    known = {r: moves(r, c) for r in set(roles)}
+    for i in range(len(roles) - 1, -1, -1):
+        for a, b, price, _ in known[roles[i]]:
+            best[i, a] = min(best[i, a], best[i + 1, b] + price)
+    return best
+
+
+def ends_of(roles: list[str | None], rest: list[int], c: Costs) -> list[int]:
+    """For each state before a stretch, the state after it on the way that solve() takes."""
+    best = costs_left(roles, rest, c)
+    known = {r: moves(r, c) for r in set(roles)}
+    at = list(range(4))
+    for i, r in enumerate(roles):
+        go = {}
+        for a, b, price, _ in known[r]:
+            if a not in go and price + best[i + 1, b] == best[i, a]:
+                go[a] = b
+        at = [go.get(a, a) for a in at]
+    return at
+
+
 def _open(role: int) -> str:
     return f"<|{ROLES[role - 1]}|>\n"
 
@@ -129,70 +153,104 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[list[d
 
 
 def repaired(turns: DataFrame, c: Costs = Costs()) -> DataFrame:
-    """conv_id, turn, seq, role, new_role, relabelled, merged, inserted (empty turns before and, at the end, after), cost, rendered.
+    """conv_id, turn, position, role, new_role, relabelled, merged, inserted (empty turns before and, at the end, after), cost, rendered.
 
-    One row for each turn; the rendered parts of a conversation, joined in order of seq, are its repaired text. Turns go
-    in order of (turn, role, text), nulls first, so ties and repeated rows have a place. A null or unknown role costs a
-    relabelling whatever it becomes, a null text is empty, and rows whose conv_id is null are one conversation. An empty
-    table gives an empty table; other columns are not read.
+    One row for each turn; the rendered parts of a conversation, joined in order of position, are its repaired text. Turns
+    go in order of (turn, role, text), nulls first, so ties and repeated rows have a place, and rows are the same however
+    turns are dealt over partitions. A null or unknown role costs a relabelling whatever it becomes, a null text is empty,
+    a text may be of any length, and rows whose conv_id is null are one conversation. An empty table gives an empty table;
+    other columns are not read.
     """
     df = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text")]
     parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # partitions are ranges of turns, and not whole conversations: a long one goes over many
     df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
-    place = F.monotonically_increasing_id()
-    df = durable(df.withColumn("seq", place).withColumn("part", F.shiftrightunsigned("seq", 33)).withColumn("piece", F.floor(F.pmod("seq", F.lit(1 << 33)) / c.stretch)))
-
     kind, turn = dict(turns.dtypes)["conv_id"], dict(turns.dtypes)["turn"]
+    conv_type, turn_type = (to_arrow_type(turns.schema[k].dataType) for k in ("conv_id", "turn"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, piece, rows, chars, last = TaskContext.get().partitionId(), 0, 0, 0, None
+        for batch in batches:
+            pieces, places = [], []
+            for conv, n in zip(batch.column("conv_id").to_pylist(), batch.column("chars").to_pylist()):
+                if rows and (conv != last or rows >= c.stretch or chars + n > c.stretch_chars):
+                    piece, rows, chars = piece + 1, 0, 0
+                pieces.append(piece)
+                places.append(rows)
+                rows, chars, last = rows + 1, chars + n, conv
+            added = [pa.array([part] * len(pieces), pa.int64()), pa.array(pieces, pa.int64()), pa.array(places, pa.int64())]
+            kept = batch.drop_columns(["chars"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *added], names=[*kept.schema.names, "part", "piece", "place"])
+
+    schema = f"conv_id {kind}, turn {turn}, role string, text string, part long, piece long, place long"
+    df = durable(df.withColumn("chars", F.length("text")).mapInArrow(cut, schema))
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["conv_id", "part", "piece"]):
+        for run in _runs(batches, ["part", "piece"]):
             r = run[0]
-            cost = table([x["role"] for x in run], c)
-            end = int((cost[START] + [ending(s, c) for s in range(4)]).argmin())
-            yield pa.RecordBatch.from_pylist([{"conv_id": r["conv_id"], "part": r["part"], "piece": r["piece"], "cost": cost.ravel().tolist(), "end": end}], schema=table_schema)
+            row = {"conv_id": r["conv_id"], "part": r["part"], "piece": r["piece"], "n": len(run), "cost": table([x["role"] for x in run], c).ravel().tolist()}
+            yield pa.RecordBatch.from_pylist([row], schema=table_schema)
 
-    table_schema = pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("part", pa.int64()), ("piece", pa.int64()), ("cost", pa.list_(pa.int64())), ("end", pa.int32())])
+    table_schema = pa.schema([("conv_id", conv_type), ("part", pa.int64()), ("piece", pa.int64()), ("n", pa.int64()), ("cost", pa.list_(pa.int64()))])
     # stretches follow one another inside each written partition, so this pass moves nothing
-    tables = durable(df.select("conv_id", "part", "piece", "role").mapInArrow(sums, f"conv_id {kind}, part long, piece long, cost array<long>, end int"))
-    many = tables.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("conv_id").alias("c"))
+    tables = durable(df.select("conv_id", "part", "piece", "role").mapInArrow(sums, f"conv_id {kind}, part long, piece long, n long, cost array<long>"))
+    many = tables.groupBy("conv_id").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select(F.col("conv_id").alias("c"))
+    same = F.col("conv_id").eqNullSafe(F.col("c"))
+    closing = [ending(x, c) for x in range(4)]
 
-    def states(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def rests(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        """What is left to pay after each stretch of one conversation, and how many turns stand before it."""
         pdf = pdf.sort_values(["part", "piece"]).reset_index(drop=True)
-        costs = [np.asarray(x, np.int64).reshape(4, 4) for x in pdf.cost]
-        rest = [np.array([ending(s, c) for s in range(4)])]
-        for m in reversed(costs):
-            rest.append((m + rest[-1][None]).min(1))
-        rest = rest[::-1]
-        state, begin, end = START, [], []
-        for m, after in zip(costs, rest[1:]):
-            begin.append(state)
-            state = int((m[state] + after).argmin())
-            end.append(state)
-        last = [False] * (len(end) - 1) + [True]
-        return pd.DataFrame({"c": [key[0]] * len(end), "p": pdf.part, "k": pdf.piece, "begin": begin, "end": end, "last": last})
-
-    # most conversations are one stretch, solved already; longer ones are put together, one row for each stretch
-    same = F.col("conv_id").eqNullSafe(F.col("c"))
-    long = tables.join(many, same, "left_semi").groupBy("conv_id").applyInPandas(states, f"c {kind}, p long, k long, begin int, end int, last boolean")
-    short = tables.join(many, same, "left_anti").select(F.col("conv_id").alias("c"), F.col("part").alias("p"), F.col("piece").alias("k"), F.lit(START).alias("begin"), "end", F.lit(True).alias("last"))
-    ways = short.unionByName(long)
-    df = df.join(ways, same & (F.col("part") == F.col("p")) & (F.col("piece") == F.col("k"))).drop("c", "p", "k")
+        rest = [np.array(closing, np.int64)]
+        for m in reversed(pdf.cost.tolist()):
+            rest.append(np.minimum((np.asarray(m, np.int64).reshape(4, 4) + rest[-1][None]).min(1), FAR))
+        before = pdf.n.cumsum() - pdf.n
+        return pd.DataFrame({"p": pdf.part, "k": pdf.piece, "rest": [r.tolist() for r in rest[-2::-1]], "before": before, "last": [False] * (len(pdf) - 1) + [True]})
+
+    long = durable(tables.join(many, same, "left_semi").groupBy("conv_id").applyInPandas(rests, "p long, k long, rest array<long>, before long, last boolean"))
+    at = (F.col("part") == F.col("p")) & (F.col("piece") == F.col("k"))
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["part", "piece"]):
+            r = run[0]
+            row = {"conv_id": r["conv_id"], "part": r["part"], "piece": r["piece"], "ends": ends_of([x["role"] for x in run], r["rest"], c)}
+            yield pa.RecordBatch.from_pylist([row], schema=ends_schema)
+
+    ends_schema = pa.schema([("conv_id", conv_type), ("part", pa.int64()), ("piece", pa.int64()), ("ends", pa.list_(pa.int32()))])
+
+    def begins(pdf: pd.DataFrame) -> pd.DataFrame:
+        """The state before each stretch of one conversation."""
+        pdf = pdf.sort_values(["part", "piece"])
+        state, out = START, []
+        for m in pdf.ends:
+            out.append(state)
+            state = int(m[state])
+        return pd.DataFrame({"p": pdf.part, "k": pdf.piece, "begin": out})
+
+    # most conversations are one stretch; for longer ones only the few numbers of each stretch are brought together
+    roles = df.select("conv_id", "role", "part", "piece", "place").join(long.select("p", "k", "rest"), at).drop("p", "k")
+    roles = roles.repartition(parts, "part", "piece").sortWithinPartitions("part", "piece", "place")
+    states = roles.mapInArrow(ends, f"conv_id {kind}, part long, piece long, ends array<int>").groupBy("conv_id").applyInPandas(begins, "p long, k long, begin int")
+    short = tables.join(many, same, "left_anti").select(F.col("part").alias("p"), F.col("piece").alias("k"), F.lit(START).alias("begin"), F.array(*[F.lit(x).cast("long") for x in closing]).alias("rest"), F.lit(0).cast("long").alias("before"), F.lit(True).alias("last"))
+    ways = short.unionByName(long.join(states, ["p", "k"]))
+    df = df.join(ways, at).drop("p", "k")
     # a stretch stays whole: this is a repartitioning by its key, which is never split
-    df = df.repartition(parts, "part", "piece", "conv_id").sortWithinPartitions("part", "piece", "seq")
+    df = df.repartition(parts, "part", "piece").sortWithinPartitions("part", "piece", "place")
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for run in _runs(batches, ["conv_id", "part", "piece"]):
-            begin, end, last = run[0]["begin"], run[0]["end"], run[0]["last"]
+        for run in _runs(batches, ["part", "piece"]):
+            begin, rest, before, last = (run[0][k] for k in ("begin", "rest", "before", "last"))
             rows = []
-            for i, (x, (to, how)) in enumerate(zip(run, solve([x["role"] for x in run], begin, end, c))):
-                closing = last and i == len(run) - 1
-                inserted = len(how[2]) + ({USER: 1, SYSTEM: 2}.get(end, 0) if closing else 0)
-                text = rendered(to, how, x["text"], begin == START and i == 0) + (tail(end) if closing else "")
+            for i, (x, (to, how)) in enumerate(zip(run, solve([x["role"] for x in run], begin, rest, c))):
+                end = last and i == len(run) - 1
+                inserted = len(how[2]) + ({USER: 1, SYSTEM: 2}.get(to, 0) if end else 0)
+                text = rendered(to, how, x["text"], before + i == 0) + (tail(to) if end else "")
                 price = c.relabel * how[0] + c.merge * how[1] + c.insert * inserted
-                rows.append({"conv_id": x["conv_id"], "turn": x["turn"], "seq": x["seq"], "role": x["role"], "new_role": ROLES[to - 1], "relabelled": bool(how[0]), "merged": bool(how[1]), "inserted": inserted, "cost": price, "rendered": text})
+                rows.append({"conv_id": x["conv_id"], "turn": x["turn"], "position": before + i, "role": x["role"], "new_role": ROLES[to - 1], "relabelled": bool(how[0]), "merged": bool(how[1]), "inserted": inserted, "cost": price, "rendered": text})
             yield pa.RecordBatch.from_pylist(rows, schema=out_schema)
 
-    out_schema = pa.schema([("conv_id", to_arrow_type(turns.schema["conv_id"].dataType)), ("turn", to_arrow_type(turns.schema["turn"].dataType)), ("seq", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("relabelled", pa.bool_()), ("merged", pa.bool_()), ("inserted", pa.int32()), ("cost", pa.int64()), ("rendered", pa.string())])
-    return df.mapInArrow(finish, f"conv_id {kind}, turn {turn}, seq long, role string, new_role string, relabelled boolean, merged boolean, inserted int, cost long, rendered string")
+    out_schema = pa.schema([("conv_id", conv_type), ("turn", turn_type), ("position", pa.int64()), ("role", pa.string()), ("new_role", pa.string()), ("relabelled", pa.bool_()), ("merged", pa.bool_()), ("inserted", pa.int32()), ("cost", pa.int64()), ("rendered", pa.string())])
+    return df.mapInArrow(finish, f"conv_id {kind}, turn {turn}, position long, role string, new_role string, relabelled boolean, merged boolean, inserted int, cost long, rendered string")

@@ -45,7 +45,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat_repair.repaired(table(spark, sf_dir, "conversations")).drop("seq")
+    return chat_repair.repaired(table(spark, sf_dir, "conversations"))
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
