@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +12,17 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so a lost executor costs no rerun of what came before."""
+    """Cut the lineage through the shared checkpoint folder, so a lost executor costs no rerun of what came before.
+
+    The folder is the one that spark.checkpoint.dir names or that was set on the context. Without one, a local session may
+    use a folder of its own; on a cluster that would be a folder that executors cannot read, so it is an error.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="orrery-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
     return df.checkpoint(eager=True)
 
 
@@ -40,8 +45,6 @@ def small(df: DataFrame, limit: int) -> bool:
     return len(df.limit(limit + 1).select(F.lit(1)).groupBy().count().filter(F.col("count") <= limit).take(1)) == 1
 
 
-
-
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have, whatever extra columns callers bring."""
     taken = {c.lower() for c in df.columns}

@@ -11,17 +11,28 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_texts(docs: DataFrame, chosen: DataFrame, rows: int, chars: int, values: list[str]) -> pd.DataFrame:
-    """Texts of at most `rows` rows of chosen (doc_id and values), in hash order, each of at most `chars` characters.
+def sample_texts(docs: DataFrame, chosen: DataFrame, rows: int | None, chars: int, values: list[str]) -> pd.DataFrame:
+    """Texts of at most `rows` rows of chosen (doc_id and values), in hash order; with None chosen is bounded already.
 
-    Longer texts are left out of the sample. So rows * chars bounds what the driver gets and what is broadcast.
+    A text longer than `chars` characters gives a stretch of that length, from a place that goes by its id. So rows * chars
+    bounds what the driver gets and what is broadcast.
     """
-    first = chosen.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*[F.min(v).alias(v) for v in values])
-    first = first.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    texts = docs.select(F.col("doc_id"), F.col("text").alias("text")).filter(F.length("text").between(1, chars))
-    out = texts.join(F.broadcast(first), "doc_id").select("doc_id", "text", *values).toPandas()
+    first = chosen.filter(F.col("doc_id").isNotNull())
+    if rows is not None:
+        # a hash threshold well above what is needed, so that not the ids of the whole table are grouped
+        share = min(1.0, 8 * rows / max(1, first.count()))
+        if share < 1:
+            first = first.filter(F.xxhash64("doc_id") < int(-(2**63) + share * 2**64))
+    first = first.groupBy("doc_id").agg(*[F.min(v).alias(v) for v in values])
+    if rows is not None:
+        first = first.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    own = [c for c in docs.columns if c.lower() == "doc_id"][0]
+    texts = docs.select(F.col(own).alias("doc_id"), F.col("text").alias("text")).filter(F.length("text") > 0)
+    begin = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
+    out = texts.join(F.broadcast(first), "doc_id").select("doc_id", F.substring(F.col("text"), begin.cast("int"), F.lit(chars)).alias("text"), *values).toPandas()
     # rows of one doc_id may repeat, and rows arrive in any order
-    return out.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id").head(rows).reset_index(drop=True)
+    out = out.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id")
+    return (out if rows is None else out.head(rows)).reset_index(drop=True)
 
 
 def pieces(texts: list[str], most: int = 2 << 20) -> Iterator[slice]:
@@ -42,9 +53,12 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 
 def scored(docs: DataFrame, score: Callable[[], Callable[[list[str]], list]], text: str, fields: list[tuple[str, str]]) -> DataFrame:
-    """docs without its text column, with what score()(texts) returns for each field (name, type)."""
+    """docs without its text column, with what score()(texts) returns for each field (name, type).
+
+    Columns named like a field, in upper or lower case, are replaced.
+    """
     added = [f for f, _ in fields]
-    kept = [c for c in docs.columns if c != text and c not in added]
+    kept = [c for c in docs.columns if c.lower() not in (text.lower(), *map(str.lower, added))]
     df = docs.select(*[F.col(f"`{c}`").alias(f"kept_{i}") for i, c in enumerate(kept)], F.col(f"`{text}`").cast("string").alias("text_"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -63,7 +77,7 @@ def scored(docs: DataFrame, score: Callable[[], Callable[[list[str]], list]], te
 
 
 def filtered(docs: DataFrame, keep: Callable[[], Callable[[list[str]], np.ndarray]], text: str) -> DataFrame:
-    """Rows of docs for which keep()(texts) is true, as they are."""
+    """Rows of docs for which keep()(texts) is true, as they are; a null text counts as empty, an empty table stays empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = keep()

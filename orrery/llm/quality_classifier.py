@@ -18,10 +18,10 @@ from orrery.llm.learning import filtered, pieces, sample_texts, scored
 
 @dataclass(frozen=True)
 class Setting:
-    """sample: labelled rows to fit on; chars: of each at most. folds, held_out: crc32 remainder never learned from."""
+    """sample: labelled rows to fit on; chars: of each at most, else a stretch. folds, held_out: crc32 remainder never learned from."""
 
     sample: int = 5000
-    chars: int = 20_000
+    chars: int = 40_000
     folds: int = 4
     held_out: int = 2
     steps: int = 150
@@ -183,7 +183,7 @@ def learned(docs: DataFrame, labels: DataFrame, s: Setting = Setting()) -> Model
     """A model from a bounded sample of labelled rows of docs outside the held-out fold; null labels teach nothing."""
     known = labels.filter(F.col("quality").isNotNull() & (fold(F.col("doc_id"), s.folds) != s.held_out)).select("doc_id", F.col("quality").cast("int").alias("quality"))
     # labels without a text to learn from would use up the sample
-    known = known.join(docs.filter(F.length("text").between(1, s.chars)).select("doc_id"), "doc_id", "left_semi")
+    known = known.join(docs.filter(F.length("text") > 0).select("doc_id"), "doc_id", "left_semi")
     got = sample_texts(docs, known, s.sample, s.chars, ["quality"])
     return fit(got.text.tolist(), got.quality.to_numpy(), s)
 
@@ -200,11 +200,15 @@ def classified(docs: DataFrame, labels: DataFrame, s: Setting = Setting(), model
         return lambda texts: [model.score(texts)]
 
     out = scored(docs, start, "text", [("score", "double")])
-    return out.withColumn("held_out", fold(F.col("doc_id"), s.folds) == s.held_out).withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
+    return out.drop("held_out", "predicted").withColumn("held_out", fold(F.col("doc_id"), s.folds) == s.held_out).withColumn("predicted", (F.col("score") >= s.threshold).cast("int"))
 
 
 def good_only(docs: DataFrame, labels: DataFrame, s: Setting = Setting(), texts: DataFrame | None = None) -> DataFrame:
-    """Rows of docs predicted good, with their columns as they are. texts: the documents to learn from, else docs."""
+    """Rows of docs predicted good, with their columns as they are. texts: the documents to learn from, else docs.
+
+    A null or empty text is one empty line and is judged as such; texts are read as a whole, repeated rows go or stay
+    together, and an empty table gives an empty table.
+    """
     model = learned(docs if texts is None else texts, labels, s)
 
     def start():

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fresh, small
+from orrery.llm.common import durable, fresh, small
 
 
 @dataclass(frozen=True)
@@ -58,20 +58,21 @@ def evaluated(captures: DataFrame, entries: DataFrame, s: Setting = Setting(), u
     added = ["url_host", "listed_host", "listed_at", "url_kept"]
     df = captures.drop(*[c for c in captures.columns if c.lower() in added and c not in (url, fetched)])
     columns = df.columns
+    n = {k: fresh(df, f"uf_{k}") for k in ("host", "key", "found", "active")}
     # an array of what stood for each host, in order of time: an as-of lookup needs no row for each pair of host and capture
     life = intervals(entries).groupBy("host").agg(F.array_sort(F.collect_list(F.struct("valid_from", "valid_to", "blocked"))).alias("life"))
-    life = life.select(F.col("host").alias("_list_host"), F.col("life").alias("_life"))
-    few = small(life, s.broadcast_rows)
-    name = fresh(df, "uf_host")
-    df = df.withColumn(name, host(F.col(url)))
+    life = durable(life.select(F.col("host").alias("up"), "life"))
+    life = F.broadcast(life) if small(life, s.broadcast_rows) else life
+    df = df.withColumn(n["host"], host(F.col(f"`{url}`")))
     # hosts are looked up once each, however many captures a host has
-    hosts = df.select(F.col(name).alias("_host")).distinct().withColumn("_up", F.explode(parents(F.col("_host"))))
-    found = hosts.join(F.broadcast(life) if few else life, F.col("_up") == F.col("_list_host"))
-    found = found.groupBy("_host").agg(F.array_sort(F.collect_list(F.struct((-F.length("_up")).alias("rank"), F.col("_up").alias("up"), F.col("_life").alias("life")))).alias("_found"))
-    df = df.join(F.broadcast(found) if small(found, s.broadcast_rows) else found, F.col(name) == F.col("_host"), "left")
-    at = F.col(fetched)
-    active = F.transform(F.col("_found"), lambda x: F.struct(x["up"].alias("up"), F.get(F.filter(x["life"], lambda i: (i["valid_from"] <= at) & (i["valid_to"].isNull() | (at < i["valid_to"]))), F.lit(0)).alias("entry")))
-    active = F.filter(active, lambda x: x["entry"].isNotNull())
-    df = df.withColumn("_active", F.get(active, F.lit(0)))
-    out = {"url_host": F.col(name), "listed_host": F.col("_active.up"), "listed_at": F.col("_active.entry.valid_from"), "url_kept": ~F.coalesce(F.col("_active.entry.blocked"), F.lit(False))}
+    hosts = df.select(F.col(n["host"]).alias("host")).distinct().withColumn("up", F.explode(parents(F.col("host"))))
+    found = hosts.join(life, "up").groupBy("host").agg(F.array_sort(F.collect_list(F.struct((-F.length("up")).alias("rank"), "up", "life"))).alias("found"))
+    found = durable(found.select(F.col("host").alias(n["key"]), F.col("found").alias(n["found"])))
+    df = df.join(F.broadcast(found) if small(found, s.broadcast_rows) else found, F.col(n["host"]) == F.col(n["key"]), "left")
+    at = F.col(f"`{fetched}`")
+    stood = lambda i: (i["valid_from"] <= at) & (i["valid_to"].isNull() | (at < i["valid_to"]))
+    active = F.transform(F.col(n["found"]), lambda x: F.struct(x["up"].alias("up"), F.get(F.filter(x["life"], stood), F.lit(0)).alias("entry")))
+    df = df.withColumn(n["active"], F.get(F.filter(active, lambda x: x["entry"].isNotNull()), F.lit(0)))
+    got = F.col(n["active"])
+    out = {"url_host": F.col(n["host"]), "listed_host": got["up"], "listed_at": got["entry"]["valid_from"], "url_kept": ~F.coalesce(got["entry"]["blocked"], F.lit(False))}
     return df.select(*[F.col(f"`{c}`") for c in columns], *[v.alias(k) for k, v in out.items()])

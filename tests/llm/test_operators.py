@@ -115,18 +115,37 @@ def test_url_filter_is_an_as_of_join(spark):
     assert url_filter.evaluated(df.limit(0), entries).count() == 0
 
 
-def test_chat_repair_over_stretches(spark):
-    rows = [(1, i, ["user", "user", "assistant", None, "system"][i % 5], f"t{i}") for i in range(40)] + [(2, 0, "assistant", None), (None, 0, "user", "x"), (3, 0, "system", "s"), (3, 0, "system", "s")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit(1))
-    whole, cut = (chat_repair.repaired(df, chat_repair.Costs(stretch=n)).collect() for n in (1000, 3))
-    cost = lambda rs: {k: sum(r.cost for r in rs if r.conv_id == k) for k in (1, 2, 3, None)}
-    assert cost(whole) == cost(cut) and len(whole) == len(cut) == len(rows)
-    for rs in (whole, cut):
-        for k in (1, 2, 3, None):
-            text = "".join(r.rendered for r in sorted((r for r in rs if r.conv_id == k), key=lambda r: r.seq))
-            roles = [x.split("|>")[0] for x in text.split("<|") if x and not x.startswith("end")]
-            legal = roles[1:] if roles[0] == "system" else roles
-            assert legal == ["user", "assistant"] * (len(legal) // 2) and legal
+def test_chat_repair_is_the_same_for_any_cut(spark):
+    import random
+
+    rng = random.Random(3)
+    roles = ["user", "assistant", "system", None, "tool"]
+    rows = [(k, i, rng.choice(roles), f"t{i}") for k in range(25) for i in range(rng.randrange(1, 40))]
+    rows += [(100, 0, "assistant", None), (None, 0, "user", "x"), (101, 0, "system", "s"), (101, 0, "system", "s"), (102, None, "user", "y" * 5000), (None, 0, "assistant", "")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("cost", F.lit(1)).withColumn("part", F.lit(1))
+    c = chat_repair.Costs()
+    low = lambda x: (x is not None, x)
+    want = []
+    for k in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == k), key=lambda r: (low(r[1]), low(r[2]), r[3] or ""))
+        way = chat_repair.solve([r[2] for r in own], chat_repair.START, [chat_repair.ending(x, c) for x in range(4)], c)
+        text = "".join(chat_repair.rendered(to, how, r[3] or "", i == 0) for i, (r, (to, how)) in enumerate(zip(own, way))) + chat_repair.tail(way[-1][0])
+        legal = [x.split("|>")[0] for x in text.split("<|") if x and not x.startswith("end")]
+        legal = legal[1:] if legal[0] == "system" else legal
+        assert legal == ["user", "assistant"] * (len(legal) // 2) and legal
+        want.append((k, [(r[2], chat_repair.ROLES[to - 1], bool(how[0]), bool(how[1])) for r, (to, how) in zip(own, way)], text))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts, s in ((1, chat_repair.Costs()), (4, chat_repair.Costs(stretch=3)), (7, chat_repair.Costs(stretch=1)), (4, chat_repair.Costs(stretch_chars=9))):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            out = chat_repair.repaired(df, s).collect()
+            assert len(out) == len(rows)
+            for k, steps, text in want:
+                own = sorted((r for r in out if r.conv_id == k), key=lambda r: r.position)
+                assert [r.position for r in own] == list(range(len(own)))
+                assert [(r.role, r.new_role, r.relabelled, r.merged) for r in own] == steps and "".join(r.rendered for r in own) == text
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
     assert chat_repair.repaired(df.limit(0)).count() == 0
 
 
@@ -141,7 +160,23 @@ def test_classifiers_bear_odd_rows(odd, labels):
         out = module.classified(odd, labels).collect()
         assert len(out) == 11 and all(0 <= r.score <= 1 and r.predicted in (0, 1) and r.held_out is not None for r in out)
         assert module.classified(odd.limit(0), labels.limit(0)).count() == 0
+        clash = odd.withColumnsRenamed({"score": "SCORE", "kept": "Held_Out"})
+        assert module.classified(clash, labels).columns == ["doc_id", "lang", "source", "n_chars", "score", "held_out", "predicted"]
     assert quality_classifier.good_only(odd, labels).columns == odd.columns
+    assert quality_classifier.good_only(odd.limit(0), labels).count() == 0
+
+
+def test_added_columns_may_have_any_names(spark, odd):
+    names = {"lang": "_host", "source": "_life", "n_chars": "uf_host", "score": "_active", "kept": "_found"}
+    df = odd.withColumnsRenamed(names).withColumn("url", F.lit("http://a.org/")).withColumn("fetched_at", F.lit("2024-01-01").cast("timestamp"))
+    entries = spark.createDataFrame([("a.org", "block", datetime.datetime(2023, 1, 1))], "host string, action string, listed_at timestamp")
+    out = url_filter.evaluated(df, entries)
+    assert out.columns == [*df.columns, "url_host", "listed_host", "listed_at", "url_kept"] and out.filter("url_kept").count() == 0
+    assert quality_rules.accepted(odd.withColumn("qa_0", F.lit(1)).withColumn("qr_w", F.lit(1))).columns == [*odd.columns, "qa_0", "qr_w"]
+    assert mixing.repeated(odd.withColumn("mix_tilt", F.lit(1))).columns == [*odd.columns, "mix_tilt"]
+    assert near_dedup.deduplicated(odd.withColumn("_row", F.lit(1))).columns == [*odd.columns, "_row"]
+    for f in (quality_rules.accepted, mixing.repeated):
+        assert f(odd.limit(0)).count() == 0
 
 
 def near_by_hand(rows, n):

@@ -89,19 +89,38 @@ def test_automaton_knows_every_substring():
             assert (state >= 0) == (word in subs)
 
 
-def test_phrases_by_brute_force():
-    m = L.fit(["the cat sat on the mat", "der hund und die katze"], ["en", "de"], L.Setting(chars=80, lane=1000))
-    texts = ["the hat", "die mat und der", "xyz", "the the the"]
-    counts, _ = m.phrases(texts)
-    for k, ref in enumerate(["der hund und die katze ", "the cat sat on the mat "]):
-        for i, text in enumerate(texts):
-            n, at = 0, 0
-            while at < len(text):
-                end = at + 1
-                while end < len(text) and text[at : end + 1] in ref:
-                    end += 1
-                n, at = n + 1, end
-            assert counts[i, k] == n, (text, ref)
+def phrases_by_hand(text, ref):
+    n, at = 0, 0
+    while at < len(text):
+        end = at + 1
+        while end < len(text) and text[at : end + 1] in ref:
+            end += 1
+        n, at = n + 1, end
+    return n
+
+
+@pytest.mark.parametrize("lane", [1, 7, 128])
+def test_phrases_by_brute_force(lane):
+    rng = random.Random(5)
+    refs = ["the cat sat on the mat and the dog sat on the cat", "der hund und die katze und der andere hund"]
+    m = L.fit(refs, ["en", "de"], L.Setting(chars=200, lane=lane))
+    texts = ["the hat", "die mat und der", "xyz", "the the the", ""]
+    texts += ["".join(rng.choice(["the", "und", " ", "a", "katze", "on the mat", "q"]) for _ in range(n)) for n in (5, 50, 400)]
+    texts += [(refs[0] + " ") * 20, "x".join([refs[1]] * 9)]
+    texts = [" ".join(t.split()) for t in texts]
+    counts = m.phrases(texts)
+    for k, ref in enumerate([refs[1] + " ", refs[0] + " "]):
+        assert counts[:, k].tolist() == [phrases_by_hand(t, ref) for t in texts]
+
+
+def test_rare_and_distant_languages():
+    rng = random.Random(6)
+    make = lambda low, n: " ".join("".join(chr(low + rng.randrange(24)) for _ in range(5)) for _ in range(n))
+    words = {k: [make(low, 1) for _ in range(60)] for k, low in (("aa", 97), ("ru", 0x430), ("zh", 0x4E00), ("far", 0x20000))}
+    text = lambda k, n: " ".join(rng.choice(words[k]) for _ in range(n))
+    m = L.fit([text("aa", 4000), text("ru", 4000), text("zh", 4000), text("far", 60)], ["aa", "ru", "zh", "far"])
+    for k in words:
+        assert m.score([text(k, 30)])[0].to_pylist() == [k]
 
 
 def test_language_of_texts_without_letters():
@@ -178,8 +197,14 @@ def test_role_repair_is_cheapest(seed):
     whole = C.table(roles, c)
     best = min(int(whole[C.START, s]) + C.ending(s, c) for s in range(4))
     assert best == cheapest(0, C.START)
-    end = min(range(4), key=lambda s: whole[C.START, s] + C.ending(s, c))
-    way = C.solve(roles, C.START, end, c)
+    rest = [C.ending(s, c) for s in range(4)]
+    way = C.solve(roles, C.START, rest, c)
+    end = way[-1][0]
+    # any cut gives the same way
+    for k in range(len(roles) + 1):
+        after = C.costs_left(roles[k:], rest, c)[0].tolist()
+        middle = C.ends_of(roles[:k], after, c)[C.START]
+        assert C.solve(roles[:k], C.START, after, c) + C.solve(roles[k:], middle, rest, c) == way
     assert sum(c.relabel * how[0] + c.merge * how[1] + c.insert * len(how[2]) for _, how in way) + C.ending(end, c) == best
 
 
