@@ -29,7 +29,7 @@ class Mix:
     weights: tuple[int, ...] = (3, 1, 2)
     share: float = 1.5
     most: int = 2
-    iterations: int = 40
+    iterations: int = 200
     tolerance: float = 1e-9
     bins: int = 1024
     rounds: int = 3
@@ -105,8 +105,12 @@ def tilts(sizes: DataFrame, mix: Mix = Mix()) -> DataFrame:
         new = new.withColumn("off", F.coalesce(F.abs(gap) / F.col("target"), F.lit(0.0)))
         new = new.withColumn("tilt", F.when(F.col("off") <= mix.tolerance, F.col("tilt")).otherwise(F.round(F.when(inside, newton).otherwise(halved), 12)))
         state = durable(new.select(*state.columns))
-        if not state.filter(F.col("off") > mix.tolerance).take(1):
+        # a bracket narrower than the tilt's own digits cannot be halved further
+        wide = F.coalesce(F.col("high") - F.col("low"), F.lit(1.0)) > 1e-11
+        if not state.filter((F.col("off") > mix.tolerance) & wide).take(1):
             break
+    else:
+        raise ArithmeticError(f"the tilts have not settled after {mix.iterations} steps")
     return state.select("source", "source_size", "target", "mean", "full", "tilt")
 
 
@@ -174,7 +178,11 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 
 def repeated(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
-    """docs as the mix takes them: rows without a copy go, others come once for each copy. Columns stay as they are."""
+    """docs as the mix takes them: rows without a copy go, others come once for each copy. Columns stay as they are.
+
+    Null and empty texts go; a null source is a source; rows of one id and size go or stay together; an empty table stays
+    empty; columns may have any names.
+    """
     _, per = plan(docs, mix)
     names = {c: fresh(docs, f"mix_{c}") for c in ("tilt", "mean", "full", "delta", "size", "copy", "source")}
     other = per.select(F.col("source").alias(names["source"]), *[F.col(c).alias(names[c]) for c in ("tilt", "mean", "full", "delta")])

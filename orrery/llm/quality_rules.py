@@ -76,10 +76,10 @@ def _with_histograms(docs: DataFrame, text: Column, w: str, names: dict[str, str
 def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> dict[str, tuple[list[float], list[float]]]:
     """Character and word shares by language, summed over all documents that are plain prose by their shares of symbols and capitals.
 
-    One row for each language of COMMON_WORDS reaches the driver, whatever the size of the corpus. A language
-    without words in the corpus has no reference.
+    One row for each language of the corpus reaches the driver, whatever its size. A language without plain prose has
+    no reference; one that COMMON_WORDS lacks has its own shares of the listed words, and mostly the class of other words.
     """
-    df = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isin(sorted(COMMON_WORDS)))
+    df = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull())
     df = df.withColumn("w", words(F.col("t")))
     df = _with_histograms(df, F.col("t"), "w", {k: k for k in ("rare", "chars", "common", "hits", "hist")})
     n, m, size = BINS, len(VOCABULARY) + 1, F.length("t")
@@ -185,7 +185,10 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
 
 
 def accepted(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang: str = "lang") -> DataFrame:
-    """Rows of docs that are kept, with their columns as they are."""
+    """Rows of docs that are kept, with their columns as they are, whatever their names.
+
+    Null and empty texts go, as they fail the base rules; repeated rows go or stay together; an empty table stays empty.
+    """
     hidden = {c: f"qa_{i}" for i, c in enumerate(docs.columns)}
     df = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in hidden.items()])
     df = judged(df, limits, hidden[text], hidden[lang])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.llm.quality_rules import BINS, CLASSES, COMMON_WORDS, SYMBOL, SYMBOLS, UPPER, VOCABULARY, Limits
+from orrery.llm.quality_rules import BINS, CLASSES, SYMBOL, SYMBOLS, UPPER, VOCABULARY, Limits
 
 
 def _quoted(text: str) -> str:
@@ -18,7 +18,6 @@ def judged_sql(s: Limits = Limits()) -> str:
     chars = [f"CAST(length(t) - length(regexp_replace(t, '{_quoted(c)}', '', 'g')) AS DOUBLE)" for c in CLASSES.values()]
     chars = ["CAST(length(t) - length(array_to_string(w, '')) AS DOUBLE)", *chars]
     hits = [f"CAST(len(list_filter(w, lambda x: x = '{v}')) AS DOUBLE)" for v in VOCABULARY]
-    langs = ", ".join(f"'{k}'" for k in COMMON_WORDS)
     total = lambda name, n: ", ".join(f"sum(CAST({name}[{i + 1}] AS BIGINT)) FILTER (ok)" for i in range(n))
     return f"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, coalesce(text, '') AS t FROM documents),
@@ -26,7 +25,7 @@ w AS (SELECT *, list_filter(string_split_regex(t, '[\\x20\\x09-\\x0D]+'), lambda
 c0 AS (SELECT *, [{', '.join(chars)}] AS rare, [{', '.join(hits)}] AS hits FROM w),
 c AS (SELECT * EXCLUDE (rare, hits), list_concat([length(t) - list_sum(rare)], rare) AS chars, list_concat([len(w) - list_sum(hits)], hits) AS hist,
   len(w) >= {s.min_words} AND rare[{SYMBOL}] <= {s.clean_symbols} * length(t) AND rare[{UPPER}] <= {s.clean_upper} * length(t) AS ok FROM c0),
-sums AS (SELECT lang, [{total('chars', BINS)}] AS cs, [{total('hist', len(VOCABULARY) + 1)}] AS hs FROM c WHERE lang IN ({langs}) GROUP BY lang),
+sums AS (SELECT lang, [{total('chars', BINS)}] AS cs, [{total('hist', len(VOCABULARY) + 1)}] AS hs FROM c WHERE lang IS NOT NULL GROUP BY lang),
 refs AS (SELECT lang, list_transform(cs, lambda x: CAST(x AS DOUBLE) / list_sum(cs)) AS rc, list_transform(hs, lambda x: CAST(x AS DOUBLE) / list_sum(hs)) AS rh FROM sums WHERE list_sum(cs) > 0 AND list_sum(hs) > 0),
 win AS (SELECT id, unnest(range(1, len(w) - 1)) AS i, unnest(list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' '))) AS g FROM w WHERE len(w) >= 3),
 twice AS (SELECT id, i FROM (SELECT *, count(*) OVER (PARTITION BY id, g) AS n FROM win) WHERE n > 1),

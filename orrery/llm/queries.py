@@ -96,7 +96,7 @@ e AS (SELECT host, true AS blocked, TIMESTAMP '2024-03-01' AS since FROM h WHERE
   UNION ALL SELECT host, false, TIMESTAMP '2024-09-01' FROM h WHERE substring(md5(host), 1, 1) <= '4' AND substring(md5(host), 2, 1) <= '7'
   UNION ALL SELECT host, true, TIMESTAMP '2024-06-01' FROM h WHERE len(string_split(host, '.')) = 3 AND substring(md5(host), 3, 1) <= '2'),
 iv AS (SELECT host, blocked, since, lead(since) OVER (PARTITION BY host ORDER BY since) AS til FROM e),
-up AS (SELECT host, unnest(list_distinct(list_append(list_transform(range(1, 1 + least(6, len(string_split(host, '.')))), lambda k: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - k + 1:], '.')), host))) AS u FROM h),
+up AS (SELECT host, unnest(list_distinct(list_append(list_transform(range(1, 1 + len(string_split(host, '.'))), lambda k: array_to_string(string_split(host, '.')[len(string_split(host, '.')) - k + 1:], '.')), host))) AS u FROM h),
 m AS (SELECT p.page_id, u, since, blocked, row_number() OVER (PARTITION BY p.page_id ORDER BY length(u) DESC) AS r FROM p JOIN up ON p.host = up.host JOIN iv ON iv.host = up.u AND since <= fetched AND (til IS NULL OR fetched < til))
 SELECT p.page_id, p.host AS url_host, m.u AS listed_host, strftime(m.since, '%Y-%m-%d') AS listed_on, NOT coalesce(m.blocked, false) AS url_kept FROM p LEFT JOIN m ON p.page_id = m.page_id AND m.r = 1""",
     "op7_near_dedup": r"""
@@ -111,10 +111,10 @@ SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, coalesce(c, doc_id) AS comp
         "WORDS", _WORDS.replace("TXT", "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")
     ),
     "op8_topk_search": """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+WITH v AS (SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
-r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+s AS (SELECT q.id, q.vec_id AS query_id, c.vec_id, CAST(coalesce(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.id <> c.id AND len(q.e) = len(c.e)),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }

@@ -16,24 +16,27 @@ from pyspark.sql import functions as F
 
 from orrery.llm.common import durable
 
-TOP = "query_id long, vec_id long, score long"
+TOP = "query_row long, query_id long, vec_id long, score long"
 
 
 @dataclass(frozen=True)
 class Tiling:
-    """k: results for each query. shard, block: rows of a tile's sides. fan_in: partial lists that meet in one task's group."""
+    """k: results for each query. shard, block: rows of a tile's sides. fan_in: partial lists that meet in one task's group.
+
+    A candidate is sent once to each block of queries and a query once to each shard, so larger sides mean fewer copies.
+    """
 
     k: int = 20
     shard: int = 8192
-    block: int = 2048
+    block: int = 8192
     fan_in: int = 16
     scale: int = 64
 
 
 def usable(embedding: Column) -> Column:
-    """Neither null nor with a null, NaN or infinite component; an empty vector is not usable either."""
+    """Neither null nor with a null, NaN or infinite component."""
     bad = F.exists(embedding, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return embedding.isNotNull() & (F.size(embedding) > 0) & ~F.coalesce(bad, F.lit(True))
+    return embedding.isNotNull() & ~F.coalesce(bad, F.lit(True))
 
 
 def best(scores: np.ndarray, k: int) -> np.ndarray:
@@ -63,22 +66,22 @@ def _tile(queries: pd.DataFrame, shard: pd.DataFrame, k: int, block: int) -> Ite
     for n, qs in queries.groupby(queries.qv.map(len)):
         if n not in lengths:
             continue
-        ids, c = lengths[n].vec_id.to_numpy(), np.stack(lengths[n].v.to_numpy())
+        ids, own_rows, c = lengths[n].vec_id.to_numpy(), lengths[n].row.to_numpy(), np.stack(lengths[n].v.to_numpy())
         for at in range(0, len(qs), 256):
             part = qs.iloc[at : at + 256]
-            qid = part["query"].to_numpy()
+            qid, rows = part["query"].to_numpy(), part["query_row"].to_numpy()
             scores = _product(np.stack(part.qv.to_numpy()), c)
-            scores[qid[:, None] == ids[None, :]] = np.iinfo(np.int64).min
+            scores[rows[:, None] == own_rows[None, :]] = np.iinfo(np.int64).min
             r, col = np.nonzero(best(scores, k))
             own = scores[r, col] != np.iinfo(np.int64).min
             r, col = r[own], col[own]
-            yield pd.DataFrame({"query_id": qid[r], "vec_id": ids[col], "score": scores[r, col]})
+            yield pd.DataFrame({"query_row": rows[r], "query_id": qid[r], "vec_id": ids[col], "score": scores[r, col]})
 
 
 def _merge(k: int):
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True], kind="stable")
-        return pdf[pdf.groupby("query_id").cumcount() < k]
+        pdf = pdf.sort_values(["query_row", "score", "vec_id"], ascending=[True, False, True], kind="stable")
+        return pdf[pdf.groupby("query_row").cumcount() < k]
 
     return merge
 
@@ -88,27 +91,27 @@ def top_k(vectors: DataFrame, is_query: Column, t: Tiling = Tiling()) -> DataFra
 
     Components are floor(scale * x). Vectors that are null or hold null or non-finite components take no part, nor
     do rows without vec_id; vectors of another length than a query's are no candidates of it. Ties go to the smaller
-    vec_id. Repeated rows of one vec_id are one candidate (the first in order of components) and one query. An empty
-    table gives an empty table; columns besides the two are not read.
+    vec_id. Repeated rows of one vec_id are a candidate and, if so chosen, a query each, and candidates of one another. An
+    empty table gives an empty table; columns besides the two are not read.
     """
     v = F.transform(F.col("embedding"), lambda x: F.floor(F.lit(float(t.scale)) * x.cast("double")).cast("double"))
     rows = vectors.filter(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
-    rows = durable(rows.groupBy("vec_id").agg(F.min(F.struct("v", "q")).alias("x")).select("vec_id", "x.v", "x.q"))
+    rows = durable(rows.withColumn("row", F.monotonically_increasing_id()))
     n = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if("q").alias("q")).first()
     shards, blocks = max(1, -(-n["n"] // t.shard)), max(1, -(-n["q"] // t.block))
-    candidates = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    queries = rows.filter("q").withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    candidates = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    queries = rows.filter("q").withColumn("block", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(blocks)).cast("int")).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def tile(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = list(_tile(a, b, t.k, t.block)) if len(a) and len(b) else []
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return pd.concat(out) if out else pd.DataFrame({"query_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
 
     def tiles(key, a, b):
         return tile(a, b).assign(shard=np.int32(key[1]), block=np.int32(key[0]))
 
     # both sides come from one table, so one of them takes other names
-    queries = queries.select(F.col("block").alias("b"), F.col("shard").alias("s"), F.col("vec_id").alias("query"), F.col("v").alias("qv"))
-    candidates = candidates.select("block", "shard", "vec_id", "v")
+    queries = queries.select(F.col("block").alias("b"), F.col("shard").alias("s"), F.col("vec_id").alias("query"), F.col("row").alias("query_row"), F.col("v").alias("qv"))
+    candidates = candidates.select("block", "shard", "vec_id", "row", "v")
     lists = queries.groupBy("b", "s").cogroup(candidates.groupBy("block", "shard")).applyInPandas(tiles, TOP + ", shard int, block int")
     merge = _merge(t.k)
     while shards > 1:
@@ -116,6 +119,6 @@ def top_k(vectors: DataFrame, is_query: Column, t: Tiling = Tiling()) -> DataFra
         lists = lists.withColumn("shard", (F.col("shard") / t.fan_in).cast("int"))
         lists = lists.groupBy("block", "shard").applyInPandas(lambda pdf: merge(pdf), TOP + ", shard int, block int")
     rank = F.struct((-F.col("score")).alias("s"), "vec_id")
-    out = lists.groupBy("query_id").agg(F.array_sort(F.collect_list(rank)).alias("top"))
+    out = lists.groupBy("query_row", "query_id").agg(F.array_sort(F.collect_list(rank)).alias("top"))
     out = out.select("query_id", F.posexplode("top").alias("rank", "x"))
     return out.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("x.vec_id").alias("vec_id"), (-F.col("x.s")).alias("score"))

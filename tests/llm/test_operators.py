@@ -241,15 +241,18 @@ def test_top_k_by_brute_force(spark):
 
     rng = random.Random(9)
     rows = [(i, [rng.choice([-0.5, 0.25, 0.01, 1.5]) for _ in range(4)], i) for i in range(120)]
-    rows += [(200, None, 0), (201, [0.1, None, 0.2, 0.3], 0), (202, [float("nan"), 1.0, 1.0, 1.0], 0), (None, [1.0] * 4, 0), (203, [], 0), (40, rows[40][1], 0)]
+    rows += [(i % 7, [0.5] * 4, 0) for i in range(3)] + [(41, rows[41][1], 0)]
+    v = [(i, [math.floor(64 * x) for x in e]) for i, e, _ in rows]
+    rows += [(200, None, 0), (201, [0.1, None, 0.2, 0.3], 0), (202, [float("nan"), 1.0, 1.0, 1.0], 0), (None, [1.0] * 4, 0), (203, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")
-    v = {i: [math.floor(64 * x) for x in e] for i, e, _ in rows[:120]}
     for shard in (8192, 16):
         out = topk_search.top_k(df, F.col("vec_id") % 20 == 0, topk_search.Tiling(shard=shard, block=2, fan_in=2)).collect()
-        for q in range(0, 120, 20):
-            want = sorted(((-sum(a * b for a, b in zip(v[q], v[c])), c) for c in v if c != q))[:20]
-            got = sorted(((r.rank, -r.score, r.vec_id) for r in out if r.query_id == q))
-            assert [(s, c) for _, s, c in got] == want and [k for k, _, _ in got] == list(range(1, 21))
+        want = []
+        for at, (q, x) in enumerate(v):
+            if q % 20 == 0:
+                best = sorted((-sum(a * b for a, b in zip(x, y)), c) for k, (c, y) in enumerate(v) if k != at)[:20]
+                want += [(q, rank + 1, c, -score) for rank, (score, c) in enumerate(best)]
+        assert sorted(tuple(r) for r in out) == sorted(want)
     assert topk_search.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
