@@ -40,8 +40,8 @@ class _Walk:
         for child in ast.walk(node):
             if isinstance(child, ast.Import):
                 for a in child.names:
-                    # without an alias only the first part is bound, to the package of that name
-                    self.add("import", owner, a.asname or a.name.split(".")[0], a.name if a.asname or "." not in a.name else a.name.split(".")[0], None, child)
+                    if a.asname or "." not in a.name:  # a dotted name without an alias binds nothing that is followed
+                        self.add("import", owner, a.asname or a.name, a.name, None, child)
                     self.add("target", owner, a.name, None, "0", child)
             elif isinstance(child, ast.ImportFrom):
                 for a in child.names:

@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 class Rule(NamedTuple):
-    """kind of anchor and how it is found; pattern on a line; roles left out; whether only a file's first hit counts."""
+    """kind of anchor and how it is found; pattern on a line; roles left out; whether only a file's first hit counts.
+
+    Where `beside` is given, the file's path or text must fit that too.
+    """
 
     kind: str
     method: str
@@ -17,6 +20,7 @@ class Rule(NamedTuple):
     pattern: str
     without: tuple[str, ...]
     first: bool
+    beside: str | None = None
 
 
 #: Borders of words in any script; engines differ in what they take for a letter.
@@ -30,13 +34,13 @@ RULES = [
     Rule("cli_command", "python_main_guard", 0.86, r"__name__.*__main__", NOT_DOCS, False),
     Rule("cli_command", "cli_library_signal", 0.78, r"(?i)argparse\.argumentparser|click\.command|typer\(", NOT_DOCS, False),
     Rule("worker", "worker_signal", 0.72, rf"(?i)@(shared_task|celery\.task)|{_B}new\s+Worker{_E}|{_B}Queue\(", NOT_DOCS, True),
-    Rule("cron_job", "cron_or_schedule_signal", 0.74, rf"(?i){_B}(cron\.schedule|schedule\.every|crontab|cronjob|schedule:)", NOT_DOCS, True),
+    Rule("cron_job", "cron_or_schedule_signal", 0.74, rf"(?i){_B}(cron\.schedule|schedule\.every|@scheduled|crontab|cronjob|schedule:)", NOT_DOCS, True),
     Rule("webhook", "webhook_signal", 0.78, r"(?i)webhook", NOT_DOCS, True),
     Rule("db_schema", "schema_or_migration_file", 0.76, rf"(?i){_B}(create\s+table|alter\s+table|create\s+index){_E}", NOT_DOCS, True),
     Rule("queue_boundary", "queue_signal", 0.67, rf"(?i){_B}(queue|publish|subscribe|consumer|producer|enqueue|dequeue|rabbitmq|kafka|sqs){_E}", NOT_DOCS, True),
     Rule("external_api_client", "outbound_http_signal", 0.68, rf"(?i){_B}(fetch|axios\.\w+|httpx\.\w+|requests\.\w+)\s*\(|https?://[^'\"\s]+", NOT_CODE, True),
-    Rule("plugin_registry", "plugin_registry_signal", 0.66, rf"(?i){_B}(plugin|extension|registry|register_plugin|register\()", NOT_DOCS, True),
-    Rule("auth_boundary", "auth_signal", 0.70, rf"(?i){_B}(auth|authenticate|authorization|jwt|token|session|permission|login){_E}", NOT_DOCS, True),
+    Rule("plugin_registry", "plugin_registry_signal", 0.66, rf"(?i){_B}(plugin|extension|registry|register_plugin|register\()", NOT_DOCS, True, rf"(?i){_B}(plugin|extension|registry){_E}"),
+    Rule("auth_boundary", "auth_signal", 0.70, rf"(?i){_B}(auth|authenticate|authorization|jwt|token|session|permission|login){_E}", NOT_DOCS, True, rf"(?i){_B}(auth|jwt|token|session|permission|login){_E}"),
 ]
 #: What a document may be about.
 SIGNALS = ["api", "auth", "authentication", "authorization", "cli", "client", "database", "deployment", "docker", "event", "frontend", "http", "integration", "job", "queue", "route", "server", "service", "test", "transport", "webhook", "worker", "workflow"]
@@ -46,18 +50,69 @@ NOTED_MANIFESTS = ["package.json", "pyproject.toml", "requirements.txt", "go.mod
 NOTE_ORDER = ["readme", "manifest", "docs_page", "deployment_note", "example", "config", "text_note"]
 
 
+#: What a route's label is taken from, by method.
+ROUTES = {
+    "python_route_decorator": r"(?i)@\s*(?:app|router|blueprint|bp)\.(get|post|put|patch|delete|head|options|route)\s*\(\s*['\"]([^'\"]+)['\"]",
+    "python_route_map_assignment": r"(?i)routes\s*\[\s*['\"](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+([^'\"]+)['\"]\s*\]",
+    "javascript_route_call": r"(?i)(?:app|router|server)\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['`]([^'`]+)['`]",
+}
+
+
+def _label(method: str, text: Column, path: Column) -> Column:
+    if method in ROUTES:
+        return F.concat(F.upper(F.regexp_extract(text, ROUTES[method], 1)), F.lit(" "), F.regexp_extract(text, ROUTES[method], 2))
+    return {"python_main_guard": F.lit("Python module entrypoint"), "cli_library_signal": F.lit("CLI command setup")}.get(method, path)
+
+
 def line_anchors(lines: DataFrame) -> DataFrame:
-    """kind, path, line, method, confidence, status from lines (path, role, line, text): all rules in one pass.
+    """kind, path, line, label, method, confidence, status from lines (path, role, line, text): all rules in one pass.
 
-    Of one kind, file and line the most certain method stays, then the first in order of rules.
+    Of one kind, file, line and label (in lower case) the most certain method stays, then the first in order of rules.
     """
-    hits = F.array_compact(F.array(*[F.when(~F.col("role").isin(list(r.without)) & F.col("text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.method).alias("method"), F.lit(r.confidence).alias("confidence"), F.lit(r.first).alias("first"))) for i, r in enumerate(RULES)]))
+    hit = lambda i, r: F.when(
+        ~F.col("role").isin(list(r.without)) & F.col("text").rlike(r.pattern),
+        F.struct(F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.method).alias("method"), F.lit(r.confidence).alias("confidence"), F.lit(r.first).alias("first"), _label(r.method, F.col("text"), F.col("path")).alias("label")),
+    )
+    hits = F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(RULES)]))
+    # which second conditions a file meets, as bits, summed up for each file before any join
+    beside = [(i, r.beside) for i, r in enumerate(RULES) if r.beside]
+    bits = [F.max(F.when(F.col("text").rlike(p) | F.col("path").rlike(p), 1).otherwise(0)).alias(f"b{i}") for i, p in beside]
     df = lines.select("path", "line", F.explode(hits).alias("x")).select("path", "line", "x.*")
-    once = df.filter("first").groupBy("path", "rule", "kind", "method", "confidence").agg(F.min("line").alias("line"))
-    df = df.filter("not first").select("path", "rule", "kind", "method", "confidence", "line").unionByName(once)
-    best = F.row_number().over(Window.partitionBy("kind", "path", "line").orderBy(F.desc("confidence"), "rule"))
+    once = df.filter("first").groupBy("path", "rule", "kind", "method", "confidence", "label").agg(F.min("line").alias("line"))
+    df = df.filter("not first").select("path", "rule", "kind", "method", "confidence", "label", "line").unionByName(once)
+    met = lines.groupBy("path").agg(*bits)
+    fails = F.lit(False)
+    for i, _ in beside:
+        fails = fails | ((F.col("rule") == i) & (F.col(f"b{i}") == 0))
+    df = df.join(met, "path").filter(~fails)
+    best = F.row_number().over(Window.partitionBy("kind", "path", "line", F.lower("label")).orderBy(F.desc("confidence"), "rule"))
     df = df.withColumn("r", best).filter("r = 1")
-    return df.select("kind", "path", "line", "method", "confidence", F.when(F.col("confidence") >= DETECTED, "source_detected").otherwise("candidate").alias("status"))
+    return df.select("kind", "path", "line", "label", "method", "confidence", F.when(F.col("confidence") >= DETECTED, "source_detected").otherwise("candidate").alias("status"))
+
+
+def export_anchors(lines: DataFrame) -> DataFrame:
+    """path, line, label, method, confidence of names that a Python package's own file gives out; lines: (path, role, line, text)."""
+    own = lines.filter(F.element_at(F.split("path", "/"), -1) == "__init__.py").filter(~F.col("role").isin(list(NOT_CODE)))
+    taken = F.regexp_extract("text", r"^\s*from\s+\.[\w.]+\s+import\s+(.+)$", 1)
+    listed = F.regexp_extract("text", r"^\s*__all__\s*=\s*\[(.+)\]", 1)
+    names = F.transform(F.split(taken, ","), lambda x: F.element_at(F.split(F.trim(x), " as "), 1))
+    imported = own.filter(taken != "").select("path", "line", F.explode(F.slice(names, 1, 12)).alias("label")).filter("label <> '' and not startswith(label, '_')")
+    quoted = F.regexp_extract_all(listed, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
+    given = own.filter((taken == "") & (listed != "")).select("path", "line", F.explode(F.slice(quoted, 1, 20)).alias("label"))
+    out = imported.select("path", "line", "label", F.lit("python_package_init_import").alias("method"), F.lit(0.86).alias("confidence"))
+    return out.unionByName(given.select("path", "line", "label", F.lit("python_dunder_all").alias("method"), F.lit(0.88).alias("confidence")))
+
+
+def manifest_anchors(files: DataFrame) -> DataFrame:
+    """kind, path, label, method, confidence of package.json files (path, role, text): scripts, exports and main; broken JSON gives none."""
+    own = files.filter(F.element_at(F.split("path", "/"), -1) == "package.json")
+    text = F.col("text")
+    scripts = F.slice(F.map_keys(F.from_json(F.get_json_object(text, "$.scripts"), "map<string,string>")), 1, 20)
+    row = lambda k, label, m, c: F.struct(F.lit(k).alias("kind"), label.alias("label"), F.lit(m).alias("method"), F.lit(c).alias("confidence"))
+    exports, main = F.get_json_object(text, "$.exports"), F.get_json_object(text, "$.main")
+    run = F.when(~F.col("role").isin(list(NOT_DOCS)), F.transform(scripts, lambda x: row("cli_command", F.concat(F.lit("npm script: "), x), "package_json_script", 0.72)))
+    rest = F.array_compact(F.array(F.when(exports.isNotNull() & ~exports.isin("", "{}", "[]"), row("public_export", F.lit("package exports"), "package_json_exports", 0.80)), F.when(main != "", row("public_export", F.concat(F.lit("package main: "), main), "package_json_main", 0.72))))
+    return own.select("path", F.explode(F.concat(F.coalesce(run, F.slice(rest, 1, 0)), rest)).alias("x")).select("x.kind", "path", "x.label", "x.method", "x.confidence")
 
 
 def signals(text: Column, limit: int = 20_000) -> Column:

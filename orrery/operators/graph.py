@@ -63,7 +63,7 @@ def hops(edges: DataFrame, start: DataFrame, k: int, directed: bool = False) ->
     if not directed:
         both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = durable(both)
-    seen = durable(start.select("node").distinct().withColumn("depth", F.lit(0)))
+    seen = durable(start.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, k + 1):
         step = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
@@ -95,9 +95,9 @@ def branch_points(tree: DataFrame) -> DataFrame:
 
 
 def representatives(ancestors: DataFrame, collapsed: DataFrame) -> DataFrame:
-    """(node, shown): the highest collapsed ancestor that hides a node, else the node. ancestors: (node, ancestor, distance)."""
+    """(node, shown): the nearest collapsed ancestor, the node itself included, else the node. ancestors: (node, ancestor, distance)."""
     hit = ancestors.join(collapsed.select(F.col("node").alias("ancestor")), "ancestor")
-    top = hit.groupBy("node").agg(F.max_by("ancestor", "distance").alias("shown"))
+    top = hit.groupBy("node").agg(F.min_by("ancestor", "distance").alias("shown"))
     return ancestors.select("node").distinct().join(top, "node", "left").select("node", F.coalesce("shown", "node").alias("shown"))
 
 
@@ -170,25 +170,137 @@ def clusters(pairs: DataFrame, least: int = 3) -> DataFrame:
     return pairs.groupBy("group_id").applyInPandas(run, f"group_id {kind['group_id']}, a {kind['a']}, b {kind['b']}, bridge boolean, cluster {kind['a']}")
 
 
+def members(pairs_with_clusters: DataFrame) -> DataFrame:
+    """(group_id, module, cluster) of the modules that clusters() puts into a cluster."""
+    ends = pairs_with_clusters.filter("cluster is not null")
+    return ends.select("group_id", F.explode(F.array("a", "b")).alias("module"), "cluster").distinct()
+
+
+def cluster_table(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """(group_id, cluster, display_name, size, internal, boundary) of members() inside, over edges between modules of one group.
+
+    A relation is internal with both ends in the cluster and on its boundary with one; both ends lie in the same group.
+    display_name counts clusters in order of group and smallest member.
+    """
+    df = edges.filter("source_group = target_group and source_module <> target_module").select("id", F.col("source_group").alias("group_id"), "source_module", "target_module")
+    side = lambda end: inside.select("group_id", F.col("module").alias(f"{end}_module"), F.col("cluster").alias(f"{end}_cluster"))
+    df = df.join(side("source"), ["group_id", "source_module"], "left").join(side("target"), ["group_id", "target_module"], "left")
+    ends = F.array_distinct(F.array_compact(F.array("source_cluster", "target_cluster")))
+    same = F.col("source_cluster").eqNullSafe(F.col("target_cluster"))
+    counts = df.select("group_id", F.explode(ends).alias("cluster"), same.alias("same")).groupBy("group_id", "cluster").agg(F.count_if("same").alias("internal"), F.count_if(~F.col("same")).alias("boundary"))
+    sizes = inside.groupBy("group_id", "cluster").agg(F.count(F.lit(1)).alias("size"))
+    # one row for each cluster, so numbering them in one task is small next to the modules
+    number = F.row_number().over(Window.orderBy("group_id", "cluster"))
+    out = sizes.join(counts, ["group_id", "cluster"], "left").withColumn("display_name", F.concat(F.lit("Structural cluster "), number))
+    return out.select("group_id", "cluster", "display_name", "size", F.coalesce("internal", F.lit(0)).alias("internal"), F.coalesce("boundary", F.lit(0)).alias("boundary"))
+
+
+def cluster_edges(edges: DataFrame, inside: DataFrame) -> DataFrame:
+    """(source_cluster, target_cluster, kind, relation_count, pair_count) between clusters of any groups; a cluster is (group, smallest member)."""
+    name = F.concat_ws(":", "group_id", "cluster")
+    side = lambda end: inside.select(F.col("module").alias(f"{end}_module"), name.alias(f"{end}_cluster"))
+    df = edges.join(side("source"), "source_module").join(side("target"), "target_module").filter("source_cluster <> target_cluster")
+    pairs = df.groupBy("source_cluster", "target_cluster", "kind", "source_module", "target_module").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.groupBy("source_cluster", "target_cluster", "kind").agg(F.sum("n").alias("relation_count"), F.count(F.lit(1)).alias("pair_count"))
+
+
+def residuals(modules: DataFrame, pairs: DataFrame, inside: DataFrame, least: int = 3) -> DataFrame:
+    """(group_id, module, reason, region_reason) of modules (group_id, module) in no cluster."""
+    size = modules.groupBy("group_id").agg(F.count(F.lit(1)).alias("size"))
+    paired = pairs.select("group_id").distinct().withColumn("paired", F.lit(True))
+    cored = inside.select("group_id").distinct().withColumn("cored", F.lit(True))
+    touched = pairs.select("group_id", F.explode(F.array("a", "b")).alias("module")).distinct().withColumn("touched", F.lit(True))
+    df = modules.join(inside.select("group_id", "module"), ["group_id", "module"], "left_anti").join(touched, ["group_id", "module"], "left")
+    df = df.join(size, "group_id").join(paired, "group_id", "left").join(cored, "group_id", "left")
+    reason = (
+        F.when(F.col("size") < least, "region_too_small")
+        .when(F.col("paired").isNull(), "no_internal_resolved_relation")
+        .when(F.col("cored").isNull(), "no_useful_non_bridge_relation_core")
+        .when(F.col("touched").isNull(), "no_internal_resolved_relation")
+        .otherwise("only_bridge_connected_or_below_minimum_core")
+    )
+    region = F.when(F.col("size") < least, "region_too_small").when(F.col("paired").isNull(), "no_internal_resolved_relations").otherwise("insufficient_relation_core")
+    return df.select("group_id", "module", reason.alias("reason"), region.alias("region_reason"))
+
+
+def region_reasons(residual: DataFrame) -> DataFrame:
+    """(group_id, reason, members): why modules of a group are left over, and how many, by residuals()."""
+    return residual.groupBy("group_id", F.col("region_reason").alias("reason")).agg(F.count(F.lit(1)).alias("members"))
+
+
+def group_rows(modules: DataFrame, inside: DataFrame, residual: DataFrame) -> DataFrame:
+    """(id, parent, kind, members) of the whole group tree: containers, leaves, clusters, what is left over, and modules.
+
+    modules: (module, leaf, container). What is left over is wrapped only beside clusters or where a leaf is too small to
+    have any; else its modules stand in the leaf itself.
+    """
+    count = F.count(F.lit(1)).alias("members")
+    containers = modules.groupBy(F.col("container").alias("id")).agg(count).select("id", F.lit(None).cast("string").alias("parent"), F.lit("structural_container").alias("kind"), "members")
+    leaves = modules.groupBy(F.col("leaf").alias("id"), F.col("container").alias("parent")).agg(count).select("id", "parent", F.lit("structural_leaf").alias("kind"), "members")
+    cluster = F.concat_ws(":", "group_id", "cluster")
+    clusters_ = inside.groupBy(cluster.alias("id"), F.col("group_id").alias("parent")).agg(count).select("id", "parent", F.lit("relation_cluster").alias("kind"), "members")
+    wrapped = inside.select("group_id").union(residual.filter("reason = 'region_too_small'").select("group_id")).distinct().withColumn("wrapped", F.lit(True))
+    rest = residual.join(wrapped, "group_id", "left")
+    over = F.concat_ws(":", "group_id", F.lit("residual"))
+    left_over = rest.filter("wrapped").groupBy(over.alias("id"), F.col("group_id").alias("parent")).agg(count).select("id", "parent", F.lit("relation_residual").alias("kind"), "members")
+    one = F.lit(1).cast("long").alias("members")
+    of_cluster = inside.select(F.col("module").cast("string").alias("id"), cluster.alias("parent"), F.lit("module").alias("kind"), one)
+    of_rest = rest.select(F.col("module").cast("string").alias("id"), F.when(F.col("wrapped"), over).otherwise(F.col("group_id")).alias("parent"), F.lit("module").alias("kind"), one)
+    out = containers
+    for part in (leaves, clusters_, left_over, of_cluster, of_rest):
+        out = out.unionByName(part)
+    return out
+
+
+def cluster_evidence(edges: DataFrame, inside: DataFrame, modules: DataFrame, most: int = 100) -> DataFrame:
+    """(cluster_id, source, target, kind): the first `most` directed pairs of member paths in each cluster, which a reader is shown."""
+    side = lambda end: inside.join(modules.select("module", "path"), "module").select(F.col("module").alias(f"{end}_module"), F.concat_ws(":", "group_id", "cluster").alias(f"{end}_id"), F.col("path").alias(end))
+    df = edges.select("source_module", "target_module", "kind").distinct().join(side("source"), "source_module").join(side("target"), "target_module").filter("source_id = target_id")
+    df = df.select(F.col("source_id").alias("cluster_id"), "source", "target", "kind").distinct()
+    rank = F.row_number().over(Window.partitionBy("cluster_id").orderBy("source", "target", "kind"))
+    return df.withColumn("r", rank).filter(F.col("r") <= most).drop("r")
+
+
+def subtree(tree: DataFrame, root: str) -> DataFrame:
+    """Rows of tree (path, ...) strictly below root, by their paths."""
+    return tree.filter(F.col("path").startswith(f"{root}/"))
+
+
+def scope_edges(edges: DataFrame, root: str) -> DataFrame:
+    """Edges (source_path, target_path, ...) that lie inside a subtree with both ends."""
+    return edges.filter(F.col("source_path").startswith(f"{root}/") & F.col("target_path").startswith(f"{root}/"))
+
+
+def visible(ancestors: DataFrame, expanded: DataFrame) -> DataFrame:
+    """Nodes of which every proper ancestor (node, ancestor, distance > 0) is expanded (node)."""
+    above = ancestors.filter("distance > 0")
+    shut = above.join(expanded.select(F.col("node").alias("ancestor")), "ancestor", "left_anti").select("node").distinct()
+    return ancestors.select("node").distinct().join(shut, "node", "left_anti")
+
+
+def children(tree: DataFrame, parent: str | None) -> DataFrame:
+    """Rows of tree (id, parent, ...) whose parent is the given one; none for the roots."""
+    return tree.filter(F.col("parent").isNull() if parent is None else F.col("parent") == parent)
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree) over edges (a, b), both ends counted."""
     ends = edges.select(F.explode(F.array("a", "b")).alias("node"))
     return ends.groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
 
 
-def connected(edges: DataFrame, rounds: int = 50) -> DataFrame:
+def connected(edges: DataFrame) -> DataFrame:
     """(node, component) by smallest label; a label's own label is followed, so rounds grow with the logarithm of a chain."""
     both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     state = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
-    for _ in range(rounds):
+    while True:
         near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         new = state.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         up = state.select(F.col("node").alias("component"), F.col("component").alias("up"))
         new = durable(new.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
         state = new.select("node", "component")
         if not new.filter("component < old").take(1):
-            break
-    return state
+            return state
 
 
 def overlapping(anchors: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:

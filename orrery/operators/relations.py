@@ -114,10 +114,10 @@ def names(rows: DataFrame, defs: DataFrame) -> DataFrame:
     mods = rows.select(F.col("path").alias("mpath"), F.col("module").alias("mod")).distinct().filter("mod <> ''")
     one = mods.groupBy("mod").agg(F.count(F.lit(1)).alias("c"), F.min("mpath").alias("mpath")).filter("c = 1").drop("c")
     parts = F.split("extra", ":", 2)
-    level, package = parts[0].cast("int"), F.split("package", r"\.")
-    base = F.when(level == 1, F.col("package")).otherwise(F.array_join(F.slice(package, 1, F.greatest(F.size(package) - level + 1, F.lit(0))), "."))
-    mod = F.when(level == 0, F.col("detail")).when(F.col("detail") == "", base).otherwise(F.concat_ws(".", base, "detail"))
-    froms = rows.filter("fact = 'from'").select("path", "name", mod.alias("mod"), parts[1].alias("item"))
+    level, base = parts[0].cast("int"), F.col("package")
+    mod = F.when(level == 0, F.col("detail")).when(F.col("detail") == "", base).when(base == "", F.col("detail")).otherwise(F.concat_ws(".", base, "detail"))
+    # two levels up or more are not followed: such a name stays open
+    froms = rows.filter("fact = 'from'").filter(level <= 1).select("path", "name", mod.alias("mod"), parts[1].alias("item"))
     in_module = froms.join(one, "mod").join(top.select(F.col("path").alias("mpath"), F.col("name").alias("item"), F.col("kind").alias("k"), "tqual"), ["mpath", "item"])
     in_module = in_module.select("path", "name", F.col("k").alias("kind"), F.col("mpath").alias("tpath"), "tqual")
     sub = froms.join(one.select(F.col("mod").alias("sub"), F.col("mpath").alias("spath")), F.concat_ws(".", F.col("mod"), F.col("item")) == F.col("sub"))
@@ -166,7 +166,7 @@ def _agreed(df: DataFrame, keys: list[str]) -> DataFrame:
     return g.filter("n = 1 and all = sure").drop("n", "all", "sure")
 
 
-def _inherited(calls: DataFrame, bases: DataFrame, methods: DataFrame, most: int = 32) -> DataFrame:
+def _inherited(calls: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
     """path, owner, k, detail, line with tpath, tqual: the one definer of a method above a class.
 
     The search goes up class by class and stops at definers. A class that is looked past and has a base that is not
@@ -177,7 +177,7 @@ def _inherited(calls: DataFrame, bases: DataFrame, methods: DataFrame, most: int
     sure = bases.filter("cqual is not null").select(F.col("path").alias("cp"), F.col("owner").alias("cq"), F.col("cpath").alias("np"), F.col("cqual").alias("nq")).distinct()
     front = durable(calls.select(*key, F.col("path").alias("cp"), F.col("k").alias("cq")).distinct())
     seen, found, refused = front, [], []
-    for _ in range(most):
+    while True:
         past = front.join(unsure, ["cp", "cq"])
         refused.append(past.select(*key).distinct())
         up = front.join(sure, ["cp", "cq"]).select(*key, F.col("np").alias("cp"), F.col("nq").alias("cq")).distinct().join(seen, [*key, "cp", "cq"], "left_anti")
@@ -196,17 +196,18 @@ def _inherited(calls: DataFrame, bases: DataFrame, methods: DataFrame, most: int
     return one.join(bad.distinct(), key, "left_anti")
 
 
-def _above(calls: DataFrame, bases: DataFrame, methods: DataFrame, most: int = 32) -> DataFrame:
+def _above(calls: DataFrame, bases: DataFrame, methods: DataFrame) -> DataFrame:
     """path, owner, k, detail, line with tpath, tqual: the nearest definer above, where each class on the way has one certain base."""
     key = ["path", "owner", "k", "detail", "line"]
     single = bases.groupBy(F.col("path").alias("cp"), F.col("owner").alias("cq")).agg(F.count(F.lit(1)).alias("n"), F.first("cpath").alias("np"), F.first("cqual").alias("nq")).filter("n = 1 and nq is not null").drop("n")
     front = durable(calls.select(*key, F.col("path").alias("cp"), F.col("k").alias("cq")).distinct())
-    found = []
-    for _ in range(most):
-        up = front.join(single, ["cp", "cq"]).select(*key, F.col("np").alias("cp"), F.col("nq").alias("cq"))
+    seen, found = front, []
+    while True:
+        up = front.join(single, ["cp", "cq"]).select(*key, F.col("np").alias("cp"), F.col("nq").alias("cq")).join(seen, [*key, "cp", "cq"], "left_anti")
         up = durable(up.join(methods.select(F.col("path").alias("cp"), F.col("klass").alias("cq"), F.col("name").alias("detail"), F.col("local_name").alias("tqual")), ["cp", "cq", "detail"], "left"))
         found.append(up.filter("tqual is not null").select(*key, F.col("cp").alias("tpath"), "tqual"))
         front = up.filter("tqual is null").select(*key, "cp", "cq")
+        seen = seen.unionByName(front)
         if not front.take(1):
             break
     out = found[0]
@@ -254,7 +255,11 @@ def calls(rows: DataFrame, defs: DataFrame, meant: DataFrame, bases: DataFrame,
     above = _inherited(open_self, bases, methods).join(open_self, ["path", "owner", "k", "detail", "line"])
     parents = _above(raw.filter("shape = 'super'"), bases, methods).join(raw.filter("shape = 'super'"), ["path", "owner", "k", "detail", "line"])
     every = direct.unionByName(plain(above, "inherited_method")).unionByName(plain(parents, "static_super")).distinct()
-    # one meaning for each call; where ways differ none holds
+    # the ways go before one another in this order; where ways of one rank differ none holds
+    ranks = ["name", "constructor_binding", "direct_construction", "inherited_method", "static_super"]
+    rank = F.array_position(F.array(*map(F.lit, ranks)), F.col("basis"))
+    first = every.groupBy(*key).agg(F.min(rank).alias("first"))
+    every = every.join(first, key).filter(rank == F.col("first")).drop("first")
     one = every.groupBy(*key).agg(F.countDistinct("tpath", "tqual").alias("n"), F.min(F.struct("status", "basis", "tpath", "tqual")).alias("x")).filter("n = 1").select(*key, "x.*")
     out = raw.select(*key).distinct().join(one, key, "left").withColumn("status", F.coalesce("status", F.lit("unresolved")))
     return out.withColumn("confidence", F.when(F.col("status") == "partial", PARTIAL))

@@ -79,9 +79,10 @@ def find_definition(symbols: DataFrame, query: str, k: int = 20) -> DataFrame:
     return symbols.withColumn("score", score).filter("score > 0").orderBy(F.desc("score"), "path", "id").limit(k).select("id", "score")
 
 
-def find_references(lines: DataFrame, name: str, not_in: str, k: int = 20) -> DataFrame:
-    """Lines that name a symbol outside the file that defines it. The limit comes before the file is left out, as callers know it."""
-    return search_code(lines, name, k).filter(F.col("path") != not_in).withColumn("score", F.round(F.greatest(F.lit(0.1), F.col("score") - 0.5), 6))
+def find_references(lines: DataFrame, name: str, path: str | None = None, k: int = 20) -> DataFrame:
+    """Lines that name a symbol, in one file where a path is given. The limit comes before that choice, as callers know it."""
+    hits = search_code(lines, name, k)
+    return (hits if path is None else hits.filter(F.col("path") == path)).withColumn("score", F.round(F.greatest(F.lit(0.1), F.col("score") - 0.5), 6))
 
 
 def outline(lines: DataFrame, pattern: str) -> DataFrame:

@@ -134,7 +134,7 @@ def containment_branch_points(spark, d):
     return graph.branch_points(graph.containment(corpus.modules(spark, d)))
 
 
-@query(f"""WITH {MODULES} SELECT path AS node, CASE WHEN r_name IS NOT NULL THEN container WHEN module % 2 = 0 THEN leaf ELSE path END AS shown
+@query(f"""WITH {MODULES} SELECT path AS node, CASE WHEN module % 2 = 0 THEN leaf WHEN r_name IS NOT NULL THEN container ELSE path END AS shown
 FROM mods LEFT JOIN (SELECT r_name FROM region WHERE r_regionkey = 1) ON container = r_name""")
 def visible_representatives(spark, d):
     """One container is collapsed, and the leaves of modules with even numbers."""
@@ -144,20 +144,20 @@ def visible_representatives(spark, d):
     return graph.representatives(up, shut)
 
 
-SPARSE = f"""{GRAPH}, pairs AS (SELECT DISTINCT sc AS group_id, least(sm, tm) AS a, greatest(sm, tm) AS b FROM edges
-  WHERE status = 'resolved' AND sc = tc AND sm <> tm AND CAST(split_part(source, ':', 2) AS BIGINT) % 29 = 0)"""
+PAIRS = f"""{GRAPH}, pairs AS (SELECT DISTINCT sg AS group_id, least(sm, tm) AS a, greatest(sm, tm) AS b FROM edges
+  WHERE status = 'resolved' AND sg = tg AND sm <> tm)"""
 
 
 def _affinity(spark: SparkSession, d: str) -> DataFrame:
-    return graph.affinity(_edges(spark, d, "container"))
+    return graph.affinity(_edges(spark, d))
 
 
-@query(f"{SPARSE} SELECT * FROM pairs")
+@query(f"{PAIRS} SELECT * FROM pairs")
 def affinity_pairs(spark, d):
     return _affinity(spark, d)
 
 
-BRIDGES = SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """,
+BRIDGES = PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """,
 w AS (SELECT group_id, a AS x, b AS y FROM pairs UNION ALL SELECT group_id, b, a FROM pairs),
 walk AS (SELECT group_id, a AS ca, b AS cb, a AS v FROM pairs UNION
   SELECT walk.group_id, ca, cb, w.y FROM walk JOIN w ON w.group_id = walk.group_id AND w.x = walk.v AND NOT ((w.x = ca AND w.y = cb) OR (w.x = cb AND w.y = ca))),
@@ -172,26 +172,99 @@ def bridge_separated_clusters(spark, d):
     return graph.clusters(_affinity(spark, d))
 
 
-@query(f"""{BRIDGES}, m AS (SELECT container AS group_id, module FROM mods), t AS (SELECT DISTINCT group_id, a AS v FROM pairs UNION SELECT DISTINCT group_id, b FROM pairs)
-SELECT m.group_id, m.module, CASE WHEN t.v IS NULL THEN 'no_internal_resolved_relation' ELSE 'only_bridge_connected_or_below_minimum_core' END AS reason
-FROM m LEFT JOIN part ON part.group_id = m.group_id AND part.v = m.module LEFT JOIN t ON t.group_id = m.group_id AND t.v = m.module WHERE part.v IS NULL""")
+CLUSTERS = BRIDGES + """, inside AS (SELECT group_id, v AS module, cluster FROM part), m AS (SELECT leaf AS group_id, module FROM mods),
+size AS (SELECT group_id, count(*) AS size FROM m GROUP BY group_id),
+over AS (SELECT m.group_id, m.module, CASE WHEN size < 3 THEN 'region_too_small' WHEN m.group_id NOT IN (SELECT group_id FROM pairs) THEN 'no_internal_resolved_relation'
+    WHEN m.group_id NOT IN (SELECT group_id FROM inside) THEN 'no_useful_non_bridge_relation_core'
+    WHEN NOT EXISTS (SELECT 1 FROM pairs p WHERE p.group_id = m.group_id AND m.module IN (p.a, p.b)) THEN 'no_internal_resolved_relation' ELSE 'only_bridge_connected_or_below_minimum_core' END AS reason,
+    CASE WHEN size < 3 THEN 'region_too_small' WHEN m.group_id NOT IN (SELECT group_id FROM pairs) THEN 'no_internal_resolved_relations' ELSE 'insufficient_relation_core' END AS region_reason
+  FROM m JOIN size USING (group_id) WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.group_id = m.group_id AND i.module = m.module))"""
+
+
+def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Members of clusters, and what is left over."""
+    pairs = _affinity(spark, d)
+    inside = graph.members(graph.clusters(pairs))
+    modules = corpus.modules(spark, d).select(F.col("leaf").alias("group_id"), "module")
+    return inside, graph.residuals(modules, pairs, inside)
+
+
+@query(f"{CLUSTERS} SELECT group_id, module, reason FROM over")
 def cluster_residuals(spark, d):
     """Modules that are in no cluster, and why."""
-    pairs = _affinity(spark, d)
-    ends = lambda df: df.select("group_id", F.explode(F.array("a", "b")).alias("module")).distinct()
-    inside = ends(graph.clusters(pairs).filter("cluster is not null"))
-    m = corpus.modules(spark, d).select(F.col("container").alias("group_id"), "module")
-    touched = ends(pairs).withColumn("hit", F.lit(True))
-    df = m.join(inside, ["group_id", "module"], "left_anti").join(touched, ["group_id", "module"], "left")
-    return df.select("group_id", "module", F.when(F.col("hit").isNull(), "no_internal_resolved_relation").otherwise("only_bridge_connected_or_below_minimum_core").alias("reason"))
+    return _clustered(spark, d)[1].select("group_id", "module", "reason")
+
+
+@query(f"{CLUSTERS} SELECT group_id, region_reason AS reason, count(*) AS members FROM over GROUP BY ALL")
+def region_residuals(spark, d):
+    return graph.region_reasons(_clustered(spark, d)[1])
+
+
+@query(f"""{CLUSTERS}, e AS (SELECT r.sg AS group_id, a.cluster AS ca, b.cluster AS cb FROM edges r LEFT JOIN inside a ON a.group_id = r.sg AND a.module = r.sm LEFT JOIN inside b ON b.group_id = r.tg AND b.module = r.tm WHERE status = 'resolved' AND sg = tg AND sm <> tm),
+c AS (SELECT group_id, cluster, count(*) AS size FROM inside GROUP BY ALL)
+SELECT c.group_id, c.cluster, concat('Structural cluster ', row_number() OVER (ORDER BY c.group_id, c.cluster)) AS display_name, size,
+  (SELECT count(*) FROM e WHERE e.group_id = c.group_id AND ca = c.cluster AND cb = c.cluster) AS internal,
+  (SELECT count(*) FROM e WHERE e.group_id = c.group_id AND (coalesce(ca = c.cluster, false)) <> (coalesce(cb = c.cluster, false))) AS boundary FROM c""")
+def cluster_summary(spark, d):
+    return graph.cluster_table(_edges(spark, d), _clustered(spark, d)[0])
+
+
+@query(f"""{CLUSTERS}, e AS (SELECT concat_ws(':', a.group_id, a.cluster) AS source_cluster, concat_ws(':', b.group_id, b.cluster) AS target_cluster, kind, sm, tm FROM edges r JOIN inside a ON a.module = r.sm JOIN inside b ON b.module = r.tm WHERE status = 'resolved')
+SELECT source_cluster, target_cluster, kind, count(*) AS relation_count, count(DISTINCT concat(sm, '|', tm)) AS pair_count FROM e WHERE source_cluster <> target_cluster GROUP BY ALL""")
+def cluster_edges(spark, d):
+    return graph.cluster_edges(_edges(spark, d), _clustered(spark, d)[0])
+
+
+TREE_ROWS = f"""{CLUSTERS}, wrapped AS (SELECT group_id FROM inside UNION SELECT group_id FROM over WHERE reason = 'region_too_small'),
+tree AS (SELECT container AS id, NULL AS parent, 'structural_container' AS kind, count(*) AS members FROM mods GROUP BY container
+  UNION ALL SELECT leaf, container, 'structural_leaf', count(*) FROM mods GROUP BY ALL
+  UNION ALL SELECT concat_ws(':', group_id, cluster), group_id, 'relation_cluster', count(*) FROM inside GROUP BY group_id, cluster
+  UNION ALL SELECT concat(group_id, ':residual'), group_id, 'relation_residual', count(*) FROM over WHERE group_id IN (SELECT group_id FROM wrapped) GROUP BY group_id
+  UNION ALL SELECT CAST(module AS VARCHAR), concat_ws(':', group_id, cluster), 'module', 1 FROM inside
+  UNION ALL SELECT CAST(module AS VARCHAR), CASE WHEN group_id IN (SELECT group_id FROM wrapped) THEN concat(group_id, ':residual') ELSE group_id END, 'module', 1 FROM over)"""
+
 
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return graph.group_rows(corpus.modules(spark, d), *_clustered(spark, d))
 
-@query(f"{SPARSE}, e AS (SELECT unnest([a, b]) AS node FROM pairs) SELECT node, count(*) AS degree FROM e GROUP BY node")
+
+@query(f"{TREE_ROWS} SELECT * FROM tree")
+def group_tree(spark, d):
+    return _tree(spark, d)
+
+
+@query(f"{TREE_ROWS} SELECT * FROM tree WHERE parent = 'ASIA'")
+def group_children(spark, d):
+    return graph.children(_tree(spark, d), "ASIA")
+
+
+@query(f"{CLUSTERS}, e AS (SELECT DISTINCT concat_ws(':', i.group_id, i.cluster) AS cluster_id, a.path AS source, b.path AS target, kind FROM edges r JOIN inside i ON i.module = r.sm JOIN inside j ON j.module = r.tm AND j.group_id = i.group_id AND j.cluster = i.cluster JOIN mods a ON a.module = r.sm JOIN mods b ON b.module = r.tm WHERE status = 'resolved') SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY source, target, kind) <= 100")
+def cluster_evidence(spark, d):
+    return graph.cluster_evidence(_edges(spark, d), _clustered(spark, d)[0], corpus.modules(spark, d))
+
+
+@query(f"{GRAPH} SELECT r.id, a.path AS source_path, b.path AS target_path FROM edges r JOIN mods a ON a.module = r.sm JOIN mods b ON b.module = r.tm WHERE status = 'resolved' AND a.path LIKE 'ASIA/%' AND b.path LIKE 'ASIA/%'")
+def group_scope_edges(spark, d):
+    m = corpus.modules(spark, d).select("module", "path")
+    e = _edges(spark, d).join(m.select(F.col("module").alias("source_module"), F.col("path").alias("source_path")), "source_module")
+    e = e.join(m.select(F.col("module").alias("target_module"), F.col("path").alias("target_path")), "target_module")
+    return graph.scope_edges(e.select("id", "source_path", "target_path"), "ASIA")
+
+
+@query(f"WITH {MODULES}, up AS (SELECT path AS node, leaf, container FROM mods), open_ AS (SELECT r_name AS g FROM region WHERE r_regionkey <> 1 UNION ALL SELECT n_name FROM nation WHERE n_nationkey % 2 = 0) SELECT node FROM up WHERE leaf IN (SELECT g FROM open_) AND container IN (SELECT g FROM open_)")
+def visible_groups(spark, d):
+    m = corpus.modules(spark, d)
+    up = m.select(F.col("path").alias("node"), F.posexplode(F.array("path", "leaf", "container")).alias("distance", "ancestor"))
+    shown = corpus.table(spark, d, "region").filter("r_regionkey <> 1").select(F.col("r_name").alias("node"))
+    return graph.visible(up, shown.unionByName(corpus.table(spark, d, "nation").filter("n_nationkey % 2 = 0").select(F.col("n_name").alias("node"))))
+
+
+@query(f"{PAIRS}, e AS (SELECT unnest([a, b]) AS node FROM pairs) SELECT node, count(*) AS degree FROM e GROUP BY node")
 def graph_degrees(spark, d):
     return graph.degrees(_affinity(spark, d))
 
 
-@query(SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT x AS s, x AS v FROM w UNION SELECT s, w.y FROM reach JOIN w ON w.x = reach.v)
+@query(PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT x AS s, x AS v FROM w UNION SELECT s, w.y FROM reach JOIN w ON w.x = reach.v)
 SELECT s AS node, min(v) AS component FROM reach GROUP BY s""")
 def connected_components(spark, d):
     return graph.connected(_affinity(spark, d))
@@ -266,7 +339,7 @@ def search_code(spark, d):
     return search.search_code(corpus.lines(spark, d), "license under")
 
 
-@query(f"{FILES}, h AS ({CODE}), own AS (SELECT min(path) AS p FROM h) SELECT path, line, round(greatest(0.1, score - 0.5), 6) AS score FROM h, own WHERE path <> p")
+@query(f"{FILES}, h AS ({CODE}), own AS (SELECT min(path) AS p FROM h) SELECT path, line, round(greatest(0.1, score - 0.5), 6) AS score FROM h, own WHERE path = p")
 def find_references(spark, d):
     hits = search.search_code(corpus.lines(spark, d), "license under")
     return search.find_references(corpus.lines(spark, d), "license under", hits.agg(F.min("path")).first()[0])
@@ -332,25 +405,36 @@ def matching_components(spark, d):
 
 # evidence and claims
 
-CITES = f"""{FILES}, src AS (SELECT 'file_range' AS kind, path AS ref, max(line) AS last_line FROM lines GROUP BY path UNION ALL SELECT 'orientation_item', path, max(line) FROM lines WHERE role = 'docs' GROUP BY path),
-cites AS (SELECT l_orderkey AS claim, l_linenumber AS citation, CASE WHEN l_linenumber % 3 = 0 THEN 'orientation_item' ELSE 'file_range' END AS kind, f.path AS ref, CAST(l_quantity AS BIGINT) % 4 AS start_line, CAST(l_quantity AS BIGINT) % 7 AS end_line, l_suppkey, l_partkey
-  FROM lineitem JOIN (SELECT path, row_number() OVER (ORDER BY path) AS i, count(*) OVER () AS n FROM files) f ON f.i = 1 + l_partkey % f.n),
-checked AS (SELECT claim, citation, c.kind, CASE WHEN s.ref IS NULL THEN 'missing' WHEN start_line < 1 THEN 'bad_start' WHEN end_line < start_line THEN 'bad_end' WHEN end_line > last_line THEN 'beyond_end' ELSE 'ok' END AS reason FROM cites c LEFT JOIN src s ON c.kind = s.kind AND c.ref = s.ref)"""
+CITES = f"""{FILES}, len AS (SELECT f.path, f.role, f.language, sha256(f.text) AS hash, max(line) AS last_line FROM files f JOIN lines l ON l.path = f.path GROUP BY ALL),
+src AS (SELECT 'file_range' AS kind, path AS ref, path, 1 AS first_line, last_line, hash FROM len UNION ALL SELECT 'orientation_item', path, path, 1, last_line, hash FROM len WHERE role = 'docs'
+  UNION ALL SELECT 'source_region', path, path, 2, least(last_line, 5), hash FROM len UNION ALL SELECT 'semantic_anchor', path, path, 1, last_line, hash FROM len WHERE language = 'go' UNION ALL SELECT 'parsed_symbol', path, path, 1, last_line, hash FROM len WHERE language = 'python'),
+docs AS (SELECT doc_id, concat_ws('/', source, lang, concat('doc_', doc_id, list_extract(['.py','.ts','.md','.txt','.go','_test.py'], CAST(doc_id % 6 + 1 AS BIGINT)))) AS path, sha256(coalesce(text, '')) AS hash FROM documents WHERE doc_id IS NOT NULL),
+cites AS (SELECT l_orderkey AS claim, l_linenumber AS citation, CASE l_linenumber % 6 WHEN 0 THEN 'orientation_item' WHEN 1 THEN 'file_range' WHEN 2 THEN 'source_region' WHEN 3 THEN 'semantic_anchor' WHEN 4 THEN 'parsed_symbol' ELSE 'guess' END AS kind,
+    CASE WHEN l_partkey % 50 <> 0 THEN coalesce(path, concat('lost/', l_partkey)) END AS ref, CASE WHEN l_suppkey % 9 = 0 THEN 'else/where' ELSE path END AS path,
+    CASE WHEN l_suppkey % 10 > 0 THEN CAST(l_quantity AS BIGINT) % 4 END AS start_line, CAST(l_quantity AS BIGINT) % 7 AS end_line, CASE WHEN l_suppkey % 4 = 0 THEN 'stale' WHEN l_suppkey % 4 = 1 THEN hash END AS content_hash
+  FROM lineitem LEFT JOIN docs ON doc_id = l_partkey),
+checked AS (SELECT claim, citation, c.kind, CASE WHEN c.kind = 'guess' THEN 'unsupported_kind' WHEN c.ref IS NULL THEN 'no_reference' WHEN s.ref IS NULL THEN 'missing' WHEN c.kind NOT IN ('file_range', 'source_region') THEN 'ok'
+    WHEN c.kind = 'file_range' AND (start_line IS NULL OR end_line IS NULL) THEN 'no_lines' WHEN c.path <> s.path THEN 'other_path' WHEN start_line < first_line THEN 'bad_start' WHEN end_line > last_line THEN 'beyond_end' WHEN end_line < start_line THEN 'bad_end'
+    WHEN c.content_hash <> s.hash THEN 'other_hash' ELSE 'ok' END AS reason FROM cites c LEFT JOIN src s ON c.kind = s.kind AND c.ref = s.ref)"""
 
 
 def _checked(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    paths = corpus.files(spark, d).select("path")
-    n = paths.count()
-    i = paths.withColumn("i", F.row_number().over(Window.orderBy("path")))
-    li = corpus.table(spark, d, "lineitem").withColumn("i", 1 + F.col("l_partkey") % n)
-    kind = F.when(F.col("l_linenumber") % 3 == 0, "orientation_item").otherwise("file_range")
-    q = F.col("l_quantity").cast("long")
-    cites = li.join(i, "i").select(F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("citation"), kind.alias("kind"), F.col("path").alias("ref"), (q % 4).alias("start_line"), (q % 7).alias("end_line"))
-    lines = corpus.lines(spark, d)
-    last = lines.groupBy(F.col("path").alias("ref"), "role").agg(F.max("line").alias("last_line"))
-    sources = last.select(F.lit("file_range").alias("kind"), "ref", "last_line").unionByName(last.filter("role = 'docs'").select(F.lit("orientation_item").alias("kind"), "ref", "last_line"))
+    docs = corpus.table(spark, d, "documents").filter("doc_id is not null")
+    docs = docs.select(F.col("doc_id").alias("l_partkey"), corpus.path_of(F.col("doc_id"), F.col("source"), F.col("lang")).alias("own"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("hash"))
+    li = corpus.table(spark, d, "lineitem").join(docs, "l_partkey", "left")
+    kinds = ["orientation_item", "file_range", "source_region", "semantic_anchor", "parsed_symbol", "guess"]
+    q, s = F.col("l_quantity").cast("long"), F.col("l_suppkey")
+    cites = li.select(
+        F.col("l_orderkey").alias("claim"), F.col("l_linenumber").alias("citation"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("l_linenumber") % 6 + 1).cast("int")).alias("kind"),
+        F.when(F.col("l_partkey") % 50 != 0, F.coalesce("own", F.concat(F.lit("lost/"), F.col("l_partkey")))).alias("ref"), F.when(s % 9 == 0, "else/where").otherwise(F.col("own")).alias("path"),
+        F.when(s % 10 > 0, q % 4).alias("start_line"), (q % 7).alias("end_line"), F.when(s % 4 == 0, "stale").when(s % 4 == 1, F.col("hash")).alias("content_hash"),
+    )
+    f = corpus.files(spark, d)
+    n = t.line_count(F.col("text")).cast("long")
+    f = f.select("path", "role", "language", n.alias("last_line"), F.sha2(F.encode("text", "UTF-8"), 256).alias("source_hash")).filter("last_line > 0")
+    source = lambda df, kind, first=1, last=F.col("last_line"): df.select(F.lit(kind).alias("kind"), F.col("path").alias("ref"), F.col("path").alias("source_path"), F.lit(first).alias("first_line"), last.alias("last_line"), "source_hash")
+    sources = source(f, "file_range").unionByName(source(f.filter("role = 'docs'"), "orientation_item")).unionByName(source(f, "source_region", 2, F.least("last_line", F.lit(5))))
+    sources = sources.unionByName(source(f.filter("language = 'go'"), "semantic_anchor")).unionByName(source(f.filter("language = 'python'"), "parsed_symbol"))
     return evidence.checked_citations(cites, sources)
 
 
@@ -359,10 +443,30 @@ def citation_checks(spark, d):
     return _checked(spark, d)
 
 
-@query(f"""{CITES}, g AS (SELECT claim, count(*) AS citations, count(*) FILTER (reason = 'ok' AND kind <> 'orientation_item') AS verified, count(*) FILTER (reason = 'ok' AND kind = 'orientation_item') AS notes, count(*) FILTER (reason <> 'ok') AS bad FROM checked GROUP BY claim)
-SELECT claim, citations, verified, CASE WHEN bad > 0 AND verified > 0 THEN 'uncertain' WHEN bad > 0 AND notes > 0 THEN 'orientation_only' WHEN bad > 0 THEN 'unsupported' WHEN verified > 0 THEN 'verified' ELSE 'orientation_only' END AS support FROM g""")
+GROUNDED = f"""{CITES}, g AS (SELECT claim, count(*) AS citations, count(*) FILTER (reason = 'ok' AND kind <> 'orientation_item') AS verified, count(*) FILTER (reason = 'ok' AND kind = 'orientation_item') AS notes, count(*) FILTER (reason <> 'ok') AS bad FROM checked GROUP BY claim),
+a AS (SELECT o_orderkey AS claim, CASE o_orderstatus WHEN 'F' THEN 'verified' WHEN 'O' THEN 'inferred' ELSE 'uncertain' END AS requested FROM orders),
+grounded AS (SELECT a.claim, coalesce(citations, 0) AS citations, coalesce(verified, 0) AS verified, CASE WHEN citations IS NULL THEN 'not_inspected' WHEN bad > 0 AND verified > 0 THEN 'uncertain' WHEN bad > 0 AND notes > 0 THEN 'orientation_only' WHEN bad > 0 THEN 'unsupported'
+  WHEN verified > 0 THEN 'verified' WHEN notes > 0 THEN 'orientation_only' WHEN requested = 'verified' THEN 'uncertain' ELSE requested END AS support FROM a LEFT JOIN g ON g.claim = a.claim)"""
+
+
+def _grounded(spark: SparkSession, d: str) -> DataFrame:
+    asked = F.when(F.col("o_orderstatus") == "F", "verified").when(F.col("o_orderstatus") == "O", "inferred").otherwise("uncertain")
+    return evidence.support(_checked(spark, d), corpus.table(spark, d, "orders").select(F.col("o_orderkey").alias("claim"), asked.alias("requested")))
+
+
+@query(f"{GROUNDED} SELECT * FROM grounded")
 def claim_support(spark, d):
-    return evidence.support(_checked(spark, d))
+    return _grounded(spark, d)
+
+
+@query(f"{GROUNDED} SELECT claim, CASE WHEN verified = 0 THEN 'insufficient_evidence' WHEN support IN ('verified', 'inferred') THEN 'supported' ELSE 'insufficient_evidence' END AS support_status, CASE WHEN support = 'verified' AND verified = 1 THEN 'observed' ELSE 'inferred' END AS epistemic_type FROM grounded")
+def projected_claims(spark, d):
+    return evidence.projected(_grounded(spark, d).withColumnRenamed("verified", "evidence"))
+
+
+@query(f"{GROUNDED} SELECT count(*) FILTER (support = 'verified') AS verified, count(*) FILTER (support NOT IN ('verified', 'inferred')) AS downgraded, (SELECT count(*) FROM checked WHERE reason <> 'ok') AS failures, round(avg(CASE support WHEN 'verified' THEN 1.0 WHEN 'inferred' THEN 0.65 WHEN 'orientation_only' THEN 0.65 WHEN 'uncertain' THEN 0.35 ELSE 0 END), 6) AS confidence FROM grounded")
+def grounding_totals(spark, d):
+    return evidence.totals(_grounded(spark, d), _checked(spark, d))
 
 
 @query(f"""WITH {RELATIONS}, c AS (SELECT DISTINCT source, kind, anytarget AS target, concat(source, '>', anytarget, '>', kind) AS claim FROM rels), k AS (SELECT source, kind, target, min(id) AS evidence FROM rels WHERE status = 'resolved' GROUP BY source, kind, target)
@@ -386,7 +490,7 @@ def evidence_overlap(spark, d):
 
 
 VERDICTS = """WITH truth AS (SELECT doc_id AS claim, CASE WHEN quality = 1 THEN 'supported' WHEN toxic = 1 THEN 'contradicted' ELSE 'insufficient' END AS expected FROM labels),
-cand AS (SELECT doc_id AS claim, CASE WHEN length(text) >= 600 THEN 'supported' WHEN length(text) >= 200 THEN 'insufficient' ELSE 'contradicted' END AS actual FROM documents WHERE doc_id % 7 <> 0),
+cand AS (SELECT doc_id AS claim, CASE WHEN length(text) >= 600 THEN 'supported' WHEN length(text) >= 200 THEN 'insufficient' ELSE 'contradicted' END AS actual FROM documents),
 j AS (SELECT t.claim, expected, actual FROM truth t LEFT JOIN cand c ON t.claim = c.claim)"""
 
 
@@ -405,16 +509,96 @@ def claim_confusion(spark, d):
     return evidence.confusion(*corpus.verdicts(spark, d))
 
 
-@query(f"{VERDICTS} SELECT claim, actual FROM cand WHERE claim NOT IN (SELECT claim FROM truth)")
+@query(f"{VERDICTS} SELECT claim, actual FROM cand WHERE NOT EXISTS (SELECT 1 FROM truth WHERE truth.claim = cand.claim)")
 def novel_claims(spark, d):
     truth, cand = corpus.verdicts(spark, d)
     return evidence.novel(cand, truth)
 
 
-@query(f"{VERDICTS}, r AS (SELECT actual, concat('Claim ', lpad(CAST(claim AS VARCHAR), 12, '0'), '.') AS s FROM cand), k AS (SELECT *, row_number() OVER (PARTITION BY actual ORDER BY s) AS i FROM r) SELECT actual AS section, max(i) AS claims, string_agg(s, ' ' ORDER BY s) FILTER (i <= 20) AS text FROM k GROUP BY actual")
+PROPOSED = f"""WITH {RELATIONS}, c AS (SELECT DISTINCT source, kind, anytarget AS target FROM rels), k AS (SELECT source, kind, target, min(id) AS evidence FROM rels WHERE status = 'resolved' GROUP BY source, kind, target),
+claims AS (SELECT concat('claim:', substring(sha1(concat_ws('|', 'run', 'observed', 'direct_relation', c.source, c.kind, c.target, '')), 1, 24)) AS claim_id, c.source, c.kind, c.target,
+  concat(c.source, CASE c.kind WHEN 'calls' THEN ' calls ' ELSE ' inherits from ' END, c.target, '.') AS statement, CASE WHEN evidence IS NULL THEN 'insufficient_evidence' ELSE 'supported' END AS support_status, 'observed' AS epistemic_type, evidence
+  FROM c LEFT JOIN k ON k.source = c.source AND k.kind = c.kind AND k.target = c.target)"""
+
+
+def _proposed(spark: SparkSession, d: str) -> DataFrame:
+    r = corpus.relations(spark, d)
+    return evidence.proposition_claims(r.select("source", "kind", F.coalesce("target", "target_reference").alias("target")).distinct(), r)
+
+
+@query(f"{PROPOSED} SELECT * FROM claims")
+def proposition_claims(spark, d):
+    return _proposed(spark, d)
+
+
+@query(f"""{PROPOSED}, l AS (SELECT source AS target, statement, support_status, CASE support_status WHEN 'supported' THEN concat('- ', statement) ELSE concat('- There was not sufficient deterministic evidence to establish that ', rtrim(statement, '.'), '.') END AS line FROM claims),
+g AS (SELECT target, support_status, string_agg(line, chr(10) ORDER BY statement) AS text, count(*) AS n FROM l GROUP BY ALL)
+SELECT target, CAST(sum(n) AS BIGINT) AS claims, string_agg(concat(CASE support_status WHEN 'supported' THEN 'What could be established:' ELSE 'What could not be established:' END, chr(10), text), chr(10) || chr(10) ORDER BY support_status = 'supported' DESC) AS text FROM g GROUP BY target""")
 def claim_narrative(spark, d):
-    _, cand = corpus.verdicts(spark, d)
-    return evidence.narrative(cand.select(F.col("actual").alias("verdict"), F.concat_ws("", F.lit("Claim "), F.lpad(F.col("claim").cast("string"), 12, "0"), F.lit(".")).alias("statement")))
+    c = _proposed(spark, d)
+    return evidence.narrative(c.select(F.col("source").alias("target"), F.col("statement").alias("position"), F.col("support_status").alias("status"), "statement"))
+
+
+@query(f"""WITH {RELATIONS}, reg AS (SELECT concat('region:', l_orderkey, ':', l_linenumber) AS region_id, concat('p', l_orderkey) AS path, CAST(l_linenumber AS BIGINT) AS a, CAST(l_linenumber + l_linenumber % 2 AS BIGINT) AS b FROM lineitem GROUP BY ALL)
+SELECT rels.id AS relation_id, source AS source_entity_id, anytarget AS target_entity_id, kind AS relation_kind, status AS resolution_status, region_id FROM rels LEFT JOIN reg ON reg.path = concat('p', split_part(source, ':', 2)) AND reg.a = line AND reg.a = reg.b""")
+def relation_evidence(spark, d):
+    n = F.col("l_linenumber")
+    regions = corpus.table(spark, d, "lineitem").select(F.concat(F.lit("region:"), F.col("l_orderkey"), F.lit(":"), n).alias("region_id"), F.concat(F.lit("p"), F.col("l_orderkey")).alias("path"), n.cast("long").alias("start_line"), (n + n % 2).cast("long").alias("end_line")).distinct()
+    r = corpus.relations(spark, d).withColumn("path", F.concat(F.lit("p"), F.split("source", ":")[1]))
+    return evidence.relation_evidence(r, regions)
+
+
+@query(f"""WITH {RELATIONS}, known AS (SELECT source AS e FROM rels WHERE status = 'resolved' UNION SELECT target FROM rels WHERE status = 'resolved'),
+p AS (SELECT id AS proposal, CASE WHEN line % 2 = 0 THEN 'reachability' ELSE 'direct_relation' END AS proposition, kind, source, anytarget FROM rels)
+SELECT proposal, NOT (proposition = 'reachability' AND kind = 'inherits') AS allowed, array_to_string(list_sort(list_filter(list_distinct([CASE WHEN source NOT IN (SELECT e FROM known) THEN source END, CASE WHEN anytarget NOT IN (SELECT e FROM known) THEN anytarget END]), lambda x: x IS NOT NULL)), ',') AS unknown,
+  NOT (proposition = 'reachability' AND kind = 'inherits') AND source IN (SELECT e FROM known) AND anytarget IN (SELECT e FROM known) AS valid FROM p""")
+def proposal_checks(spark, d):
+    r = corpus.relations(spark, d)
+    known = r.filter("status = 'resolved'").select(F.explode(F.array("source", "target")).alias("entity")).distinct()
+    kind = F.when(F.col("line") % 2 == 0, "reachability").otherwise("direct_relation")
+    p = r.select(F.col("id").alias("proposal"), kind.alias("proposition"), "kind", F.array("source", F.coalesce("target", "target_reference")).alias("entities"))
+    return evidence.validated_proposals(p, known).select("proposal", "allowed", F.array_join("unknown", ",").alias("unknown"), "valid")
+
+
+@query(f"""WITH RECURSIVE {RELATIONS}, e0 AS (SELECT source AS a, anytarget AS b FROM rels), e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0), s AS (SELECT min(a) AS node FROM e0),
+h AS (SELECT node, 0 AS depth FROM s UNION SELECT e.b, h.depth + 1 FROM h JOIN e ON e.a = h.node WHERE h.depth < 2), near AS (SELECT DISTINCT node FROM h),
+c AS (SELECT DISTINCT source, kind, anytarget AS target FROM rels WHERE source IN (SELECT node FROM near) AND anytarget IN (SELECT node FROM near)),
+k AS (SELECT DISTINCT source, kind, target FROM rels WHERE status = 'resolved')
+SELECT c.source, c.kind, c.target, CASE WHEN k.source IS NULL THEN 'insufficient_evidence' ELSE 'supported' END AS support_status FROM c LEFT JOIN k ON k.source = c.source AND k.kind = c.kind AND k.target = c.target""")
+def target_verification(spark, d):
+    """All claims about what stands within two steps of one target, checked against relations."""
+    r = corpus.relations(spark, d)
+    to = F.coalesce("target", "target_reference")
+    e = r.select(F.col("source").alias("a"), to.alias("b"))
+    near = graph.hops(e, e.agg(F.min("a").alias("node")), 2).select(F.col("node").alias("entity"))
+    p = r.select(F.lit("direct_relation").alias("proposition"), "source", "kind", to.alias("target")).distinct()
+    p = p.withColumn("proposal", F.concat_ws(">", "source", "kind", "target")).withColumn("entities", F.array("source", "target"))
+    valid = evidence.validated_proposals(p, near).filter("valid").select("source", "kind", "target")
+    return evidence.proposition_claims(valid, r).select("source", "kind", "target", "support_status")
+
+
+@query("""WITH t AS (SELECT DISTINCT l_orderkey AS claim, l_linenumber AS hop, l_suppkey AS file, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem WHERE l_returnflag = 'N'),
+c AS (SELECT DISTINCT l_orderkey AS claim, l_linenumber AS hop, l_suppkey AS file, l_linenumber + 1 AS a, l_linenumber + 2 AS b FROM lineitem WHERE l_linestatus = 'O'),
+m AS (SELECT t.claim, t.hop, c.hop AS c_hop FROM t JOIN c ON c.claim = t.claim AND c.file = t.file AND c.a <= t.b AND c.b >= t.a), k AS (SELECT DISTINCT claim FROM c), kt AS (SELECT DISTINCT claim FROM t),
+per AS (SELECT claim, count(*) AS hops FROM t WHERE claim IN (SELECT claim FROM k) GROUP BY claim), f AS (SELECT claim, count(DISTINCT hop) AS found FROM m GROUP BY claim)
+SELECT 'evidence_correctness' AS metric, round((SELECT count(*) FROM (SELECT DISTINCT claim, c_hop FROM m)) / (SELECT count(*) FROM c WHERE claim IN (SELECT claim FROM kt)), 6) AS value
+UNION ALL SELECT 'evidence_completeness', round(avg(coalesce(found, 0) / hops), 6) FROM per LEFT JOIN f ON f.claim = per.claim""")
+def evidence_scores(spark, d):
+    n = F.col("l_linenumber")
+    li = corpus.table(spark, d, "lineitem")
+    rows = lambda df, by: df.select(F.col("l_orderkey").alias("claim"), n.alias("hop"), F.col("l_suppkey").alias("file"), (n + by).alias("start_line"), (n + by + 1).alias("end_line")).distinct()
+    return evidence.evidence_scores(rows(li.filter("l_linestatus = 'O'"), 1), rows(li.filter("l_returnflag = 'N'"), 0))
+
+
+@query(f"""{SPANS}, sp AS (SELECT concat('r', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS id, concat('s', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS symbol, concat('p', l_orderkey) AS path, l_linenumber + l_suppkey % 3 AS line FROM lineitem GROUP BY ALL),
+own AS (SELECT id AS symbol, min(path) AS path, min(start_line) AS a, max(end_line) AS b FROM s GROUP BY id)
+SELECT sp.id, sp.symbol, sp.path, sp.line FROM sp LEFT JOIN own ON own.symbol = sp.symbol WHERE NOT coalesce(sp.path = own.path AND line BETWEEN a AND b, false)""")
+def span_audit(spark, d):
+    n = F.col("l_linenumber")
+    key = F.concat_ws(":", "l_orderkey", n, "l_suppkey")
+    spans = corpus.table(spark, d, "lineitem").select(F.concat(F.lit("r"), key).alias("id"), F.concat(F.lit("s"), key).alias("symbol"), F.concat(F.lit("p"), F.col("l_orderkey")).alias("path"), (n + F.col("l_suppkey") % 3).alias("line")).distinct()
+    own = _spans(spark, d).groupBy(F.col("id").alias("symbol")).agg(F.min("path").alias("path"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
+    return evidence.span_audit(spans, own)
 
 
 # runs and stages
@@ -459,17 +643,20 @@ def latest_stages(spark, d):
 # anchors and orientation
 
 def _rules_sql() -> str:
+    quoted = lambda x: x.replace("'", "''")
+    label = {"python_main_guard": "'Python module entrypoint'", "cli_library_signal": "'CLI command setup'"}
+    label |= {k: f"concat(upper(regexp_extract(text, '{quoted(p)}', 1)), ' ', regexp_extract(text, '{quoted(p)}', 2))" for k, p in anchors.ROUTES.items()}
     parts = []
     for i, r in enumerate(anchors.RULES):
-        roles, pattern = ", ".join(f"'{x}'" for x in r.without), r.pattern.replace("'", "''")
-        line = "min(line) AS line" if r.first else "line"
-        group = "GROUP BY path" if r.first else ""
-        parts.append(f"SELECT {i} AS rule, '{r.kind}' AS kind, '{r.method}' AS method, {r.confidence}::DOUBLE AS confidence, path, {line} FROM lines WHERE role NOT IN ({roles}) AND regexp_matches(text, '{pattern}') {group}")
+        roles = ", ".join(f"'{x}'" for x in r.without)
+        line, group = ("min(line) AS line", "GROUP BY path") if r.first else ("line", "")
+        beside = f" AND path IN (SELECT path FROM lines WHERE regexp_matches(text, '{quoted(r.beside)}') OR regexp_matches(path, '{quoted(r.beside)}'))" if r.beside else ""
+        parts.append(f"SELECT {i} AS rule, '{r.kind}' AS kind, '{r.method}' AS method, {r.confidence}::DOUBLE AS confidence, path, {line}, {label.get(r.method, 'path')} AS label FROM lines WHERE role NOT IN ({roles}) AND regexp_matches(text, '{quoted(r.pattern)}'){beside} {group}")
     return " UNION ALL ".join(parts)
 
 
-ANCHORS = f"""{FILES}, hits AS ({_rules_sql()}), ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, path, line ORDER BY confidence DESC, rule) AS r FROM hits),
-anchors AS (SELECT kind, path, line, method, confidence, CASE WHEN confidence >= 0.7 THEN 'source_detected' ELSE 'candidate' END AS status FROM ranked WHERE r = 1)"""
+ANCHORS = f"""{FILES}, hits AS ({_rules_sql()}), ranked AS (SELECT *, row_number() OVER (PARTITION BY kind, path, line, lower(label) ORDER BY confidence DESC, rule) AS r FROM hits),
+anchors AS (SELECT kind, path, line, label, method, confidence, CASE WHEN confidence >= 0.7 THEN 'source_detected' ELSE 'candidate' END AS status FROM ranked WHERE r = 1)"""
 
 
 @query(f"{ANCHORS} SELECT * FROM anchors")
@@ -510,7 +697,7 @@ def partial_edges(spark, d):
     return e.filter("source_group <> target_group").groupBy("source_group", "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(SPARSE.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), s AS (SELECT min(a) AS node FROM pairs), h AS (SELECT node, 0 AS depth FROM s UNION SELECT w.b, depth + 1 FROM h JOIN w ON w.a = h.node WHERE depth < 4)
+@query(PAIRS.replace("WITH ", "WITH RECURSIVE ", 1) + """, w AS (SELECT a, b FROM pairs UNION SELECT b, a FROM pairs), s AS (SELECT min(a) AS node FROM pairs HAVING min(a) IS NOT NULL), h AS (SELECT node, 0 AS depth FROM s UNION SELECT w.b, depth + 1 FROM h JOIN w ON w.a = h.node WHERE depth < 4)
 SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM h GROUP BY node""")
 def traverse(spark, d):
     e = _affinity(spark, d).select("a", "b")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions.text import lines as split_lines
@@ -53,10 +53,15 @@ def relations(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def path_of(doc_id: Column, source: Column, lang: Column) -> Column:
+    """The path that a document stands for; null without an id."""
+    ends = F.element_at(F.array(*map(F.lit, [".py", ".ts", ".md", ".txt", ".go", "_test.py"])), (F.pmod(doc_id, F.lit(6)) + 1).cast("int"))
+    return F.when(doc_id.isNotNull(), F.concat_ws("/", source, lang, F.concat(F.lit("doc_"), doc_id, ends)))
+
+
 def files(spark: SparkSession, d: str) -> DataFrame:
     """path, language, role, text of each document."""
-    ends = F.element_at(F.array(*map(F.lit, [".py", ".ts", ".md", ".txt", ".go", "_test.py"])), (F.pmod("doc_id", F.lit(6)) + 1).cast("int"))
-    path = F.concat_ws("/", "source", "lang", F.concat(F.lit("doc_"), F.col("doc_id"), ends))
+    path = path_of(F.col("doc_id"), F.col("source"), F.col("lang"))
     return table(spark, d, "documents").filter("doc_id is not null").select(path.alias("path"), F.coalesce("text", F.lit("")).alias("text")).select("path", language(F.col("path")).alias("language"), role(F.col("path")).alias("role"), "text")
 
 

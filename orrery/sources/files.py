@@ -15,10 +15,12 @@ IGNORED_DIRS = [
 IGNORED_FILES = [".env", ".env.local", ".env.development", ".env.production", ".env.test"]
 #: Language of each file name ending.
 LANGUAGES = {
-    "python": ".py .pyi", "javascript": ".js .jsx .mjs .cjs", "typescript": ".ts .tsx .mts .cts", "svelte": ".svelte", "vue": ".vue", "go": ".go",
-    "java": ".java", "rust": ".rs", "ruby": ".rb", "php": ".php", "csharp": ".cs", "cpp": ".cpp .cc .cxx", "c": ".c", "c_header": ".h", "cpp_header": ".hpp",
-    "kotlin": ".kt", "swift": ".swift", "sql": ".sql", "markdown": ".md .mdx", "rst": ".rst", "text": ".txt", "json": ".json", "toml": ".toml",
-    "yaml": ".yaml .yml", "xml": ".xml", "ini": ".ini .cfg", "gradle": ".gradle", "lockfile": ".lock",
+    ".py": "python", ".pyi": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".cjs": "javascript",
+    ".ts": "typescript", ".tsx": "typescript", ".mts": "typescript", ".cts": "typescript", ".svelte": "svelte", ".vue": "vue",
+    ".go": "go", ".java": "java", ".rs": "rust", ".rb": "ruby", ".php": "php", ".cs": "csharp", ".cpp": "cpp", ".cc": "cpp",
+    ".cxx": "cpp", ".c": "c", ".h": "c_header", ".hpp": "cpp_header", ".kt": "kotlin", ".swift": "swift", ".sql": "sql",
+    ".md": "markdown", ".mdx": "markdown", ".rst": "rst", ".txt": "text", ".json": "json", ".toml": "toml", ".yaml": "yaml",
+    ".yml": "yaml", ".xml": "xml", ".ini": "ini", ".cfg": "ini", ".gradle": "gradle", ".lock": "lockfile",
 }
 #: Manifest kind of each file name.
 MANIFESTS = {
@@ -38,7 +40,7 @@ def name_of(path: Column) -> Column:
 
 def language(path: Column) -> Column:
     name = name_of(path)
-    by_end = F.create_map(*[F.lit(x) for k, ends in LANGUAGES.items() for e in ends.split() for x in (e, k)])
+    by_end = F.create_map(*[F.lit(x) for kv in LANGUAGES.items() for x in kv])
     end = F.lower(F.regexp_extract(name, r"[^.](\.[^.]+)$", 1))
     return F.when((name == "Dockerfile") | name.startswith("Dockerfile."), "dockerfile").when(name == "Makefile", "makefile").otherwise(F.coalesce(F.try_element_at(by_end, end), F.lit("unknown")))
 
@@ -85,16 +87,35 @@ def inspected(files: DataFrame) -> DataFrame:
     return df.select("path", language(F.col("path")).alias("language"), role(F.col("path")).alias("role"), "status", "readable", "size_bytes", "line_count", "content_hash", "text")
 
 
+def listed(spark: SparkSession, root: str) -> list[tuple[str, int]]:
+    """Files below root as (URI, bytes); ignored directories are not entered, ignored files and links are left out.
+
+    The driver lists directories by the file system's own client, so root may be in any store that Spark reads.
+    """
+    jvm = spark.sparkContext._jvm
+    top = jvm.org.apache.hadoop.fs.Path(root)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    todo, out = [top], []
+    while todo:
+        for entry in store.listStatus(todo.pop()):
+            name = entry.getPath().getName()
+            if entry.isDirectory():
+                if name not in IGNORED_DIRS:
+                    todo.append(entry.getPath())
+            elif entry.isFile() and not entry.isSymlink() and name not in IGNORED_FILES:
+                out.append((entry.getPath().toString(), entry.getLen()))
+    return sorted(out)
+
+
 def scan(spark: SparkSession, root: str) -> DataFrame:
-    """Files below root that are not ignored, inspected; paths are relative to root. Spark's reader leaves out empty files."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    base = root.rstrip("/")
-    path = F.regexp_replace(F.col("path"), f"^.*?\\Q{base}\\E/", "")
-    df = raw.select(path.alias("path"), "content")
-    parts = F.split("path", "/")
-    dirs = F.slice(parts, 1, F.size(parts) - 1)
-    df = df.filter(~F.arrays_overlap(dirs, F.array(*map(F.lit, IGNORED_DIRS))) & ~name_of(F.col("path")).isin(IGNORED_FILES))
-    return inspected(df)
+    """Files below root that are not ignored, inspected; paths are relative to root. Empty files count too."""
+    found = listed(spark, root)
+    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath().rstrip("/")
+    full = [p for p, n in found if n]
+    df = spark.createDataFrame([(p, bytearray()) for p, n in found if not n], "path string, content binary")
+    if full:
+        df = df.unionByName(spark.read.format("binaryFile").load(full).select("path", "content"))
+    return inspected(df.select(F.regexp_replace(F.col("path"), f"^.*?\\Q{base}\\E/", "").alias("path"), "content"))
 
 
 def manifests(files: DataFrame) -> DataFrame:

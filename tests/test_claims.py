@@ -2,6 +2,7 @@
 
 import pytest
 
+from orrery.operators import evidence
 from orrery.plans.catalog import QUERIES
 
 
@@ -30,7 +31,26 @@ def test_novel(spark, folder):
     assert got == {(8, "insufficient"), (28, "insufficient"), (None, "supported")}
 
 
-def test_narrative(spark, folder):
-    got = {r.section: (r.claims, r.text) for r in QUERIES["claim_narrative"](spark, folder).collect()}
-    assert got["supported"] == (3, "Claim . Claim 000000000007. Claim 000000000014.")
-    assert got["insufficient"][0] == 2 and got["contradicted"] == (1, "Claim 000000000021.")
+def test_narrative(spark):
+    rows = [("t", 1, "supported", "A calls B."), ("t", 3, "contradicted", "A calls D."), ("t", 2, "insufficient_evidence", "A calls C."), ("t", 0, "supported", "A inherits from E."), ("u", 0, "insufficient_evidence", "U calls V.")]
+    df = spark.createDataFrame(rows, "target string, position int, status string, statement string")
+    got = {r.target: (r.claims, r.text) for r in evidence.narrative(df).collect()}
+    assert got["t"][0] == 4 and got["t"][1].split("\n\n") == [
+        "What could be established:\n- A inherits from E.\n- A calls B.",
+        "What could not be established:\n- There was not sufficient deterministic evidence to establish that A calls C.",
+        "What the evidence contradicts:\n- There is evidence that contradicts the claim that A calls D.",
+    ]
+    assert got["u"] == (1, "What could not be established:\n- There was not sufficient deterministic evidence to establish that U calls V.")
+
+
+def test_support_of_claims_without_citations(spark):
+    checked = spark.createDataFrame([(1, "file_range", True), (2, "guess", False)], "claim long, kind string, valid boolean")
+    claims = spark.createDataFrame([(1, "verified"), (2, "verified"), (3, "verified")], "claim long, requested string")
+    assert {r.claim: r.support for r in evidence.support(checked, claims).collect()} == {1: "verified", 2: "unsupported", 3: "not_inspected"}
+
+
+def test_statements(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("direct_relation", "inherits"), ("reachability", "calls"), ("other", "calls")], "p string, k string")
+    assert [r[0] for r in df.select(evidence.statement(F.col("p"), F.col("k"), F.lit("A"), F.lit("B"))).collect()] == ["A inherits from B.", "A reaches B through a call path.", None]

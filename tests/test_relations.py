@@ -91,14 +91,60 @@ def test_scripts(spark):
 
 
 def test_scan(spark, tmp_path):
-    for path, data in {"src/app.py": b"x = 1\n", "README.md": b"# Hi\n\ntext", "node_modules/x.js": b"1", ".env": b"S=1", "pkg/package.json": b'{"name": "p"}', "img.bin": b"\x00\x01", "go.mod": b"module m/n\n", "latest_news.py": b"y = 2\n"}.items():
+    for path, data in {"src/app.py": b"x = 1\n", "README.md": b"# Hi\n\ntext", "node_modules/x.js": b"1", ".env": b"S=1", "pkg/package.json": b'{"name": "p"}', "img.bin": b"\x00\x01", "go.mod": b"module m/n\n", "latest_news.py": b"y = 2\n", "pkg/__init__.py": b"", "src/node_modules/deep/y.js": b"1"}.items():
         (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / path).write_bytes(data)
     df = S.scan(spark, str(tmp_path)).cache()
     rows = {r.path: r for r in df.collect()}
-    assert set(rows) == {"src/app.py", "README.md", "pkg/package.json", "img.bin", "go.mod", "latest_news.py"}
+    assert set(rows) == {"src/app.py", "README.md", "pkg/package.json", "img.bin", "go.mod", "latest_news.py", "pkg/__init__.py"}
+    assert (rows["pkg/__init__.py"].size_bytes, rows["pkg/__init__.py"].line_count, rows["pkg/__init__.py"].readable) == (0, 0, True)
     assert (rows["README.md"].line_count, rows["README.md"].role, rows["img.bin"].status, rows["latest_news.py"].role) == (3, "docs", "binary", "test")
     m = S.manifests(df)
     assert {(r.path, r.package_name) for r in m.collect()} == {("pkg/package.json", "p"), ("go.mod", "m/n")}
     assert {r.path for r in S.boundaries(m).collect()} == {"pkg", "."}
     assert df.filter(F.col("content_hash").isNull()).count() == 0
+
+
+def test_distant_relatives_and_dotted_imports_stay_open(spark):
+    repo = {
+        "top/__init__.py": "", "top/near.py": "def go():\n    return 1\n", "top/sub/__init__.py": "", "top/sub/deep.py": "def down():\n    return 1\n",
+        "top/sub/use.py": "from ..near import go\nfrom .deep import down\nimport top.near\n\ndef f():\n    go()\n    down()\n    top.near.go()\n    return top\n",
+    }
+    df = spark.createDataFrame([(p, "python", t) for p, t in repo.items()], "path string, language string, text string")
+    got = {r.line: r.status for r in R.program_relations(df)[1].collect() if r.path == "top/sub/use.py"}
+    assert got == {6: "unresolved", 7: "resolved", 8: "unresolved"}
+
+
+def test_long_chains_of_classes(spark):
+    text = "class C0:\n    def m(self):\n        return 1\n" + "".join(f"class C{i}(C{i - 1}):\n    pass\n" for i in range(1, 40))
+    text += "class Last(C39):\n    def run(self):\n        self.m()\n        return super().m()\n"
+    df = spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string")
+    syms, rels = R.program_relations(df)
+    names = {r.id: r.local_name for r in syms.collect()}
+    assert {names.get(r.target) for r in rels.collect() if r.kind == "calls"} <= {"C0.m", None} and any(names.get(r.target) == "C0.m" for r in rels.collect())
+
+
+def test_anchors_need_their_second_condition(spark):
+    from orrery.operators import anchors
+
+    rows = [("a.py", 1, "register('x')"), ("plugin/b.py", 1, "register('x')"), ("c.py", 1, "authenticate(u)"), ("d.py", 1, "login(u)"), ("e.py", 1, "@app.get('/x') @app.get('/y')"), ("f.py", 1, "@app.get('/x')")]
+    df = spark.createDataFrame([(p, "production", n, t) for p, n, t in rows], "path string, role string, line long, text string")
+    got = {(r.kind, r.path, r.label) for r in anchors.line_anchors(df).collect()}
+    assert ("plugin_registry", "plugin/b.py", "plugin/b.py") in got and not any(k == "plugin_registry" and p == "a.py" for k, p, _ in got)
+    assert ("auth_boundary", "d.py", "d.py") in got and not any(p == "c.py" for _, p, _ in got)
+    assert ("http_route", "f.py", "GET /x") in got
+
+
+def test_exports_headings_and_paths(spark):
+    from orrery.operators import anchors
+
+    lines = [("pkg/__init__.py", 1, "from .core import Api, _hidden, run as go"), ("pkg/__init__.py", 2, "__all__ = ['Api', \"go\"]"), ("other.py", 1, "from .core import X")]
+    df = spark.createDataFrame([(p, "production", n, t) for p, n, t in lines], "path string, role string, line long, text string")
+    assert sorted((r.line, r.label, r.confidence) for r in anchors.export_anchors(df).collect()) == [(1, "Api", 0.86), (1, "run", 0.86), (2, "Api", 0.88), (2, "go", 0.88)]
+    files = spark.createDataFrame([("a/package.json", "production", '{"scripts": {"build": "x"}, "exports": {".": "i"}, "main": "i.js"}'), ("b/package.json", "config", "{broken")], "path string, role string, text string")
+    assert {(r.kind, r.label) for r in anchors.manifest_anchors(files).collect()} == {("cli_command", "npm script: build"), ("public_export", "package exports"), ("public_export", "package main: i.js")}
+    text = [("r.md", i + 1, t) for i, t in enumerate(["# One #", "", "Two", "---", "text", "## Three"])]
+    heads = anchors.headings(spark.createDataFrame(text, "path string, line long, text string")).collect()
+    assert heads[0].headings == ["One", "Two", "Three"]
+    where = spark.createDataFrame([("deploy/x.yaml", "yaml", "infrastructure"), ("web/pages/home.tsx", "typescript", "production"), ("lib/a.py", "python", "production")], "path string, language string, role string")
+    assert {(r.kind, r.path) for r in anchors.path_anchors(where).collect()} == {("deployment_unit", "deploy/x.yaml"), ("frontend_screen", "web/pages/home.tsx")}
