@@ -6,29 +6,37 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("completed", "failed", "skipped")
 
 
-def changes(progress: DataFrame) -> DataFrame:
+def changes(progress: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
     """run_id, at, payload, closed of a stream (run_id string, at timestamp, payload string), where the payload differs from the last one.
 
-    A terminal payload closes its run: what comes later is dropped. The state of a run is its last payload.
+    A terminal payload closes its run: what comes later is dropped. The state of a run is its last payload; it is forgotten
+    once the watermark, which allows rows to be `late`, has gone idle_ms beyond a run's last row.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame({"run_id": [], "at": pd.to_datetime([]), "payload": [], "closed": []})
+            return
         last, closed = state.get if state.exists else (None, False)
-        out = []
+        out, newest = [], 0
         for at, payload in sorted((r for b in batches for r in zip(b["at"], b["payload"])), key=lambda r: r[0]):
+            newest = max(newest, at.value // 1_000_000)
             if closed or payload == last:
                 continue
             last, closed = payload, payload in TERMINAL
             out.append((key[0], at, payload, closed))
         state.update((last, closed))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), newest) + idle_ms)
         yield pd.DataFrame(out, columns=["run_id", "at", "payload", "closed"])
 
-    return progress.groupBy("run_id").applyInPandasWithState(step, "run_id string, at timestamp, payload string, closed boolean", "payload string, closed boolean", "append", GroupStateTimeout.NoTimeout)
+    return progress.withWatermark("at", late).groupBy("run_id").applyInPandasWithState(step, "run_id string, at timestamp, payload string, closed boolean", "payload string, closed boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def durations(stages: DataFrame) -> DataFrame:
@@ -58,14 +66,22 @@ def fresh_plans(plans: DataFrame, ttl: str = "30 minutes") -> DataFrame:
 
 
 def upsert_into(path: str):
-    """A foreachBatch function that keeps the latest row of each (run_id, stage) under path, one directory for each batch."""
+    """A foreachBatch function that keeps the latest row of each (run_id, stage) under path, one directory for each run.
+
+    Only runs of a batch are read and written again; what a batch writes twice after a failure is the same.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
+        from orrery.lineage import durable
         from orrery.operators.runs import latest
 
+        if batch.isEmpty():
+            return
         spark = batch.sparkSession
-        if number:
-            batch = spark.read.parquet(f"{path}/batch={number - 1}").drop("batch").unionByName(batch)
-        latest(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        store = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if store.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(store):
+            kept = spark.read.schema(batch.schema).option("basePath", path).parquet(path)
+            batch = kept.join(F.broadcast(batch.select("run_id").distinct()), "run_id", "left_semi").select(batch.columns).unionByName(batch)
+        durable(latest(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
     return write

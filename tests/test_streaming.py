@@ -40,5 +40,14 @@ def test_upsert(spark, tmp_path):
     schema = "run_id string, stage string, status string, at timestamp"
     write(spark.createDataFrame([("a", "s", "running", at(1)), ("a", "t", "running", at(1))], schema), 0)
     write(spark.createDataFrame([("a", "s", "completed", at(2))], schema), 1)
-    got = spark.read.parquet(str(tmp_path / "out/batch=1")).orderBy("stage").select(F.concat_ws(":", "stage", "status")).collect()
-    assert [r[0] for r in got] == ["s:completed", "t:running"]
+    write(spark.createDataFrame([("b", "s", "running", at(3))], schema), 2)
+    write(spark.createDataFrame([], schema), 3)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("run_id", "stage").select(F.concat_ws(":", "run_id", "stage", "status")).collect()
+    assert [r[0] for r in got] == ["a:s:completed", "a:t:running", "b:s:running"]
+
+
+def test_fresh_plans(spark, drain):
+    rows = [("p", at(0)), ("p", at(60)), ("q", at(61)), ("p", at(4000))]
+    df = spark.createDataFrame(rows, "plan_id string, at timestamp").coalesce(1)
+    got = sorted(r.plan_id for r in drain(df, lambda s: progress.fresh_plans(s, "1 minute"), df.schema))
+    assert got.count("q") == 1 and 1 <= got.count("p") <= 2
