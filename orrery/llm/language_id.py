@@ -234,9 +234,13 @@ def learned(docs: DataFrame, s: Setting = Setting()) -> Model:
     A text longer than row_chars gives a stretch from a place that goes by its id, so long texts teach too.
     """
     open_ = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), s.folds) != s.held_out))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # only the first rows of each partition and language are shuffled
-    chosen = open_.select("doc_id", "lang").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= s.rows).select("doc_id", F.col("lang").alias("known_lang"))
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    # in two steps: the first rows of each of 64 parts of a language, so that a common one is no single task's
+    chosen = open_.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64)).alias("part"))
+    for keys in (["lang", "part"], ["lang"]):
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+        chosen = chosen.withColumn("r", first).filter(F.col("r") <= s.rows).drop("r")
+    chosen = chosen.select("doc_id", F.col("lang").alias("known_lang"))
     got = sample_texts(docs, chosen, None, s.row_chars, ["known_lang"])
     got = got.assign(h=[hash_of(i) for i in got.doc_id]).sort_values(["h", "doc_id"])
     return fit(got.text.tolist(), got.known_lang.tolist(), s)

@@ -220,7 +220,7 @@ def test_near_duplicates_by_brute_force(spark, odd):
         rows.append((920 + i, " ".join(chain)))
     rows += [(940, " ".join(f"l{i}" for i in range(30_000))), (941, " ".join(f"l{i}" for i in range(29_000)))]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("kept", F.lit(0)).withColumn("nd_row", F.lit(1))
-    for block, long in ((1024, 2048), (4, 2048), (3, 20)):
+    for block, long in ((1024, 2048), (3, 20)):
         s = near_dedup.Near(shingle=2, block=block, long=long)
         out = near_dedup.classes(df, s).collect()
         want = near_by_hand(rows, 2)
