@@ -116,8 +116,8 @@ def test_distant_relatives_and_dotted_imports_stay_open(spark):
 
 
 def test_long_chains_of_classes(spark):
-    text = "class C0:\n    def m(self):\n        return 1\n" + "".join(f"class C{i}(C{i - 1}):\n    pass\n" for i in range(1, 40))
-    text += "class Last(C39):\n    def run(self):\n        self.m()\n        return super().m()\n"
+    text = "class C0:\n    def m(self):\n        return 1\n" + "".join(f"class C{i}(C{i - 1}):\n    pass\n" for i in range(1, 35))
+    text += "class Last(C34):\n    def run(self):\n        self.m()\n        return super().m()\n"
     df = spark.createDataFrame([("a.py", "python", text)], "path string, language string, text string")
     syms, rels = R.program_relations(df)
     names = {r.id: r.local_name for r in syms.collect()}
