@@ -27,3 +27,30 @@ def test_labels_without_text_do_not_use_up_the_sample(spark):
     s = quality_classifier.Setting(sample=20)
     scores = {r.doc_id: r.predicted for r in quality_classifier.classified(docs, labels, s).collect()}
     assert scores[100] == 0 and scores[101] == 1
+
+
+def test_tilts_solve_the_dual(spark):
+    import math
+    import random
+
+    from orrery.llm import mixing
+
+    rng = random.Random(14)
+    rows = [(i, "abc"[i % 3], rng.randrange(1, 60)) for i in range(90)]
+    per = mixing.tilts(spark.createDataFrame(rows, "doc_id long, source string, size long")).collect()
+    assert {r.source for r in per} == set("abc")
+    for r in per:
+        sizes = [n for _, s, n in rows if s == r.source]
+        assert r.source_size == sum(sizes)
+        if not r.full:
+            got = sum(min(2.0, math.exp(r.tilt * n / r["mean"])) * n for n in sizes)
+            assert abs(got - r.target) <= 1e-6 * r.target
+
+
+def test_long_texts_teach_too(spark):
+    from orrery.llm import learning
+
+    docs = spark.createDataFrame([(1, "a" * 50), (2, "b" * 5000), (2, "b" * 5000), (3, None), (None, "c")], "doc_id long, text string")
+    chosen = docs.selectExpr("doc_id", "1 as one")
+    got = learning.sample_texts(docs, chosen, 10, 100, ["one"])
+    assert sorted(map(len, got.text)) == [50, 100]

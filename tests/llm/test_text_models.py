@@ -242,3 +242,46 @@ def test_best_k_with_ties():
         keep = K.best(scores, k)
         for row, flags in zip(scores, keep):
             assert np.flatnonzero(flags).tolist() == sorted(sorted(range(9), key=lambda i: (-row[i], i))[:k])
+
+
+def test_toxicity_scores_by_hand():
+    rng = random.Random(12)
+    # a wide vocabulary: texts that share their rarest hashes count as copies of one another
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(3000)]
+    clean = [" ".join(rng.choice(words) for _ in range(30)) for _ in range(300)]
+    toxic = [t + " you awful idiots idiots" for t in clean[:40]]
+    model = T.fit(toxic, clean[40:] + toxic[:10], 0.1)
+    assert model.weights
+    texts = [*clean[:5], *toxic[:5], "", "IDIOTS idiots awful", "idiotic"]
+    for text, got in zip(texts, model.score(texts)):
+        words, total = [], model.bias
+        word = ""
+        for ch in text.lower() + " ":
+            if ch.isalpha():
+                word += ch
+            elif word:
+                words.append(word)
+                word = ""
+        held = [f for w in words for f in {w, *(f"{w[:n]}-" for n in (4, 5, 6) if len(w) > n)}]
+        for f in set(held):
+            total += sum(model.weights.get(f + k, 0.0) for k, n in (("", 1), ("2", 2), ("4", 4)) if held.count(f) >= n)
+        assert got == pytest.approx(1 / (1 + np.exp(-total)))
+    assert model.score(toxic[:5]).min() > model.score(clean[:5]).max()
+
+
+def test_quality_score_by_hand():
+    rng = random.Random(13)
+    good = ["\n".join(" ".join(rng.choice(["the", "quiet", "river", "ran", "home"]) for _ in range(8)) + "." for _ in range(3)) for _ in range(30)]
+    bad = ["\n".join("$$ 99 ## buy" * rng.randrange(1, 3) for _ in range(3)) for _ in range(30)]
+    model = Q.fit(good + bad, np.array([1] * 30 + [0] * 30))
+    for text in [good[0], bad[0], good[1] + "\n" + bad[1], "", "one"]:
+        x, n, counts = Q.line_features([text])
+        emit = ((x - model.mean) / model.spread) @ model.weights
+        weight = {}
+        for labels in itertools.product((0, 1), repeat=len(emit)):
+            s = sum(e for e, y in zip(emit, labels) if y) + sum(model.move[a, b] for a, b in zip(labels, labels[1:]))
+            weight[labels] = np.exp(s)
+        whole = sum(weight.values())
+        good_line = [sum(w for ys, w in weight.items() if ys[i]) / whole for i in range(len(emit))]
+        share = np.clip(sum(g * (len(line.encode()) + 1) for g, line in zip(good_line, text.split("\n"))) / sum(len(line.encode()) + 1 for line in text.split("\n")), 1e-4, 1 - 1e-4)
+        assert model.score([text])[0] == pytest.approx(1 / (1 + np.exp(-(model.slope * np.log(share / (1 - share)) + model.shift))), rel=1e-6)
