@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import surface  # noqa: F401  registers its queries
+from orrery.plans import lenses, surface  # noqa: F401  register their queries
 from orrery.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
