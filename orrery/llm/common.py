@@ -5,27 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from orrery.lineage import durable
+
+__all__ = ["SPACE", "WORD", "durable", "fold", "fresh", "small", "spread_join", "table", "words"]
 #: Characters that end a word.
 SPACE = r"[\x20\x09-\x0D]"
 #: A word.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so a lost executor costs no rerun of what came before.
-
-    The folder is the one that spark.checkpoint.dir names or that was set on the context. Without one, a local session may
-    use a folder of its own; on a cluster that would be a folder that executors cannot read, so it is an error.
-    """
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or f"{df.sparkSession.conf.get('spark.sql.warehouse.dir')}/_checkpoints")
-    return df.checkpoint(eager=True)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -51,3 +39,20 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def spread_join(left: DataFrame, right: DataFrame, on: str, how: str = "inner", most: int = 1000, counts: DataFrame | None = None) -> DataFrame:
+    """left joined with right, which has one row a key at most, though a key may hold a third of left's rows.
+
+    Keys with more than one in `most` of left's rows, fewer than `most` by that, have their rows of right broadcast; all other
+    rows are shuffled. left is read twice, so it should be durable or a scan. counts (key, rows_), where they are known, save
+    counting. Null keys match nothing.
+    """
+    per = left.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("rows_")) if counts is None else counts
+    total = per.agg(F.sum("rows_").alias("n")).first()["n"] or 0
+    hot = durable(per.filter(F.col("rows_") > max(most, total / most)).select(F.col(on), F.lit(True).alias("hot_")))
+    if not hot.take(1):
+        return left.join(right, on, how)
+    marked = left.join(F.broadcast(hot), on, "left")
+    heavy = marked.filter("hot_").drop("hot_").join(F.broadcast(right.join(F.broadcast(hot), on, "left_semi")), on, how)
+    return marked.filter("hot_ is null").drop("hot_").join(right, on, how).unionByName(heavy)
