@@ -156,16 +156,18 @@ def repaired(turns: DataFrame, c: Costs = Costs()) -> DataFrame:
     """conv_id, turn, position, role, new_role, relabelled, merged, inserted (empty turns before and, at the end, after), cost, rendered.
 
     One row for each turn; the rendered parts of a conversation, joined in order of position, are its repaired text. Turns
-    go in order of (turn, role, text), nulls first, so ties and repeated rows have a place, and rows are the same however
-    turns are dealt over partitions. A null or unknown role costs a relabelling whatever it becomes, a null text is empty,
+    go in order of (turn, role, xxhash64 of the text, text), nulls first, so ties and repeated rows have a place, and rows are
+    the same however turns are dealt over partitions. Ranges are found from hashes and not from texts, so no text goes to the
+    driver, and equal rows, which may stand for one another, are split as well. A null or unknown role costs a relabelling whatever it becomes, a null text is empty,
     a text may be of any length, and rows whose conv_id is null are one conversation. An empty table gives an empty table;
     other columns are not read.
     """
     df = turns.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
-    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("text")]
+    df = df.withColumn("hash", F.xxhash64("text"))
+    keys = [F.col("conv_id").asc_nulls_first(), F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), F.col("hash")]
     parts = max(1, int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     # partitions are ranges of turns, and not whole conversations: a long one goes over many
-    df = df.repartitionByRange(parts, *keys).sortWithinPartitions(*keys)
+    df = df.withColumn("spread", F.monotonically_increasing_id()).repartitionByRange(parts, *keys, "spread").sortWithinPartitions(*keys, "text").drop("hash", "spread")
     kind, turn = dict(turns.dtypes)["conv_id"], dict(turns.dtypes)["turn"]
     conv_type, turn_type = (to_arrow_type(turns.schema[k].dataType) for k in ("conv_id", "turn"))
 
