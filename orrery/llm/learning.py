@@ -15,7 +15,8 @@ def sample_texts(docs: DataFrame, chosen: DataFrame, rows: int | None, chars: in
     """Texts of at most `rows` rows of chosen (doc_id and values), in hash order; with None chosen is bounded already.
 
     A text longer than `chars` characters gives a stretch of that length, from a place that goes by its id. So rows * chars
-    bounds what the driver gets and what is broadcast.
+    bounds what the driver gets and what is broadcast. Rows without doc_id or text teach nothing; of rows of one doc_id the
+    first text in order teaches, with the smallest of each value; an empty table gives no text.
     """
     first = chosen.filter(F.col("doc_id").isNotNull())
     if rows is not None:
@@ -29,10 +30,10 @@ def sample_texts(docs: DataFrame, chosen: DataFrame, rows: int | None, chars: in
     own = [c for c in docs.columns if c.lower() == "doc_id"][0]
     texts = docs.select(F.col(own).alias("doc_id"), F.col("text").alias("text")).filter(F.length("text") > 0)
     begin = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.greatest(F.lit(1), F.length("text") - chars + 1)) + 1
-    out = texts.join(F.broadcast(first), "doc_id").select("doc_id", F.substring(F.col("text"), begin.cast("int"), F.lit(chars)).alias("text"), *values).toPandas()
-    # rows of one doc_id may repeat, and rows arrive in any order
-    out = out.sort_values(["doc_id", "text"], kind="stable").drop_duplicates("doc_id")
-    return (out if rows is None else out.head(rows)).reset_index(drop=True)
+    out = texts.join(F.broadcast(first), "doc_id").select("doc_id", F.substring(F.col("text"), begin.cast("int"), F.lit(chars)).alias("text"), *values)
+    # rows of one doc_id may repeat without end, so the first text of each is found before anything comes to the driver
+    out = out.groupBy("doc_id", *values).agg(F.min("text").alias("text")).select("doc_id", "text", *values).toPandas()
+    return out.sort_values("doc_id", kind="stable").reset_index(drop=True)
 
 
 def pieces(texts: list[str], most: int = 2 << 20) -> Iterator[slice]:
