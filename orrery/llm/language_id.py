@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.llm.common import fold
+from orrery.llm.common import fold, small
 from orrery.llm.learning import sample_texts, scored
 
 UNKNOWN = "und"
@@ -231,15 +231,18 @@ def fit(texts: list[str], langs: list[str], s: Setting = Setting()) -> Model:
 def learned(docs: DataFrame, s: Setting = Setting()) -> Model:
     """A model from a bounded sample of each language's rows outside the held-out fold, in hash order.
 
-    A text longer than row_chars gives a stretch from a place that goes by its id, so long texts teach too.
+    A text longer than row_chars gives a stretch from a place that goes by its id, so long texts teach too. Rows without
+    doc_id, lang or text teach nothing; of rows of one doc_id one text teaches; without any row the model knows no language.
     """
     open_ = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & (F.length("text") > 0) & (fold(F.col("doc_id"), s.folds) != s.held_out))
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    # in two steps: the first rows of each of 64 parts of a language, so that a common one is no single task's
-    chosen = open_.select("doc_id", "lang", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(64)).alias("part"))
-    for keys in (["lang", "part"], ["lang"]):
-        first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-        chosen = chosen.withColumn("r", first).filter(F.col("r") <= s.rows).drop("r")
+    # a hash threshold by each language's own number of rows, well above what is needed: the ranking gets few rows of any
+    per = open_.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    per = F.broadcast(per) if small(per, 10_000) else per
+    share = F.least(F.lit(1.0), 8.0 * s.rows / F.col("n"))
+    below = (F.lit(-(2.0**63)) + share * (2.0**64)).cast("double")
+    chosen = open_.select("doc_id", "lang").join(per, "lang").filter(F.xxhash64("doc_id").cast("double") <= below)
+    first = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.col("doc_id")))
+    chosen = chosen.withColumn("r", first).filter(F.col("r") <= s.rows)
     chosen = chosen.select("doc_id", F.col("lang").alias("known_lang"))
     got = sample_texts(docs, chosen, None, s.row_chars, ["known_lang"])
     got = got.assign(h=[hash_of(i) for i in got.doc_id]).sort_values(["h", "doc_id"])
