@@ -17,9 +17,11 @@ import re
 import zlib
 from array import array
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -139,13 +141,13 @@ class Edges:
 
 
 class Codec:
-    """Encodes batches of texts; remembers up to `remember` chunks between batches.
+    """Encodes batches of texts; remembers up to `remember` chunks of `room` characters in all between batches.
 
     Chunks of up to `short` characters are relaxed side by side; the way does not change the ids.
     """
 
-    def __init__(self, v: Vocabulary, remember: int = 400_000, short: int = 48):
-        self.v, self.remember, self.short = v, remember, short
+    def __init__(self, v: Vocabulary, remember: int = 400_000, short: int = 48, room: int = 8_000_000):
+        self.v, self.remember, self.short, self.room = v, remember, short, room
         self.normal = [i for i, k in enumerate(v.kinds) if k == _NORMAL]
         self.depth = max((len(v.pieces[i]) for i in self.normal), default=1)
         self.length = np.array([len(v.pieces[i]) for i in self.normal])
@@ -166,6 +168,7 @@ class Codec:
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.held = 0
         self.pool = np.zeros(0, np.int32)
         self.start = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
@@ -318,10 +321,11 @@ class Codec:
             split.append(self.chunk.findall(" " + t if self.v.prefix and t else t))
         every = [c for cs in split for c in cs]
         new = list(dict.fromkeys(c for c in set(every) if c not in self.known))
-        if len(new) + len(self.known) > self.remember:
+        if len(new) + len(self.known) > self.remember or self.held + sum(map(len, new)) > self.room:
             self.forget()
             new = list(set(every))
         if new:
+            self.held += sum(map(len, new))
             self.learn(sorted(new))
         index = np.fromiter(map(self.known.__getitem__, every), np.int64, len(every))
         size = self.size[index]
@@ -374,8 +378,9 @@ def decoded(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", text: str =
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("string")
-    def f(column):
+    def f(columns: Iterator[pd.Series]) -> Iterator[pd.Series]:
         codec = Codec(vocabulary)
-        return column.map(lambda x: "" if x is None else codec.decode(list(x)))
+        for column in columns:
+            yield column.map(lambda x: "" if x is None else codec.decode(list(x)))
 
     return df.withColumn(text, f(ids))
