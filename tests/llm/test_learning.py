@@ -1,7 +1,9 @@
 """What the classifier learns from."""
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from orrery.llm import quality_classifier
+from orrery.llm import chat_repair, common, language_id, learning, quality_classifier, sentencepiece_codec
 
 GOOD = "The cat and the dog sat on the mat in the sun, and it was good to be there with all of them.\nThey went home as the day went by.\n"
 BAD = "$$$ ### 1 1 1 1 $$$\nbuy buy buy buy ### $$$ 99\n### $$$ ###\n"
@@ -48,9 +50,44 @@ def test_tilts_solve_the_dual(spark):
 
 
 def test_long_texts_teach_too(spark):
-    from orrery.llm import learning
 
     docs = spark.createDataFrame([(1, "a" * 50), (2, "b" * 5000), (2, "b" * 5000), (3, None), (None, "c")], "doc_id long, text string")
     chosen = docs.selectExpr("doc_id", "1 as one")
     got = learning.sample_texts(docs, chosen, 10, 100, ["one"])
     assert sorted(map(len, got.text)) == [50, 100]
+
+
+def test_one_id_that_repeats_teaches_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(500)] + [(2, "other"), (None, "x"), (3, None)], "doc_id long, text string")
+    chosen = spark.createDataFrame([(1, 1), (1, 0), (2, 1), (3, 1), (None, 1)], "doc_id long, quality int")
+    got = learning.sample_texts(docs, chosen, 10, 100, ["quality"])
+    assert got.values.tolist() == [[1, "text 0", 0], [2, "other", 1]]
+
+
+def test_each_language_teaches_by_its_first_rows(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word {i}", "aa" if i % 20 else "bb") for i in range(400)], "doc_id long, text string, lang string")
+    s = language_id.Setting(rows=5)
+    monkeypatch.setattr(language_id, "fit", lambda texts, langs, s: sorted(zip(langs, texts)))
+    rows = docs.filter(common.fold(F.col("doc_id"), s.folds) != s.held_out).withColumn("h", F.xxhash64("doc_id")).orderBy("h").collect()
+    assert language_id.learned(docs, s) == sorted((x, r.text) for x in ("aa", "bb") for r in [r for r in rows if r.lang == x][:5])
+
+
+def test_no_text_is_a_range_key_of_turns(spark):
+    turns = spark.createDataFrame([("c", i % 7, "user", f"some text {i}") for i in range(50)], "conv_id string, turn long, role string, text string")
+    seen = []
+    keep = type(turns).repartitionByRange
+    try:
+        type(turns).repartitionByRange = lambda self, *a: (seen.append([str(c) for c in a[1:]]), keep(self, *a))[1]
+        chat_repair.repaired(turns).count()
+    finally:
+        type(turns).repartitionByRange = keep
+    assert seen and not any("text" in c for cs in seen for c in cs)
+
+
+def test_codec_forgets_by_characters():
+    codec = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.read(), room=500)
+    plain = sentencepiece_codec.Codec(sentencepiece_codec.Vocabulary.read())
+    for i in range(30):
+        text = f"line {i} " + "abcde" * 20 + str(i)
+        a, b = codec.encode([text]), plain.encode([text])
+        assert a[0].tolist() == b[0].tolist() and codec.held <= 700
