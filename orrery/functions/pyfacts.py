@@ -28,6 +28,28 @@ def annotation(node: ast.AST | None) -> str | None:
     return dotted(node) or ast.unparse(node)
 
 
+_FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
+
+
+def bound_names(node: ast.AST) -> set[str]:
+    """Names that a function's own scope binds otherwise than by a parameter; functions, classes and lambdas inside it are not looked into."""
+    names: set[str] = set()
+    todo = list(ast.iter_child_nodes(node))
+    while todo:
+        n = todo.pop()
+        if isinstance(n, ast.Name) and not isinstance(n.ctx, ast.Load):
+            names.add(n.id)
+        elif isinstance(n, (ast.Global, ast.Nonlocal)):
+            names.update(n.names)
+        elif isinstance(n, ast.alias):
+            names.add(n.asname or n.name.split(".")[0])
+        elif isinstance(n, (*_FUNCTIONS, ast.ClassDef, ast.ExceptHandler, ast.MatchAs, ast.MatchStar)) and n.name:
+            names.add(n.name)
+        if not isinstance(n, (*_FUNCTIONS, ast.ClassDef, ast.Lambda)):
+            todo += ast.iter_child_nodes(n)
+    return names
+
+
 class _Walk:
     def __init__(self) -> None:
         self.rows: list[tuple] = []
@@ -49,7 +71,34 @@ class _Walk:
                         self.add("from", owner, a.asname or a.name, child.module or "", f"{child.level}:{a.name}", child)
                     self.add("target", owner, child.module or "", a.name, str(child.level), child)
 
+    def bindings(self, tree: ast.Module) -> None:
+        """What the statements at the very top bind by imports, the last of a name: a module by its full or first name, or an item of one."""
+        found: dict[str, tuple] = {}
+        for s in tree.body:
+            if isinstance(s, ast.Import):
+                for a in s.names:
+                    for name, module in [(a.asname, a.name)] if a.asname else [(a.name.split(".")[0], a.name.split(".")[0]), (a.name, a.name)]:
+                        found[name] = (module, None, s)
+            elif isinstance(s, ast.ImportFrom):
+                for a in s.names:
+                    if a.name != "*":
+                        found[a.asname or a.name] = (s.module or "", f"{s.level}:{a.name}", s)
+        for name, (module, item, s) in found.items():
+            self.add("bind", "", name, module, item, s)
+
+    def hidden(self, stmts: list, owner: str) -> None:
+        """Classes under if, try and with, which are no symbols and yet are what their names mean."""
+        for s in stmts:
+            if isinstance(s, (ast.If, ast.Try, ast.With)):
+                inner = [x for part in ("body", "orelse", "finalbody") for x in getattr(s, part, [])]
+                for c in inner:
+                    if isinstance(c, ast.ClassDef):
+                        self.add("hidden", owner, f"{owner}.{c.name}" if owner else c.name, None, None, c)
+                self.hidden(inner, owner)
+
     def body(self, stmts: list, owner: str, in_class: bool, klass: str | None) -> None:
+        if in_class or not owner:
+            self.hidden(stmts, owner)
         for s in stmts:
             if isinstance(s, ast.ClassDef):
                 self.klass(s, owner)
@@ -65,7 +114,7 @@ class _Walk:
         self.add("class", owner, name, f"class {node.name}", "0", node)
         for b in node.bases:
             base = b.value if isinstance(b, ast.Subscript) else b
-            self.add("base", name, dotted(base) or ast.unparse(base), None, None, b)
+            self.add("base", name, dotted(base) or ast.unparse(base), ast.unparse(b), None, b)
         self.body(node.body, name, True, name)
 
     def function(self, node: ast.FunctionDef | ast.AsyncFunctionDef, owner: str, in_class: bool, klass: str | None) -> None:
@@ -74,12 +123,28 @@ class _Walk:
         args = [a.arg for a in node.args.args]
         self.add("method" if in_class else "function", owner, name, f"{kind} {node.name}({', '.join(args)})", str(int(kind != "def")), node)
         decorated = {dotted(d) for d in node.decorator_list}
+        self.scope(node, name, owner, in_class)
         self_name = args[0] if klass and args and not decorated & {"staticmethod", "classmethod"} else None
         if klass and node.name == "__init__" and self_name:
             self.constructor(node, klass, self_name)
         self.calls(node, name, klass, self_name)
         self.body(node.body, name, False, None)
 
+    def scope(self, node: ast.FunctionDef | ast.AsyncFunctionDef, name: str, owner: str, in_class: bool) -> None:
+        """What decides whether `self` in a function inside a method is that method's own."""
+        a = node.args
+        first = [*a.posonlyargs, *a.args][:1]
+        if in_class:
+            changed = {d.id if isinstance(d, ast.Name) else d.attr for d in node.decorator_list if isinstance(d, (ast.Name, ast.Attribute))} & {"staticmethod", "classmethod"}
+            if first and first[0].arg == "self" and not changed:
+                self.add("takes_self", owner, name, None, None, node)
+        elif owner:
+            self.add("nested", owner, name, None, None, node)
+            if any(x.arg == "self" for x in [*a.posonlyargs, *a.args, *a.kwonlyargs, a.vararg, a.kwarg] if x is not None):
+                self.add("binds_self", owner, name, None, None, node)
+        if "self" in bound_names(node):
+            self.add("binds_self", owner, name, None, None, node)
+
     def constructor(self, node: ast.FunctionDef | ast.AsyncFunctionDef, klass: str, self_name: str) -> None:
         types = {a.arg: annotation(a.annotation) for a in [*node.args.posonlyargs, *node.args.args, *node.args.kwonlyargs]}
         for s in ast.walk(node):
@@ -137,5 +202,6 @@ def facts(text: str) -> list[tuple] | None:
         return None
     walk = _Walk()
     walk.imports(tree, "")
+    walk.bindings(tree)
     walk.body(tree.body, "", False, None)
     return walk.rows

@@ -140,18 +140,54 @@ def _classes_meant(df: DataFrame, meant: DataFrame, defs: DataFrame, text: str)
     return df.withColumn("cpath", F.coalesce("c1", F.when(F.col("q2").isNotNull(), F.col("_m")))).withColumn("cqual", F.coalesce("q1", "q2")).drop("_head", "_tail", "_m", "c1", "q1", "q2")
 
 
-def inheritance(rows: DataFrame, defs: DataFrame, meant: DataFrame) -> DataFrame:
-    """path, owner, base, line, cpath, cqual: one row for each base; the target is null where it is not certain.
+def inheritance(rows: DataFrame, defs: DataFrame) -> DataFrame:
+    """path, owner, base, text, line, cpath, cqual: one row for each base; the target is null where it is not certain.
 
-    A class of the same or an enclosing scope goes before what the file's top names.
+    A name means the class of the nearest scope around it; else what an import at the top of the file takes from a module. A
+    dotted name means a class at the top of the module that all of it but the last part is bound to: the longest prefix that an
+    import names, and one step on. Base[T] means what Base means. A class under if, try or with takes its name from every
+    other meaning, but is no symbol itself.
     """
-    df = rows.filter("fact = 'base'").select("path", "owner", F.col("name").alias("base"), "line")
+    df = rows.filter("fact = 'base'").select("path", "package", "module", "owner", F.col("name").alias("base"), F.coalesce("detail", "name").alias("text"), "line")
+    known = defs.filter("kind = 'class'").select("path", "local_name", F.lit(True).alias("symbol"))
+    known = known.unionByName(rows.filter("fact = 'hidden'").select("path", F.col("name").alias("local_name"), F.lit(False).alias("symbol"))).groupBy("path", "local_name").agg(F.max("symbol").alias("symbol"))
     up = F.split("owner", r"\.")
     scopes = F.transform(F.sequence(F.lit(1), F.size(up)), lambda k: F.array_join(F.slice(up, 1, F.size(up) - k), "."))
-    inner = df.select("path", "owner", "base", F.explode(scopes).alias("scope")).filter("scope <> ''").withColumn("local_name", F.concat_ws(".", "scope", "base"))
-    inner = inner.join(defs.filter("kind = 'class'").select("path", "local_name"), ["path", "local_name"]).groupBy("path", "owner", "base").agg(F.max_by("local_name", F.length("scope")).alias("inner"))
-    df = _classes_meant(df, meant, defs, "base").join(inner, ["path", "owner", "base"], "left")
-    return df.select("path", "owner", "base", "line", F.when(F.col("inner").isNotNull(), F.col("path")).otherwise(F.col("cpath")).alias("cpath"), F.coalesce("inner", "cqual").alias("cqual"))
+    key = ["path", "owner", "base", "line"]
+    inner = df.filter(~F.contains("base", F.lit("."))).select(*key, F.explode(scopes).alias("scope")).withColumn("local_name", F.when(F.col("scope") == "", F.col("base")).otherwise(F.concat_ws(".", "scope", "base")))
+    inner = inner.join(known, ["path", "local_name"]).groupBy(*key).agg(F.max_by(F.struct("local_name", "symbol"), F.length("scope")).alias("inner"))
+    level, item = F.split("extra", ":", 2)[0].cast("int"), F.split("extra", ":", 2)[1]
+    parts = F.split("module", r"\.")
+    base = F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - level, F.lit(0))), ".")
+    to = F.when(F.col("extra").isNull() | (level == 0), F.col("detail")).when(F.col("detail") == "", base).when(base == "", F.col("detail")).otherwise(F.concat_ws(".", base, "detail"))
+    bound = rows.filter("fact = 'bind'").select("path", F.col("name").alias("head"), to.alias("mod"), item.alias("item")).filter("mod <> ''")
+    files = rows.select(F.col("path").alias("tpath"), F.col("module").alias("mod")).filter("mod <> ''").groupBy("mod").agg(F.max("tpath").alias("tpath"))
+    bound = bound.join(files, "mod").select("path", "head", "item", "tpath")
+    head, tail = F.regexp_extract("base", r"^(.*)\.[^.]+$", 1), F.element_at(F.split("base", r"\."), -1)
+    plain = df.filter(~F.contains("base", F.lit("."))).select(*key, F.col("base").alias("head")).join(bound.filter("item is not null"), ["path", "head"]).select(*key, "tpath", F.col("item").alias("tname"))
+    dotted = df.filter(F.contains("base", F.lit("."))).select(*key, head.alias("head"), tail.alias("tname")).join(bound.filter("item is null"), ["path", "head"]).select(*key, "tpath", "tname")
+    outer = plain.unionByName(dotted).join(known.filter("symbol").select(F.col("path").alias("tpath"), F.col("local_name").alias("tname")), ["tpath", "tname"])
+    df = df.join(inner, key, "left").join(outer, key, "left")
+    here = F.col("inner.symbol")
+    cpath = F.when(here, F.col("path")).when(F.col("inner").isNull(), F.col("tpath"))
+    cqual = F.when(here, F.col("inner.local_name")).when(F.col("inner").isNull(), F.col("tname"))
+    return df.select("path", "owner", "base", "text", "line", cpath.alias("cpath"), cqual.alias("cqual"))
+
+
+def captured_self(rows: DataFrame) -> DataFrame:
+    """(path, owner, klass): functions inside a method, at any depth, whose `self` is that method's own.
+
+    The method takes `self` first and is neither static nor of the class; neither it nor any function on the way binds the
+    name anew. Each round goes one function further in.
+    """
+    free = rows.filter("fact = 'nested'").select("path", "owner", "name").join(rows.filter("fact = 'binds_self'").select("path", "name"), ["path", "name"], "left_anti")
+    front = rows.filter("fact = 'takes_self'").select("path", "name", F.col("owner").alias("klass")).join(rows.filter("fact = 'binds_self'").select("path", "name"), ["path", "name"], "left_anti")
+    out = None
+    while True:
+        front = durable(free.join(front.select("path", F.col("name").alias("owner"), "klass"), ["path", "owner"]).select("path", "name", "klass").distinct())
+        out = front if out is None else out.unionByName(front)
+        if not front.take(1):
+            return out.select("path", F.col("name").alias("owner"), "klass")
 
 
 def bindings(rows: DataFrame, defs: DataFrame, meant: DataFrame) -> DataFrame:
@@ -221,6 +257,7 @@ def calls(rows: DataFrame, defs: DataFrame, meant: DataFrame, bases: DataFrame,
     raw = rows.filter("fact = 'call'").select("path", "owner", F.col("name").alias("text"), "detail", "extra", "line")
     shape = F.split("extra", ":")
     raw = raw.withColumn("shape", shape[0]).withColumn("k", F.get(shape, F.lit(1))).withColumn("attr", F.get(shape, F.lit(2))).distinct()
+    raw = durable(raw)
     methods = defs.filter("kind = 'method'").select("path", F.regexp_extract("local_name", r"^(.*)\.[^.]+$", 1).alias("klass"), "name", "local_name")
     hit = methods.select(F.col("path").alias("cpath"), F.col("klass").alias("cqual"), F.col("name").alias("detail"), F.col("local_name").alias("tqual"))
     key = ["path", "owner", "text", "line"]
@@ -238,6 +275,8 @@ def calls(rows: DataFrame, defs: DataFrame, meant: DataFrame, bases: DataFrame,
     in_module = dotted.join(meant.filter("kind = 'module'").select("path", F.col("name").alias("k"), F.col("tpath").alias("tp")), ["path", "k"])
     in_module = in_module.join(defs.filter("local_name = name").select(F.col("path").alias("tp"), F.col("name").alias("detail"), F.col("local_name").alias("tqual")), ["tp", "detail"]).withColumn("tpath", F.col("tp"))
     on_class = _classes_meant(dotted, meant, defs, "k")
+    # only methods of the class itself: nothing further is tried from inside another function
+    closed = dotted.filter("k = 'self'").join(captured_self(rows), ["path", "owner"]).withColumn("cpath", F.col("path")).withColumn("cqual", F.col("klass"))
     variables = _classes_meant(rows.filter("fact = 'variable'").select("path", "owner", F.col("name").alias("k"), F.col("detail").alias("made")), meant, defs, "made")
     typed = dotted.join(_agreed(variables, ["path", "owner", "k"]), ["path", "owner", "k"]).join(meant.select("path", F.col("name").alias("k")), ["path", "k"], "left_anti")
     attr = raw.filter("shape = 'attr'")
@@ -246,12 +285,13 @@ def calls(rows: DataFrame, defs: DataFrame, meant: DataFrame, bases: DataFrame,
     built = _agreed(built, ["path", "k", "attr"]).join(bound.select("path", F.col("owner").alias("k"), F.col("attribute").alias("attr")).distinct(), ["path", "k", "attr"], "left_anti")
     ways = [
         plain(nested, "name"), plain(named.join(nested.select(*key), key, "left_anti"), "name"), of_class(own, "resolved", "name"), of_class(made, "resolved", "name"), plain(in_module, "name"),
-        of_class(on_class, "resolved", "name"), of_class(typed, "partial", "name"), of_class(attr.join(single, ["path", "k", "attr"]), "resolved", "constructor_binding"), of_class(attr.join(built, ["path", "k", "attr"]), "resolved", "direct_construction"),
+        of_class(on_class, "resolved", "name"), of_class(closed, "resolved", "name"), of_class(typed, "partial", "name"), of_class(attr.join(single, ["path", "k", "attr"]), "resolved", "constructor_binding"), of_class(attr.join(built, ["path", "k", "attr"]), "resolved", "direct_construction"),
     ]
     direct = ways[0]
     for w in ways[1:]:
         direct = direct.unionByName(w)
-    open_self = raw.filter("shape = 'self'").join(direct.select(*key), key, "left_anti")
+    direct = durable(direct)
+    open_self = durable(raw.filter("shape = 'self'").join(direct.select(*key), key, "left_anti"))
     above = _inherited(open_self, bases, methods).join(open_self, ["path", "owner", "k", "detail", "line"])
     parents = _above(raw.filter("shape = 'super'"), bases, methods).join(raw.filter("shape = 'super'"), ["path", "owner", "k", "detail", "line"])
     every = direct.unionByName(plain(above, "inherited_method")).unionByName(plain(parents, "static_super")).distinct()
@@ -274,11 +314,11 @@ def program_relations(files: DataFrame, run_id: str = "run") -> tuple[DataFrame,
     syms = durable(symbols(rows, run_id))
     defs = _last(syms).select("path", "name", "local_name", "kind", "id")
     meant = durable(names(rows, defs))
-    bases = durable(inheritance(rows, defs, meant))
+    bases = durable(inheritance(rows, defs))
     bound = bindings(rows, defs, meant)
     c = calls(rows, defs, meant, bases, bound)
     c = c.select("path", "owner", "text", "line", "tpath", "tqual", "status", "confidence", "basis", F.lit("calls").alias("kind"))
-    b = bases.select("path", "owner", F.col("base").alias("text"), "line", F.col("cpath").alias("tpath"), F.col("cqual").alias("tqual"), F.when(F.col("cqual").isNotNull(), "resolved").otherwise("unresolved").alias("status"), F.lit(None).cast("double").alias("confidence"), F.lit("name").alias("basis"), F.lit("inherits").alias("kind"))
+    b = bases.select("path", "owner", "text", "line", F.col("cpath").alias("tpath"), F.col("cqual").alias("tqual"), F.when(F.col("cqual").isNotNull(), "resolved").otherwise("unresolved").alias("status"), F.lit(None).cast("double").alias("confidence"), F.lit("name").alias("basis"), F.lit("inherits").alias("kind"))
     df = c.unionByName(b)
     ids = defs.select("path", F.col("local_name").alias("owner"), F.col("id").alias("source"))
     to = defs.select(F.col("path").alias("tpath"), F.col("local_name").alias("tqual"), F.col("id").alias("target"))
@@ -286,4 +326,9 @@ def program_relations(files: DataFrame, run_id: str = "run") -> tuple[DataFrame,
     df = df.withColumn("target_reference", F.when(F.col("status") != "resolved", F.col("text")))
     span = F.concat_ws(":", "path", "line", "line")
     df = df.withColumn("id", stable_id("relation", F.lit(run_id), F.col("kind"), F.col("source"), F.coalesce("target", "target_reference"), span))
-    return syms, df.select("id", "kind", "source", "target", "target_reference", "status", "path", "line", "confidence", "basis").dropDuplicates(["id"])
+    df = df.select("id", "kind", "source", "target", "target_reference", "status", "path", "line", "confidence", "basis")
+    # of rows of one id the surest stays
+    sure = F.array_position(F.array(*map(F.lit, ["unresolved", "partial", "resolved"])), F.col("status"))
+    others = [c for c in df.columns if c != "id"]
+    best = df.groupBy("id").agg(F.max(F.struct(sure.alias("sure"), *others)).alias("x"))
+    return syms, best.select("id", *[F.col(f"x.{c}").alias(c) for c in others])
