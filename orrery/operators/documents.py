@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from orrery.operators import matching
+
 #: Words of a component, and parts of a path that belong to it.
 KEYWORDS = [
     (("api", "public", "convenience", "request"), ("_api", "__init__", "/api", "request")),
@@ -41,47 +43,49 @@ def rule_bits(text: Column, side: int) -> Column:
     return F.array_compact(F.array(*[F.when(_any(F.lower(text), r[side]), F.lit(i)) for i, r in enumerate(KEYWORDS)]))
 
 
+def stem(path: Column) -> Column:
+    """A path's last part without its last ending, and without bars and hyphens around it."""
+    leaf = F.element_at(F.split(F.lower(path), "/"), -1)
+    return F.regexp_replace(F.regexp_replace(leaf, r"\.[^.]*$", ""), "^[_-]+|[_-]+$", "")
+
+
 def regions_by_keyword(components: DataFrame, regions: DataFrame) -> DataFrame:
-    """(component, region): a rule holds for both, or a region's path is one of a component's own.
+    """(component, region): a region's path is one of a component's own, a rule holds for both, or the component's text holds the path's stem.
 
-    components: (component, text, paths); regions: (region, path). Both sides are turned into rule numbers and paths, so this
-    is an equi-join and no comparison of every component with every region.
+    components: (component, text, paths), regions: (region, path). Paths and rules meet as keys; stems are sought by matching.
     """
     key = lambda rules, paths: F.array_distinct(F.concat(F.transform(rules, lambda i: F.concat(F.lit("rule:"), i.cast("string"))), F.transform(paths, lambda p: F.concat(F.lit("path:"), F.lower(p)))))
     a = components.select("component", F.explode(key(rule_bits(F.col("text"), 0), F.col("paths"))).alias("k"))
     b = regions.select("region", F.explode(key(rule_bits(F.col("path"), 1), F.array("path"))).alias("k"))
-    return a.join(b, "k").select("component", "region").distinct()
+    stems = regions.select("region", stem(F.col("path")).alias("stem"))
+    held = matching.contained(components.select(F.col("component").alias("id"), "text"), stems.select(F.col("stem").alias("pattern_id"), F.col("stem").alias("pattern")).distinct())
+    by_stem = held.select(F.col("id").alias("component"), F.col("pattern_id").alias("stem")).join(stems, "stem").select("component", "region")
+    return a.join(b, "k").select("component", "region").unionByName(by_stem).distinct()
 
 
-def mentions(sources: DataFrame, names: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
-    """(source, name): the first `most` names, in order of their place, that a text of sources (source, text) holds; names: (name, place).
+def mentions(sources: DataFrame, symbols: DataFrame, least: int = 3, most: int = 40) -> DataFrame:
+    """(source, symbol, name, rank): the first `most` symbols, by place, whose name the text of sources (source, text) holds in any case.
 
-    A name of word characters can only stand inside runs of them, so texts are cut into runs and the distinct runs meet the
-    names by their first letters, rather than every text every name.
+    symbols: (symbol, name, place). A name has `least` characters or more, of any kind; a symbol does not mention itself.
     """
-    runs = sources.select("source", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0)))).alias("run"))
-    distinct = runs.select("run").distinct().filter(F.length("run") >= least)
-    grams = distinct.select("run", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - least + 1), lambda i: F.substring(F.col("run"), i, F.lit(least))))).alias("gram"))
-    known = names.select(F.lower("name").alias("low"), "name", "place").filter(F.length("name") >= least).withColumn("gram", F.substring("low", 1, least))
-    found = grams.join(known, "gram").filter(F.contains("run", "low")).select("run", "name", "place").distinct()
-    hit = runs.join(found, "run").select("source", "name", "place").distinct()
-    rank = F.row_number().over(Window.partitionBy("source").orderBy("place", "name"))
-    return hit.withColumn("r", rank).filter(F.col("r") <= most).select("source", "name", F.col("r").alias("rank"))
+    named = symbols.filter(F.length("name") >= least)
+    held = matching.contained(sources.select(F.col("source").alias("id"), "text"), named.select(F.lower("name").alias("pattern_id"), F.col("name").alias("pattern")).distinct())
+    hit = held.select(F.col("id").alias("source"), F.col("pattern_id").alias("low")).distinct().join(named.withColumn("low", F.lower("name")), "low").filter("symbol <> source")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("place", "symbol"))
+    return hit.withColumn("rank", rank).filter(F.col("rank") <= most).select("source", "symbol", "name", "rank")
 
 
-def claims_of_components(claims: DataFrame, components: DataFrame) -> DataFrame:
-    """(component, claim): the claim's text holds the component's label, in any case, or its path is one of the component's.
+def claims_of_components(claims: DataFrame, citations: DataFrame, components: DataFrame) -> DataFrame:
+    """(component, claim): the claim's text holds the component's label, or the component's text holds a path that the claim cites, in any case.
 
-    claims: (claim, text, path); components: (component, label, paths). A label can only begin where its first three
-    characters stand, so texts and labels meet by those rather than each by each.
+    claims: (claim, text), citations: (claim, path), components: (component, label, text); a component's text is its label,
+    summary, duties and paths.
     """
-    c = components.select("component", F.lower("label").alias("label"), "paths").filter("label <> ''").withColumn("gram", F.substring("label", 1, 3))
-    low = F.col("low")
-    grams = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(low), F.lit(1))), lambda i: F.array(*[F.substring(low, i, F.lit(n)) for n in (1, 2, 3)]))))
-    texts = claims.select("claim", F.lower("text").alias("low")).withColumn("gram", F.explode(grams))
-    named = texts.join(c.select("component", "label", "gram"), "gram").filter(F.contains("low", "label")).select("component", "claim")
-    placed = claims.select("claim", F.lower("path").alias("path")).join(components.select("component", F.explode("paths").alias("p")).select("component", F.lower("p").alias("path")), "path").select("component", "claim")
-    return named.unionByName(placed).distinct()
+    named = matching.contained(claims.select(F.col("claim").alias("id"), "text"), components.select(F.col("component").alias("pattern_id"), F.col("label").alias("pattern")))
+    cited = citations.filter("path <> ''").select("claim", F.lower("path").alias("path")).distinct()
+    placed = matching.contained(components.select(F.col("component").alias("id"), "text"), cited.select(F.col("path").alias("pattern_id"), F.col("path").alias("pattern")).distinct())
+    placed = placed.select(F.col("id").alias("component"), F.col("pattern_id").alias("path")).join(cited, "path").select("component", "claim")
+    return named.select(F.col("pattern_id").alias("component"), F.col("id").alias("claim")).unionByName(placed).distinct()
 
 
 def component_evidence(rows: DataFrame, most: int = 40) -> DataFrame:
@@ -150,27 +154,6 @@ def stale(documents: DataFrame, sources: DataFrame) -> DataFrame:
     return df.select("id", F.when(F.col("hash").isNull(), "orphaned").when(F.col("hash") == F.col("source_hash"), "fresh").otherwise("stale").alias("state"))
 
 
-def boolean_search(texts: DataFrame, every: list[str], some: list[str] = (), none: list[str] = (), phrase: str = "", around: int = 40) -> DataFrame:
-    """id, snippet of texts (id, text) that hold all words, one of some, none of the rest, and the phrase.
-
-    Words are runs of letters and digits in any case. The snippet is what stands around the phrase, or else the first word.
-    """
-    low = F.lower("text")
-    words = F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))
-    hit = F.lit(True)
-    for w in every:
-        hit = hit & F.array_contains("w", w)
-    for w in none:
-        hit = hit & ~F.array_contains("w", w)
-    if some:
-        hit = hit & F.arrays_overlap("w", F.array(*map(F.lit, some)))
-    if phrase:
-        hit = hit & low.contains(phrase.lower())
-    at = F.instr(low, (phrase or (list(every) + list(some))[0]).lower())
-    snippet = F.substring(F.col("text"), F.greatest(F.lit(1), at - around), F.lit(2 * around))
-    return texts.withColumn("w", F.array_distinct(words)).filter(hit).select("id", F.regexp_replace(snippet, r"[ \t\n\r\f\x0B]+", " ").alias("snippet"))
-
-
 def valid_label(label: Column, description: Column) -> Column:
     """Whether an interpretation has a label of 2 to 8 words and a description of at most 1200 characters."""
     words = F.size(F.filter(F.split(label, r"\s+"), lambda x: x != ""))

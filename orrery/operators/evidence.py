@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.functions.text import stable_id
+from orrery.operators import spans
 
 
 #: Kinds of citation.
@@ -68,10 +69,20 @@ def verified_relations(claims: DataFrame, relations: DataFrame) -> DataFrame:
     return df.select("claim", F.when(F.col("evidence").isNotNull(), "supported").otherwise("insufficient").alias("verdict"), "evidence")
 
 
+def fact(kind: Column, relation: Column, source: Column, target: Column, symbol: Column) -> Column:
+    """What a piece of evidence is about: a relationship's kind and ends, or a span's symbol. Nulls are values here."""
+    text = lambda *cs: F.array(*[c.cast("string") for c in cs])
+    return F.struct(kind.alias("kind"), F.when(kind == "relationship", text(relation, source, target)).otherwise(text(symbol)).alias("ends"))
+
+
 def matched_evidence(candidate: DataFrame, truth: DataFrame) -> DataFrame:
-    """(claim, hop): hops of the truth that a candidate's evidence of the same claim and file overlaps."""
-    c = candidate.select("claim", "file", F.col("start_line").alias("c1"), F.col("end_line").alias("c2"))
-    return truth.join(c, ["claim", "file"]).filter("c1 <= end_line and c2 >= start_line").select("claim", "hop").distinct()
+    """(claim, hop, c_hop): hops of the truth, and the candidate's pieces of the same claim, file and fact whose lines overlap them.
+
+    Both sides are (claim, hop, file, fact, start_line, end_line), fact as by fact().
+    """
+    c = candidate.select("claim", "file", "fact", F.col("hop").alias("c_hop"), F.col("start_line").alias("b1"), F.col("end_line").alias("b2"))
+    t = truth.select("claim", "file", "fact", "hop", F.col("start_line").alias("a1"), F.col("end_line").alias("a2"))
+    return spans.overlaps(t, c, ["claim", "file", "fact"]).select("claim", "hop", "c_hop").distinct()
 
 
 def scores(truth: DataFrame, candidates: DataFrame) -> DataFrame:
@@ -199,10 +210,9 @@ def validated_proposals(proposals: DataFrame, evidence: DataFrame) -> DataFrame:
 def evidence_scores(candidate: DataFrame, truth: DataFrame) -> DataFrame:
     """evidence_correctness (pooled) and evidence_completeness (mean over claims of the share of hops that are matched).
 
-    candidate, truth: (claim, hop, file, start_line, end_line) of claims whose verdict is right.
+    candidate, truth: rows as of matched_evidence(), of claims whose verdict is right.
     """
-    c = candidate.select("claim", "file", F.col("hop").alias("c_hop"), F.col("start_line").alias("c1"), F.col("end_line").alias("c2"))
-    both = truth.join(c, ["claim", "file"]).filter("c1 <= end_line and c2 >= start_line")
+    both = matched_evidence(candidate, truth)
     right = both.select("claim", "c_hop").distinct().select(F.lit(1).alias("hit"), F.lit(0).alias("asked"))
     asked = candidate.join(truth.select("claim").distinct(), "claim", "left_semi").select(F.lit(0).alias("hit"), F.lit(1).alias("asked"))
     correct = right.unionByName(asked).agg(F.round(F.try_divide(F.sum("hit"), F.sum("asked")), 6).alias("value"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrery.lineage import durable
+from orrery.operators import spans
 
 
 def violations(relations: DataFrame) -> DataFrame:
@@ -306,14 +307,13 @@ def connected(edges: DataFrame) -> DataFrame:
 def overlapping(anchors: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
     """(anchor, symbol): symbols of the same path whose lines overlap an anchor's, at most `most` in their own order."""
     a = anchors.select("path", F.col("id").alias("anchor"), F.col("start_line").alias("a1"), F.col("end_line").alias("a2"))
-    s = symbols.select("path", F.col("id").alias("symbol"), F.col("start_line").alias("s1"), F.col("end_line").alias("s2"))
-    hit = a.join(s, (a.path == s.path) & (F.col("s2") >= F.col("a1")) & (F.col("s1") <= F.col("a2"))).select("anchor", "symbol")
+    s = symbols.select("path", F.col("id").alias("symbol"), F.col("start_line").alias("b1"), F.col("end_line").alias("b2"))
+    hit = spans.overlaps(a, s, ["path"]).select("anchor", "symbol")
     return hit.withColumn("r", F.row_number().over(Window.partitionBy("anchor").orderBy("symbol"))).filter(F.col("r") <= most).select("anchor", "symbol", F.col("r").alias("rank"))
 
 
-def innermost(spans: DataFrame, points: DataFrame) -> DataFrame:
-    """(point, span): the shortest span of the same path around a line; ties to the smaller id."""
-    hit = points.join(spans, "path").filter("line between start_line and end_line")
-    return hit.groupBy("point").agg(F.min_by("id", F.struct(F.col("end_line") - F.col("start_line"), F.col("id"))).alias("span"))
-
-
+def innermost(symbols: DataFrame, points: DataFrame) -> DataFrame:
+    """(point, span): the shortest of symbols (path, id, start_line, end_line) around a line of points (path, point, line); ties to the smaller id."""
+    s = symbols.select("path", "id", F.col("start_line").alias("b1"), F.col("end_line").alias("b2"))
+    hit = spans.overlaps(points.select("path", "point", F.col("line").alias("a1"), F.col("line").alias("a2")), s, ["path"])
+    return hit.groupBy("point").agg(F.min_by("id", F.struct(F.col("b2") - F.col("b1"), F.col("id"))).alias("span"))

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import time
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: States of a job that an interruption ends, and what is noted then.
@@ -10,20 +13,61 @@ OPEN = ["queued", "running"]
 INTERRUPTED = "Analysis was interrupted by a backend restart."
 
 
-def replaced(kept: DataFrame, new: DataFrame, key: str = "run_id") -> DataFrame:
-    """kept with all rows of the runs in new replaced by new's, one row for each id."""
-    return kept.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True).dropDuplicates([key, "id"])
+def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """The row written last for each key: that with the largest `order`, a number of the write, then the larger of its other values. Null keys count as one key.
+
+    Rows meet as one maximum per key, combined before they move, so a key that is written over and over is no task's whole work.
+    """
+    others = [c for c in rows.columns if c not in (*keys, order)]
+    return rows.groupBy(*keys).agg(F.max(F.struct(order, *others)).alias("last_")).select(*[F.col(k) if k in keys else F.col(f"last_.{k}").alias(k) for k in rows.columns])
+
+
+def upserted(kept: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """kept with new's rows put in by key: of all rows of a key, in either, the one written last stays."""
+    return latest(kept.unionByName(new, allowMissingColumns=True), keys, order)
+
+
+def replaced(kept: DataFrame, new: DataFrame, key: str = "run_id", order: str | None = None) -> DataFrame:
+    """kept with all rows of the runs in new replaced by new's; with order, of new's rows of one id the one written last."""
+    rows = new.dropDuplicates() if order is None else latest(new, [key, "id"], order)
+    return kept.join(new.select(key).distinct(), key, "left_anti").unionByName(rows, allowMissingColumns=True)
+
 
+#: The folder of a store that holds which generation of each run counts.
+COMMITS = "commits"
 
-def write_runs(df: DataFrame, path: str) -> None:
-    """Writes df (run_id, id, ...) so that only the runs it holds are replaced; other runs' files are not touched."""
-    df.dropDuplicates(["run_id", "id"]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
 
+def write_runs(df: DataFrame, path: str, order: str | None = None) -> str:
+    """Writes df (run_id, id, ...) as a new generation of its runs, and returns its name. With order, of rows of one id the last written stays.
 
-def read_runs(spark, path: str, run_id: str | None = None) -> DataFrame:
-    """All rows that write_runs() has kept, or those of one run, read from its folder alone. Columns added later are null in older runs."""
-    df = spark.read.option("mergeSchema", True).parquet(path)
-    return df if run_id is None else df.filter(F.col("run_id") == run_id)
+    Rows go to a folder of their own, which no reader looks at before the commit: a small table of (run_id, generation, at)
+    that is written after all of them. So a reader sees a run as it was or as it is, never half of it, and a lost job leaves
+    only a folder that nobody reads. Other runs are not touched.
+    """
+    spark = df.sparkSession
+    rows = df.dropDuplicates() if order is None else latest(df, ["run_id", "id"], order)
+    generation = uuid.uuid4().hex
+    rows.write.partitionBy("run_id").parquet(f"{path}/rows/generation={generation}")
+    written = spark.read.parquet(f"{path}/rows/generation={generation}").select(F.col("run_id").cast("string").alias("run_id")).distinct()
+    written.select("run_id", F.lit(generation).alias("generation"), F.lit(time.time_ns()).alias("at")).coalesce(1).write.mode("append").parquet(f"{path}/{COMMITS}")
+    return generation
+
+
+def committed(spark: SparkSession, path: str) -> DataFrame:
+    """run_id, generation of each run of a store: that of its last commit."""
+    return spark.read.parquet(f"{path}/{COMMITS}").groupBy("run_id").agg(F.max(F.struct("at", "generation")).alias("x")).select("run_id", "x.generation")
+
+
+def read_runs(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
+    """All rows of the last commit of every run that write_runs() has kept, or of one run, read from its folder alone.
+
+    Columns added later are null in older runs.
+    """
+    now = committed(spark, path)
+    now = now if run_id is None else now.filter(F.col("run_id") == run_id)
+    rows = spark.read.option("mergeSchema", True).option("basePath", f"{path}/rows").parquet(f"{path}/rows").withColumn("run_id", F.col("run_id").cast("string"))
+    rows = rows if run_id is None else rows.filter(F.col("run_id") == run_id)
+    return rows.join(now, ["run_id", "generation"], "left_semi").drop("generation")
 
 
 def repaired(jobs: DataFrame) -> DataFrame:

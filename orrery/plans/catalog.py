@@ -6,9 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrery.functions import text as t
-from orrery.operators import anchors, evidence, graph, relations, runs, search
+from orrery.operators import anchors, evidence, graph, runs, search
 from orrery.plans import corpus
-from orrery.sources import files as src
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -478,15 +477,34 @@ def direct_relation_claims(spark, d):
     return evidence.verified_relations(claims, r)
 
 
-@query("""WITH t AS (SELECT l_orderkey AS claim, l_linenumber AS hop, l_suppkey AS file, l_linenumber AS start_line, l_linenumber + 1 AS end_line FROM lineitem WHERE l_returnflag = 'N'),
-c AS (SELECT l_orderkey AS claim, l_suppkey AS file, l_linenumber + 1 AS start_line, l_linenumber + 2 AS end_line FROM lineitem WHERE l_linestatus = 'O')
-SELECT DISTINCT t.claim, t.hop FROM t JOIN c ON t.claim = c.claim AND t.file = c.file AND c.start_line <= t.end_line AND c.end_line >= t.start_line""")
+#: Evidence from lines of orders: spans and relationships, of which the candidate's differ in an end here and there.
+PROVEN = """WITH x AS (SELECT DISTINCT l_orderkey AS claim, l_linenumber AS hop, l_suppkey AS file, CASE WHEN l_quantity % 2 = 0 THEN 'relationship' ELSE 'source_span' END AS kind, CASE WHEN l_tax < 0.04 THEN 'calls' ELSE 'inherits' END AS relation,
+  l_suppkey AS source, l_partkey AS target, CASE WHEN l_discount > 0.02 THEN l_partkey END AS symbol, l_returnflag = 'N' AS told, l_linestatus = 'O' AS said FROM lineitem),
+t AS (SELECT DISTINCT claim, hop, file, kind, hop AS a, hop + 1 AS b, CASE kind WHEN 'relationship' THEN [CAST(relation AS VARCHAR), CAST(source AS VARCHAR), CAST(target AS VARCHAR)] ELSE [CAST(symbol AS VARCHAR)] END AS ends FROM x WHERE told),
+c AS (SELECT DISTINCT claim, hop, file, kind, hop + 1 AS a, hop + 2 AS b, CASE kind WHEN 'relationship' THEN [CASE WHEN hop = 2 THEN 'calls' ELSE relation END, CAST(source AS VARCHAR), CAST(CASE WHEN hop = 4 THEN target + 1 ELSE target END AS VARCHAR)] ELSE [CASE WHEN hop = 3 THEN NULL ELSE CAST(symbol AS VARCHAR) END] END AS ends FROM x WHERE said),
+m AS (SELECT DISTINCT t.claim, t.hop, c.hop AS c_hop FROM t JOIN c ON c.claim = t.claim AND c.file = t.file AND c.kind = t.kind AND greatest(c.a, t.a) <= least(c.b, t.b)
+  AND c.ends IS NOT DISTINCT FROM t.ends)"""
+
+
+def _proven(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Candidate and truth."""
+    li, n = corpus.table(spark, d, "lineitem"), F.col("l_linenumber")
+    kind = F.when(F.col("l_quantity") % 2 == 0, "relationship").otherwise("source_span")
+    relation = F.when(F.col("l_tax") < 0.04, "calls").otherwise("inherits")
+    symbol = F.when(F.col("l_discount") > 0.02, F.col("l_partkey"))
+
+    def rows(df, by, relation, target, symbol):
+        fact = evidence.fact(kind, relation, F.col("l_suppkey"), target, symbol)
+        return df.select(F.col("l_orderkey").alias("claim"), n.alias("hop"), F.col("l_suppkey").alias("file"), fact.alias("fact"), (n + by).alias("start_line"), (n + by + 1).alias("end_line")).distinct()
+
+    part = F.col("l_partkey")
+    said = rows(li.filter("l_linestatus = 'O'"), 1, F.when(n == 2, "calls").otherwise(relation), F.when(n == 4, part + 1).otherwise(part), F.when(n != 3, symbol))
+    return said, rows(li.filter("l_returnflag = 'N'"), 0, relation, part, symbol)
+
+
+@query(f"{PROVEN} SELECT * FROM m")
 def evidence_overlap(spark, d):
-    li = corpus.table(spark, d, "lineitem")
-    n = F.col("l_linenumber")
-    truth = li.filter("l_returnflag = 'N'").select(F.col("l_orderkey").alias("claim"), n.alias("hop"), F.col("l_suppkey").alias("file"), n.alias("start_line"), (n + 1).alias("end_line"))
-    cand = li.filter("l_linestatus = 'O'").select(F.col("l_orderkey").alias("claim"), F.col("l_suppkey").alias("file"), (n + 1).alias("start_line"), (n + 2).alias("end_line"))
-    return evidence.matched_evidence(cand, truth)
+    return evidence.matched_evidence(*_proven(spark, d))
 
 
 VERDICTS = """WITH truth AS (SELECT doc_id AS claim, CASE WHEN quality = 1 THEN 'supported' WHEN toxic = 1 THEN 'contradicted' ELSE 'insufficient' END AS expected FROM labels),
@@ -577,17 +595,12 @@ def target_verification(spark, d):
     return evidence.proposition_claims(valid, r).select("source", "kind", "target", "support_status")
 
 
-@query("""WITH t AS (SELECT DISTINCT l_orderkey AS claim, l_linenumber AS hop, l_suppkey AS file, l_linenumber AS a, l_linenumber + 1 AS b FROM lineitem WHERE l_returnflag = 'N'),
-c AS (SELECT DISTINCT l_orderkey AS claim, l_linenumber AS hop, l_suppkey AS file, l_linenumber + 1 AS a, l_linenumber + 2 AS b FROM lineitem WHERE l_linestatus = 'O'),
-m AS (SELECT t.claim, t.hop, c.hop AS c_hop FROM t JOIN c ON c.claim = t.claim AND c.file = t.file AND c.a <= t.b AND c.b >= t.a), k AS (SELECT DISTINCT claim FROM c), kt AS (SELECT DISTINCT claim FROM t),
+@query(f"""{PROVEN}, k AS (SELECT DISTINCT claim FROM c), kt AS (SELECT DISTINCT claim FROM t),
 per AS (SELECT claim, count(*) AS hops FROM t WHERE claim IN (SELECT claim FROM k) GROUP BY claim), f AS (SELECT claim, count(DISTINCT hop) AS found FROM m GROUP BY claim)
 SELECT 'evidence_correctness' AS metric, round((SELECT count(*) FROM (SELECT DISTINCT claim, c_hop FROM m)) / (SELECT count(*) FROM c WHERE claim IN (SELECT claim FROM kt)), 6) AS value
 UNION ALL SELECT 'evidence_completeness', round(avg(coalesce(found, 0) / hops), 6) FROM per LEFT JOIN f ON f.claim = per.claim""")
 def evidence_scores(spark, d):
-    n = F.col("l_linenumber")
-    li = corpus.table(spark, d, "lineitem")
-    rows = lambda df, by: df.select(F.col("l_orderkey").alias("claim"), n.alias("hop"), F.col("l_suppkey").alias("file"), (n + by).alias("start_line"), (n + by + 1).alias("end_line")).distinct()
-    return evidence.evidence_scores(rows(li.filter("l_linestatus = 'O'"), 1), rows(li.filter("l_returnflag = 'N'"), 0))
+    return evidence.evidence_scores(*_proven(spark, d))
 
 
 @query(f"""{SPANS}, sp AS (SELECT concat('r', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS id, concat('s', l_orderkey, ':', l_linenumber, ':', l_suppkey) AS symbol, concat('p', l_orderkey) AS path, l_linenumber + l_suppkey % 3 AS line FROM lineitem GROUP BY ALL),
@@ -739,31 +752,3 @@ def docs_hierarchy(spark, d):
     kids = o.groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("k"))
     df = c.join(n, c.c_nationkey == n.n_nationkey).join(kids, "c_custkey", "left")
     return df.select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("parent"), F.col("n_name").alias("title"), F.coalesce("k", F.lit(0)).cast("long").alias("children"))
-
-
-# parsing and resolution, over this package's own source: the test tables hold no code
-
-def _own_source(spark: SparkSession) -> DataFrame:
-    import pathlib
-
-    import orrery
-
-    top = pathlib.Path(orrery.__file__).parent
-    rows = [(f"orrery/{p.relative_to(top).as_posix()}", p.read_text()) for part in ("functions", "operators", "sources", "plans", "streaming") for p in sorted((top / part).glob("*.py"))]
-    df = spark.createDataFrame(rows, "path string, text string")
-    return df.select("path", src.language(F.col("path")).alias("language"), "text")
-
-
-@query()
-def python_symbols(spark, d):
-    return relations.symbols(relations.facts(_own_source(spark)))
-
-
-@query()
-def python_relations(spark, d):
-    return relations.program_relations(_own_source(spark))[1]
-
-
-@query()
-def python_import_edges(spark, d):
-    return relations.import_edges(relations.facts(_own_source(spark)))

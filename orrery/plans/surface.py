@@ -97,9 +97,10 @@ def _keyword_sql() -> str:
     rule = lambda text, side: " , ".join(f"CASE WHEN {' OR '.join(f"contains(lower({text}), '{w}')" for w in r[side])} THEN {i} END" for i, r in enumerate(documents.KEYWORDS))
     array = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     return f"""WITH c AS (SELECT n_name AS component, concat(list_extract({array(_WORDS)}, CAST(n_nationkey % 12 + 1 AS BIGINT)), ' part') AS text, concat('lib/', n_nationkey) AS own FROM nation),
-r AS (SELECT p_partkey AS region, CASE WHEN p_partkey % 13 = 12 THEN concat('LIB/', p_partkey % 25) ELSE concat(list_extract({array(_PARTS)}, CAST(p_partkey % 13 + 1 AS BIGINT)), '/x', p_partkey) END AS path FROM part),
-cr AS (SELECT *, list_filter([{rule('text', 0)}], lambda x: x IS NOT NULL) AS rules FROM c), rr AS (SELECT *, list_filter([{rule('path', 1)}], lambda x: x IS NOT NULL) AS rules FROM r)
-SELECT component, region FROM cr JOIN rr ON len(list_intersect(cr.rules, rr.rules)) > 0 OR lower(rr.path) = cr.own"""
+r AS (SELECT p_partkey AS region, CASE WHEN p_partkey % 13 = 12 THEN concat('LIB/', p_partkey % 25) WHEN p_partkey % 13 = 11 THEN concat('zz/_', list_extract({array(_WORDS)}, CAST(p_partkey % 12 + 1 AS BIGINT)), '-.x.py') WHEN p_partkey % 13 = 10 THEN concat('zz/_', list_extract({array(_WORDS)}, CAST(p_partkey % 12 + 1 AS BIGINT)), '-.py') ELSE concat(list_extract({array(_PARTS)}, CAST(p_partkey % 13 + 1 AS BIGINT)), '/x', p_partkey) END AS path FROM part),
+cr AS (SELECT *, list_filter([{rule('text', 0)}], lambda x: x IS NOT NULL) AS rules FROM c), rr AS (SELECT *, list_filter([{rule('path', 1)}], lambda x: x IS NOT NULL) AS rules FROM r),
+sr AS (SELECT *, trim(regexp_replace(list_extract(string_split(lower(path), '/'), -1), '\\.[^.]*$', ''), '_-') AS stem FROM rr)
+SELECT component, region FROM cr JOIN sr ON len(list_intersect(cr.rules, sr.rules)) > 0 OR lower(sr.path) = cr.own OR (stem <> '' AND contains(lower(cr.text), stem))"""
 
 
 @query(_keyword_sql())
@@ -108,24 +109,34 @@ def regions_by_keyword(spark, d):
     k = F.col("n_nationkey")
     c = table(spark, d, "nation").select(F.col("n_name").alias("component"), F.concat(pick(_WORDS, k % 12), F.lit(" part")).alias("text"), F.array(F.concat(F.lit("lib/"), k)).alias("paths"))
     p = F.col("p_partkey")
-    path = F.when(p % 13 == 12, F.concat(F.lit("LIB/"), p % 25)).otherwise(F.concat(F.try_element_at(F.array(*map(F.lit, _PARTS)), (p % 13 + 1).cast("int")), F.lit("/x"), p))
+    word = pick(_WORDS, p % 12)
+    path = F.when(p % 13 == 12, F.concat(F.lit("LIB/"), p % 25)).when(p % 13 == 11, F.concat(F.lit("zz/_"), word, F.lit("-.x.py"))).when(p % 13 == 10, F.concat(F.lit("zz/_"), word, F.lit("-.py"))).otherwise(F.concat(F.try_element_at(F.array(*map(F.lit, _PARTS)), (p % 13 + 1).cast("int")), F.lit("/x"), p))
     return documents.regions_by_keyword(c, table(spark, d, "part").select(p.alias("region"), path.alias("path")))
 
 
-@query("""WITH n AS (SELECT item_id AS place, regexp_extract(lower(text), '[a-z0-9_]+') AS name FROM benchmark), h AS (SELECT DISTINCT b.item_id AS source, name, place FROM benchmark b JOIN n ON length(name) >= 3 AND contains(lower(b.text), name)),
-r AS (SELECT source, name, CAST(row_number() OVER (PARTITION BY source ORDER BY place, name) AS INTEGER) AS rank FROM h) SELECT source, name, rank FROM r WHERE rank <= 40""")
+@query("""WITH w AS (SELECT item_id, text, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark), t AS (SELECT item_id AS source, concat(text, ' $', w[2], '!naïve_', w[1]) AS text FROM w),
+n AS (SELECT item_id AS symbol, CASE item_id % 3 WHEN 0 THEN w[1] WHEN 1 THEN concat('$', w[2]) ELSE concat('NAÏVE_', w[1]) END AS name FROM w),
+h AS (SELECT source, symbol, name FROM t JOIN n ON length(name) >= 3 AND contains(lower(text), lower(name)) AND symbol <> source),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY source ORDER BY symbol) AS INTEGER) AS rank FROM h) SELECT * FROM r WHERE rank <= 40""")
 def symbol_mentions(spark, d):
-    b = table(spark, d, "benchmark")
-    names = b.select(F.regexp_extract(F.lower("text"), "[a-z0-9_]+", 0).alias("name"), F.col("item_id").alias("place"))
-    return documents.mentions(b.select(F.col("item_id").alias("source"), "text"), names)
-
-
-@query("""WITH c AS (SELECT p_type AS component, lower(split_part(p_type, ' ', 1)) AS label, min(p_brand) AS path FROM part GROUP BY ALL)
-SELECT DISTINCT component, p_partkey AS claim FROM part JOIN c ON contains(lower(concat(p_name, ' ', p_type)), label) OR lower(p_brand) = lower(path)""")
+    """Names of word characters, with a sign in front, and with letters beyond ASCII."""
+    w = F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9_]+"), F.lit(0))
+    b = table(spark, d, "benchmark").select("item_id", "text", F.try_element_at(w, F.lit(1)).alias("w1"), F.try_element_at(w, F.lit(2)).alias("w2"))
+    none = lambda c: F.coalesce(c, F.lit(""))
+    name = F.when(F.col("item_id") % 3 == 0, F.col("w1")).when(F.col("item_id") % 3 == 1, F.concat(F.lit("$"), none("w2"))).otherwise(F.concat(F.lit("NAÏVE_"), none("w1")))
+    texts = b.select(F.col("item_id").alias("source"), F.concat("text", F.lit(" $"), none("w2"), F.lit("!naïve_"), none("w1")).alias("text"))
+    return documents.mentions(texts, b.select(F.col("item_id").alias("symbol"), name.alias("name"), F.col("item_id").alias("place")))
+
+
+@query("""WITH c AS (SELECT p_type AS component, split_part(p_type, ' ', 1) AS label, concat(p_type, ' part of lib/', p_type, '/', min(p_brand), '.py') AS text FROM part GROUP BY p_type),
+k AS (SELECT p_partkey AS claim, concat(p_name, ' ', p_type) AS text, CASE WHEN p_partkey % 3 = 0 THEN concat(upper(p_type), '/', p_brand) WHEN p_partkey % 3 = 1 THEN '' END AS path FROM part)
+SELECT DISTINCT component, claim FROM k JOIN c ON contains(lower(k.text), lower(label)) OR (path <> '' AND contains(lower(c.text), lower(path)))""")
 def claims_by_label(spark, d):
-    p = table(spark, d, "part")
-    c = p.groupBy(F.col("p_type").alias("component")).agg(F.array(F.min("p_brand")).alias("paths")).withColumn("label", F.element_at(F.split("component", " "), 1))
-    return documents.claims_of_components(p.select(F.col("p_partkey").alias("claim"), F.concat_ws(" ", "p_name", "p_type").alias("text"), F.col("p_brand").alias("path")), c)
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    c = p.groupBy(F.col("p_type").alias("component")).agg(F.min("p_brand").alias("brand"))
+    c = c.select("component", F.element_at(F.split("component", " "), 1).alias("label"), F.concat("component", F.lit(" part of lib/"), "component", F.lit("/"), "brand", F.lit(".py")).alias("text"))
+    path = F.when(k % 3 == 0, F.concat(F.upper("p_type"), F.lit("/"), "p_brand")).when(k % 3 == 1, "")
+    return documents.claims_of_components(p.select(k.alias("claim"), F.concat_ws(" ", "p_name", "p_type").alias("text")), p.select(k.alias("claim"), path.alias("path")), c)
 
 
 @query("""WITH r AS (SELECT l_suppkey AS component, l_partkey AS region, CASE l_returnflag WHEN 'N' THEN 'component_source_region' WHEN 'A' THEN 'grounded_claim' ELSE 'semantic_anchor:route' END AS origin, l_orderkey * 10 + l_linenumber AS place,
@@ -190,12 +201,6 @@ def stale_documents(spark, d):
     return documents.stale(then, c)
 
 
-@query("""WITH x AS (SELECT doc_id AS id, text, regexp_extract_all(lower(text), '[a-z0-9]+') AS w, instr(lower(text), 'the mit') AS pos FROM documents)
-SELECT id, regexp_replace(substring(text, greatest(1, pos - 40), 80), '[ \\t\\n\\r\\f\\v]+', ' ', 'g') AS snippet FROM x WHERE list_contains(w, 'license') AND len(list_intersect(w, ['apache', 'mit'])) > 0 AND NOT list_contains(w, 'zebra') AND contains(lower(text), 'the mit')""")
-def boolean_search(spark, d):
-    return documents.boolean_search(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), ["license"], ["apache", "mit"], ["zebra"], "the MIT")
-
-
 @query("""SELECT p_partkey AS id, len(list_filter(string_split_regex(l, '\\s+'), lambda x: x <> '')) BETWEEN 2 AND 8 AND trim(p_type) <> '' AND length(repeat(p_type, p_size)) <= 1200 AS valid FROM (SELECT *, CASE WHEN p_partkey % 4 = 0 THEN split_part(p_name, ' ', 1) ELSE p_name END AS l FROM part)""")
 def label_checks(spark, d):
     label = F.when(F.col("p_partkey") % 4 == 0, F.element_at(F.split("p_name", " "), 1)).otherwise(F.col("p_name"))

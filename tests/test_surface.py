@@ -59,15 +59,6 @@ def test_runs_are_replaced_one_by_one(spark, tmp_path):
     assert [r.id for r in store.read_runs(spark, path, "b").collect()] == ["1"]
 
 
-def test_mentions_and_claims(spark):
-    texts = spark.createDataFrame([(1, "Load the ConfigStore and xload2"), (2, "nothing"), (3, None)], "source int, text string")
-    names = spark.createDataFrame([("load", 1), ("Store", 2), ("ab", 3)], "name string, place int")
-    assert sorted((r.source, r.name, r["rank"]) for r in documents.mentions(texts, names).collect()) == [(1, "Store", 2), (1, "load", 1)]
-    claims = spark.createDataFrame([(1, "the webApi client", None), (2, "x", "lib/A.py"), (3, "", None)], "claim int, text string, path string")
-    components = spark.createDataFrame([("c", "Api", ["LIB/a.py"]), ("d", "zz", []), ("e", "x", [])], "component string, label string, paths array<string>")
-    assert sorted(tuple(r) for r in documents.claims_of_components(claims, components).collect()) == [("c", 1), ("c", 2), ("e", 2)]
-
-
 def test_nearest_collapsed_ancestor(spark):
     up = spark.createDataFrame([("n", "n", 0), ("n", "p", 1), ("n", "g", 2), ("m", "m", 0), ("m", "g", 1)], "node string, ancestor string, distance int")
     shut = spark.createDataFrame([("p",), ("g",), ("m",)], "node string")
