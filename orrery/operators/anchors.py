@@ -165,3 +165,36 @@ def orientation(files: DataFrame) -> DataFrame:
     df = files.withColumn("kind", kind).filter("kind is not null")
     rank = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])
     return df.select("path", "kind", F.element_at(rank, F.col("kind")).alias("priority"), F.when(F.col("kind") == "manifest", "metadata_guidance").otherwise("guidance_only").alias("trust_level"), F.lit(False).alias("proof_allowed"), signals(F.concat_ws(" ", "path", "text")).alias("signals"), preview(F.col("text"), 360).alias("summary"))
+
+
+#: The order of kinds where anchors are shown, files that are a public surface, and folders that are none.
+KIND_ORDER = ["http_route", "frontend_screen", "cli_command", "worker", "cron_job", "webhook", "db_schema", "queue_boundary", "external_api_client", "public_export", "plugin_registry", "deployment_unit", "auth_boundary"]
+SURFACE_FILES = ["index.ts", "index.js", "main.ts", "main.js"]
+ASIDE = ["/tests/", "/test/", "/docs/", "/examples/"]
+
+
+def ordered(anchors: DataFrame) -> DataFrame:
+    """anchors (kind, path, line, label, ...) with place: by order of kinds, path, line and label, unknown kinds last.
+
+    A place counts the anchors of smaller kinds and then those before in its own kind, so no task orders all of them.
+    """
+    order = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KIND_ORDER) for x in (k, i)]), F.col("kind")), F.lit(99))
+    df = anchors.withColumn("kind_place", order)
+    per = df.groupBy("kind_place").agg(F.count(F.lit(1)).alias("n"))
+    before = per.withColumn("before", F.sum("n").over(Window.orderBy("kind_place")) - F.col("n")).drop("n")  # a row for each kind
+    rank = F.row_number().over(Window.partitionBy("kind_place").orderBy("kind", "path", "line", "label"))
+    return df.join(F.broadcast(before), "kind_place").withColumn("place", F.col("before") + rank).drop("before", "kind_place")
+
+
+def exported_anchors(symbols: DataFrame) -> DataFrame:
+    """kind, path, line, end_line, label, method, confidence of exported symbols (path, language, kind, qualified_name, start_line, end_line, exported).
+
+    Symbols of script files, and of files that are a public surface; tests, docs and examples give none.
+    """
+    low = F.concat(F.lit("/"), F.lower(F.replace("path", F.lit("\\"), F.lit("/"))), F.lit("/"))
+    aside = F.lit(False)
+    for part in ASIDE:
+        aside = aside | low.contains(part)
+    public = F.element_at(F.split("path", "/"), -1).isin(SURFACE_FILES) | F.col("language").isin("javascript", "typescript")
+    df = symbols.filter(F.col("exported") & ~aside & public)
+    return df.select(F.lit("public_export").alias("kind"), "path", F.col("start_line").alias("line"), "end_line", F.col("qualified_name").alias("label"), F.lit("parsed_exported_symbol").alias("method"), F.lit(0.82).alias("confidence"))

@@ -46,12 +46,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 def _trimmed(edges: DataFrame) -> DataFrame:
     """Edges whose ends have both a way in and a way out, again and again: no other edge is part of a cycle."""
-    while True:
-        both = edges.select(F.col("a").alias("v")).intersect(edges.select(F.col("b").alias("v")))
-        left = durable(edges.join(both.withColumnRenamed("v", "a"), "a", "left_semi").join(both.withColumnRenamed("v", "b"), "b", "left_semi").select("a", "b"))
-        if left.count() == edges.count():
-            return left
+    n = edges.count()
+    while n:
+        # an edge goes on where one leads to its beginning and one leads on from its end
+        into, out = edges.select(F.col("b").alias("a")).distinct(), edges.select(F.col("a").alias("b")).distinct()
+        left = durable(edges.join(into, "a", "left_semi").join(out, "b", "left_semi").select("a", "b"))
+        before, n = n, left.count()
         edges = left
+        if n == before:
+            break
+    return edges
 
 
 def _coloured(edges: DataFrame) -> DataFrame:
@@ -98,12 +102,12 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return all_nodes.join(_union(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def layers(edges: DataFrame) -> DataFrame:
+def layers(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(node, component, layer): edges (a, b) lead down; a component's layer is the longest way to it from the top.
 
-    Nodes of one cycle stand in one layer. Each round takes what nothing left leads to.
+    Nodes of one cycle stand in one layer. Each round takes what nothing left leads to. of: strong_components(), where known.
     """
-    of = durable(strong_components(edges))
+    of = durable(strong_components(edges)) if of is None else of
     a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
     left = durable(edges.select("a", "b").join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
     rest = durable(of.select("component").distinct())

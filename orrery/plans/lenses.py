@@ -11,18 +11,18 @@ from orrery.plans.catalog import query
 table = corpus.table
 
 REGIONS = """regions AS (SELECT l_suppkey AS node, l_orderkey * 10 + l_linenumber AS region, concat('src/f', l_partkey % 97, '.py') AS path,
-  CAST(l_linenumber AS BIGINT) AS start_line, CAST(l_linenumber + l_quantity AS BIGINT) AS end_line, l_orderkey * 10 + l_linenumber AS place FROM lineitem WHERE l_suppkey % 10 <> 3),
-nodes AS (SELECT s_suppkey AS node, CASE WHEN s_suppkey % 2 = 0 THEN 'verified' ELSE 'candidate' END AS status FROM supplier)"""
+  CAST(l_linenumber AS BIGINT) AS start_line, CAST(l_linenumber + l_quantity AS BIGINT) AS end_line, l_orderkey * 10 + l_linenumber AS place FROM lineitem),
+nodes AS (SELECT c_custkey AS node, CASE WHEN c_custkey % 2 = 0 THEN 'verified' ELSE 'candidate' END AS status FROM customer)"""
 
 
 def _regions(spark, d):
     place = F.col("l_orderkey") * 10 + F.col("l_linenumber")
     path = F.concat(F.lit("src/f"), (F.col("l_partkey") % 97).cast("string"), F.lit(".py"))
     end = (F.col("l_linenumber") + F.col("l_quantity")).cast("long")
-    # some nodes have no region
-    li = table(spark, d, "lineitem").filter("l_suppkey % 10 <> 3")
+    # nodes go by customers' numbers, of which there are more than of suppliers: the others have no region
+    li = table(spark, d, "lineitem")
     regions = li.select(F.col("l_suppkey").alias("node"), place.alias("region"), path.alias("path"), F.col("l_linenumber").cast("long").alias("start_line"), end.alias("end_line"), place.alias("place"))
-    nodes = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"), F.when(F.col("s_suppkey") % 2 == 0, "verified").otherwise("candidate").alias("status"))
+    nodes = table(spark, d, "customer").select(F.col("c_custkey").alias("node"), F.when(F.col("c_custkey") % 2 == 0, "verified").otherwise("candidate").alias("status"))
     return regions, nodes
 
 
@@ -54,7 +54,7 @@ def mean_confidence(spark, d):
 
 @query("""SELECT l_orderkey AS child, p_partkey AS region, concat('src/', p_brand) AS path, CAST(p_size AS BIGINT) AS start_line, CAST(p_size + 5 AS BIGINT) AS end_line,
   left(repeat(concat(p_name, ' '), p_size), 200) AS preview, CASE l_returnflag WHEN 'N' THEN 'verified' ELSE 'uncertain' END AS status, CAST(l_discount AS DOUBLE) AS confidence,
-  CASE WHEN l_linenumber % 2 = 0 THEN concat('step ', l_orderkey) ELSE concat('label ', l_orderkey) END AS reason FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_partkey % 5 <> 0""")
+  CASE WHEN l_linenumber % 2 = 0 THEN concat('step ', l_orderkey) ELSE concat('label ', l_orderkey) END AS reason FROM lineitem JOIN part ON p_partkey = l_partkey JOIN customer ON c_custkey = p_partkey""")
 def lens_steps(spark, d):
     li = table(spark, d, "lineitem")
     order = F.col("l_orderkey").cast("string")
@@ -62,8 +62,8 @@ def lens_steps(spark, d):
         F.col("l_orderkey").alias("child"), F.concat(F.lit("label "), order).alias("label"), F.when(F.col("l_linenumber") % 2 == 0, F.concat(F.lit("step "), order)).otherwise("").alias("summary"),
         F.when(F.col("l_returnflag") == "N", "verified").otherwise("uncertain").alias("status"), F.col("l_discount").cast("double").alias("confidence"), F.col("l_partkey").alias("region"),
     )
-    # regions that are not known: every fifth part
-    p = table(spark, d, "part").filter("p_partkey % 5 <> 0")
+    # parts without a customer of their number are regions that are not known
+    p = table(spark, d, "part").join(table(spark, d, "customer").select(F.col("c_custkey").alias("p_partkey")), "p_partkey")
     size = F.col("p_size").cast("long")
     regions = p.select(F.col("p_partkey").alias("region"), F.concat(F.lit("src/"), "p_brand").alias("path"), size.alias("start_line"), (size + 5).alias("end_line"), F.expr("repeat(concat(p_name, ' '), p_size)").alias("text"))
     return lenses.steps(children, regions)
@@ -123,13 +123,14 @@ def symbol_facts(spark, d):
     return lenses.symbol_facts(_symbols(spark, d))
 
 
-@query(f"""WITH {SYMS}, {LISTED.format("path", "parent IS NOT NULL AND parent <> 'n3'")}
+@query(f"""WITH {SYMS}, {LISTED.format("path", "parent IS NOT NULL")}
 SELECT path, concat_ws(chr(10), 'kind: module', concat('path: ', path), 'parser-derived summary: ' || nullif(summary, ''), coalesce('top-level declarations:' || chr(10) || body, 'top-level declarations: (none parsed)')) AS facts
-FROM (SELECT concat('src/', n_name, '.py') AS path, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS summary FROM nation) LEFT JOIN many ON k = path""")
+FROM (SELECT concat('src/', n_name, '.py') AS path, CASE WHEN n_nationkey % 2 = 0 THEN '' ELSE n_name END AS summary FROM nation UNION ALL SELECT concat('lib/', r_name, '.py'), r_name FROM region) LEFT JOIN many ON k = path""")
 def module_facts(spark, d):
     n = table(spark, d, "nation").select(F.concat(F.lit("src/"), "n_name", F.lit(".py")).alias("path"), F.when(F.col("n_nationkey") % 2 == 0, "").otherwise(F.col("n_name")).alias("summary"))
-    # one module has no declaration
-    return lenses.module_facts(n, _symbols(spark, d).filter("parent is not null and parent <> 'n3'"))
+    # modules of regions have no declaration
+    r = table(spark, d, "region").select(F.concat(F.lit("lib/"), "r_name", F.lit(".py")).alias("path"), F.col("r_name").alias("summary"))
+    return lenses.module_facts(n.unionByName(r), _symbols(spark, d).filter("parent is not null"))
 
 
 @query(f"""WITH {SYMS}, s AS (SELECT id, concat(CASE kind WHEN 'class' THEN 'Class' ELSE 'Async Method' END, ' `', qualified_name, '` is declared in `', path, '` at lines ', start_line, '-', end_line, '.') AS summary, coalesce(nullif(signature, ''), name) AS sig FROM syms)

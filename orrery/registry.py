@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orrery.plans import lenses, modules, proofs, structure, surface  # noqa: F401  register their queries
+from orrery.plans import lenses, modules, notes, proofs, structure, surface  # noqa: F401  register their queries
 from orrery.plans.catalog import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
