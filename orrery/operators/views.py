@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from orrery.lineage import durable
 from orrery.operators import graph
 
+#: Rounds after which what was found so far is written down, as a long walk would make the plan long.
+CUT = 16
+
 
 def _turned(edges: DataFrame, direction: str) -> DataFrame:
     """Edges (a, b) in the sense that a walk follows them: out, in or both."""
@@ -32,7 +35,7 @@ def traverse(edges: DataFrame, start: DataFrame, direction: str = "out", depth:
             break
         rounds.append(front)
         seen = seen.unionByName(front.select("start", "node"))
-        if d % 16 == 0:  # a long walk would make the plan long
+        if d % CUT == 0:
             seen, rounds = durable(seen), [durable(_union(rounds))]
     return _union(rounds)
 
@@ -119,7 +122,7 @@ def layers(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
         rest = durable(rest.join(top, "component", "left_anti").select("component"))
         left = durable(left.join(top.select(F.col("component").alias("a")), "a", "left_anti").select("a", "b"))
         layer += 1
-        if layer % 16 == 0:
+        if layer % CUT == 0:
             done = [durable(_union(done))]
     return of.join(_union(done), "component").select("node", "component", "layer") if done else of.withColumn("layer", F.lit(0))
 
@@ -147,7 +150,7 @@ def call_flow(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
         if not front.take(1):
             break
         rounds.append(front)
-        if d % 16 == 0:
+        if d % CUT == 0:
             rounds = [durable(_union(rounds))]
     return _union(rounds)
 
