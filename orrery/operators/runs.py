@@ -14,11 +14,16 @@ def cost(tokens_in: Column, tokens_out: Column) -> Column:
 
 
 def run_metrics(stages: DataFrame) -> DataFrame:
-    """One row for each run of stages (run_id, status, duration_ms, tokens_in, tokens_out, cache_hit)."""
+    """One row for each run of stages (run_id, status, duration_ms, tokens_in, tokens_out, cache_hit, fallback_reason, warnings).
+
+    A stage fell back where it gives a reason for it; warnings is its array of them.
+    """
     df = stages.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("stage_count"),
         F.count_if(F.col("status") == "failed").alias("failed_stage_count"),
         F.count_if((F.col("tokens_in") > 0) | (F.col("tokens_out") > 0)).alias("llm_stage_count"),
+        F.count_if(F.col("fallback_reason") != "").alias("fallback_stage_count"),
+        F.sum(F.coalesce(F.size("warnings"), F.lit(0))).alias("warning_count"),
         F.count_if("cache_hit").alias("cache_hits"),
         F.sum("duration_ms").alias("duration_ms"),
         F.sum("tokens_in").alias("tokens_in"),
@@ -39,6 +44,16 @@ def current_stage(stages: DataFrame) -> DataFrame:
     return stages.groupBy("run_id").agg(F.coalesce(running, done, F.lit("idle")).alias("current_stage"))
 
 
+def stage_overview(stages: DataFrame) -> DataFrame:
+    """run_id, current_stage, can_render, and how many stages have each status (status, n): what a reader of a run polls.
+
+    A run can be shown as soon as any of its stages says so.
+    """
+    whole = stages.groupBy("run_id").agg(F.coalesce(F.bool_or("can_render"), F.lit(False)).alias("can_render"))
+    counts = stages.groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n"))
+    return current_stage(stages).join(whole, "run_id").join(counts, "run_id")
+
+
 def changes(progress: DataFrame) -> DataFrame:
     """progress (run_id, at, payload) without rows that repeat the payload before them."""
     before = F.lag("payload").over(Window.partitionBy("run_id").orderBy("at"))

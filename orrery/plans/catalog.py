@@ -617,10 +617,11 @@ def span_audit(spark, d):
 # runs and stages
 
 STAGES = """WITH st AS (SELECT user_id AS run_id, concat('stage', lpad(CAST(event_id AS VARCHAR), 12, '0')) AS stage, CASE event_type WHEN 'click' THEN 'running' WHEN 'view' THEN 'completed' WHEN 'purchase' THEN 'failed' ELSE 'pending' END AS status,
-CAST(floor(value * 10) AS BIGINT) AS duration_ms, event_id % 7 AS tokens_in, event_id % 3 AS tokens_out, event_id % 11 = 0 AS cache_hit, event_id AS sort_order, ts AS moment, event_type FROM events)"""
+CAST(floor(value * 10) AS BIGINT) AS duration_ms, event_id % 7 AS tokens_in, event_id % 3 AS tokens_out, event_id % 11 = 0 AS cache_hit, event_id AS sort_order, ts AS moment, event_type,
+CASE WHEN value > 60 THEN 'model_unavailable' WHEN value > 50 THEN '' END AS fallback_reason, event_id % 4 AS warnings, event_type = 'view' AND value > 40 AS can_render FROM events)"""
 
 
-@query(f"""{STAGES} SELECT run_id, count(*) AS stage_count, count(*) FILTER (status = 'failed') AS failed_stage_count, count(*) FILTER (tokens_in > 0 OR tokens_out > 0) AS llm_stage_count, count(*) FILTER (cache_hit) AS cache_hits,
+@query(f"""{STAGES} SELECT run_id, count(*) AS stage_count, count(*) FILTER (status = 'failed') AS failed_stage_count, count(*) FILTER (tokens_in > 0 OR tokens_out > 0) AS llm_stage_count, count(*) FILTER (fallback_reason <> '') AS fallback_stage_count, CAST(sum(warnings) AS BIGINT) AS warning_count, count(*) FILTER (cache_hit) AS cache_hits,
 CAST(sum(duration_ms) AS BIGINT) AS duration_ms, CAST(sum(tokens_in) AS BIGINT) AS tokens_in, CAST(sum(tokens_out) AS BIGINT) AS tokens_out, round((sum(tokens_in) * 3.0 + sum(tokens_out) * 15.0) / 1000000, 6)::DOUBLE AS estimated_cost FROM st GROUP BY run_id""")
 def run_metrics(spark, d):
     return runs.run_metrics(corpus.stages(spark, d))
@@ -636,6 +637,12 @@ def current_stages(spark, d):
     return runs.current_stage(corpus.stages(spark, d))
 
 
+@query(f"""{STAGES}, c AS (SELECT run_id, coalesce(arg_min(stage, sort_order) FILTER (status = 'running'), arg_max(stage, sort_order) FILTER (status = 'completed'), 'idle') AS current_stage, coalesce(bool_or(can_render), false) AS can_render FROM st GROUP BY run_id)
+SELECT c.*, status, n FROM c JOIN (SELECT run_id, status, count(*) AS n FROM st GROUP BY ALL) USING (run_id)""")
+def stage_overviews(spark, d):
+    return runs.stage_overview(corpus.stages(spark, d))
+
+
 @query(f"{STAGES} SELECT run_id, status, count(*) AS n FROM st GROUP BY ALL")
 def stage_status_counts(spark, d):
     return corpus.stages(spark, d).groupBy("run_id", "status").agg(F.count(F.lit(1)).alias("n"))

@@ -79,6 +79,8 @@ def stages(spark: SparkSession, d: str) -> DataFrame:
         F.col("user_id").alias("run_id"), F.concat(F.lit("stage"), F.lpad(F.col("event_id").cast("string"), 12, "0")).alias("stage"), status.alias("status"),
         F.floor(F.col("value") * 10).cast("long").alias("duration_ms"), F.pmod("event_id", F.lit(7)).alias("tokens_in"), F.pmod("event_id", F.lit(3)).alias("tokens_out"),
         (F.pmod("event_id", F.lit(11)) == 0).alias("cache_hit"), F.col("event_id").alias("sort_order"), F.col("ts").alias("at"), "event_type",
+        F.when(F.col("value") > 60, "model_unavailable").when(F.col("value") > 50, "").alias("fallback_reason"), F.array_repeat(F.lit("w"), F.pmod("event_id", F.lit(4)).cast("int")).alias("warnings"),
+        ((F.col("event_type") == "view") & (F.col("value") > 40)).alias("can_render"),
     )
 
 

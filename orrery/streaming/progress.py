@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 TERMINAL = ("completed", "failed", "skipped")
@@ -60,6 +61,66 @@ def durations(stages: DataFrame) -> DataFrame:
     return stages.groupBy("run_id", "stage").applyInPandasWithState(step, "run_id string, stage string, status string, duration_ms long", "begun long", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Which states a stage may go to from each, none being before its first row.
+LEGAL = {None: ("pending", "running", "skipped"), "pending": ("running", "failed", "skipped"), "running": ("completed", "failed", "skipped")}
+
+
+class StageMachine(StatefulProcessor):
+    """One stage's state and when it began; a timer ends what stays in a state for too long."""
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", "status string, begun long, timer long")
+
+    def _timer(self, at_ms: int) -> int:
+        for t in list(self.handle.listTimers()):
+            self.handle.deleteTimer(t)
+        self.handle.registerTimer(at_ms + self.idle_ms)
+        return at_ms + self.idle_ms
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, begun, _ = self.state.get() if self.state.exists() else (None, None, None)
+        out, last = [], None
+        for at, new in sorted((r for b in rows for r in zip(b["at"], b["status"])), key=lambda r: (r[0], r[1])):
+            ms = at.value // 1_000_000
+            legal = new in LEGAL.get(status, ())
+            took = None
+            if legal:
+                begun = ms if new == "running" else begun
+                took = (ms - begun if begun is not None else 0) if new in TERMINAL else None
+            out.append((*key, at, status, new, legal, took))
+            if legal:
+                status, last = new, ms
+        if last is not None:
+            self.state.update((status, begun, self._timer(last)))
+        yield pd.DataFrame(out, columns=["run_id", "stage", "at", "before", "status", "legal", "duration_ms"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        status, begun, timer = self.state.get() if self.state.exists() else (None, None, None)
+        self.state.clear()
+        at = pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms")
+        rows = [(*key, at, status, "expired", True, timer - begun if begun is not None else 0)] if status in ("pending", "running") else []
+        yield pd.DataFrame(rows, columns=["run_id", "stage", "at", "before", "status", "legal", "duration_ms"])
+
+    def close(self) -> None:
+        pass
+
+
+def transitions(stages: DataFrame, late: str = "1 hour", idle_ms: int = 86_400_000) -> DataFrame:
+    """run_id, stage, at, before, status, legal, duration_ms of every step in a stream (run_id string, stage string, status string, at timestamp).
+
+    A step that the table of legal ones does not have is reported and changes nothing, so what comes late or twice after an
+    end is seen and does no harm. A stage ends with its duration since it began to run. One that stays pending or running
+    until the watermark, which allows rows to be `late`, has gone idle_ms beyond its last step is reported as expired, and its
+    state goes; so does that of an ended stage, without a report. Needs a state store with column families, such as RocksDB's.
+    """
+    schema = "run_id string, stage string, at timestamp, before string, status string, legal boolean, duration_ms long"
+    return stages.withWatermark("at", late).groupBy("run_id", "stage").transformWithStateInPandas(StageMachine(idle_ms), schema, "append", "EventTime")
+
+
 def fresh_plans(plans: DataFrame, ttl: str = "30 minutes") -> DataFrame:
     """plans (plan_id string, at timestamp) without repeats inside the time that a plan lives; state older than that is dropped."""
     return plans.withWatermark("at", ttl).dropDuplicatesWithinWatermark(["plan_id"])

@@ -51,3 +51,24 @@ def test_fresh_plans(spark, drain):
     df = spark.createDataFrame(rows, "plan_id string, at timestamp").coalesce(1)
     got = sorted(r.plan_id for r in drain(df, lambda s: progress.fresh_plans(s, "1 minute"), df.schema))
     assert got.count("q") == 1 and 1 <= got.count("p") <= 2
+
+
+def test_illegal_steps_change_nothing_and_idle_stages_expire(spark, tmp_path):
+    conf = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(conf, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        schema = "run_id string, stage string, status string, at timestamp"
+        first = [("a", "s", "pending", at(0)), ("a", "s", "completed", at(1)), ("a", "s", "running", at(2)), ("a", "s", "running", at(3)), ("b", "s", "running", at(2)), ("c", "s", "failed", at(1))]
+        later = [("a", "s", "completed", at(5)), ("a", "s", "completed", at(5)), ("z", "s", "pending", at(5000))]
+        last = [("z", "s", "skipped", at(5001))]
+        for i, rows in enumerate((first, later, last)):
+            spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            q = progress.transitions(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "1 minute", 600_000).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+            q.awaitTermination(120)
+        got = {(r.run_id, r.before, r.status, r.legal, r.duration_ms) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    finally:
+        spark.conf.unset(conf)
+    assert got == {
+        ("a", None, "pending", True, None), ("a", "pending", "completed", False, None), ("a", "pending", "running", True, None), ("a", "running", "running", False, None), ("a", "running", "completed", True, 3000), ("a", "completed", "completed", False, None),
+        ("b", None, "running", True, None), ("b", "running", "expired", True, 600_000), ("c", None, "failed", False, None), ("z", None, "pending", True, None), ("z", "pending", "skipped", True, 0),
+    }
