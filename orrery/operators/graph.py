@@ -50,12 +50,13 @@ def internal_counts(edges: DataFrame) -> DataFrame:
     return edges.filter("source_group = target_group").groupBy(F.col("source_group").alias("group_id"), "kind").agg(F.count(F.lit(1)).alias("relation_count"))
 
 
-def neighbours(relations: DataFrame, entity: str) -> DataFrame:
-    """Dependencies and dependents of one entity; partial relations count."""
+def neighbours(relations: DataFrame, entities: DataFrame) -> DataFrame:
+    """Dependencies and dependents of each of entities (entity); partial relations count."""
     known = relations.filter(F.col("target").isNotNull())
-    out = known.filter(F.col("source") == entity).select(F.lit("dependency").alias("side"), F.col("target").alias("entity"), "kind", "status")
-    into = known.filter(F.col("target") == entity).select(F.lit("dependent").alias("side"), F.col("source").alias("entity"), "kind", "status")
-    return out.unionByName(into).groupBy("side", "entity", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
+    of = entities.select(F.col("entity").alias("of")).filter("of is not null").distinct()
+    out = known.join(of, F.col("source") == F.col("of")).select("of", F.lit("dependency").alias("side"), F.col("target").alias("entity"), "kind", "status")
+    into = known.join(of, F.col("target") == F.col("of")).select("of", F.lit("dependent").alias("side"), F.col("source").alias("entity"), "kind", "status")
+    return out.unionByName(into).groupBy("of", "side", "entity", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def hops(edges: DataFrame, start: DataFrame, k: int, directed: bool = False) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrery.functions import text as t
+from orrery.lineage import durable
 from orrery.operators import anchors, evidence, graph, runs, search
 from orrery.plans import corpus
 
@@ -43,7 +44,7 @@ def query(sql: str | None = None):
 
 
 def _edges(spark: SparkSession, d: str, group: str = "leaf") -> DataFrame:
-    return graph.lifted(graph.resolved(corpus.relations(spark, d)), corpus.symbols(spark, d), corpus.modules(spark, d), group)
+    return durable(graph.lifted(graph.resolved(corpus.relations(spark, d)), corpus.symbols(spark, d), corpus.modules(spark, d), group))
 
 
 # graph
@@ -79,7 +80,7 @@ def program_relations(spark, d):
 @query(f"WITH {RELATIONS}, k AS (SELECT * FROM rels WHERE target IS NOT NULL), b AS (SELECT min(source) AS x FROM k), u AS (SELECT 'dependency' AS side, target AS entity, kind, status FROM k, b WHERE source = x UNION ALL SELECT 'dependent', source, kind, status FROM k, b WHERE target = x) SELECT side, entity, kind, status, count(*) AS n FROM u GROUP BY ALL")
 def symbol_neighbours(spark, d):
     r = corpus.relations(spark, d)
-    return graph.neighbours(r, r.filter("target is not null").agg(F.min("source")).first()[0])
+    return graph.neighbours(r, r.filter("target is not null").agg(F.min("source").alias("entity"))).drop("of")
 
 
 @query(f"""{GRAPH}, e AS (SELECT DISTINCT sm, tm, kind FROM edges WHERE sm <> tm AND (sm = 1 OR tm = 1)) SELECT sm AS source_module, tm AS target_module, kind FROM e""")
@@ -147,8 +148,8 @@ PAIRS = f"""{GRAPH}, pairs AS (SELECT DISTINCT sg AS group_id, least(sm, tm) AS
   WHERE status = 'resolved' AND sg = tg AND sm <> tm)"""
 
 
-def _affinity(spark: SparkSession, d: str) -> DataFrame:
-    return graph.affinity(_edges(spark, d))
+def _affinity(spark: SparkSession, d: str, edges: DataFrame | None = None) -> DataFrame:
+    return graph.affinity(_edges(spark, d) if edges is None else edges)
 
 
 @query(f"{PAIRS} SELECT * FROM pairs")
@@ -180,10 +181,10 @@ over AS (SELECT m.group_id, m.module, CASE WHEN size < 3 THEN 'region_too_small'
   FROM m JOIN size USING (group_id) WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.group_id = m.group_id AND i.module = m.module))"""
 
 
-def _clustered(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _clustered(spark: SparkSession, d: str, edges: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Members of clusters, and what is left over."""
-    pairs = _affinity(spark, d)
-    inside = graph.members(graph.clusters(pairs))
+    pairs = durable(_affinity(spark, d, edges))
+    inside = durable(graph.members(graph.clusters(pairs)))
     modules = corpus.modules(spark, d).select(F.col("leaf").alias("group_id"), "module")
     return inside, graph.residuals(modules, pairs, inside)
 
@@ -205,13 +206,15 @@ SELECT c.group_id, c.cluster, concat('Structural cluster ', row_number() OVER (O
   (SELECT count(*) FROM e WHERE e.group_id = c.group_id AND ca = c.cluster AND cb = c.cluster) AS internal,
   (SELECT count(*) FROM e WHERE e.group_id = c.group_id AND (coalesce(ca = c.cluster, false)) <> (coalesce(cb = c.cluster, false))) AS boundary FROM c""")
 def cluster_summary(spark, d):
-    return graph.cluster_table(_edges(spark, d), _clustered(spark, d)[0])
+    e = _edges(spark, d)
+    return graph.cluster_table(e, _clustered(spark, d, e)[0])
 
 
 @query(f"""{CLUSTERS}, e AS (SELECT concat_ws(':', a.group_id, a.cluster) AS source_cluster, concat_ws(':', b.group_id, b.cluster) AS target_cluster, kind, sm, tm FROM edges r JOIN inside a ON a.module = r.sm JOIN inside b ON b.module = r.tm WHERE status = 'resolved')
 SELECT source_cluster, target_cluster, kind, count(*) AS relation_count, count(DISTINCT concat(sm, '|', tm)) AS pair_count FROM e WHERE source_cluster <> target_cluster GROUP BY ALL""")
 def cluster_edges(spark, d):
-    return graph.cluster_edges(_edges(spark, d), _clustered(spark, d)[0])
+    e = _edges(spark, d)
+    return graph.cluster_edges(e, _clustered(spark, d, e)[0])
 
 
 TREE_ROWS = f"""{CLUSTERS}, wrapped AS (SELECT group_id FROM inside UNION SELECT group_id FROM over WHERE reason = 'region_too_small'),
@@ -239,7 +242,8 @@ def group_children(spark, d):
 
 @query(f"{CLUSTERS}, e AS (SELECT DISTINCT concat_ws(':', i.group_id, i.cluster) AS cluster_id, a.path AS source, b.path AS target, kind FROM edges r JOIN inside i ON i.module = r.sm JOIN inside j ON j.module = r.tm AND j.group_id = i.group_id AND j.cluster = i.cluster JOIN mods a ON a.module = r.sm JOIN mods b ON b.module = r.tm WHERE status = 'resolved') SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY source, target, kind) <= 100")
 def cluster_evidence(spark, d):
-    return graph.cluster_evidence(_edges(spark, d), _clustered(spark, d)[0], corpus.modules(spark, d))
+    e = _edges(spark, d)
+    return graph.cluster_evidence(e, _clustered(spark, d, e)[0], corpus.modules(spark, d))
 
 
 @query(f"{GRAPH} SELECT r.id, a.path AS source_path, b.path AS target_path FROM edges r JOIN mods a ON a.module = r.sm JOIN mods b ON b.module = r.tm WHERE status = 'resolved' AND a.path LIKE 'ASIA/%' AND b.path LIKE 'ASIA/%'")
@@ -340,8 +344,9 @@ def search_code(spark, d):
 
 @query(f"{FILES}, h AS ({CODE}), own AS (SELECT min(path) AS p FROM h) SELECT path, line, round(greatest(0.1, score - 0.5), 6) AS score FROM h, own WHERE path = p")
 def find_references(spark, d):
-    hits = search.search_code(corpus.lines(spark, d), "license under")
-    return search.find_references(corpus.lines(spark, d), "license under", hits.agg(F.min("path")).first()[0])
+    """References in the file that comes first among them; they are a screenful, so one task compares them."""
+    hits = search.find_references(corpus.lines(spark, d), "license under")
+    return hits.withColumn("own", F.min("path").over(Window.partitionBy())).filter("path = own").drop("own")
 
 
 @query("""WITH x AS (SELECT p_partkey AS id, p_brand, (CASE WHEN contains(lower(concat_ws(' ', p_name, p_type)), 'small') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(concat_ws(' ', p_name, p_type)), 'ring') THEN 1 ELSE 0 END)
@@ -737,9 +742,9 @@ def component_cohesion(spark, d):
 
 @query(f"""{GRAPH}, e AS (SELECT sg, tg, kind, count(*) AS c FROM edges WHERE status = 'resolved' AND sg <> tg GROUP BY ALL), m AS (SELECT least(6, max(c)) AS least_ FROM e) SELECT sg AS source_group, tg AS target_group, kind, c AS relation_count FROM e, m WHERE c >= least_ AND c > 0""")
 def strongest_edges(spark, d):
-    e = graph.aggregate_edges(_edges(spark, d)).select("source_group", "target_group", "kind", "relation_count")
-    most = e.agg(F.max("relation_count")).first()[0] or 0
-    return e.filter(F.col("relation_count") >= min(6, most))
+    e = durable(graph.aggregate_edges(_edges(spark, d)).select("source_group", "target_group", "kind", "relation_count"))
+    most = e.agg(F.max("relation_count").alias("most")).select(F.lit(1).alias("one"), "most")
+    return e.withColumn("one", F.lit(1)).join(F.broadcast(most), "one").filter(F.col("relation_count") >= F.least(F.lit(6), "most")).drop("one", "most")  # one row
 
 
 @query("""WITH x AS (SELECT n_name AS grp, s_name AS member, row_number() OVER (PARTITION BY n_name ORDER BY s_name) AS r, count(*) OVER (PARTITION BY n_name) AS members FROM supplier JOIN nation ON s_nationkey = n_nationkey)

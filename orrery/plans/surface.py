@@ -222,9 +222,10 @@ def node_by_id(spark, d):
 def graph_overview(spark, d):
     """One row for the whole graph."""
     m = corpus.modules(spark, d)
-    inside, over = _clustered(spark, d)
+    e = _edges(spark, d)
+    inside, over = _clustered(spark, d, e)
     one = lambda df, name: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("what"), "n")
-    parts = {"modules": m, "regions": m.select("leaf").distinct(), "sections": m.select("container").distinct(), "clusters": inside.select("group_id", "cluster").distinct(), "ungrouped": over, "relations": _edges(spark, d)}
+    parts = {"modules": m, "regions": m.select("leaf").distinct(), "sections": m.select("container").distinct(), "clusters": inside.select("group_id", "cluster").distinct(), "ungrouped": over, "relations": e}
     rows = None
     for name, df in parts.items():
         rows = one(df, name) if rows is None else rows.unionByName(one(df, name))
