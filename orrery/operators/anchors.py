@@ -90,17 +90,22 @@ def line_anchors(lines: DataFrame) -> DataFrame:
     return df.select("kind", "path", "line", "label", "method", "confidence", F.when(F.col("confidence") >= DETECTED, "source_detected").otherwise("candidate").alias("status"))
 
 
+#: What a package's own file gives out, how many names of a line count, and how sure that is.
+PACKAGE_IMPORT, PACKAGE_LIST = r"^\s*from\s+\.[\w.]+\s+import\s+(.+)$", r"^\s*__all__\s*=\s*\[(.+)\]"
+MOST_IMPORTED, MOST_LISTED, SURE_IMPORTED, SURE_LISTED = 12, 20, 0.86, 0.88
+
+
 def export_anchors(lines: DataFrame) -> DataFrame:
     """path, line, label, method, confidence of names that a Python package's own file gives out; lines: (path, role, line, text)."""
     own = lines.filter(F.element_at(F.split("path", "/"), -1) == "__init__.py").filter(~F.col("role").isin(list(NOT_CODE)))
-    taken = F.regexp_extract("text", r"^\s*from\s+\.[\w.]+\s+import\s+(.+)$", 1)
-    listed = F.regexp_extract("text", r"^\s*__all__\s*=\s*\[(.+)\]", 1)
+    taken = F.regexp_extract("text", PACKAGE_IMPORT, 1)
+    listed = F.regexp_extract("text", PACKAGE_LIST, 1)
     names = F.transform(F.split(taken, ","), lambda x: F.element_at(F.split(F.trim(x), " as "), 1))
-    imported = own.filter(taken != "").select("path", "line", F.explode(F.slice(names, 1, 12)).alias("label")).filter("label <> '' and not startswith(label, '_')")
+    imported = own.filter(taken != "").select("path", "line", F.explode(F.slice(names, 1, MOST_IMPORTED)).alias("label")).filter("label <> '' and not startswith(label, '_')")
     quoted = F.regexp_extract_all(listed, F.lit(r"['\"]([^'\"]+)['\"]"), F.lit(1))
-    given = own.filter((taken == "") & (listed != "")).select("path", "line", F.explode(F.slice(quoted, 1, 20)).alias("label"))
-    out = imported.select("path", "line", "label", F.lit("python_package_init_import").alias("method"), F.lit(0.86).alias("confidence"))
-    return out.unionByName(given.select("path", "line", "label", F.lit("python_dunder_all").alias("method"), F.lit(0.88).alias("confidence")))
+    given = own.filter((taken == "") & (listed != "")).select("path", "line", F.explode(F.slice(quoted, 1, MOST_LISTED)).alias("label"))
+    out = imported.select("path", "line", "label", F.lit("python_package_init_import").alias("method"), F.lit(SURE_IMPORTED).alias("confidence"))
+    return out.unionByName(given.select("path", "line", "label", F.lit("python_dunder_all").alias("method"), F.lit(SURE_LISTED).alias("confidence")))
 
 
 def manifest_anchors(files: DataFrame) -> DataFrame:
@@ -128,6 +133,7 @@ def path_anchors(files: DataFrame) -> DataFrame:
     screen = code & F.col("language").isin("javascript", "typescript", "svelte", "vue") & (F.concat(F.lit("/"), p).rlike("/(pages|routes)/") | F.concat(F.lit("/"), p).rlike(r"/app/.+/page\.(tsx|jsx|ts|js)$") | name.isin("+page.svelte", "page.tsx", "page.jsx", "page.ts", "page.js"))
     open_ = ~F.col("role").isin(list(NOT_DOCS))
     deploy = (F.col("role") == "infrastructure") | name.isin("dockerfile", "docker-compose.yml", "docker-compose.yaml") | (name.rlike(r"\.(tf|ya?ml)$") & p.rlike(r"\b(k8s|deploy|helm|terraform|docker)\b"))
+    # fixed values: kinds by where a file lies, how each is found, and how sure that is
     rules = [
         (screen, "frontend_screen", "frontend_route_file", 0.78), (open_ & p.rlike(r"/cli\.|/cmd/|/commands/"), "cli_command", "cli_path_signal", 0.65),
         (open_ & p.rlike(r"\b(worker|workers|consumer|job|jobs|task|tasks)\b"), "worker", "worker_signal", 0.62), (open_ & p.rlike(r"\b(cron|schedule|scheduler)\b"), "cron_job", "cron_or_schedule_signal", 0.60),

@@ -9,17 +9,18 @@ from orrery.functions.text import stable_id, token_estimate
 
 #: How many tokens a whole file may have.
 BUDGET = 30_000
+#: What begins a declaration in script files.
 _SCRIPT = [
-    r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][A-Za-z0-9_$]*)",
-    r"^\s*(?:export\s+)?class\s+([A-Za-z_$][A-Za-z0-9_$]*)",
-    r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][A-Za-z0-9_$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][A-Za-z0-9_$]*)\s*=>",
+    r"^\s*(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)",
+    r"^\s*(?:export\s+)?class\s+([A-Za-z_$][\w$]*)",
+    r"^\s*(?:export\s+)?(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s*)?(?:\([^)]*\)|[A-Za-z_$][\w$]*)\s*=>",
 ]
 #: What begins a declaration on a line, by language; the other languages go by the script patterns.
 STARTS = {
-    "python": [r"^\s*class\s+([A-Za-z_][A-Za-z0-9_]*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_][A-Za-z0-9_]*)"],
-    "go": [r"^\s*func\s+(?:\([^)]+\)\s*)?([A-Za-z_][A-Za-z0-9_]*)"],
-    "rust": [r"^\s*(?:pub\s+)?fn\s+([A-Za-z_][A-Za-z0-9_]*)", r"^\s*(?:pub\s+)?(?:struct|enum|trait|impl)\s+([A-Za-z_][A-Za-z0-9_]*)?"],
-    "java": [r"^\s*(?:public|private|protected)?\s*(?:class|interface|enum)\s+([A-Za-z_][A-Za-z0-9_]*)", r"^\s*(?:public|private|protected)?\s*(?:static\s+)?[A-Za-z0-9_<>\[\]]+\s+([A-Za-z_][A-Za-z0-9_]*)\s*\("],
+    "python": [r"^\s*class\s+([A-Za-z_][\w]*)", r"^\s*(?:async\s+)?def\s+([A-Za-z_][\w]*)"],
+    "go": [r"^\s*func\s+(?:\([^)]+\)\s*)?([A-Za-z_][\w]*)"],
+    "rust": [r"^\s*(?:pub\s+)?fn\s+([A-Za-z_][\w]*)", r"^\s*(?:pub\s+)?(?:struct|enum|trait|impl)\s+([A-Za-z_][\w]*)?"],
+    "java": [r"^\s*(?:public|private|protected)?\s*(?:class|interface|enum)\s+([A-Za-z_][\w]*)", r"^\s*(?:public|private|protected)?\s*(?:static\s+)?[\w<>\[\]]+\s+([A-Za-z_][\w]*)\s*\("],
 }
 #: A marked heading, and what underlines one.
 HEADING, UNDERLINE = r"^\s{0,3}#{1,6}\s+(.+?)\s*$", r"^\s*(=+|-+)\s*$"

@@ -29,8 +29,16 @@ MANIFESTS = {
     "Cargo.toml": "rust_package", "pom.xml": "maven_project", "build.gradle": "gradle_project", "settings.gradle": "gradle_settings",
     "docker-compose.yml": "docker_compose", "docker-compose.yaml": "docker_compose",
 }
-#: Kinds of manifest that mark the directory they stand in as a package.
+#: Kinds of manifest that mark the directory they stand in as a package.
 PACKAGES = ["node_package", "python_project", "go_module", "rust_package", "maven_project", "gradle_project"]
+#: Directories and marks in names of each role, in the order in which roles are tried.
+TEST_DIRS, TEST_MARKS = ["tests", "test", "__tests__", "__mocks__", "spec"], [".spec.", ".test.", "_test.", "test_", "_spec."]
+EXAMPLE_DIRS = ["examples", "example", "samples", "sample", "demo", "demos"]
+DOCS_DIRS, DOCS_ENDS = ["docs", "doc"], [".md", ".mdx", ".rst"]
+TOOLING_DIRS = ["scripts", "tools", ".github", ".gitlab", "ci", "bench", "benchmark", "benchmarks"]
+INFRASTRUCTURE_DIRS = ["deploy", "deployment", "k8s", "kubernetes", "helm", "terraform"]
+CONFIG_DIRS = ["config", "configs"]
+GENERATED_MARKS = [".generated.", ".gen.", ".min."]
 MAX_BYTES, MAX_LINES, SNIFFED = 1 << 20, 50_000, 8192
 
 
@@ -48,17 +56,18 @@ def language(path: Column) -> Column:
 def role(path: Column) -> Column:
     """The first rule that fits. `test_` counts anywhere in a name, so `latest_news.py` is a test."""
     low = F.lower(F.replace(path, F.lit("\\"), F.lit("/")))
-    under = lambda names: low.rlike(rf"(^|/)({names})(/|$)")
-    named = lambda marks: low.rlike(rf"({marks})[^/]*/*$")
-    known = "|".join(m.replace(".", r"\.") for m in MANIFESTS if m == m.lower())
+    one_of = lambda names: "|".join(n.replace(".", r"\.") for n in names)
+    under = lambda names: low.rlike(rf"(^|/)({one_of(names)})(/|$)")
+    named = lambda marks: low.rlike(rf"({one_of(marks)})[^/]*/*$")
+    known = one_of(m for m in MANIFESTS if m == m.lower())
     return (
-        F.when(under("tests|test|__tests__|__mocks__|spec") | named(r"\.spec\.|\.test\.|_test\.|test_|_spec\."), "test")
-        .when(under("examples|example|samples|sample|demo|demos"), "example")
-        .when(under("docs|doc") | low.rlike(r"\.(md|mdx|rst)$"), "docs")
-        .when(under(r"scripts|tools|\.github|\.gitlab|ci|bench|benchmark|benchmarks"), "tooling")
-        .when(under("deploy|deployment|k8s|kubernetes|helm|terraform"), "infrastructure")
-        .when(low.rlike(rf"(^|/)({known})$") | under("config|configs"), "config")
-        .when(named(r"\.generated\.|\.gen\.|\.min\."), "generated")
+        F.when(under(TEST_DIRS) | named(TEST_MARKS), "test")
+        .when(under(EXAMPLE_DIRS), "example")
+        .when(under(DOCS_DIRS) | low.rlike(rf"({one_of(DOCS_ENDS)})$"), "docs")
+        .when(under(TOOLING_DIRS), "tooling")
+        .when(under(INFRASTRUCTURE_DIRS), "infrastructure")
+        .when(low.rlike(rf"(^|/)({known})$") | under(CONFIG_DIRS), "config")
+        .when(named(GENERATED_MARKS), "generated")
         .otherwise("production")
     )
 
