@@ -121,10 +121,24 @@ SECTIONS = [
 ]
 
 
+def sections(claims: DataFrame) -> DataFrame:
+    """(target, section, title, position, line) from claims (target, position, status, statement): a row for each statement, as it is put in its section.
+
+    What a target's text is made of, without bringing it together: a target with any number of claims is many rows. Sections
+    are numbered in their order; in one of them lines go by position.
+    """
+    status = F.col("status")
+    order, title, before = (F.coalesce(*[F.when(status == k, F.lit(v)) for k, v in values]) for values in zip(*[((k, i), (k, t), (k, b)) for i, (k, t, b) in enumerate(SECTIONS)]))
+    bare = F.when(before == "", F.col("statement")).otherwise(F.concat(F.regexp_replace("statement", r"\.+$", ""), F.lit(".")))
+    df = claims.filter(status.isin([k for k, _, _ in SECTIONS]))
+    return df.select("target", order.alias("section"), title.alias("title"), "position", F.concat(F.lit("- "), before, bare).alias("line"))
+
+
 def narrative(claims: DataFrame) -> DataFrame:
     """(target, claims, text) from claims (target, position, status, statement): sections by status, each statement in its place.
 
-    Every statement stays, and nothing is said that is not in one. A target's claims are one text, so one row.
+    Every statement stays, and nothing is said that is not in one. A target's claims are one text, so one row: this is for the
+    few targets that are shown, and sections() is what grows with claims.
     """
     row = F.struct("position", "statement")
     by = [F.sort_array(F.collect_list(F.when(F.col("status") == k, row))).alias(k) for k, _, _ in SECTIONS]

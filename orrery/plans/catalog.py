@@ -554,6 +554,13 @@ def proposition_claims(spark, d):
     return _proposed(spark, d)
 
 
+@query(f"""{PROPOSED} SELECT source AS target, CAST(CASE support_status WHEN 'supported' THEN 0 ELSE 1 END AS INTEGER) AS section, CASE support_status WHEN 'supported' THEN 'What could be established:' ELSE 'What could not be established:' END AS title, statement AS position,
+  CASE support_status WHEN 'supported' THEN concat('- ', statement) ELSE concat('- There was not sufficient deterministic evidence to establish that ', rtrim(statement, '.'), '.') END AS line FROM claims""")
+def claim_sections(spark, d):
+    c = _proposed(spark, d)
+    return evidence.sections(c.select(F.col("source").alias("target"), F.col("statement").alias("position"), F.col("support_status").alias("status"), "statement"))
+
+
 @query(f"""{PROPOSED}, l AS (SELECT source AS target, statement, support_status, CASE support_status WHEN 'supported' THEN concat('- ', statement) ELSE concat('- There was not sufficient deterministic evidence to establish that ', rtrim(statement, '.'), '.') END AS line FROM claims),
 g AS (SELECT target, support_status, string_agg(line, chr(10) ORDER BY statement) AS text, count(*) AS n FROM l GROUP BY ALL)
 SELECT target, CAST(sum(n) AS BIGINT) AS claims, string_agg(concat(CASE support_status WHEN 'supported' THEN 'What could be established:' ELSE 'What could not be established:' END, chr(10), text), chr(10) || chr(10) ORDER BY support_status = 'supported' DESC) AS text FROM g GROUP BY target""")

@@ -54,3 +54,15 @@ def test_statements(spark):
 
     df = spark.createDataFrame([("direct_relation", "inherits"), ("reachability", "calls"), ("other", "calls")], "p string, k string")
     assert [r[0] for r in df.select(evidence.statement(F.col("p"), F.col("k"), F.lit("A"), F.lit("B"))).collect()] == ["A inherits from B.", "A reaches B through a call path.", None]
+
+
+def test_sections_hold_what_a_narrative_says(spark):
+    from orrery.operators import evidence
+
+    rows = [("t", 2, "supported", "a calls b."), ("t", 1, "supported", "a calls c."), ("t", 1, "insufficient_evidence", "a calls d.."), ("t", 1, "contradicted", "a calls e"), ("t", 3, "unknown", "x"), ("u", 1, "contradicted", "z.")]
+    df = spark.createDataFrame(rows, "target string, position int, status string, statement string")
+    told = {}
+    for r in evidence.sections(df).orderBy("target", "section", "position").collect():
+        told.setdefault(r.target, {}).setdefault(r.title, []).append(r.line)
+    text = {r.target: r.text for r in evidence.narrative(df).collect()}
+    assert text == {k: "\n\n".join("\n".join([t, *lines]) for t, lines in v.items()) for k, v in told.items()}
