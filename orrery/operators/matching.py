@@ -12,8 +12,12 @@ RUN = 3
 def runs(text: Column) -> Column:
     """The distinct runs of one to RUN letters in a text; any characters count as letters."""
     letters = F.split(text, "")
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.size(letters) - (n - 1)), lambda i: F.concat(*[F.element_at(letters, i + k) for k in range(n)]))
-    return F.array_distinct(F.concat(*[F.when(F.size(letters) >= n, of(n)).otherwise(F.array().cast("array<string>")) for n in range(1, RUN + 1)]))
+    runs_, out = letters, letters
+    for n in range(1, RUN):
+        # side by side with the letters further on: no letter is looked up by its place
+        runs_ = F.zip_with(runs_, F.slice(letters, n + 1, F.greatest(F.size(letters), F.lit(1))), lambda a, b: F.concat(a, b))
+        out = F.concat(out, runs_)
+    return F.array_distinct(F.array_compact(out))
 
 
 def pattern_runs(pattern: Column) -> Column:

@@ -21,8 +21,8 @@ def headings(text: Column, language: Column) -> Column:
     """The first headings in order: of markdown those that are marked, else lines that the next one underlines."""
     rows = lines(text)
     marked = F.transform(F.filter(rows, lambda x: x.rlike(MARKED)), lambda x: F.trim(F.regexp_extract(x, MARKED, 1)))
-    at = F.filter(F.sequence(F.lit(1), F.size(rows) - 1), lambda i: (F.trim(F.element_at(rows, i)) != "") & F.element_at(rows, i + 1).rlike(UNDER))
-    under = F.when(F.size(rows) > 1, F.transform(at, lambda i: F.trim(F.element_at(rows, i)))).otherwise(F.array().cast("array<string>"))
+    pairs = F.zip_with(rows, F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda a, b: F.struct(F.trim(a).alias("a"), F.coalesce(b, F.lit("")).alias("b")))
+    under = F.transform(F.filter(pairs, lambda x: (x["a"] != "") & x["b"].rlike(UNDER)), lambda x: x["a"])
     return F.slice(F.when(language == "markdown", marked).otherwise(under), 1, HEADINGS)
 
 
