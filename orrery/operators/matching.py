@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orrery.lineage import durable
+
 #: Letters of a run; a shorter pattern is a run by itself.
 RUN = 3
+#: Rows of a side that may be broadcast.
+FEW = 100_000
 
 
 def runs(text: Column) -> Column:
@@ -25,6 +29,14 @@ def pattern_runs(pattern: Column) -> Column:
     return F.when(F.length(pattern) < RUN, F.array(pattern)).otherwise(F.filter(runs(pattern), lambda r: F.length(r) == RUN))
 
 
+def _joined(many: DataFrame, few: DataFrame, on: str) -> DataFrame:
+    """many with few, which is broadcast if counted small, else both are shuffled.
+
+    Rows that an explode makes do not count in Spark's estimate of a size, so no side may be broadcast by that.
+    """
+    return many.join(F.broadcast(few) if few.count() <= FEW else few.hint("merge"), on)
+
+
 def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(id, pattern_id): texts (id, text) that hold a pattern of patterns (pattern_id, pattern), in any case, wherever it stands.
 
@@ -35,8 +47,8 @@ def contained(texts: DataFrame, patterns: DataFrame) -> DataFrame:
     low = patterns.select("pattern_id", F.lower("pattern").alias("low")).filter("low <> ''")
     wanted = low.select("low").distinct().withColumn("run", F.explode(pattern_runs(F.col("low"))))
     posted = texts.filter("text <> ''").select("id", F.explode(runs(F.lower("text"))).alias("run"))
-    per = posted.join(wanted.select("run").distinct(), "run", "left_semi").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    per = _joined(posted, durable(wanted.select("run").distinct()), "run").groupBy("run").agg(F.count(F.lit(1)).alias("n"))
     rare = wanted.join(per, "run", "left").groupBy("low").agg(F.count_if(F.col("n").isNull()).alias("absent"), F.min_by("run", F.struct("n", "run")).alias("run")).filter("absent = 0")
-    met = posted.join(rare.select("run", "low"), "run").select("id", "low")
-    held = texts.select("id", F.lower("text").alias("in_")).join(met, "id").filter(F.contains("in_", "low")).select("id", "low")
-    return held.join(low, "low").select("id", "pattern_id")
+    met = _joined(posted, durable(rare.select("run", "low")), "run").select("id", "low")
+    held = texts.select("id", F.lower("text").alias("in_")).join(met.hint("merge"), "id").filter(F.contains("in_", "low")).select("id", "low")
+    return _joined(held, durable(low), "low").select("id", "pattern_id")

@@ -23,6 +23,28 @@ def test_contained_equals_plain_search(spark):
     assert matching.contained(spark.createDataFrame(texts, "id int, text string"), none).count() == 0
 
 
+def _broadcast(df):
+    """What a plan broadcasts, as text: for each exchange the lines below it."""
+    lines = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].splitlines()
+    depth = lambda line: len(re.match(r"[ :+\-]*", line)[0])
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = []
+            for x in lines[i + 1 :]:
+                if depth(x) <= depth(line):
+                    break
+                below.append(x)
+            yield "\n".join(below)
+
+
+def test_runs_of_texts_are_never_broadcast(spark, tmp_path):
+    spark.range(200).selectExpr("id", "concat('some text of ', id) AS text").write.parquet(str(tmp_path / "t"))
+    texts = spark.read.parquet(str(tmp_path / "t"))
+    found = matching.contained(texts, texts.selectExpr("id % 7 AS pattern_id", "concat('of ', id % 7) AS pattern").distinct())
+    assert not [b for b in _broadcast(found) if "Generate" in b]
+    assert found.count() == sum(f"of {i}".startswith(f"of {p}") for i in range(200) for p in range(7))
+
+
 def test_mentions_leave_out_the_symbol_itself(spark):
     texts = spark.createDataFrame([(1, "Load the ConfigStore, $bar and naïve_name"), (2, "nothing"), (3, None)], "source int, text string")
     names = spark.createDataFrame([(1, "store", 9), (2, "Store", 8), (4, "$BAR", 3), (5, "NAÏVE_name", 4), (6, "ab", 1), (7, "load", 2), (8, None, 0)], "symbol int, name string, place int")
