@@ -35,9 +35,16 @@ def directories(components: DataFrame, levels: int = LEVELS) -> DataFrame:
 
 
 def _samples(components: DataFrame, levels: int, shown: int) -> DataFrame:
-    """prefix, bucket, samples: the first paths under each directory, and of those right in it."""
+    """prefix, bucket, samples: the first paths under each directory, and of those right in it.
+
+    A path that is not among the first right where it lies is among the first of no directory above, so it goes before paths
+    are repeated for these. Paths are dealt anew for that, as a task would sort all paths of a large file.
+    """
     parts = F.split("path", "/")
-    df = components.select("path", parts.alias("p"), F.explode(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(2 * levels)))).alias("depth"))
+    inner = F.least(F.size(parts) - 1, F.lit(2 * levels))
+    own = components.select("path", _prefix(parts, inner).alias("own"), (F.size(parts) - 1 == inner).alias("right_in")).repartition("path")
+    own = own.withColumn("r", F.row_number().over(Window.partitionBy("own", "right_in").orderBy("path"))).filter(F.col("r") <= shown)
+    df = own.select("path", parts.alias("p"), F.explode(F.sequence(F.lit(0), F.least(F.size(parts) - 1, F.lit(2 * levels)))).alias("depth"))
     both = F.when(F.col("depth") == F.size("p") - 1, F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))
     df = df.select("path", _prefix(F.col("p"), F.col("depth")).alias("prefix"), F.explode(both).alias("bucket"))
     # ranks are cut in each task before rows move, so the root brings a few rows and not all files

@@ -121,6 +121,21 @@ def test_directory_tree_equals_recursion(spark, seed):
         assert hierarchy.tree(mixed).count() == 0
 
 
+def test_samples_repeat_no_path_that_is_not_among_the_first(spark):
+    paths = [f"a/{'/'.join('bcdefghijklmno'[: i % 15])}/f{i:03}" for i in range(300)]
+    df = hierarchy._samples(spark.createDataFrame([(p,) for p in paths], "path string"), 6, 5)
+    got = {(r.prefix, r.bucket): r.samples for r in df.collect()}
+    want = {}
+    for p in sorted(paths):
+        parts = p.split("/")
+        for n in range(min(len(parts) - 1, 12) + 1):
+            for bucket in {False, n == len(parts) - 1}:
+                want.setdefault(("/".join(parts[:n]), bucket), []).append(p)
+    assert got == {k: v[:5] for k, v in want.items()}
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "RangePartitioning" not in plan and plan.count("WindowGroupLimit") == 4 and plan.rindex("WindowGroupLimit") > plan.index("Generate")
+
+
 def test_map_is_grouped_or_flat(spark):
     paths = spark.createDataFrame([("a/x.py", "module"), ("b/y.py", "module")], "path string, kind string")
     components = spark.createDataFrame([("1", "a/x.py"), ("2", "b/y.py")], "id string, label string")
