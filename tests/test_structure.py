@@ -222,6 +222,15 @@ def test_word_index_answers_as_a_scan(spark, tmp_path):
     assert shown and all("lic" in r.snippet.lower() for r in shown)
 
 
+def test_index_moves_no_word_and_merges_texts_of_one_id(spark):
+    texts = spark.createDataFrame([(1, "a B a"), (2, None), (None, "b"), (3, ""), (4, "é-A9 x_b")], "id long, text string")
+    one = postings.index(texts)
+    assert sorted((r.term, r.id, r.positions) for r in one.collect()) == [("a", 1, [0, 2]), ("a9", 4, [0]), ("b", 1, [1]), ("b", 4, [2]), ("x", 4, [1])]
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+    several = postings.index(texts.unionByName(spark.createDataFrame([(1, "b a")], "id long, text string")))
+    assert sorted((r.term, r.id, r.positions) for r in several.filter("id = 1").collect()) == [("a", 1, [0, 1, 2]), ("b", 1, [0, 1])]
+
+
 def test_last_writer_wins_and_half_runs_are_not_seen(spark, tmp_path):
     schema = "run_id string, id string, seq int, v string"
     kept = spark.createDataFrame([("a", "1", 1, "first"), ("a", "1", 2, "last"), ("a", "2", 1, "x"), (None, "1", 1, "n")], schema)
