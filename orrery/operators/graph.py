@@ -292,17 +292,33 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) by smallest label; a label's own label is followed, so rounds grow with the logarithm of a chain."""
-    both = durable(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    state = durable(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+    """(node, component) by smallest label: each node points to its smallest neighbour, pointers are followed to their ends, and edges shrink to these.
+
+    A round at least halves the nodes that have edges left, and following doubles its reach each time, so rounds grow with the
+    logarithm of a chain, and each is smaller than the last.
+    """
+    known = edges.select("a", "b").filter("a is not null and b is not null")
+    left = known.unionByName(known.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    levels = []
     while True:
-        near = both.join(state.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        new = state.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        up = state.select(F.col("node").alias("component"), F.col("component").alias("up"))
-        new = durable(new.join(up, "component", "left").select("node", "old", F.least("component", F.coalesce("up", "component")).alias("component")))
-        state = new.select("node", "component")
-        if not new.filter("component < old").take(1):
-            return state
+        state = durable(left.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.min("a")).alias("component")))
+        if levels and not state.take(1):
+            break
+        while True:
+            up = state.select(F.col("node").alias("component"), F.col("component").alias("up"))
+            far = durable(state.join(up, "component").select("node", F.col("component").alias("old"), F.col("up").alias("component")))
+            state = far.select("node", "component")
+            if not far.filter("component < old").take(1):
+                break
+        levels.append(state)
+        a, b = (state.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
+        left = left.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+        left = durable(left)
+    out = levels.pop()
+    while levels:
+        ends = out.select(F.col("node").alias("component"), F.col("component").alias("end"))
+        out = levels.pop().join(ends, "component", "left").select("node", F.coalesce("end", "component").alias("component"))
+    return out
 
 
 def overlapping(anchors: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:

@@ -37,3 +37,35 @@ def test_violations(spark):
     rows = [("a", "calls", "resolved", "t", None, None), ("b", "calls", "resolved", None, None, None), ("c", "calls", "partial", "t", "r", 1.5), ("d", "odd", "unresolved", None, "r", None), ("e", "calls", "unresolved", None, None, None)]
     df = spark.createDataFrame(rows, "id string, kind string, status string, target string, target_reference string, confidence double")
     assert {r.id for r in graph.violations(df).collect()} == {"b", "c", "d", "e"}
+
+
+def test_connected_parts_shrink_to_their_smallest_node(spark, monkeypatch):
+    import random
+
+    from orrery.operators import graph
+
+    rng, sizes = random.Random(4), []
+
+    def watched(df, real=graph.durable):
+        out = real(df)
+        if out.columns == ["a", "b"]:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "durable", watched)
+    edges = [(7 * i + j, 7 * i + j + 1) for i in range(20) for j in range(6)] + [(300 - i, 299 - i) for i in range(40)] + [(rng.randint(400, 440), rng.randint(400, 440)) for _ in range(30)] + [(500, 500), (501, None), (None, 502)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and b is not None:
+            a, b = root(a), root(b)
+            parent[max(a, b)] = min(a, b)
+    got = graph.connected(spark.createDataFrame(edges, "a int, b int")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, root(x)) for x in parent)
+    assert max(sizes) < len(edges) / 2
+    assert graph.connected(spark.createDataFrame([], "a int, b int")).count() == 0
