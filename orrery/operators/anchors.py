@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 class Rule(NamedTuple):
     """kind of anchor and how it is found; pattern on a line; roles left out; whether only a file's first hit counts.
 
-    Where `beside` is given, the file's path or text must fit that too.
+    Where `beside` is given, the file's path or text must fit that too; that is for rules of a file's first hit. Lines that the
+    pattern fits hold one of `needs` in lower case, and what `beside` fits one of `beside_needs`: few lines come to a pattern.
     """
 
     kind: str
@@ -20,7 +21,9 @@ class Rule(NamedTuple):
     pattern: str
     without: tuple[str, ...]
     first: bool
+    needs: tuple[str, ...]
     beside: str | None = None
+    beside_needs: tuple[str, ...] = ()
 
 
 #: Borders of words in any script; engines differ in what they take for a letter.
@@ -28,19 +31,19 @@ _B, _E = r"(?:^|[^\p{L}\p{N}_])", r"(?:$|[^\p{L}\p{N}_])"
 NOT_CODE, NOT_DOCS = ("docs", "test", "example"), ("docs", "test")
 #: Rules in the order in which kinds are shown.
 RULES = [
-    Rule("http_route", "python_route_decorator", 0.92, r"(?i)@\s*(app|router|blueprint|bp)\.(get|post|put|patch|delete|head|options|route)\s*\(\s*['\"][^'\"]+['\"]", NOT_CODE, False),
-    Rule("http_route", "python_route_map_assignment", 0.90, r"(?i)routes\s*\[\s*['\"](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+[^'\"]+['\"]\s*\]", NOT_CODE, False),
-    Rule("http_route", "javascript_route_call", 0.86, rf"(?i){_B}(app|router|server)\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['`][^'`]+['`]", NOT_CODE, False),
-    Rule("cli_command", "python_main_guard", 0.86, r"__name__.*__main__", NOT_DOCS, False),
-    Rule("cli_command", "cli_library_signal", 0.78, r"(?i)argparse\.argumentparser|click\.command|typer\(", NOT_DOCS, False),
-    Rule("worker", "worker_signal", 0.72, rf"(?i)@(shared_task|celery\.task)|{_B}new\s+Worker{_E}|{_B}Queue\(", NOT_DOCS, True),
-    Rule("cron_job", "cron_or_schedule_signal", 0.74, rf"(?i){_B}(cron\.schedule|schedule\.every|@scheduled|crontab|cronjob|schedule:)", NOT_DOCS, True),
-    Rule("webhook", "webhook_signal", 0.78, r"(?i)webhook", NOT_DOCS, True),
-    Rule("db_schema", "schema_or_migration_file", 0.76, rf"(?i){_B}(create\s+table|alter\s+table|create\s+index){_E}", NOT_DOCS, True),
-    Rule("queue_boundary", "queue_signal", 0.67, rf"(?i){_B}(queue|publish|subscribe|consumer|producer|enqueue|dequeue|rabbitmq|kafka|sqs){_E}", NOT_DOCS, True),
-    Rule("external_api_client", "outbound_http_signal", 0.68, rf"(?i){_B}(fetch|axios\.\w+|httpx\.\w+|requests\.\w+)\s*\(|https?://[^'\"\s]+", NOT_CODE, True),
-    Rule("plugin_registry", "plugin_registry_signal", 0.66, rf"(?i){_B}(plugin|extension|registry|register_plugin|register\()", NOT_DOCS, True, rf"(?i){_B}(plugin|extension|registry){_E}"),
-    Rule("auth_boundary", "auth_signal", 0.70, rf"(?i){_B}(auth|authenticate|authorization|jwt|token|session|permission|login){_E}", NOT_DOCS, True, rf"(?i){_B}(auth|jwt|token|session|permission|login){_E}"),
+    Rule("http_route", "python_route_decorator", 0.92, r"(?i)@\s*(app|router|blueprint|bp)\.(get|post|put|patch|delete|head|options|route)\s*\(\s*['\"][^'\"]+['\"]", NOT_CODE, False, ("app.", "router.", "blueprint.", "bp.")),
+    Rule("http_route", "python_route_map_assignment", 0.90, r"(?i)routes\s*\[\s*['\"](GET|POST|PUT|PATCH|DELETE|HEAD|OPTIONS)\s+[^'\"]+['\"]\s*\]", NOT_CODE, False, ("routes",)),
+    Rule("http_route", "javascript_route_call", 0.86, rf"(?i){_B}(app|router|server)\.(get|post|put|patch|delete|head|options|all)\s*\(\s*['`][^'`]+['`]", NOT_CODE, False, ("app.", "router.", "server.")),
+    Rule("cli_command", "python_main_guard", 0.86, r"__name__.*__main__", NOT_DOCS, False, ("__main__",)),
+    Rule("cli_command", "cli_library_signal", 0.78, r"(?i)argparse\.argumentparser|click\.command|typer\(", NOT_DOCS, False, ("argparse.", "click.", "typer(")),
+    Rule("worker", "worker_signal", 0.72, rf"(?i)@(shared_task|celery\.task)|{_B}new\s+Worker{_E}|{_B}Queue\(", NOT_DOCS, True, ("worker", "queue(", "@shared_task", "@celery.")),
+    Rule("cron_job", "cron_or_schedule_signal", 0.74, rf"(?i){_B}(cron\.schedule|schedule\.every|@scheduled|crontab|cronjob|schedule:)", NOT_DOCS, True, ("cron", "schedule")),
+    Rule("webhook", "webhook_signal", 0.78, r"(?i)webhook", NOT_DOCS, True, ("webhook",)),
+    Rule("db_schema", "schema_or_migration_file", 0.76, rf"(?i){_B}(create\s+table|alter\s+table|create\s+index){_E}", NOT_DOCS, True, ("create", "alter")),
+    Rule("queue_boundary", "queue_signal", 0.67, rf"(?i){_B}(queue|publish|subscribe|consumer|producer|enqueue|dequeue|rabbitmq|kafka|sqs){_E}", NOT_DOCS, True, ("queue", "publish", "subscribe", "consumer", "producer", "rabbitmq", "kafka", "sqs")),
+    Rule("external_api_client", "outbound_http_signal", 0.68, rf"(?i){_B}(fetch|axios\.\w+|httpx\.\w+|requests\.\w+)\s*\(|https?://[^'\"\s]+", NOT_CODE, True, ("fetch", "axios.", "http", "requests.")),
+    Rule("plugin_registry", "plugin_registry_signal", 0.66, rf"(?i){_B}(plugin|extension|registry|register_plugin|register\()", NOT_DOCS, True, ("plugin", "extension", "registry", "register("), rf"(?i){_B}(plugin|extension|registry){_E}", ("plugin", "extension", "registry")),
+    Rule("auth_boundary", "auth_signal", 0.70, rf"(?i){_B}(auth|authenticate|authorization|jwt|token|session|permission|login){_E}", NOT_DOCS, True, ("auth", "jwt", "token", "session", "permission", "login"), rf"(?i){_B}(auth|jwt|token|session|permission|login){_E}", ("auth", "jwt", "token", "session", "permission", "login")),
 ]
 #: What a document may be about.
 SIGNALS = ["api", "auth", "authentication", "authorization", "cli", "client", "database", "deployment", "docker", "event", "frontend", "http", "integration", "job", "queue", "route", "server", "service", "test", "transport", "webhook", "worker", "workflow"]
@@ -64,27 +67,41 @@ def _label(method: str, text: Column, path: Column) -> Column:
     return {"python_main_guard": F.lit("Python module entrypoint"), "cli_library_signal": F.lit("CLI command setup")}.get(method, path)
 
 
+def _holds(low: Column, needs: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for x in needs:
+        out = out | low.contains(x)
+    return out
+
+
 def line_anchors(lines: DataFrame) -> DataFrame:
     """kind, path, line, label, method, confidence, status from lines (path, role, line, text): all rules in one pass.
 
-    Of one kind, file, line and label (in lower case) the most certain method stays, then the first in order of rules.
+    Of one kind, file, line and label (in lower case) the most certain method stays, then the first in order of rules. Lines
+    that no rule can fit go by plain search before any pattern is tried, and files meet once, with what was found on a line.
     """
-    hit = lambda i, r: F.when(
-        ~F.col("role").isin(list(r.without)) & F.col("text").rlike(r.pattern),
-        F.struct(F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.method).alias("method"), F.lit(r.confidence).alias("confidence"), F.lit(r.first).alias("first"), _label(r.method, F.col("text"), F.col("path")).alias("label")),
-    )
-    hits = F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(RULES)]))
-    # which second conditions a file meets, as bits, summed up for each file before any join
-    beside = [(i, r.beside) for i, r in enumerate(RULES) if r.beside]
-    bits = [F.max(F.when(F.col("text").rlike(p) | F.col("path").rlike(p), 1).otherwise(0)).alias(f"b{i}") for i, p in beside]
-    df = lines.select("path", "line", F.explode(hits).alias("x")).select("path", "line", "x.*")
-    once = df.filter("first").groupBy("path", "rule", "kind", "method", "confidence", "label").agg(F.min("line").alias("line"))
-    df = df.filter("not first").select("path", "rule", "kind", "method", "confidence", "label", "line").unionByName(once)
-    met = lines.groupBy("path").agg(*bits)
-    fails = F.lit(False)
-    for i, _ in beside:
-        fails = fails | ((F.col("rule") == i) & (F.col(f"b{i}") == 0))
-    df = df.join(met, "path").filter(~fails)
+    low, paths = F.col("low"), F.col("low_path")
+
+    def hit(i: int, r: Rule) -> Column:
+        fits = ~F.col("role").isin(list(r.without)) & _holds(low, r.needs) & F.col("text").rlike(r.pattern)
+        label = _label(r.method, F.col("text"), F.col("path"))
+        row = lambda found, met: F.struct(
+            F.lit(i).alias("rule"), F.lit(r.kind).alias("kind"), F.lit(r.method).alias("method"), F.lit(r.confidence).alias("confidence"),
+            F.when(found, F.col("line")).alias("line"), F.lit(r.first).alias("first"), met.alias("met"), label.alias("label"),
+        )
+        if not r.beside:
+            return F.when(fits, row(F.lit(True), F.lit(True)))
+        fits = F.coalesce(fits, F.lit(False))
+        met = (_holds(low, r.beside_needs) & F.col("text").rlike(r.beside)) | (_holds(paths, r.beside_needs) & F.col("path").rlike(r.beside))
+        met = F.coalesce(met, F.lit(False))
+        return F.when(fits | met, row(fits, met))
+
+    any_ = _holds(low, tuple(dict.fromkeys(n for r in RULES for n in (*r.needs, *r.beside_needs))))
+    df = lines.filter("path is not null").withColumn("low", F.lower("text")).withColumn("low_path", F.lower("path")).filter(any_)
+    df = df.select("path", F.explode(F.array_compact(F.array(*[hit(i, r) for i, r in enumerate(RULES)]))).alias("x")).select("path", "x.*")
+    # a file's first hit, or each; a rule's second condition may be met on any of its lines
+    at = F.when(~F.col("first"), F.col("line"))
+    df = df.groupBy("path", "rule", "kind", "method", "confidence", "label", at.alias("at")).agg(F.min("line").alias("line"), F.max("met").alias("met")).filter("met and line is not null")
     best = F.row_number().over(Window.partitionBy("kind", "path", "line", F.lower("label")).orderBy(F.desc("confidence"), "rule"))
     df = df.withColumn("r", best).filter("r = 1")
     return df.select("kind", "path", "line", "label", "method", "confidence", F.when(F.col("confidence") >= DETECTED, "source_detected").otherwise("candidate").alias("status"))

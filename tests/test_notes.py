@@ -40,3 +40,22 @@ def test_exported_symbols_of_public_files(spark):
 def test_names_of_nodes(spark):
     df = spark.createDataFrame([("  API Client & Co!",), ("Config/ENV",), ("---",), ("Plain é",)], "x string")
     assert [(r[0], r[1]) for r in df.select(slug(F.col("x")), documents.node_kind(F.col("x"))).collect()] == [("api-client-co", "external_boundary"), ("config-env", "cross_cutting"), ("", "component"), ("plain", "component")]
+
+
+def test_lines_are_read_once_for_all_rules_and_patterns_come_last(spark, tmp_path):
+    from orrery.plans.notes import LINES
+
+    texts = [t for line in LINES for t in (line, line.upper(), f"x {line}", line.replace("e", "é"))] + ["@celery.task", "new  Worker", "crontab", "sqs", "axios.get (", "register_plugin", "İ auth", None]
+    rows = [(f"{'plugin' if i % 2 else 'src'}/f{i // 3}", "production", i, t) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "path string, role string, line long, text string").write.parquet(str(tmp_path / "lines"))
+    lines = spark.read.parquet(str(tmp_path / "lines"))
+    found = anchors.line_anchors(lines)
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("FileScan") == 1
+    low = F.lower("text")
+    for r in anchors.RULES:
+        assert not lines.filter(F.col("text").rlike(r.pattern) & ~anchors._holds(low, r.needs)).take(1)
+        assert not r.beside or r.first and not lines.filter(F.col("text").rlike(r.beside) & ~anchors._holds(low, r.beside_needs)).take(1)
+    # a rule's second condition on another line of the file, or in its path, and none
+    rows = [("a", "production", 1, "register(x)"), ("a", "production", 2, "the registry"), ("plugin/b", "production", 1, "register(x)"), ("c", "production", 1, "register(x)"), ("d", "docs", 1, "the registry")]
+    got = anchors.line_anchors(spark.createDataFrame(rows, "path string, role string, line long, text string")).filter("kind = 'plugin_registry'").collect()
+    assert sorted((r.path, r.line) for r in got) == [("a", 1), ("plugin/b", 1)]
