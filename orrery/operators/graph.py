@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from orrery.lineage import durable
+from orrery.lineage import durable, light
 from orrery.operators import spans
 
 
@@ -59,16 +59,18 @@ def neighbours(relations: DataFrame, entities: DataFrame) -> DataFrame:
     return out.unionByName(into).groupBy("of", "side", "entity", "kind", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def hops(edges: DataFrame, start: DataFrame, k: int, directed: bool = False) -> DataFrame:
-    """(node, depth) of what k steps over edges (a, b) reach from start (node); each node at its least depth."""
-    both = edges.select("a", "b").distinct()
-    if not directed:
-        both = both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    both = durable(both)
+def hops(edges: DataFrame, start: DataFrame, k: int, directed: bool = False, written: bool = False) -> DataFrame:
+    """(node, depth) of what k steps over edges (a, b) reach from start (node); each node at its least depth.
+
+    Few rows of a front go to the edges, which then stay where they are. written: edges are durable already.
+    """
+    steps = edges if written else durable(edges.select("a", "b").distinct())
     seen = durable(start.select("node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
     front = seen
     for d in range(1, k + 1):
-        step = both.join(front.select(F.col("node").alias("a")), "a").select(F.col("b").alias("node")).distinct()
+        near = light(front.select("node"))
+        go = lambda x, y: steps.join(near.select(F.col("node").alias(x)), x).select(F.col(y).alias("node"))  # noqa: B023, E731
+        step = (go("a", "b") if directed else go("a", "b").unionByName(go("b", "a"))).distinct()
         front = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)))
         seen = seen.unionByName(front)
     return seen
