@@ -5,32 +5,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrery.lineage import durable
+from orrery.lineage import LIGHT, durable, light
 from orrery.operators import graph
 
 #: Rounds after which what was found so far is written down, as a long walk would make the plan long.
 CUT = 16
 
 
-def _turned(edges: DataFrame, direction: str) -> DataFrame:
-    """Edges (a, b) in the sense that a walk follows them: out, in or both."""
-    back = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    return {"out": lambda: edges.select("a", "b"), "in": lambda: back, "both": lambda: edges.select("a", "b").unionByName(back)}[direction]().distinct()
+def _steps(edges: DataFrame, front: DataFrame, direction: str) -> DataFrame:
+    """(start, node): where edges (a, b) lead from a front (start, node), taken in the sense of a walk: out, in or both.
+
+    Few rows of a front go to the edges, which then stay where they are.
+    """
+    near = light(front.select("start", "node"))
+    go = lambda x, y: edges.join(near.select("start", F.col("node").alias(x)), x).select("start", F.col(y).alias("node"))
+    return {"out": lambda: go("a", "b"), "in": lambda: go("b", "a"), "both": lambda: go("a", "b").unionByName(go("b", "a"))}[direction]().distinct()
 
 
-def traverse(edges: DataFrame, start: DataFrame, direction: str = "out", depth: int = 3) -> DataFrame:
+def traverse(edges: DataFrame, start: DataFrame, direction: str = "out", depth: int = 3, written: bool = False) -> DataFrame:
     """(start, node, depth): what each start (node) reaches over edges (a, b), at its least depth; a negative depth has no limit.
 
-    Each round joins only what was new in the round before; a walk ends where a round finds nothing.
+    Each round joins only what was new in the round before; a walk ends where a round finds nothing. written: edges are durable
+    already, each pair once.
     """
-    steps = durable(_turned(edges, direction))
+    steps = edges if written else durable(edges.select("a", "b").distinct())
     front = durable(start.select(F.col("node").alias("start"), "node").filter("node is not null").distinct().withColumn("depth", F.lit(0)))
     rounds, seen = [front], front.select("start", "node")
     d = 0
     while d != depth:
         d += 1
-        new = steps.join(front.select("start", F.col("node").alias("a")), "a").select("start", F.col("b").alias("node")).distinct()
-        front = durable(new.join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
+        front = durable(_steps(steps, front, direction).join(seen, ["start", "node"], "left_anti").withColumn("depth", F.lit(d)))
         if not front.take(1):
             break
         rounds.append(front)
@@ -105,26 +109,63 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return all_nodes.join(_union(found), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def _peeled(edges: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """(node, layer) of the ends of edges (a, b), and the edges of cycles and of all that they lead to, or None.
+
+    Each round leaves edges whose beginning something left leads to. What an edge of round r leads to stands below layer r, so
+    a node's layer is that of the last round in which an edge leads to it, plus one. Layers of ends of the edges given back
+    are not final.
+    """
+    left, n, r = edges, -1, 0
+    seen = [edges.select(F.col("a").alias("node"), F.lit(0).alias("layer"))]
+    while True:
+        seen.append(left.select(F.col("b").alias("node"), F.lit(r + 1).alias("layer")))
+        r += 1
+        to = left.select(F.col("b").alias("a")).distinct()
+        left = durable(left.join(F.broadcast(to) if 0 <= n <= LIGHT else to, "a", "left_semi").select("a", "b"))
+        before, n = n, left.count()
+        if n == 0 or n == before:
+            break
+        if r % CUT == 0:
+            seen = [durable(_union(seen).groupBy("node").agg(F.max("layer").alias("layer")))]
+    return _union(seen).groupBy("node").agg(F.max("layer").alias("layer")), left if n else None
+
+
 def layers(edges: DataFrame, of: DataFrame | None = None) -> DataFrame:
     """(node, component, layer): edges (a, b) lead down; a component's layer is the longest way to it from the top.
 
-    Nodes of one cycle stand in one layer. Each round takes what nothing left leads to. of: strong_components(), where known.
+    Nodes of one cycle stand in one layer. What no cycle leads to has its layer by _peeled(), so strong components, and rounds
+    that take what nothing left leads to, are only of the rest. of: strong_components(), where known. Edges are read again
+    in every part, so they should be durable.
     """
-    of = durable(strong_components(edges)) if of is None else of
+    own = edges.select("a", "b").filter("a <> b")
+    placed, rest = _peeled(own)
+    alone = edges.filter("not coalesce(a <> b, false)").select(F.explode(F.array("a", "b")).alias("node"), F.lit(0).alias("layer")).filter("node is not null")
+    placed = placed.unionByName(alone).groupBy("node").agg(F.max("layer").alias("layer"))
+    if rest is None:
+        return placed.select("node", F.col("node").alias("component"), "layer")
+    placed = durable(placed)
+    # every end of what is left is one that an edge of it leads to
+    nodes = durable(rest.select(F.col("b").alias("node")).distinct())
+    of = durable(strong_components(rest) if of is None else of.join(nodes, "node", "left_semi"))
     a, b = (of.select(F.col("node").alias(x), F.col("component").alias(f"c{x}")) for x in ("a", "b"))
-    left = durable(edges.select("a", "b").join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
-    rest = durable(of.select("component").distinct())
-    done, layer = [], 0
-    while rest.take(1):
+    left = durable(rest.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct())
+    above = own.join(b, "b").join(nodes.select(F.col("node").alias("a")), "a", "left_anti").join(placed.select(F.col("node").alias("a"), "layer"), "a")
+    above = above.groupBy(F.col("cb").alias("component")).agg((F.max("layer") + 1).alias("layer"))
+    todo = durable(of.select("component").distinct().join(above, "component", "left").na.fill(0, ["layer"]))
+    done, r = [], 0
+    while todo.take(1):
         under = left.select(F.col("b").alias("component")).distinct()
-        top = durable(rest.join(under, "component", "left_anti").withColumn("layer", F.lit(layer)))
+        top = durable(todo.join(under, "component", "left_anti"))
         done.append(top)
-        rest = durable(rest.join(top, "component", "left_anti").select("component"))
+        pushed = left.join(top.select(F.col("component").alias("a"), "layer"), "a").groupBy(F.col("b").alias("component")).agg((F.max("layer") + 1).alias("pushed"))
+        todo = durable(todo.join(top, "component", "left_anti").join(pushed, "component", "left").select("component", F.greatest("layer", "pushed").alias("layer")))
         left = durable(left.join(top.select(F.col("component").alias("a")), "a", "left_anti").select("a", "b"))
-        layer += 1
-        if layer % CUT == 0:
+        r += 1
+        if r % CUT == 0:
             done = [durable(_union(done))]
-    return of.join(_union(done), "component").select("node", "component", "layer") if done else of.withColumn("layer", F.lit(0))
+    below = of.join(_union(done), "component").select("node", "component", F.col("layer").alias("below"))
+    return placed.join(below, "node", "left").select("node", F.coalesce("component", "node").alias("component"), F.coalesce("below", "layer").alias("layer"))
 
 
 def layer_edges(edges: DataFrame, placed: DataFrame) -> DataFrame:
@@ -140,7 +181,7 @@ def call_flow(edges: DataFrame, start: DataFrame, depth: int = 3) -> DataFrame:
 
     A way that comes back to a node of its own is shown once more, closed, and goes no further; a negative depth ends there alone.
     """
-    steps = durable(_turned(edges, "out"))
+    steps = durable(edges.select("a", "b").distinct())
     front = durable(start.filter("node is not null").select(F.col("node").alias("start"), "node", F.lit(0).alias("depth"), F.array("node").alias("path"), F.lit(False).alias("closes")).distinct())
     rounds, d = [front], 0
     while d != depth:

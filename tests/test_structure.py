@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from orrery.lineage import durable
-from orrery.operators import documents, hierarchy, matching, postings, store, views
+from orrery.operators import documents, graph, hierarchy, matching, postings, store, views
+from orrery.plans import corpus
 
 
 def test_contained_equals_plain_search(spark):
@@ -245,3 +246,50 @@ def test_last_writer_wins_and_half_runs_are_not_seen(spark, tmp_path):
     store.write_runs(new.filter("run_id = 'a'"), path, "seq")
     store.write_runs(spark.createDataFrame([("b", "1", 1, "b")], schema), path)
     assert sorted((r.run_id, r.id, r.v) for r in store.read_runs(spark, path).collect()) == [("a", "1", "old"), ("a", "2", "new"), ("b", "1", "b")]
+
+
+def _counted(monkeypatch, module):
+    """Numbers of rows that a module writes down."""
+    sizes = []
+
+    def counting(df):
+        out = durable(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(module, "durable", counting)
+    return sizes
+
+
+def test_layers_look_for_cycles_only_below_their_beginnings(spark, monkeypatch):
+    asked, found = [], views.strong_components
+
+    def seen(edges):
+        asked.append(edges.count())
+        return found(edges)
+
+    monkeypatch.setattr(views, "strong_components", seen)
+    tree = spark.createDataFrame([(1, 2), (1, 2), (2, 3), (1, 3), (9, 9), (8, None)], "a int, b int")
+    assert {tuple(r) for r in views.layers(tree).collect()} == {(1, 1, 0), (2, 2, 1), (3, 3, 2), (9, 9, 0), (8, 8, 0)} and not asked
+    # a cycle below a chain, with another way in from further down, and what it leads to
+    pairs = [(i, i + 1) for i in range(40)] + [(40, 41), (41, 40), (50, 41), (41, 60), (40, 61), (60, 61), (3, 61)]
+    got = {r.node: (r.component, r.layer) for r in views.layers(spark.createDataFrame(pairs, "a int, b int")).collect()}
+    assert got == {i: (i, i) for i in range(40)} | {40: (40, 40), 41: (40, 40), 50: (50, 0), 60: (60, 41), 61: (61, 42)} and asked == [5]
+    assert views.layers(tree.limit(0)).count() == 0
+
+
+def test_walks_do_not_write_edges_again(spark, monkeypatch):
+    edges = durable(spark.range(300).selectExpr("id AS a", "id + 1 AS b"))
+    start = spark.createDataFrame([(290,)], "node long")
+    for module, walk in ((views, lambda: views.traverse(edges, start, "both", 2, written=True)), (graph, lambda: graph.hops(edges, start, 2, written=True))):
+        sizes = _counted(monkeypatch, module)
+        assert sorted(r.node for r in walk().collect()) == [288, 289, 290, 291, 292] and max(sizes) <= 2
+        assert walk().join(walk(), "node").count() == 5
+
+
+def test_relations_are_grouped_where_the_join_has_put_them(spark):
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = corpus.relations(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "Aggregate" in plan and plan.count("Exchange hashpartitioning") == 2
