@@ -62,7 +62,9 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     base = F.when(k % 4 == 2, F.concat(F.lit("shop.m"), k - 1, F.lit(".C"), k - 1)).when(k % 4 == 3, F.concat(F.lit("C"), k - 1, F.lit("[int]"))).otherwise(F.concat(F.lit("C"), k - 1))
     also = F.when(k % 4 == 2, F.concat(F.lit("import shop.m"), k - 1)).otherwise("")
     source = F.when(k % 4 == 0, put(ALONE, k=text(k))).otherwise(put(BUILT, k=text(k), j=text(k - 1), b=base, i=also))
-    return corpus.table(spark, d, "supplier").select(F.concat(F.lit("shop/m"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("text"))
+    # a row is a few bytes and makes a source to be parsed, so rows are dealt out before: as read they would be one task
+    dealt = corpus.table(spark, d, "supplier").select("s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    return dealt.select(F.concat(F.lit("shop/m"), k, F.lit(".py")).alias("path"), F.lit("python").alias("language"), source.alias("text"))
 
 
 def _replaced(text, values: dict):
