@@ -81,6 +81,7 @@ def _replies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFra
     own = r.filter("run_id = 'run'").select("source", "kind", F.coalesce("target", "target_reference").alias("to"), "line")
     b = own.filter("line = 2").select(F.col("source").alias("to"), "kind", F.col("to").alias("last")).distinct()
     far = own.filter("line = 1 and source <> to").join(b, ["to", "kind"]).filter("to <> last").groupBy(F.col("source").alias("target")).agg(F.min(F.struct("kind", F.col("to").alias("mid"), "last")).alias("x")).select("target", "x.*")
+    far = durable(far)  # replies are read in many places
     item = lambda kind, to, path: F.to_json(F.struct(F.struct(F.lit(kind).alias("kind"), F.col("target").alias("subject_entity_id"), F.col("kind").alias("relation_kind"), to.alias("object_entity_id"), path.alias("path_entity_ids")).alias("proposition")))
     no = F.lit(None).cast("array<string>")
     broken = ['{"proposition": {"kind": "direct_relation"}}', '{"proposition": {"kind": "guess", "subject_entity_id": "a", "relation_kind": "calls", "object_entity_id": "b"}}', '"text"', "7", '{"proposition": 3}', '{"other": 1}']

@@ -74,3 +74,16 @@ def test_bridges_and_residuals(spark, plain):
         return "only_bridge_connected_or_below_minimum_core" if m in links else "no_internal_resolved_relation"
 
     assert rows(spark, "cluster_residuals", d) == sorted((g, m, reason(g, m)) for g, m in modules if m not in of)
+
+
+def test_modules_are_parsed_by_many_tasks(spark):
+    from orrery.plans import modules
+
+    assert modules._files(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_replies_are_read_without_another_join(spark):
+    from orrery.plans import proofs
+
+    replies = proofs._replies(spark, "/root/testdata/sf0.001")[0]
+    assert "Exchange" not in replies._jdf.queryExecution().executedPlan().toString()
