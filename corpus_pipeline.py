@@ -5,12 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from orrery.llm import mixing, near_dedup, quality_classifier, quality_rules, sentencepiece_codec
-from orrery.llm.common import durable, table
+from orrery.llm.common import dealt, durable, table
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the rules keep: null and empty texts go, as too short, and repeated rows are judged alike."""
-    return quality_rules.accepted(docs)
+    """Documents that the rules keep: null and empty texts go, as too short, and repeated rows are judged alike.
+
+    Later stages have their rows in the tasks that this one writes, so rows that lie in few row groups are dealt out first.
+    """
+    return quality_rules.accepted(dealt(docs))
 
 
 def quality_classifier_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
