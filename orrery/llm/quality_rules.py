@@ -7,7 +7,9 @@ long enough for their histogram to mean something.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from string import ascii_lowercase
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ CLASSES = {
     "other": "[^\\x00-\\x7F]",
 }
 SYMBOLS = r"[#*$%&|<>]"
+#: White space and lower-case ASCII letters: most of a text, and in none of CLASSES. Spelled out, as ranges take longer to match.
+COMMON_CHARS = f"[{ascii_lowercase}\\x20\\x09\\x0A\\x0B\\x0C\\x0D]+"
 #: Places in the histogram of character classes.
 SPACES, UPPER, SYMBOL, BINS = 1, 2, 2 + list(CLASSES).index("symbol"), 2 + len(CLASSES)
 VOCABULARY = sorted({w for ws in COMMON_WORDS.values() for w in ws})
@@ -52,16 +56,23 @@ class Limits:
     clean_upper: float = 0.20
 
 
-def _char_counts(text: Column, w: Column) -> Column:
+def _once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) for an f that reads value in a lambda: a column would be taken out of its row, or worked out, again for each element."""
+    return F.transform(F.array(value), f)[0]
+
+
+def _char_counts(text: Column, w: Column, short: Column) -> Column:
+    """short: text without COMMON_CHARS, which is all that the patterns look at."""
     space = (F.length(text) - F.length(F.array_join(w, ""))).cast("double")
-    rare = [F.regexp_count(text, F.lit(p)).cast("double") for k, p in CLASSES.items() if k != "other"]
-    other = F.length(F.regexp_replace(text, "[\\x00-\\x7F]+", "")).cast("double")
+    rare = [F.regexp_count(short, F.lit(p)).cast("double") for k, p in CLASSES.items() if k != "other"]
+    other = F.length(F.regexp_replace(short, "[\\x00-\\x7F]+", "")).cast("double")
     return F.array(space, *rare, other)
 
 
 def _with_histograms(docs: DataFrame, text: Column, w: str, names: dict[str, str]) -> DataFrame:
-    """Adds counts by character class and by common word; w names the array of words."""
-    df = docs.withColumn(names["rare"], _char_counts(text, F.col(w)))
+    """Adds the text without COMMON_CHARS, and counts by character class and by common word; w names the array of words."""
+    df = docs.withColumn(names["short"], F.regexp_replace(text, COMMON_CHARS, ""))
+    df = df.withColumn(names["rare"], _char_counts(text, F.col(w), F.col(names["short"])))
     rest = F.length(text) - F.aggregate(F.col(names["rare"]), F.lit(0.0), lambda a, x: a + x)
     df = df.withColumn(names["chars"], F.concat(F.array(rest), F.col(names["rare"]))).drop(names["rare"])
     common = F.concat(F.lit(" "), F.array_join(F.filter(F.col(w), lambda x: x.isin(VOCABULARY)), "  "), F.lit(" "))
@@ -81,7 +92,7 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
     """
     df = docs.select(F.coalesce(F.col(text), F.lit("")).alias("t"), F.col(lang).alias("l")).filter(F.col("l").isNotNull())
     df = df.withColumn("w", words(F.col("t")))
-    df = _with_histograms(df, F.col("t"), "w", {k: k for k in ("rare", "chars", "common", "hits", "hist")})
+    df = _with_histograms(df, F.col("t"), "w", {k: k for k in ("short", "rare", "chars", "common", "hits", "hist")})
     n, m, size = BINS, len(VOCABULARY) + 1, F.length("t")
     # a flag and no filter, which the optimizer would move below the histograms and so count words twice
     df = df.withColumn("ok", (F.size("w") >= limits.min_words) & (F.col("chars")[SYMBOL] <= limits.clean_symbols * size) & (F.col("chars")[UPPER] <= limits.clean_upper * size))
@@ -98,6 +109,22 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
     return out
 
 
+def _repeated(h: Column) -> Column:
+    """Hashes that may come twice, as structs of h and place i in order; those that do are all among them.
+
+    Numbers sort much faster than structs: a hash whose last bits give way to its place tells by its first ones which can be equal.
+    """
+    low = F.call_function("shiftleft", F.lit(1).cast("long"), F.length(F.bin(F.size(h)))) - 1
+    put = _once(F.lit(2**63 - 1) - low, lambda high: F.transform(h, lambda x, i: x.bitwiseAND(high).bitwiseOR(i.cast("long"))))
+
+    def alike(s: Column, b: Column) -> Column:
+        next_ = F.zip_with(s, F.slice(s, 2, F.size(s)), lambda x, y: F.when(x.bitwiseXOR(y) <= b, F.array(x, y)))
+        return F.transform(F.array_distinct(F.flatten(F.array_compact(next_))), lambda x: x.bitwiseAND(b).cast("int"))
+
+    some = _once(low, lambda b: _once(F.sort_array(put), lambda s: alike(s, b)))
+    return F.sort_array(_once(h, lambda a: F.transform(some, lambda i: F.struct(a[i].alias("h"), i.alias("i")))))
+
+
 def _shares(counts: str, total: Column) -> Column:
     return F.transform(F.col(counts), lambda x: F.when(total > 0, x / total).otherwise(0.0))
 
@@ -129,27 +156,28 @@ def judged(docs: DataFrame, limits: Limits = Limits(), text: str = "text", lang:
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "char_distance", "word_distance", "kept"]
     df = docs.drop(*[c for c in docs.columns if c.lower() in added and c not in (text, lang)])
     columns = df.columns
-    n = {k: fresh(df, f"qr_{k}") for k in ("text", "w", "rare", "chars", "common", "hits", "hist", "h", "lines", "sorted", "at", "own", "near", "size", "c")}
+    n = {k: fresh(df, f"qr_{k}") for k in ("text", "w", "short", "rare", "chars", "common", "hits", "hist", "h", "lines", "sorted", "at", "own", "near", "size", "c")}
     df = df.withColumn(n["text"], F.coalesce(F.col(text), F.lit("")))
     t = F.col(n["text"])
     df = df.withColumn(n["w"], words(t))
     df = _with_histograms(df, t, n["w"], n)
     w = F.col(n["w"])
     df = df.withColumn("n_words", F.size(w).cast("long")).withColumn("word_chars", (F.length(t) - F.col(n["chars"])[SPACES]).cast("long"))
-    df = df.withColumn("n_symbols", F.regexp_count(t, F.lit(SYMBOLS)).cast("long"))
+    df = df.withColumn("n_symbols", F.regexp_count(n["short"], F.lit(SYMBOLS)).cast("long")).drop(n["short"])
     df = df.withColumn(n["lines"], F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     df = df.withColumn("n_dup_lines", (F.size(n["lines"]) - F.size(F.array_distinct(n["lines"]))).cast("long"))
     # three-word windows as hashes; positions are looked at only where a hash comes twice
-    windows = F.transform(F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, w[i + 1], w[i + 2]))
+    windows = _once(w, lambda a: F.transform(F.slice(a, 1, F.greatest(F.size(a) - 2, F.lit(0))), lambda x, i: F.xxhash64(x, a[i + 1], a[i + 2])))
     df = df.withColumn(n["h"], windows).drop(n["w"], n["lines"])
     h = F.col(n["h"])
-    pairs = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-    df = df.withColumn(n["sorted"], F.when(F.size(F.array_distinct(h)) < F.size(h), pairs)).drop(n["h"])
-    s = F.col(n["sorted"])
-    twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
-    df = df.withColumn(n["at"], F.sort_array(F.transform(twice, lambda x: x["i"]))).drop(n["sorted"])
-    at = F.col(n["at"])
-    covered = F.aggregate(F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
+    df = df.withColumn(n["sorted"], F.when(F.size(F.array_distinct(h)) < F.size(h), _repeated(h))).drop(n["h"])
+
+    def twice(s: Column) -> Column:
+        return F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
+
+    df = df.withColumn(n["at"], F.sort_array(F.transform(_once(F.col(n["sorted"]), twice), lambda x: x["i"]))).drop(n["sorted"])
+    after = _once(F.col(n["at"]), lambda at: F.transform(at, lambda p, j: F.least(F.lit(3), F.coalesce(F.get(at, j + 1) - p, F.lit(3)))))
+    covered = F.aggregate(after, F.lit(0), lambda a, x: a + x)
     df = df.withColumn("n_repeat_words", F.coalesce(covered, F.lit(0)).cast("long")).drop(n["at"])
     failed = (F.col("n_words") < limits.min_words) | (100 * F.col("n_repeat_words") > limits.max_repeat * F.col("n_words"))
     df = df.withColumn("base_failed", failed)

@@ -51,6 +51,26 @@ def test_quality_rules(odd):
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()} >= {1, 2, 10}
 
 
+def test_repeated_windows_at_sizes_about_a_power_of_two(spark):
+    texts = [" ".join(str(i * i % m) for i in range(n)) for n in (0, 1, 2, 3, 4, 5, 31, 32, 33, 34, 129, 130, 131, 3000) for m in (1, 2, 7, 101, 10007)]
+    texts += ["x y z " + " ".join(map(str, range(n))) + " x y z" for n in (0, 1, 25, 26, 27, 250, 5000)]
+    df = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string")
+    for r in quality_rules.judged(df).collect():
+        assert (r.n_words, r.n_repeat_words) == counted(r.text)[::4], r.text[:60]
+
+
+def test_equal_first_bits_of_hashes_are_no_repeat(spark):
+    df = spark.createDataFrame([([16, 17, 5, -1, -2],), ([16, 17, 16, -1, 5],), ([-1, 3, -1],), ([],)], "h array<long>")
+    out = [[tuple(x) for x in r[0]] for r in df.select(quality_rules._repeated(F.col("h"))).collect()]
+    assert out[0] == [(-2, 4), (-1, 3), (16, 0), (17, 1)]  # candidates: judged() compares the whole hashes
+    assert {(16, 0), (16, 2)} <= set(out[1]) and set(out[2]) == {(-1, 0), (-1, 2)} and out[3] == []
+
+
+def test_no_pattern_counts_over_whole_texts_and_no_struct_is_sorted_by_a_lambda(odd):
+    plan = quality_rules.judged(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_sort(" not in plan and "regexp_extract_all(qr_short" in plan and "regexp_extract_all(qr_text" not in plan
+
+
 def test_quality_divergence_matches_plain_python(spark):
     texts = [PROSE + f" {i}" for i in range(4)] + ["@@@ %%% ^^^ " * 30]
     df = spark.createDataFrame([(i, x, "en") for i, x in enumerate(texts)], "doc_id long, text string, lang string")
