@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -323,6 +326,43 @@ def connected(edges: DataFrame) -> DataFrame:
     return out
 
 
+def parts_within(edges: DataFrame) -> DataFrame:
+    """(parts) of each task: how many connected parts the edges (part, a, b) make where none leaves its part; a loop makes none.
+
+    Nothing is written, and edges are moved once, by part. A task holds the nodes of one part at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict = {}
+        n = 0
+
+        def end(x):
+            if x not in up:
+                up[x] = x
+                return x, 1
+            while up[x] != x:
+                up[x] = up[up[x]]
+                x = up[x]
+            return x, 0
+
+        for batch in batches:
+            for first, a, b in zip(*(batch.column(c).to_pylist() for c in ("first", "a", "b"))):
+                if first:
+                    up.clear()
+                if a is None or b is None or a == b:
+                    continue
+                (a, new), (b, other) = end(a), end(b)
+                n += new + other
+                if a != b:
+                    up[a] = b
+                    n -= 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["parts"])
+
+    # the window brings a part's edges together, and its mark tells where one begins
+    first = F.row_number().over(Window.partitionBy("part").orderBy("a", "b")) == 1
+    return edges.select(first.alias("first"), "a", "b").mapInArrow(run, "parts long")
+
+
 def overlapping(anchors: DataFrame, symbols: DataFrame, most: int = 8) -> DataFrame:
     """(anchor, symbol): symbols of the same path whose lines overlap an anchor's, at most `most` in their own order."""
     a = anchors.select("path", F.col("id").alias("anchor"), F.col("start_line").alias("a1"), F.col("end_line").alias("a2"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from orrery.lineage import LIGHT, durable, light
@@ -205,27 +205,39 @@ def dependency_view(edges: DataFrame, scope: DataFrame, depth: int = 1) -> tuple
     return near.select("node", "depth", (F.col("depth") == 0).alias("in_scope")), inside
 
 
-def statistics(nodes: DataFrame, edges: DataFrame, most: int = 10) -> DataFrame:
+def statistics(nodes: DataFrame, edges: DataFrame, most: int = 10, name: Column | None = None) -> DataFrame:
     """(figure, key, value) of nodes (id, type, language, parsed) and edges (a, b, kind).
 
     Numbers of nodes and edges, by type, language and kind, the mean degree in and out over all nodes, the parts that hang
-    together, and the `most` nodes with most edges, ties to the smaller id.
+    together, and the `most` nodes with most edges, ties to the smaller id. name: what a node is called, if not its id.
+    All sums come from one job, whose steps read the same columns and so share what they shuffle; only sums are written. With a
+    column part in both, by which ids are told apart as well and which no edge leaves, edges move once for their parts.
     """
     row = lambda figure, key, value: (F.lit(figure).alias("figure"), key.cast("string").alias("key"), value.cast("double").alias("value"))
     n, none = F.count(F.lit(1)), F.lit(None)
-    ends = edges.select(F.explode(F.array("a", "b")).alias("id")).join(nodes.select("id"), "id", "left_semi")
-    top = ends.groupBy("id").agg(n.alias("n")).orderBy(F.desc("n"), "id").limit(most)
-    linked = graph.connected(edges.filter("a <> b"))
-    alone = nodes.join(linked.select(F.col("node").alias("id")), "id", "left_anti")
-    parts = linked.select("component").distinct().select(F.lit(1).alias("x")).unionByName(alone.select(F.lit(1).alias("x")))
-    one = F.lit(1).alias("one")
-    sizes = nodes.agg(n.alias("nodes"), F.count_if("parsed").alias("parsed")).select(one, "*").join(F.broadcast(edges.agg(n.alias("edges")).select(one, "edges")), "one")  # one row each
+    within = ["part"] if "part" in edges.columns else []
+    ends = edges.select(*within, F.explode(F.array("a", "b")).alias("id"), (F.col("a") != F.col("b")).alias("linked"))
+    degree = ends.groupBy(*within, "id").agg(n.alias("n"), F.bool_or("linked").alias("linked"))
+    known = nodes.join(degree, [*within, "id"], "left")
+    called = F.col("id") if name is None else name
+    parts = graph.parts_within(edges) if within else graph.connected(edges.filter("a <> b")).agg(F.countDistinct("component").alias("parts"))
+    number = lambda c: F.coalesce(F.col(c), F.lit(False)).cast("long")
+    known = known.select(called.cast("string").alias("key"), "type", "language", "n", number("parsed").alias("parsed"), (1 - number("linked")).alias("parts"))
+    top = known.orderBy(F.desc("n"), "key").limit(most).drop("type")
+    groups = known.groupBy(F.col("type").alias("key"), "language").agg(n.alias("n"), F.sum("parsed").alias("parsed"), F.sum("parts").alias("parts"))
+    sums = None
+    for what, df in (("node", groups), ("edge", edges.groupBy(F.col("kind").alias("key")).agg(n.alias("n"))), ("parts", parts), ("top", top)):
+        df = df.withColumn("what", F.lit(what))
+        sums = df if sums is None else sums.unionByName(df, allowMissingColumns=True)
+    sums = durable(sums)
+    of = lambda what, c: F.coalesce(F.sum(F.when(F.col("what") == what, F.col(c))), F.lit(0))
+    sizes = sums.agg(of("node", "n").alias("nodes"), of("edge", "n").alias("edges"), of("node", "parsed").alias("parsed"), (of("node", "parts") + of("parts", "parts")).alias("parts"))
     mean = F.when(F.col("nodes") > 0, F.col("edges") / F.col("nodes")).otherwise(0.0)
     whole = F.explode(F.array(*[F.struct(F.lit(k).alias("figure"), v.cast("double").alias("value")) for k, v in (
         ("total_nodes", F.col("nodes")), ("total_edges", F.col("edges")), ("parsed_count", F.col("parsed")), ("inferred_count", F.col("nodes") - F.col("parsed")), ("avg_in_degree", mean), ("avg_out_degree", mean),
+        ("connected_component_count", F.col("parts")),
     )]))
     out = sizes.select(whole.alias("w")).select("w.figure", none.cast("string").alias("key"), "w.value")
-    out = out.unionByName(parts.agg(n.alias("n")).select(*row("connected_component_count", none, F.col("n"))))
-    for figure, df, key in (("nodes_by_type", nodes, "type"), ("nodes_by_language", nodes, "language"), ("edges_by_type", edges, "kind")):
-        out = out.unionByName(df.filter(F.col(key).isNotNull()).groupBy(key).agg(n.alias("n")).select(*row(figure, F.col(key), F.col("n"))))
-    return out.unionByName(top.select(*row("most_connected", F.col("id"), F.col("n"))))
+    for figure, what, key in (("nodes_by_type", "node", "key"), ("nodes_by_language", "node", "language"), ("edges_by_type", "edge", "key")):
+        out = out.unionByName(sums.filter((F.col("what") == what) & F.col(key).isNotNull()).groupBy(key).agg(F.sum("n").alias("n")).select(*row(figure, F.col(key), F.col("n"))))
+    return out.unionByName(sums.filter("what = 'top' and n is not null").select(*row("most_connected", F.col("key"), F.col("n"))))

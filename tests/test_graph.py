@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from orrery.operators import graph
 
@@ -69,3 +70,48 @@ def test_connected_parts_shrink_to_their_smallest_node(spark, monkeypatch):
     assert sorted((r.node, r.component) for r in got) == sorted((x, root(x)) for x in parent)
     assert max(sizes) < len(edges) / 2
     assert graph.connected(spark.createDataFrame([], "a int, b int")).count() == 0
+
+
+def test_parts_within_are_those_of_all_edges(spark):
+    rng = random.Random(7)
+    edges = [(p, rng.randint(0, 30), rng.randint(0, 30)) for p in range(40) for _ in range(rng.randint(1, 25))] + [(50, i, i + 1) for i in range(300, 0, -1)] + [(51, 4, 4), (52, None, 1), (52, 2, 3)]
+    near = {}
+
+    def root(x):
+        while near.setdefault(x, x) != x:
+            x = near[x]
+        return x
+
+    for p, a, b in edges:
+        if a is not None and b is not None and a != b:
+            near[root((p, a))] = root((p, b))
+    got = graph.parts_within(spark.createDataFrame(edges, "part int, a int, b int")).collect()
+    assert sum(r.parts for r in got) == len({root(x) for x in list(near)})
+    assert sum(r.parts for r in graph.parts_within(spark.createDataFrame([], "part int, a int, b int")).collect()) == 0
+
+
+def test_statistics_are_the_same_in_parts_and_write_sums_alone(spark, monkeypatch):
+    from orrery.operators import views
+    from orrery.plans import structure
+
+    nodes = [(p, i, "class" if i % 3 else "function", "python" if i % 2 else None, None if i == 3 else i % 4 == 0) for p in range(30) for i in range(8)]
+    edges = [(p, i, (i * 5 + p) % 9, "calls" if i % 2 else None) for p in range(30) for i in range(6)] + [(1, None, 2, "calls")]
+    name = F.concat_ws(":", "part", "id")
+    n = spark.createDataFrame(nodes, "part int, id int, type string, language string, parsed boolean")
+    e = spark.createDataFrame(edges, "part int, a int, b int, kind string")
+    whole = views.statistics(n.select(name.alias("id"), "type", "language", "parsed"), e.select(*[F.when(F.col(x).isNotNull(), F.concat_ws(":", "part", x)).alias(x) for x in "ab"], "kind"))
+    assert sorted(map(str, views.statistics(n, e, name=name).collect())) == sorted(map(str, whole.collect()))
+    empty = views.statistics(n.filter("false"), e.filter("false"), name=name).collect()
+    assert sorted((r.figure, r.value) for r in empty) == sorted((f, 0.0) for f in ("total_nodes", "total_edges", "parsed_count", "inferred_count", "avg_in_degree", "avg_out_degree", "connected_component_count"))
+
+    written = []
+
+    def watched(df, real=views.durable):
+        out = real(df)
+        written.append(out.count())
+        return out
+
+    for module in (graph, views, structure):
+        monkeypatch.setattr(module, "durable", watched)
+    assert structure.graph_statistics(spark, "/root/testdata/sf0.001").count() > 10
+    assert sum(written) < 100
